@@ -1 +1,152 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for point cleaning, projection, tiling and GeoJSON
+export.  The driver tables hold no coordinates, so both engines derive them
+from keys: lon = 112 + (key*37 mod 4200)/100, lat = -44 + (key*53 mod 3400)/100."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from supplylens.operators import geo as G
+from supplylens.operators import relational as R
+from supplylens.plans.registry import register, table
+
+ZOOM_LIMITS = {"customers": (0, 16), "suppliers": (4, 16)}
+
+
+def _lon(k):
+    return F.lit(112.0) + (F.col(k) * 37 % 4200) / 100.0
+
+
+def _lat(k):
+    return F.lit(-44.0) + (F.col(k) * 53 % 3400) / 100.0
+
+
+def customer_sites(spark, d):
+    """Raw customer 'sites': latitude as text, junk for negative balances."""
+    c = table(spark, d, "customer")
+    lat_text = (F.when(F.col("c_acctbal") < -500, F.lit("NaN"))
+                .when(F.col("c_acctbal") < 0, F.lit("x"))
+                .otherwise(_lat("c_custkey").cast("string")))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("Name"),
+                    F.col("c_mktsegment").alias("COMMODITY"), F.col("c_acctbal").alias("acctbal"),
+                    lat_text.alias("latitude"), _lon("c_custkey").alias("longitude"))
+
+
+def customer_points(spark, d):
+    return G.points(customer_sites(spark, d),
+                    {"name": ["name", "Name", "DEPOSIT_NAME"],
+                     "commodity": ["commodity", "Commodity", "COMMODITY"],
+                     "state": ["state", "State", "STATE"]},
+                    limits={"name": 12, "commodity": 5, "state": 50}, keep=["id", "acctbal"])
+
+
+def supplier_points(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                    F.col("s_acctbal").alias("acctbal"),
+                    _lon("s_suppkey").alias("longitude"), _lat("s_suppkey").alias("latitude"))
+
+
+def layers(spark, d):
+    c = customer_points(spark, d).select("id", "acctbal", "longitude", "latitude")
+    s = supplier_points(spark, d).select("id", "acctbal", "longitude", "latitude")
+    return R.union_all(R.tag(c, "layer", "customers"), R.tag(s, "layer", "suppliers"))
+
+
+_CUST_SQL = """
+SELECT c_custkey AS id, c_name, c_mktsegment, c_acctbal AS acctbal,
+       112.0 + (c_custkey * 37 % 4200) / 100.0::DOUBLE AS longitude,
+       -44.0 + (c_custkey * 53 % 3400) / 100.0::DOUBLE AS latitude
+FROM customer WHERE c_acctbal >= 0
+"""
+_SUPP_SQL = """
+SELECT s_suppkey AS id, s_acctbal AS acctbal,
+       112.0 + (s_suppkey * 37 % 4200) / 100.0::DOUBLE AS longitude,
+       -44.0 + (s_suppkey * 53 % 3400) / 100.0::DOUBLE AS latitude
+FROM supplier
+"""
+_LAYERS_SQL = f"""
+SELECT id, acctbal, longitude, latitude, 'customers' AS layer FROM ({_CUST_SQL}) c
+UNION ALL
+SELECT id, acctbal, longitude, latitude, 'suppliers' AS layer FROM ({_SUPP_SQL}) s
+"""
+_FX = "(longitude + 180.0) / 360.0 * pow(2.0, z)"
+_FY = ("(1.0 - ln(tan((least(greatest(latitude, -85.0511), 85.0511) + 90.0) * pi() / 360.0)) / pi())"
+       " / 2.0 * pow(2.0, z)")
+_TILES_SQL = f"""
+WITH pts AS ({_LAYERS_SQL}),
+zz AS (SELECT pts.*, CAST(r.z AS INTEGER) AS z FROM pts, range(0, 7) r(z)
+       WHERE r.z >= CASE layer WHEN 'suppliers' THEN 4 ELSE 0 END),
+t AS (SELECT zz.*, {_FX} AS fx, {_FY} AS fy FROM zz)
+SELECT t.*, CAST(least(greatest(floor(fx), 0), pow(2.0, z) - 1) AS BIGINT) AS x,
+       CAST(least(greatest(floor(fy), 0), pow(2.0, z) - 1) AS BIGINT) AS y
+FROM t
+"""
+
+
+def _tiles(spark, d):
+    return G.tiles(layers(spark, d), 0, 6, layer="layer", zoom_limits=ZOOM_LIMITS)
+
+
+@register("points", f"""
+SELECT id, acctbal, substring(c_name, 1, 12) AS name, substring(c_mktsegment, 1, 5) AS commodity,
+       '' AS state, longitude, latitude
+FROM ({_CUST_SQL}) c
+""")
+def points_q(spark, d):
+    return customer_points(spark, d)
+
+
+@register("mercator", f"""
+SELECT id, round(longitude * 20037508.34 / 180.0, 3) AS merc_x,
+       round(ln(tan((90.0 + least(greatest(latitude, -85.0511), 85.0511)) * pi() / 360.0)) / pi()
+             * 20037508.34, 3) AS merc_y
+FROM ({_CUST_SQL}) c
+""")
+def mercator_q(spark, d):
+    m = G.to_mercator(customer_points(spark, d))
+    return m.select("id", F.round("merc_x", 3).alias("merc_x"), F.round("merc_y", 3).alias("merc_y"))
+
+
+@register("tiles", f"SELECT layer, id, z, x, y FROM ({_TILES_SQL}) q")
+def tiles_q(spark, d):
+    return _tiles(spark, d).select("layer", "id", "z", "x", "y")
+
+
+@register("tile_coords", f"""
+SELECT layer, id, z, x, y,
+       CAST(least(greatest(floor((fx - x) * 4096), 0), 4095) AS BIGINT) AS px,
+       CAST(least(greatest(floor((fy - y) * 4096), 0), 4095) AS BIGINT) AS py
+FROM ({_TILES_SQL}) q
+""")
+def tile_coords_q(spark, d):
+    return G.tile_coords(_tiles(spark, d)).select("layer", "id", "z", "x", "y", "px", "py")
+
+
+@register("tile_features", f"""
+SELECT layer, z, x, y, count(*) AS n_features, min(longitude) AS min_lon, max(longitude) AS max_lon,
+       min(latitude) AS min_lat, max(latitude) AS max_lat, round(sum(acctbal), 2) AS sum_acctbal
+FROM ({_TILES_SQL}) q GROUP BY layer, z, x, y
+""")
+def tile_features_q(spark, d):
+    return G.tile_features(_tiles(spark, d), measures=["acctbal"])
+
+
+@register("in_bbox", f"""
+SELECT id, longitude, latitude FROM ({_CUST_SQL}) c
+WHERE longitude BETWEEN 130.0 AND 150.0 AND latitude BETWEEN -35.0 AND -20.0
+""")
+def in_bbox_q(spark, d):
+    return G.in_bbox(customer_points(spark, d), 130.0, -35.0, 150.0, -20.0).select(
+        "id", "longitude", "latitude")
+
+
+@register("features", f"""
+SELECT to_json({{'type': 'Feature',
+                'geometry': {{'type': 'Point', 'coordinates': [longitude, latitude]}},
+                'properties': {{'acctbal': acctbal, 'name': substring(c_name, 1, 12),
+                                'commodity': substring(c_mktsegment, 1, 5), 'state': ''}}}})::VARCHAR AS feature
+FROM ({_CUST_SQL}) c
+""")
+def features_q(spark, d):
+    return G.to_features(customer_points(spark, d))
