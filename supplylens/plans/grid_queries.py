@@ -1 +1,314 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for the sheet-grid operators.
+
+A workbook cell table is derived from the driver tables: yearly order
+totals per customer nation, laid out per region in three sheet shapes
+(a wide sheet with a title and a numeric note row above its header, a
+period sheet whose header row holds years, and a fixed-layout sheet with
+series names in row 0), plus an index sheet and a notes sheet.  The DuckDB
+oracle builds the same cells with SQL and applies each rule in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from supplylens.operators import grid as G
+from supplylens.operators import relational as R
+from supplylens.plans.registry import register, table
+
+BASE_YEAR = 1995
+
+
+def _totals(spark, d):
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name",
+                                         "n_regionkey")
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    t = (o.join(c, "o_custkey")
+         .groupBy("c_nationkey", F.year("o_orderdate").alias("yr"))
+         .agg(F.sum("o_totalprice").alias("total")))
+    return (R.lookup(R.lookup(t, n, "c_nationkey", max_broadcast_rows=100_000), r, "n_regionkey",
+                     max_broadcast_rows=100_000)
+            .withColumnRenamed("c_nationkey", "n_nationkey"))
+
+
+def workbook_cells(spark, d):
+    """The cell table ``(sheet, row_idx, col_idx, value)``."""
+    tot = _totals(spark, d)
+    reg = table(spark, d, "region")
+    nr = (table(spark, d, "nation")
+          .join(reg.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"))
+    col = (F.expr("n_nationkey div 5") + 1).cast("int")
+    yr_row = (F.col("yr") - BASE_YEAR + 3).cast("int")
+    yr_col = (F.col("yr") - BASE_YEAR + 1).cast("int")
+    val = F.round("total", 2).cast("decimal(20,2)").cast("string")
+    three = spark.range(3).select(F.col("id").cast("int").alias("c"))
+
+    def cells(df, sheet, row, column, value):
+        return df.select(sheet.alias("sheet"), F.lit(row).cast("int").alias("row_idx")
+                         if isinstance(row, int) else row.alias("row_idx"),
+                         F.lit(column).cast("int").alias("col_idx")
+                         if isinstance(column, int) else column.alias("col_idx"),
+                         value.alias("value"))
+
+    sales = F.concat(F.lit("Sales "), F.col("r_name"))
+    yearly = F.concat(F.lit("Yearly "), F.col("r_name"))
+    totals = F.concat(F.lit("Totals "), F.col("r_name"))
+    years = tot.select("r_name", "yr").distinct()
+    parts = [
+        # wide layout
+        cells(reg, sales, 0, 0, F.concat(F.lit("Order totals for "), F.col("r_name"))),
+        cells(reg.crossJoin(three), sales, 1, F.col("c"), (F.col("c") + 1).cast("string")),
+        cells(reg, sales, 2, 0, F.lit("Year")),
+        cells(nr, sales, 2, col, F.col("n_name")),
+        cells(years, sales, yr_row, 0, F.col("yr").cast("string")),
+        cells(tot, sales, yr_row, col, val),
+        cells(reg.crossJoin(three), sales, 100, F.col("c"), F.lit("")),
+        cells(reg, sales, 101, 0, F.lit("Source: order book")),
+        # period layout
+        cells(reg, yearly, 0, 0, F.lit("Table F")),
+        cells(reg, yearly, 1, 0, F.lit("Nation")),
+        cells(years, yearly, 1, yr_col, F.col("yr").cast("string")),
+        cells(nr, yearly, (col + 1).cast("int"), 0, F.col("n_name")),
+        cells(tot, yearly, (col + 1).cast("int"), yr_col, val),
+        # fixed layout
+        cells(reg, totals, 0, 0, F.concat(F.lit("TOTALS "), F.col("r_name"))),
+        cells(nr, totals, 0, col, F.col("n_name")),
+        cells(reg, totals, 1, 0, F.lit("Note: order totals by customer nation")),
+        cells(reg, totals, 2, 0, F.lit("Calendar Year")),
+        cells(years, totals, yr_row, 0, F.col("yr").cast("string")),
+        cells(tot, totals, yr_row, col, val),
+        cells(reg, totals, 50, 0, F.lit("2050")),
+        cells(nr, totals, 50, col, F.lit("n/a")),
+        # index and notes sheets
+        cells(reg.limit(1), F.lit("Index"), 0, 0, F.lit("Contents")),
+        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 0, F.col("r_name")),
+        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 1, sales),
+        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 2, F.lit("wide layout")),
+        cells(reg, F.lit("Totals NOTES"), (F.col("r_regionkey") + 3).cast("int"), 0,
+              F.col("r_regionkey").cast("string")),
+        cells(reg, F.lit("Totals NOTES"), (F.col("r_regionkey") + 3).cast("int"), 1, F.lit("1.5")),
+        cells(reg.limit(1), F.lit("Totals NOTES"), 0, 1, F.lit("Sydney")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_CELLS_SQL = f"""
+tot AS (
+  SELECT n.n_nationkey, n.n_name, r.r_name, CAST(year(o.o_orderdate) AS INTEGER) AS yr,
+         sum(o.o_totalprice) AS total
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+       JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  GROUP BY 1, 2, 3, 4),
+nr AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+yrs AS (SELECT DISTINCT r_name, yr FROM tot),
+three AS (SELECT CAST(range AS INTEGER) AS c FROM range(0, 3)),
+raw AS (
+  SELECT 'Sales ' || r_name AS sheet, 0 AS row_idx, 0 AS col_idx, 'Order totals for ' || r_name AS value FROM region
+  UNION ALL SELECT 'Sales ' || r_name, 1, c, CAST(c + 1 AS VARCHAR) FROM region, three
+  UNION ALL SELECT 'Sales ' || r_name, 2, 0, 'Year' FROM region
+  UNION ALL SELECT 'Sales ' || r_name, 2, n_nationkey // 5 + 1, n_name FROM nr
+  UNION ALL SELECT 'Sales ' || r_name, yr - {BASE_YEAR} + 3, 0, CAST(yr AS VARCHAR) FROM yrs
+  UNION ALL SELECT 'Sales ' || r_name, yr - {BASE_YEAR} + 3, n_nationkey // 5 + 1,
+                   CAST(CAST(round(total, 2) AS DECIMAL(20, 2)) AS VARCHAR) FROM tot
+  UNION ALL SELECT 'Sales ' || r_name, 100, c, '' FROM region, three
+  UNION ALL SELECT 'Sales ' || r_name, 101, 0, 'Source: order book' FROM region
+  UNION ALL SELECT 'Yearly ' || r_name, 0, 0, 'Table F' FROM region
+  UNION ALL SELECT 'Yearly ' || r_name, 1, 0, 'Nation' FROM region
+  UNION ALL SELECT 'Yearly ' || r_name, 1, yr - {BASE_YEAR} + 1, CAST(yr AS VARCHAR) FROM yrs
+  UNION ALL SELECT 'Yearly ' || r_name, n_nationkey // 5 + 2, 0, n_name FROM nr
+  UNION ALL SELECT 'Yearly ' || r_name, n_nationkey // 5 + 2, yr - {BASE_YEAR} + 1,
+                   CAST(CAST(round(total, 2) AS DECIMAL(20, 2)) AS VARCHAR) FROM tot
+  UNION ALL SELECT 'Totals ' || r_name, 0, 0, 'TOTALS ' || r_name FROM region
+  UNION ALL SELECT 'Totals ' || r_name, 0, n_nationkey // 5 + 1, n_name FROM nr
+  UNION ALL SELECT 'Totals ' || r_name, 1, 0, 'Note: order totals by customer nation' FROM region
+  UNION ALL SELECT 'Totals ' || r_name, 2, 0, 'Calendar Year' FROM region
+  UNION ALL SELECT 'Totals ' || r_name, yr - {BASE_YEAR} + 3, 0, CAST(yr AS VARCHAR) FROM yrs
+  UNION ALL SELECT 'Totals ' || r_name, yr - {BASE_YEAR} + 3, n_nationkey // 5 + 1,
+                   CAST(CAST(round(total, 2) AS DECIMAL(20, 2)) AS VARCHAR) FROM tot
+  UNION ALL SELECT 'Totals ' || r_name, 50, 0, '2050' FROM region
+  UNION ALL SELECT 'Totals ' || r_name, 50, n_nationkey // 5 + 1, 'n/a' FROM nr
+  UNION ALL SELECT 'Index', 0, 0, 'Contents'
+  UNION ALL SELECT 'Index', r_regionkey + 1, 0, r_name FROM region
+  UNION ALL SELECT 'Index', r_regionkey + 1, 1, 'Sales ' || r_name FROM region
+  UNION ALL SELECT 'Index', r_regionkey + 1, 2, 'wide layout' FROM region
+  UNION ALL SELECT 'Totals NOTES', r_regionkey + 3, 0, CAST(r_regionkey AS VARCHAR) FROM region
+  UNION ALL SELECT 'Totals NOTES', r_regionkey + 3, 1, '1.5' FROM region
+  UNION ALL SELECT 'Totals NOTES', 0, 1, 'Sydney'),
+cells AS (SELECT sheet, CAST(row_idx AS INTEGER) AS row_idx, CAST(col_idx AS INTEGER) AS col_idx, value
+          FROM raw)"""
+
+_NUMERIC = "regexp_full_match(trim(value), '[0-9.\\-]+') AND regexp_matches(trim(value), '[0-9]')"
+_NONEMPTY = "value IS NOT NULL AND trim(value) <> ''"
+
+
+def _header_sql(k: int) -> str:
+    return f"""
+hdr AS (SELECT sheet, min(row_idx) AS header_row FROM (
+          SELECT sheet, row_idx, count(*) AS n FROM cells
+          WHERE row_idx < 20 AND {_NONEMPTY} AND NOT ({_NUMERIC})
+          GROUP BY 1, 2) t WHERE n >= {k} GROUP BY 1)"""
+
+
+@register("grid_header", f"WITH {_CELLS_SQL}, {_header_sql(3)} SELECT * FROM hdr")
+def grid_header(spark, d):
+    return G.detect_header(workbook_cells(spark, d), k=3)
+
+
+@register("grid_header_k2", f"WITH {_CELLS_SQL}, {_header_sql(2)} SELECT * FROM hdr")
+def grid_header_k2(spark, d):
+    return G.detect_header(workbook_cells(spark, d), k=2)
+
+
+@register("grid_period_header", f"""
+WITH {_CELLS_SQL}
+SELECT sheet, min(row_idx) AS header_row FROM cells
+WHERE row_idx < 15 AND value IS NOT NULL
+  AND (regexp_matches(trim(value), '^[0-9]{{4}}') OR (contains(trim(value), '-') AND length(trim(value)) <= 7))
+GROUP BY sheet
+""")
+def grid_period_header(spark, d):
+    return G.detect_period_header(workbook_cells(spark, d))
+
+
+def _apply_sql(ignore_first: bool) -> str:
+    extra = "AND b.col_idx > f.c0" if ignore_first else ""
+    return f"""
+WITH {_CELLS_SQL}, {_header_sql(3)},
+sales AS (SELECT * FROM cells WHERE sheet LIKE 'Sales %'),
+names AS (SELECT c.sheet, c.col_idx, trim(c.value) AS "column"
+          FROM sales c JOIN hdr h ON c.sheet = h.sheet AND c.row_idx = h.header_row),
+body AS (SELECT c.sheet, c.row_idx, c.col_idx,
+                CASE WHEN c.value IS NOT NULL AND trim(c.value) <> '' THEN c.value END AS value
+         FROM sales c JOIN hdr h ON c.sheet = h.sheet AND c.row_idx > h.header_row),
+f AS (SELECT sheet, min(col_idx) AS c0 FROM body GROUP BY sheet),
+keep AS (SELECT DISTINCT b.sheet, b.row_idx FROM body b JOIN f ON b.sheet = f.sheet
+         WHERE b.value IS NOT NULL {extra})
+SELECT b.sheet, b.row_idx, b.col_idx,
+       CASE WHEN n."column" IS NOT NULL AND trim(n."column") <> '' THEN n."column" ELSE 'col' END AS "column",
+       b.value
+FROM body b JOIN keep k ON b.sheet = k.sheet AND b.row_idx = k.row_idx
+LEFT JOIN names n ON b.sheet = n.sheet AND b.col_idx = n.col_idx
+"""
+
+
+def _sales_cells(spark, d):
+    return workbook_cells(spark, d).filter(F.col("sheet").startswith("Sales "))
+
+
+@register("grid_apply", _apply_sql(False))
+def grid_apply(spark, d):
+    cells = _sales_cells(spark, d)
+    return G.apply_header(cells, G.detect_header(cells, k=3))
+
+
+@register("grid_apply_ignore_first", _apply_sql(True))
+def grid_apply_ignore_first(spark, d):
+    cells = _sales_cells(spark, d)
+    return G.apply_header(cells, G.detect_header(cells, k=3), ignore_first=True)
+
+
+@register("grid_melt", f"""
+WITH {_CELLS_SQL},
+c AS (SELECT * FROM cells WHERE sheet LIKE 'Totals%' AND NOT contains(upper(sheet), 'NOTES')),
+heads AS (SELECT sheet, col_idx, trim(value) AS city FROM c
+          WHERE row_idx = 0 AND col_idx >= 1 AND {_NONEMPTY}),
+periods AS (SELECT sheet, row_idx, trim(value) AS year_period FROM c
+            WHERE row_idx >= 3 AND col_idx = 0 AND {_NONEMPTY}),
+vals AS (SELECT sheet, row_idx, col_idx, TRY_CAST(trim(value) AS DOUBLE) AS v FROM c
+         WHERE row_idx >= 3 AND col_idx >= 1)
+SELECT p.year_period, h.city, round_even(v.v, 2) AS price_cpl,
+       CASE WHEN contains(lower(v.sheet), 'america') THEN 'AMER' ELSE 'REST' END AS fuel_type
+FROM vals v JOIN periods p ON v.sheet = p.sheet AND v.row_idx = p.row_idx
+JOIN heads h ON v.sheet = h.sheet AND v.col_idx = h.col_idx
+WHERE v.v IS NOT NULL AND NOT isnan(v.v)
+""")
+def grid_melt(spark, d):
+    cells = workbook_cells(spark, d).filter(F.col("sheet").startswith("Totals"))
+    return G.melt_grid(cells, header_row=0, first_row=3, skip="NOTES",
+                       label_rules=[("america", "AMER")], default_label="REST")
+
+
+@register("unpivot", """
+SELECT l_linenumber, l_returnflag AS flag, round(sum(l_quantity), 2) AS qty
+FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2
+""")
+def unpivot_q(spark, d):
+    li = table(spark, d, "lineitem")
+    wide = (li.groupBy("l_linenumber").pivot("l_returnflag", ["A", "N", "R"])
+            .agg(F.round(F.sum("l_quantity"), 2)))
+    return G.unpivot(wide, ["l_linenumber"], ["A", "N", "R"], "flag", "qty")
+
+
+_ROUTE_RULES = {"stocks": ["Sales ASIA", "Sales EUROPE"], "supply": ["Sales AMERICA"]}
+
+
+def _routed(spark, d):
+    return G.route_sheets(workbook_cells(spark, d), _ROUTE_RULES, "sales", exclude=["Index"])
+
+
+_ROUTE_SQL = """
+routed AS (SELECT *, sheet AS source_sheet,
+                  CASE WHEN sheet IN ('Sales ASIA', 'Sales EUROPE') THEN 'stocks'
+                       WHEN sheet IN ('Sales AMERICA') THEN 'supply' ELSE 'sales' END AS data_category
+           FROM cells WHERE sheet NOT IN ('Index'))"""
+
+
+@register("grid_route", f"""
+WITH {_CELLS_SQL}, {_ROUTE_SQL}
+SELECT source_sheet, data_category, count(*) AS n_cells FROM routed GROUP BY 1, 2
+""")
+def grid_route(spark, d):
+    return _routed(spark, d).groupBy("source_sheet", "data_category").agg(
+        F.count(F.lit(1)).alias("n_cells"))
+
+
+@register("grid_split", f"""
+WITH {_CELLS_SQL}, {_ROUTE_SQL}
+SELECT 'sales_table' AS table_name, count(*) FILTER (WHERE data_category = 'sales') AS n_cells FROM routed
+UNION ALL SELECT 'stocks_table', count(*) FILTER (WHERE data_category = 'stocks') FROM routed
+UNION ALL SELECT 'supply_table', count(*) FILTER (WHERE data_category = 'supply') FROM routed
+UNION ALL SELECT 'other_table', count(*) FILTER (WHERE data_category = 'other') FROM routed
+""")
+def grid_split(spark, d):
+    parts = G.split_by(_routed(spark, d), "data_category",
+                       {"sales": "sales_table", "stocks": "stocks_table", "supply": "supply_table",
+                        "other": "other_table"})
+    counts = [df.agg(F.count(F.lit(1)).alias("n_cells")).select(F.lit(name).alias("table_name"),
+                                                                "n_cells")
+              for name, df in parts.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@register("sanitize", """
+SELECT o_orderkey AS Order_Key_id, o_totalprice AS "Total_price_AUD", o_orderstatus AS statuscode,
+       o_orderpriority AS col, o_orderdate AS Order_Keyid, o_custkey AS "order_key_id_1"
+FROM orders
+""")
+def sanitize(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("Order Key (id)"), F.col("o_totalprice").alias("Total price, AUD"),
+        F.col("o_orderstatus").alias("status=code"), F.col("o_orderpriority").alias("  ()  "),
+        F.col("o_orderdate").alias("Order   Key\t(id)"), F.col("o_custkey").alias("order key id"))
+    return G.sanitize_columns(o)
+
+
+@register("normalize_nulls", """
+SELECT p_partkey, CASE WHEN p_size <= 8 THEN NULL ELSE p_name END AS p_name,
+       CASE WHEN p_size > 45 THEN NULL ELSE p_type END AS p_type
+FROM part
+""")
+def normalize_nulls_q(spark, d):
+    p = table(spark, d, "part")
+    name = (F.when(F.col("p_size") <= 2, F.lit("")).when(F.col("p_size") <= 4, F.lit("nan"))
+            .when(F.col("p_size") <= 6, F.lit("None")).when(F.col("p_size") <= 8, F.lit(" . "))
+            .otherwise(F.col("p_name")))
+    ptype = F.when(F.col("p_size") > 45, F.lit("  ")).otherwise(F.col("p_type"))
+    return G.normalize_nulls(p.select("p_partkey", name.alias("p_name"), ptype.alias("p_type")))
