@@ -1 +1,368 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for the readers, sinks and load report.
+
+Each query first has Spark write files derived from a driver table (CSV
+with a preamble, JSON envelopes, per-entity JSON pages, XML items, GeoJSON
+feature collections...) into a fresh folder under the shared checkpoint
+location, then reads them back with the library reader.  The DuckDB oracle
+computes the expected rows straight from the driver tables.  Documents are
+written in bounded pages (grouped by a key), never as one whole-table row.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from supplylens.operators import geo as G
+from supplylens.operators import quality as Q
+from supplylens.plans import geo_queries
+from supplylens.plans.registry import register, table
+from supplylens.session import scratch_path
+from supplylens.sources import readers as S
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def _ordered_text(df, path):
+    """Write ``(k, line)`` rows as one text file in ``k`` order (fixture
+    files whose line order matters, e.g. a preamble above the data)."""
+    df.repartition(1).sortWithinPartitions("k").select("line").write.mode("overwrite").text(path)
+
+
+# --------------------------------------------------------------------------
+# SRC1
+# --------------------------------------------------------------------------
+
+
+@register("read_delimited", """
+SELECT date, price FROM (
+  SELECT CAST(ts AS DATE) AS date, round(avg(value), 4) AS price
+  FROM events WHERE event_type = 'purchase' GROUP BY 1) t
+WHERE dayofweek(date) <> 0
+""")
+def read_delimited_q(spark, d):
+    path = scratch_path(spark, "delimited")
+    e = table(spark, d, "events").filter(F.col("event_type") == "purchase")
+    daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("v"))
+    (daily.select(F.date_format("day", "yyyy-MM-dd").alias("DATE"),
+                  F.when(F.dayofweek("day") == 1, F.lit(None)).otherwise(F.col("v")).alias("VALUE"))
+     .write.mode("overwrite").option("header", True).option("nullValue", ".").csv(path))
+    return S.read_delimited(spark, path, types={"DATE": "date", "VALUE": "double"},
+                            rename={"DATE": "date", "VALUE": "price"}, na=".")
+
+
+# --------------------------------------------------------------------------
+# SRC2
+# --------------------------------------------------------------------------
+
+_PREAMBLE = [
+    "EVENT VALUES TABLE",
+    "Title,Click value,Error value,Purchase value,Signup value,View value",
+    "Description,Daily average,Daily average,Daily average,Daily average,Daily average",
+    "Units,AUD,AUD,AUD,AUD,AUD",
+    "",
+    "# generated from the event log",
+    "Series ID," + ",".join(EVENT_TYPES),
+]
+
+
+@register("read_preamble", f"""
+SELECT CAST(ts AS DATE) AS date,
+       {", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 4) AS {t}" for t in EVENT_TYPES)}
+FROM events GROUP BY 1
+""")
+def read_preamble_q(spark, d):
+    path = scratch_path(spark, "preamble")
+    e = table(spark, d, "events")
+    piv = (e.groupBy(F.to_date("ts").alias("day")).pivot("event_type", EVENT_TYPES)
+           .agg(F.round(F.avg("value"), 4)))
+    data = piv.select(
+        F.concat(F.lit("1-"), F.date_format("day", "yyyy-MM-dd")).alias("k"),
+        F.concat_ws(",", F.date_format("day", "dd-MMM-yyyy"),
+                    *[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in EVENT_TYPES]).alias("line"))
+    head = spark.createDataFrame([(f"0-{i:03d}", s) for i, s in enumerate(_PREAMBLE)], "k STRING, line STRING")
+    tail = spark.createDataFrame([("2-end", "Source: event log,,,,,")], "k STRING, line STRING")
+    _ordered_text(head.unionByName(data).unionByName(tail), path)
+    return S.read_preamble_csv(spark, path)
+
+
+# --------------------------------------------------------------------------
+# SRC3
+# --------------------------------------------------------------------------
+
+
+@register("json_records", """
+SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey <> 4
+""")
+def json_records_q(spark, d):
+    path = scratch_path(spark, "envelopes")
+    n = table(spark, d, "nation")
+    env = (n.groupBy("n_regionkey")
+           .agg(F.collect_list(F.struct(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("name"),
+                                        F.col("n_regionkey").alias("region"))).alias("records"))
+           .select((F.col("n_regionkey") != 4).alias("success"),
+                   F.struct(F.col("records")).alias("result")))
+    env.write.mode("overwrite").json(path)
+    return S.read_json_records(spark, path, multiline=False)
+
+
+# --------------------------------------------------------------------------
+# SRC4 / SRC9
+# --------------------------------------------------------------------------
+
+_LINKS_SQL = f"""
+x AS (SELECT page_id, regexp_extract_all(html, '{S.LINK_ITEM_PATTERN}', 1) AS hrefs,
+             regexp_extract_all(html, '{S.LINK_ITEM_PATTERN}', 2) AS texts FROM pages),
+y AS (SELECT page_id, hrefs, texts, unnest(range(len(hrefs))) AS pos FROM x),
+links AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, hrefs[pos + 1] AS href, texts[pos + 1] AS text FROM y)"""
+
+
+@register("page_elements", f"WITH {_LINKS_SQL} SELECT * FROM links")
+def page_elements(spark, d):
+    return S.extract_elements(table(spark, d, "pages"), "html", keep=["page_id"])
+
+
+def _catalog(spark, d):
+    links = S.extract_elements(table(spark, d, "pages"), "html", keep=["page_id"])
+    fmt = (F.when(F.col("text").rlike("^[a-m]"), "csv").when(F.col("text").rlike("^[n-z]"), "CSV")
+           .otherwise("XLSX"))
+    res = F.struct("pos", F.col("text").alias("name"), fmt.alias("format"), F.col("href").alias("url"))
+    return (links.groupBy(F.col("page_id").alias("dataset"))
+            .agg(F.sort_array(F.collect_list(res)).alias("_r"))
+            .select("dataset", F.transform("_r", lambda s: F.struct(s["name"].alias("name"),
+                                                                      s["format"].alias("format"),
+                                                                      s["url"].alias("url")))
+                    .alias("resources")))
+
+
+def _pick_sql(agg: str, extra: str = "") -> str:
+    return f"""
+WITH {_LINKS_SQL},
+r AS (SELECT page_id AS dataset, pos, text AS name, href AS url,
+             CASE WHEN regexp_matches(text, '^[a-m]') THEN 'csv'
+                  WHEN regexp_matches(text, '^[n-z]') THEN 'CSV' ELSE 'XLSX' END AS format FROM links)
+SELECT dataset, {agg}(name, pos) AS name, {agg}(url, pos) AS url
+FROM r WHERE upper(format) = 'CSV' {extra} GROUP BY dataset
+"""
+
+
+@register("resource_pick_last", _pick_sql("arg_max"))
+def resource_pick_last(spark, d):
+    return S.pick_resource(_catalog(spark, d), which="last")
+
+
+@register("resource_pick_first", _pick_sql("arg_min"))
+def resource_pick_first(spark, d):
+    return S.pick_resource(_catalog(spark, d), which="first")
+
+
+@register("resource_pick_contains", _pick_sql("arg_min", "AND contains(lower(name), 'the')"))
+def resource_pick_contains(spark, d):
+    return S.pick_resource(_catalog(spark, d), which="first", contains="the")
+
+
+# --------------------------------------------------------------------------
+# SRC5
+# --------------------------------------------------------------------------
+
+
+@register("coded_records", """
+WITH m AS (
+  SELECT c_nationkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT 'N' || CAST(c_nationkey AS VARCHAR) AS code, strftime(month, '%Y-%m') AS period,
+       CASE WHEN month(month) = 12 THEN NULL ELSE CAST(n AS DOUBLE) END AS value, n_name AS name
+FROM m JOIN nation ON c_nationkey = n_nationkey
+""")
+def coded_records(spark, d):
+    path = scratch_path(spark, "coded")
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    m = (o.join(c, "o_custkey")
+         .groupBy("c_nationkey", F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month"))
+         .agg(F.count(F.lit(1)).alias("n")))
+    rec = F.struct(F.date_format("month", "yyyy-MM").alias("period"),
+                   F.when(F.month("month") == 12, F.lit("--")).otherwise(F.col("n").cast("string"))
+                   .alias("value"))
+    pages = (m.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("code"),
+                       F.year("month").alias("yr"))
+             .agg(F.collect_list(rec).alias("data"))
+             .select("code", F.to_json(F.struct(F.struct("data").alias("response"))).alias("line")))
+    pages.write.mode("overwrite").partitionBy("code").text(path)
+    names = table(spark, d, "nation").select(
+        F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), "n_name")
+    return S.read_coded_records(spark, path, names)
+
+
+# --------------------------------------------------------------------------
+# SRC6
+# --------------------------------------------------------------------------
+
+
+@register("read_tagged", """
+SELECT c_custkey, c_name, c_acctbal, CAST(r_regionkey AS VARCHAR) AS region_code, r_name AS region_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def read_tagged_q(spark, d):
+    path = scratch_path(spark, "tagged")
+    c = table(spark, d, "customer")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
+                                         F.col("n_regionkey").alias("region_code"))
+    (c.join(n, "c_nationkey").select("c_custkey", "c_name", "c_acctbal", "region_code")
+     .write.mode("overwrite").option("header", True).partitionBy("region_code").csv(path))
+    # the region dimension is fixed-size (5 rows); its codes name the sources
+    regions = {str(r.r_regionkey): r.r_name for r in table(spark, d, "region").collect()}
+    sources = {k: f"{path}/region_code={k}" for k in regions}
+    return S.read_tagged(
+        spark, sources, regions,
+        reader=lambda s, p: S.read_delimited(s, p, types={"c_custkey": "bigint", "c_acctbal": "double"},
+                                             dropna=False),
+        code_col="region_code", name_col="region_name")
+
+
+# --------------------------------------------------------------------------
+# SRC7
+# --------------------------------------------------------------------------
+
+
+def _xml_text(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+_PART_LAT = "-35.0 + (p_partkey * 7 % 1000) / 100.0::DOUBLE"
+_PART_LON = "115.0 + (p_partkey * 11 % 3000) / 100.0::DOUBLE"
+
+
+@register("read_xml", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS brand,
+       CASE WHEN p_size = 1 THEN NULL ELSE p_retailprice END AS price,
+       {_PART_LAT} AS latitude, {_PART_LON} AS longitude
+FROM part
+""")
+def read_xml_q(spark, d):
+    path = scratch_path(spark, "xml")
+    p = table(spark, d, "part")
+    lat = F.lit(-35.0) + (F.col("p_partkey") * 7 % 1000) / 100.0
+    lon = F.lit(115.0) + (F.col("p_partkey") * 11 % 3000) / 100.0
+    price = F.when(F.col("p_size") == 1, F.lit("n/a")).otherwise(F.col("p_retailprice").cast("string"))
+    item = F.concat(F.lit("<item><id>"), F.col("p_partkey").cast("string"), F.lit("</id><title>"),
+                    _xml_text(F.col("p_name")), F.lit("</title><brand>"), _xml_text(F.col("p_brand")),
+                    F.lit("</brand><x:price>"), price, F.lit("</x:price><latitude>"),
+                    lat.cast("string"), F.lit("</latitude><longitude>"), lon.cast("string"),
+                    F.lit("</longitude></item>"))
+    docs = (p.groupBy(F.expr("p_partkey div 1000").alias("page"))
+            .agg(F.concat(F.lit('<rss xmlns:x="http://example.com/x"><channel>\n'),
+                          F.array_join(F.collect_list(item), "\n"),
+                          F.lit("\n</channel></rss>")).alias("line")))
+    # one XML document per file: a second root element in a file is invalid
+    docs.write.mode("overwrite").partitionBy("page").text(path)
+    return S.read_xml_items(spark, path).drop("page")
+
+
+# --------------------------------------------------------------------------
+# SRC8
+# --------------------------------------------------------------------------
+
+
+@register("features_flatten", """
+SELECT s_acctbal AS acctbal, s_name AS name, CAST(s_nationkey AS BIGINT) AS nationkey,
+       CASE WHEN s_nationkey < 5 THEN NULL
+            ELSE 112.0 + (s_suppkey * 37 % 4200) / 100.0::DOUBLE END AS longitude,
+       CASE WHEN s_nationkey < 5 THEN NULL
+            ELSE -44.0 + (s_suppkey * 53 % 3400) / 100.0::DOUBLE END AS latitude
+FROM supplier
+""")
+def features_flatten(spark, d):
+    path = scratch_path(spark, "geojson")
+    s = geo_queries.supplier_points(spark, d).join(
+        table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey"), "id")
+    props = F.to_json(F.struct(F.col("name"), F.col("acctbal"), F.col("s_nationkey").alias("nationkey")))
+    lon, lat = F.col("longitude"), F.col("latitude")
+    multi = F.to_json(F.struct(F.lit("MultiPoint").alias("type"),
+                               F.array(F.array(lon, lat), F.array(lon + 1, lat + 1)).alias("coordinates")))
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
+    geom = (F.when(F.col("s_nationkey") < 5, F.lit(""))
+            .when(F.col("s_nationkey") < 12, F.concat(F.lit(',"geometry":'), multi))
+            .otherwise(F.concat(F.lit(',"geometry":'), point)))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), props, geom, F.lit("}"))
+    pages = (s.groupBy("s_nationkey", F.expr("id div 100").alias("page"))
+             .agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                           F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("line")))
+    pages.select("line").write.mode("overwrite").text(path)
+    return S.flatten_features(spark, path, multiline=False)
+
+
+# --------------------------------------------------------------------------
+# SRC11 / SRC12 / SNK1 / SNK2 / QA1
+# --------------------------------------------------------------------------
+
+
+@register("read_first", "SELECT * FROM customer")
+def read_first_q(spark, d):
+    missing = scratch_path(spark, "never-written")
+    return S.read_first([
+        lambda: spark.read.parquet(missing),
+        lambda: table(spark, d, "orders").filter(F.col("o_totalprice") < 0),
+        lambda: table(spark, d, "customer"),
+        lambda: table(spark, d, "supplier"),
+    ])
+
+
+def _scratch_db(spark):
+    db = f"supplylens_{uuid.uuid4().hex[:12]}"
+    return Q.ensure_database(spark, db, scratch_path(spark, "db"))
+
+
+_MONTHLY_SQL = """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n_orders,
+       round(sum(o_totalprice), 2) AS revenue
+FROM orders GROUP BY 1
+"""
+
+
+def _monthly(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
+@register("save_count", _MONTHLY_SQL)
+def save_count(spark, d):
+    db = _scratch_db(spark)
+    Q.save(_monthly(spark, d), f"{db}.order_months")
+    return spark.table(f"{db}.order_months")
+
+
+@register("list_tables")
+def list_tables_q(spark, d):
+    db = _scratch_db(spark)
+    Q.save(_monthly(spark, d), f"{db}.order_months")
+    Q.save(table(spark, d, "nation"), f"{db}.nations")
+    return S.list_tables(spark, db).agg(F.count_distinct("tableName").alias("n_tables"))
+
+
+@register("verify", f"""
+SELECT 'order_months' AS table_name, 'OK' AS status, (SELECT count(*) FROM ({_MONTHLY_SQL}) m) AS n_rows
+UNION ALL SELECT 'no_urgent_low', 'EMPTY', 0
+UNION ALL SELECT 'never_loaded', 'MISSING', NULL
+""")
+def verify_q(spark, d):
+    db = _scratch_db(spark)
+    Q.save(_monthly(spark, d), f"{db}.order_months")
+    o = table(spark, d, "orders")
+    Q.save(o.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderpriority") == "5-LOW")),
+           f"{db}.no_urgent_low")
+    rep = Q.verify(spark, [f"{db}.order_months", f"{db}.no_urgent_low", f"{db}.never_loaded"])
+    return rep.withColumn("table_name", F.substring_index("table_name", ".", -1))
+
+
+@register("export_points", f"""
+SELECT layer, count(*) AS n_points, round(sum(acctbal), 2) AS acctbal
+FROM ({geo_queries._LAYERS_SQL}) l GROUP BY layer
+""")
+def export_points(spark, d):
+    path = scratch_path(spark, "points")
+    back = Q.export_points(geo_queries.layers(spark, d), path)
+    return back.groupBy("layer").agg(F.count(F.lit(1)).alias("n_points"),
+                                     F.round(F.sum("acctbal"), 2).alias("acctbal"))
