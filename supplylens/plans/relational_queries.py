@@ -73,10 +73,11 @@ def since_literal(spark, d):
 # --------------------------------------------------------------------------
 
 # A text column with junk in it, derived from a natural attribute (size).
-_JUNKY_BRAND = F.when(F.col("p_size") <= 3, F.lit("")) \
-    .when(F.col("p_size") <= 5, F.lit("-")) \
-    .when(F.col("p_size") == 6, F.lit(None).cast("string")) \
-    .otherwise(F.col("p_brand"))
+def _junky_brand():
+    return (F.when(F.col("p_size") <= 3, F.lit(""))
+            .when(F.col("p_size") <= 5, F.lit("-"))
+            .when(F.col("p_size") == 6, F.lit(None).cast("string"))
+            .otherwise(F.col("p_brand")))
 _JUNKY_BRAND_SQL = ("CASE WHEN p_size <= 3 THEN '' WHEN p_size <= 5 THEN '-' "
                     "WHEN p_size = 6 THEN NULL ELSE p_brand END")
 
@@ -88,7 +89,7 @@ WHERE brand IS NOT NULL AND trim(brand) NOT IN ('', '-')
 GROUP BY brand
 """)
 def present_filter(spark, d):
-    p = table(spark, d, "part").select(_JUNKY_BRAND.alias("brand"))
+    p = table(spark, d, "part").select(_junky_brand().alias("brand"))
     return R.group_count(R.present(p, ["brand"]), ["brand"])
 
 
@@ -381,10 +382,11 @@ def group_count(spark, d):
     return R.group_count(table(spark, d, "part"), ["p_type"])
 
 
-_MESSY_TYPE = (F.when(F.col("p_size") <= 5, F.lit(""))
-               .when(F.col("p_size") == 6, F.lit(None).cast("string"))
-               .when(F.col("p_size") == 7, F.lit("   "))
-               .otherwise(F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))))
+def _messy_type():
+    return (F.when(F.col("p_size") <= 5, F.lit(""))
+            .when(F.col("p_size") == 6, F.lit(None).cast("string"))
+            .when(F.col("p_size") == 7, F.lit("   "))
+            .otherwise(F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))))
 
 
 @register("group_count_clean", """
@@ -396,7 +398,7 @@ SELECT CASE WHEN coalesce(trim(raw), '') = '' THEN 'Unknown' ELSE trim(raw) END
 FROM t GROUP BY 1
 """)
 def group_count_clean(spark, d):
-    p = table(spark, d, "part").select(_MESSY_TYPE.alias("raw"))
+    p = table(spark, d, "part").select(_messy_type().alias("raw"))
     return R.group_count_clean(p, "raw")
 
 

@@ -37,14 +37,14 @@ def _ordered_text(df, path):
 
 @register("read_delimited", """
 SELECT date, price FROM (
-  SELECT CAST(ts AS DATE) AS date, round(avg(value), 4) AS price
+  SELECT CAST(ts AS DATE) AS date, round(sum(value), 2) AS price
   FROM events WHERE event_type = 'purchase' GROUP BY 1) t
 WHERE dayofweek(date) <> 0
 """)
 def read_delimited_q(spark, d):
     path = scratch_path(spark, "delimited")
     e = table(spark, d, "events").filter(F.col("event_type") == "purchase")
-    daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("v"))
+    daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("v"))
     (daily.select(F.date_format("day", "yyyy-MM-dd").alias("DATE"),
                   F.when(F.dayofweek("day") == 1, F.lit(None)).otherwise(F.col("v")).alias("VALUE"))
      .write.mode("overwrite").option("header", True).option("nullValue", ".").csv(path))
@@ -59,7 +59,7 @@ def read_delimited_q(spark, d):
 _PREAMBLE = [
     "EVENT VALUES TABLE",
     "Title,Click value,Error value,Purchase value,Signup value,View value",
-    "Description,Daily average,Daily average,Daily average,Daily average,Daily average",
+    "Description,Daily total,Daily total,Daily total,Daily total,Daily total",
     "Units,AUD,AUD,AUD,AUD,AUD",
     "",
     "# generated from the event log",
@@ -69,14 +69,14 @@ _PREAMBLE = [
 
 @register("read_preamble", f"""
 SELECT CAST(ts AS DATE) AS date,
-       {", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 4) AS {t}" for t in EVENT_TYPES)}
+       {", ".join(f"round(sum(value) FILTER (WHERE event_type = '{t}'), 2) AS {t}" for t in EVENT_TYPES)}
 FROM events GROUP BY 1
 """)
 def read_preamble_q(spark, d):
     path = scratch_path(spark, "preamble")
     e = table(spark, d, "events")
     piv = (e.groupBy(F.to_date("ts").alias("day")).pivot("event_type", EVENT_TYPES)
-           .agg(F.round(F.avg("value"), 4)))
+           .agg(F.round(F.sum("value"), 2)))
     data = piv.select(
         F.concat(F.lit("1-"), F.date_format("day", "yyyy-MM-dd")).alias("k"),
         F.concat_ws(",", F.date_format("day", "dd-MMM-yyyy"),

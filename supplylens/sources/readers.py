@@ -233,7 +233,13 @@ def read_xml_items(spark: SparkSession, path, row_tag: str = "item",
     without namespace prefix; the listed columns become numbers."""
     df = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
           .load(path))
-    df = df.toDF(*sanitize_names([c.split(":")[-1] for c in df.columns]))
+    # a tag and its namespaced twin name the same field: merge them
+    groups: dict[str, list[str]] = {}
+    for c in df.columns:
+        groups.setdefault(c.split(":")[-1], []).append(c)
+    df = df.select(*[(F.coalesce(*[F.col(f"`{c}`") for c in cols]) if len(cols) > 1
+                      else F.col(f"`{cols[0]}`")).alias(name) for name, cols in groups.items()])
+    df = df.toDF(*sanitize_names(df.columns))
     return df.withColumns({c: to_double(c) for c in numeric if c in df.columns})
 
 
