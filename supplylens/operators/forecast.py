@@ -28,6 +28,8 @@ from supplylens.operators.relational import bridge, merge_series, since
 
 Z_95 = 1.96
 _PERIOD_MONTHS = {"MONTH": 1, "QUARTER": 3}
+# Period index origin; the fitted line does not depend on it.
+EPOCH = "2000-01-01"
 
 
 def _long(df: DataFrame, time: str, values: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -46,6 +48,15 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
 
     ``df`` holds one row per period (per key); the period key is ``time``
     truncated to the grain by the caller.
+
+    Plan: one fit aggregate per series, one join of the observations with
+    the fits, then two grouped aggregates that carry the fit along as
+    grouping columns (constant per series): per position in the year they
+    sum ``r`` and ``r^2`` and per series they fold that into the season
+    means (a map of at most 12 entries) and sigma.  Sigma without a season
+    is the plain residual stddev; with one it uses the within-position sum
+    of squares.  Future rows look the season up in the map, so no further
+    join is needed.
     """
     values = [values] if isinstance(values, str) else list(values)
     grain = grain.upper()
@@ -53,49 +64,51 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
     per_year = 12 // step
     keys = list(by) + ["series"]
 
-    obs = _long(df, time, values, by)
-    first = obs.groupBy(*keys).agg(F.min("ds").alias("first_ds"))
-    obs = (obs.join(first, keys)
-           .withColumn("t", (F.months_between("ds", "first_ds") / step).cast("double"))
-           .withColumn("pos", ((F.month("ds") - 1) / step).cast("int")))
+    def t_of(c):
+        return F.months_between(c, F.to_date(F.lit(EPOCH))) / step
+
+    def pos_of(c):
+        return ((F.month(c) - 1) / step).cast("int")
 
+    obs = _long(df, time, values, by).withColumns({"t": t_of(F.col("ds")), "pos": pos_of(F.col("ds"))})
     fit = obs.groupBy(*keys).agg(
         F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("slope"),
         # a one-point series has no fitted line: hold its mean flat
         F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("intercept"),
-        F.max("t").alias("last_t"), F.min("first_ds").alias("first_ds"),
-        F.max("ds").alias("last_ds"))
-
-    resid = (obs.join(fit.select(*keys, "slope", "intercept", "last_t"), keys)
-             .withColumn("r", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))))
-    season = (resid.groupBy(*keys, "pos").agg(F.avg("r").alias("season_raw")))
-    resid = resid.join(season, keys + ["pos"])
-    use_season = F.col("last_t") >= F.lit(2 * per_year - 1)
-    resid = resid.withColumn("season", F.when(use_season, F.col("season_raw")).otherwise(0.0))
-    sigma = resid.groupBy(*keys).agg(
-        F.coalesce(F.stddev_samp(F.col("r") - F.col("season")), F.lit(0.0)).alias("sigma"))
+        F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("ds").alias("last_ds"))
+    carried = ["slope", "intercept", "t0", "t1", "last_ds"]
+
+    res = (obs.join(fit, keys)
+           .withColumn("r", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))))
+    by_pos = res.groupBy(*keys, *carried, "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
+    ser = by_pos.groupBy(*keys, *carried).agg(
+        F.sum("n").alias("N"), F.sum("s1").alias("S1"), F.sum("s2").alias("S2"),
+        F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("SSW"),
+        F.map_from_entries(F.collect_list(F.struct("pos", (F.col("s1") / F.col("n")))))
+        .alias("season_map"))
+    use_season = (F.col("t1") - F.col("t0")) >= F.lit(2 * per_year - 1)
+    var = F.when(use_season, F.col("SSW")).otherwise(
+        F.col("S2") - F.col("S1") * F.col("S1") / F.col("N")) / (F.col("N") - 1)
+    ser = ser.withColumn("sigma", F.when(F.col("N") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+                         .otherwise(F.lit(0.0)))
 
     nxt = F.add_months("last_ds", step)
     end = F.date_sub(F.to_date(F.lit(horizon)), 1)
     periods = F.when(nxt <= end, F.sequence(nxt, end, F.expr(f"INTERVAL {step} MONTH")))
-    fut = fit.join(sigma, keys).withColumn("ds", F.explode(periods))
-    fut = (fut.withColumn("t", F.months_between("ds", "first_ds") / step)
-           .withColumn("pos", ((F.month("ds") - 1) / step).cast("int")))
-    seas = season.join(fit.select(*keys, "last_t"), keys).select(
-        *keys, "pos", F.when(F.col("last_t") >= F.lit(2 * per_year - 1), F.col("season_raw"))
-        .otherwise(0.0).alias("season"))
-    fut = fut.join(seas, keys + ["pos"], "left").withColumn("season", F.coalesce("season", F.lit(0.0)))
-    yhat = F.col("intercept") + F.col("slope") * F.col("t") + F.col("season")
+    fut = ser.withColumn("ds", F.explode(periods))
+    season = F.when(use_season, F.coalesce(F.try_element_at("season_map", pos_of(F.col("ds"))),
+                                           F.lit(0.0))).otherwise(F.lit(0.0))
+    yhat = F.col("intercept") + F.col("slope") * t_of(F.col("ds")) + season
     fut = fut.select(*keys, "ds", yhat.alias("f"), (yhat + z * F.col("sigma")).alias("u"),
                      (yhat - z * F.col("sigma")).alias("l"))
 
     def r(c):
         return F.round(c, digits) if digits is not None else c
 
-    out = fut.groupBy(*by, "ds").agg(*[
+    return fut.groupBy(*by, "ds").agg(*[
         r(F.max(F.when(F.col("series") == v, F.col(x)))).alias(f"{v}_{suffix}")
         for v in values for x, suffix in (("f", "forecast"), ("u", "upper"), ("l", "lower"))])
-    return out
 
 
 def quarter_index(df: DataFrame, year: str, quarter: str, values: Sequence[str]) -> DataFrame:
@@ -114,5 +127,6 @@ def chart_series(actual: DataFrame, fc: DataFrame, actual_col: str, forecast_col
                  on: str = "ds", start: str | None = None) -> DataFrame:
     """FC3: actual and forecast merged on the date key, bridged on the last
     actual point, and cut to the rows from ``start`` on."""
-    merged = bridge(merge_series(actual, fc, on), actual_col, forecast_col, on)
+    last = actual.filter(F.col(actual_col).isNotNull()).select(F.max(on)).scalar()
+    merged = bridge(merge_series(actual, fc, on), actual_col, forecast_col, on, last=last)
     return since(merged, on, start) if start else merged

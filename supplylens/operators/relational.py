@@ -110,9 +110,18 @@ def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner",
-           max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """JN2: code -> name dimension lookup."""
-    return df.join(bounded_broadcast(dim, max_broadcast_rows), on=on, how=how)
+           max_broadcast_rows: int | None = None) -> DataFrame:
+    """JN2: code -> name dimension lookup.
+
+    By default the join strategy is Spark's: a dimension read from files has
+    size statistics, and Catalyst broadcasts it only under
+    ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime).
+    Pass ``max_broadcast_rows`` for a derived dimension without statistics to
+    hint a broadcast after an explicit row-count check.
+    """
+    if max_broadcast_rows is not None:
+        dim = bounded_broadcast(dim, max_broadcast_rows)
+    return df.join(dim, on=on, how=how)
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -261,13 +270,17 @@ def pct_of_total(df: DataFrame, value: str, partition: Sequence[str] = (),
             .drop("_total"))
 
 
-def bridge(df: DataFrame, actual: str, forecast: str, order: str) -> DataFrame:
+def bridge(df: DataFrame, actual: str, forecast: str, order: str,
+           last: Column | None = None) -> DataFrame:
     """WIN2: on the last row that has an actual value, copy it into forecast.
 
     The last actual key is a global MAX over the rows with an actual, a
-    scalar subquery, so no window over all rows is needed.
+    scalar subquery, so no window over all rows is needed.  Callers that
+    hold the actual series separately pass ``last`` computed from it, so
+    the subquery does not re-run the merged plan.
     """
-    last = df.filter(F.col(actual).isNotNull()).select(F.max(order)).scalar()
+    if last is None:
+        last = df.filter(F.col(actual).isNotNull()).select(F.max(order)).scalar()
     return df.withColumn(forecast, F.when(F.col(order) == last, F.col(actual))
                          .otherwise(F.col(forecast)))
 

@@ -28,68 +28,62 @@ def _totals(spark, d):
     t = (o.join(c, "o_custkey")
          .groupBy("c_nationkey", F.year("o_orderdate").alias("yr"))
          .agg(F.sum("o_totalprice").alias("total")))
-    return (R.lookup(R.lookup(t, n, "c_nationkey", max_broadcast_rows=100_000), r, "n_regionkey",
-                     max_broadcast_rows=100_000)
+    return (R.lookup(R.lookup(t, n, "c_nationkey"), r, "n_regionkey")
             .withColumnRenamed("c_nationkey", "n_nationkey"))
 
 
 def workbook_cells(spark, d):
-    """The cell table ``(sheet, row_idx, col_idx, value)``."""
+    """The cell table ``(sheet, row_idx, col_idx, value)``.
+
+    Built in five passes (per region, per nation, per year, per nation-year
+    total, plus two constant cells), each emitting its cells with one
+    ``explode`` of an array of structs.
+    """
     tot = _totals(spark, d)
     reg = table(spark, d, "region")
     nr = (table(spark, d, "nation")
           .join(reg.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey"))
-    col = (F.expr("n_nationkey div 5") + 1).cast("int")
-    yr_row = (F.col("yr") - BASE_YEAR + 3).cast("int")
-    yr_col = (F.col("yr") - BASE_YEAR + 1).cast("int")
-    val = F.round("total", 2).cast("decimal(20,2)").cast("string")
-    three = spark.range(3).select(F.col("id").cast("int").alias("c"))
-
-    def cells(df, sheet, row, column, value):
-        return df.select(sheet.alias("sheet"), F.lit(row).cast("int").alias("row_idx")
-                         if isinstance(row, int) else row.alias("row_idx"),
-                         F.lit(column).cast("int").alias("col_idx")
-                         if isinstance(column, int) else column.alias("col_idx"),
-                         value.alias("value"))
-
-    sales = F.concat(F.lit("Sales "), F.col("r_name"))
-    yearly = F.concat(F.lit("Yearly "), F.col("r_name"))
-    totals = F.concat(F.lit("Totals "), F.col("r_name"))
     years = tot.select("r_name", "yr").distinct()
+    lit = F.lit
+    col = F.expr("n_nationkey div 5") + 1
+    yr_row = F.col("yr") - BASE_YEAR + 3
+    yr_col = F.col("yr") - BASE_YEAR + 1
+    val = F.round("total", 2).cast("decimal(20,2)").cast("string")
+    yr_txt = F.col("yr").cast("string")
+    rk = F.col("r_regionkey")
+    sales = F.concat(lit("Sales "), F.col("r_name"))
+    yearly = F.concat(lit("Yearly "), F.col("r_name"))
+    totals = F.concat(lit("Totals "), F.col("r_name"))
+
+    def cell(sheet, row, column, value):
+        return F.struct(sheet.alias("sheet"), lit(row).cast("int").alias("row_idx"),
+                        lit(column).cast("int").alias("col_idx"), value.cast("string").alias("value"))
+
+    def emit(df, *cells):
+        return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
     parts = [
-        # wide layout
-        cells(reg, sales, 0, 0, F.concat(F.lit("Order totals for "), F.col("r_name"))),
-        cells(reg.crossJoin(three), sales, 1, F.col("c"), (F.col("c") + 1).cast("string")),
-        cells(reg, sales, 2, 0, F.lit("Year")),
-        cells(nr, sales, 2, col, F.col("n_name")),
-        cells(years, sales, yr_row, 0, F.col("yr").cast("string")),
-        cells(tot, sales, yr_row, col, val),
-        cells(reg.crossJoin(three), sales, 100, F.col("c"), F.lit("")),
-        cells(reg, sales, 101, 0, F.lit("Source: order book")),
-        # period layout
-        cells(reg, yearly, 0, 0, F.lit("Table F")),
-        cells(reg, yearly, 1, 0, F.lit("Nation")),
-        cells(years, yearly, 1, yr_col, F.col("yr").cast("string")),
-        cells(nr, yearly, (col + 1).cast("int"), 0, F.col("n_name")),
-        cells(tot, yearly, (col + 1).cast("int"), yr_col, val),
-        # fixed layout
-        cells(reg, totals, 0, 0, F.concat(F.lit("TOTALS "), F.col("r_name"))),
-        cells(nr, totals, 0, col, F.col("n_name")),
-        cells(reg, totals, 1, 0, F.lit("Note: order totals by customer nation")),
-        cells(reg, totals, 2, 0, F.lit("Calendar Year")),
-        cells(years, totals, yr_row, 0, F.col("yr").cast("string")),
-        cells(tot, totals, yr_row, col, val),
-        cells(reg, totals, 50, 0, F.lit("2050")),
-        cells(nr, totals, 50, col, F.lit("n/a")),
-        # index and notes sheets
-        cells(reg.limit(1), F.lit("Index"), 0, 0, F.lit("Contents")),
-        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 0, F.col("r_name")),
-        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 1, sales),
-        cells(reg, F.lit("Index"), (F.col("r_regionkey") + 1).cast("int"), 2, F.lit("wide layout")),
-        cells(reg, F.lit("Totals NOTES"), (F.col("r_regionkey") + 3).cast("int"), 0,
-              F.col("r_regionkey").cast("string")),
-        cells(reg, F.lit("Totals NOTES"), (F.col("r_regionkey") + 3).cast("int"), 1, F.lit("1.5")),
-        cells(reg.limit(1), F.lit("Totals NOTES"), 0, 1, F.lit("Sydney")),
+        emit(reg,
+             cell(sales, 0, 0, F.concat(lit("Order totals for "), F.col("r_name"))),
+             *[cell(sales, 1, i, lit(str(i + 1))) for i in range(3)],
+             cell(sales, 2, 0, lit("Year")),
+             *[cell(sales, 100, i, lit("")) for i in range(3)],
+             cell(sales, 101, 0, lit("Source: order book")),
+             cell(yearly, 0, 0, lit("Table F")), cell(yearly, 1, 0, lit("Nation")),
+             cell(totals, 0, 0, F.concat(lit("TOTALS "), F.col("r_name"))),
+             cell(totals, 1, 0, lit("Note: order totals by customer nation")),
+             cell(totals, 2, 0, lit("Calendar Year")), cell(totals, 50, 0, lit("2050")),
+             cell(lit("Index"), rk + 1, 0, F.col("r_name")), cell(lit("Index"), rk + 1, 1, sales),
+             cell(lit("Index"), rk + 1, 2, lit("wide layout")),
+             cell(lit("Totals NOTES"), rk + 3, 0, rk), cell(lit("Totals NOTES"), rk + 3, 1, lit("1.5"))),
+        emit(nr, cell(sales, 2, col, F.col("n_name")), cell(yearly, col + 1, 0, F.col("n_name")),
+             cell(totals, 0, col, F.col("n_name")), cell(totals, 50, col, lit("n/a"))),
+        emit(years, cell(sales, yr_row, 0, yr_txt), cell(yearly, 1, yr_col, yr_txt),
+             cell(totals, yr_row, 0, yr_txt)),
+        emit(tot, cell(sales, yr_row, col, val), cell(yearly, col + 1, yr_col, val),
+             cell(totals, yr_row, col, val)),
+        spark.createDataFrame([("Index", 0, 0, "Contents"), ("Totals NOTES", 0, 1, "Sydney")],
+                              "sheet STRING, row_idx INT, col_idx INT, value STRING"),
     ]
     out = parts[0]
     for p in parts[1:]:

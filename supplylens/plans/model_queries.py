@@ -255,7 +255,8 @@ FROM m"""
 @register("bridge", _merge_sql(_BRIDGE_TAIL))
 def bridge_q(spark, d):
     actual, fc = _merged(spark, d)
-    return R.bridge(R.merge_series(actual, fc, "ds"), "actual", "revenue_forecast", "ds")
+    last = actual.filter(F.col("actual").isNotNull()).select(F.max("ds")).scalar()
+    return R.bridge(R.merge_series(actual, fc, "ds"), "actual", "revenue_forecast", "ds", last=last)
 
 
 @register("chart_series", _merge_sql(

@@ -446,8 +446,7 @@ def _nation_balances(spark, d):
     n = table(spark, d, "nation")
     bal = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("balance"))
     # nation is a fixed 25-row dimension; the size check keeps the hint honest.
-    return R.lookup(bal, n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey",
-                    max_broadcast_rows=10_000)
+    return R.lookup(bal, n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
 
 
 @register("rollup_text", """
@@ -471,8 +470,8 @@ def _customer_regions(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name",
                                          "n_regionkey")
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    c = R.lookup(c, n, "c_nationkey", max_broadcast_rows=10_000)
-    return R.lookup(c, r, "n_regionkey", max_broadcast_rows=10_000)
+    c = R.lookup(c, n, "c_nationkey")
+    return R.lookup(c, r, "n_regionkey")
 
 
 @register("share_scalar", """
