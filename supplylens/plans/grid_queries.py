@@ -25,9 +25,12 @@ def _totals(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name",
                                          "n_regionkey")
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    t = (o.join(c, "o_custkey")
-         .groupBy("c_nationkey", F.year("o_orderdate").alias("yr"))
-         .agg(F.sum("o_totalprice").alias("total")))
+    # pre-aggregate per (customer, year) so a hot customer is one row per year
+    per_cust = o.groupBy("o_custkey", F.year("o_orderdate").alias("yr")).agg(
+        F.sum("o_totalprice").alias("total"))
+    t = (per_cust.join(c, "o_custkey")
+         .groupBy("c_nationkey", "yr")
+         .agg(F.sum("total").alias("total")))
     return (R.lookup(R.lookup(t, n, "c_nationkey"), r, "n_regionkey")
             .withColumnRenamed("c_nationkey", "n_nationkey"))
 

@@ -34,7 +34,7 @@ def _load_all() -> None:
     # Import for side effects: each module registers its queries.
     from supplylens.plans import (  # noqa: F401
         relational_queries, metric_queries, model_queries, geo_queries,
-        grid_queries, source_queries,
+        grid_queries, source_queries, catalogue_queries,
     )
 
 

@@ -179,9 +179,11 @@ def coded_records(spark, d):
     path = scratch_path(spark, "coded")
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    m = (o.join(c, "o_custkey")
-         .groupBy("c_nationkey", F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month"))
-         .agg(F.count(F.lit(1)).alias("n")))
+    per_cust = o.groupBy("o_custkey", F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    m = (per_cust.join(c, "o_custkey")
+         .groupBy("c_nationkey", "month")
+         .agg(F.sum("n").alias("n")))
     rec = F.struct(F.date_format("month", "yyyy-MM").alias("period"),
                    F.when(F.month("month") == 12, F.lit("--")).otherwise(F.col("n").cast("string"))
                    .alias("value"))
