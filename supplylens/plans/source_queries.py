@@ -368,3 +368,32 @@ def export_points(spark, d):
     back = Q.export_points(geo_queries.layers(spark, d), path)
     return back.groupBy("layer").agg(F.count(F.lit(1)).alias("n_points"),
                                      F.round(F.sum("acctbal"), 2).alias("acctbal"))
+
+
+# --------------------------------------------------------------------------
+# streaming refresh of a derived table
+# --------------------------------------------------------------------------
+
+
+@register("stream_refresh", """
+SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_value
+FROM events GROUP BY event_type
+""")
+def stream_refresh(spark, d):
+    """Events land in two drops; an incremental refresh after each keeps a
+    per-type aggregate table current without re-reading the first drop."""
+    from supplylens.streaming import refresh_table
+
+    src, sink, ckpt = (scratch_path(spark, "stream-src"), scratch_path(spark, "stream-sink"),
+                       scratch_path(spark, "stream-ckpt"))
+    e = table(spark, d, "events")
+    mid = F.lit("2024-01-15").cast("timestamp_ntz")
+
+    def build(stream):
+        return stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
+                                                F.sum("value").alias("total_value"))
+
+    for part in (e.filter(F.col("ts") < mid), e.filter(F.col("ts") >= mid)):
+        part.write.mode("append").parquet(src)
+        refresh_table(spark, src, e.schema, build, sink, checkpoint=ckpt).awaitTermination()
+    return spark.read.parquet(sink).withColumn("total_value", F.round("total_value", 2))
