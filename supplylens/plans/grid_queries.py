@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from supplylens.operators import grid as G
 from supplylens.operators import relational as R
 from supplylens.plans.registry import register, table
+from supplylens.session import scratch_path
 
 BASE_YEAR = 1995
 
@@ -94,6 +95,15 @@ def workbook_cells(spark, d):
     return out
 
 
+def landed_cells(spark, d):
+    """The workbook as a landed table: written once under the shared scratch
+    folder and read back, so the grid operators (which read the cells
+    several times) scan a stored table instead of re-deriving it."""
+    path = scratch_path(spark, "workbook")
+    workbook_cells(spark, d).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 _CELLS_SQL = f"""
 tot AS (
   SELECT n.n_nationkey, n.n_name, r.r_name, CAST(year(o.o_orderdate) AS INTEGER) AS yr,
@@ -153,12 +163,12 @@ hdr AS (SELECT sheet, min(row_idx) AS header_row FROM (
 
 @register("grid_header", f"WITH {_CELLS_SQL}, {_header_sql(3)} SELECT * FROM hdr")
 def grid_header(spark, d):
-    return G.detect_header(workbook_cells(spark, d), k=3)
+    return G.detect_header(landed_cells(spark, d), k=3)
 
 
 @register("grid_header_k2", f"WITH {_CELLS_SQL}, {_header_sql(2)} SELECT * FROM hdr")
 def grid_header_k2(spark, d):
-    return G.detect_header(workbook_cells(spark, d), k=2)
+    return G.detect_header(landed_cells(spark, d), k=2)
 
 
 @register("grid_period_header", f"""
@@ -169,7 +179,7 @@ WHERE row_idx < 15 AND value IS NOT NULL
 GROUP BY sheet
 """)
 def grid_period_header(spark, d):
-    return G.detect_period_header(workbook_cells(spark, d))
+    return G.detect_period_header(landed_cells(spark, d))
 
 
 def _apply_sql(ignore_first: bool) -> str:
@@ -194,7 +204,7 @@ LEFT JOIN names n ON b.sheet = n.sheet AND b.col_idx = n.col_idx
 
 
 def _sales_cells(spark, d):
-    return workbook_cells(spark, d).filter(F.col("sheet").startswith("Sales "))
+    return landed_cells(spark, d).filter(F.col("sheet").startswith("Sales "))
 
 
 @register("grid_apply", _apply_sql(False))
@@ -225,7 +235,7 @@ JOIN heads h ON v.sheet = h.sheet AND v.col_idx = h.col_idx
 WHERE v.v IS NOT NULL AND NOT isnan(v.v)
 """)
 def grid_melt(spark, d):
-    cells = workbook_cells(spark, d).filter(F.col("sheet").startswith("Totals"))
+    cells = landed_cells(spark, d).filter(F.col("sheet").startswith("Totals"))
     return G.melt_grid(cells, header_row=0, first_row=3, skip="NOTES",
                        label_rules=[("america", "AMER")], default_label="REST")
 
@@ -245,7 +255,7 @@ _ROUTE_RULES = {"stocks": ["Sales ASIA", "Sales EUROPE"], "supply": ["Sales AMER
 
 
 def _routed(spark, d):
-    return G.route_sheets(workbook_cells(spark, d), _ROUTE_RULES, "sales", exclude=["Index"])
+    return G.route_sheets(landed_cells(spark, d), _ROUTE_RULES, "sales", exclude=["Index"])
 
 
 _ROUTE_SQL = """
