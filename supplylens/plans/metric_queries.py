@@ -99,7 +99,7 @@ def widget_counter(spark, d):
 
 
 @register("filter_values", """
-SELECT event_type, count_if(value > 10 AND user_id < 100) AS event_type_associativity
+SELECT event_type, CAST(count_if(value > 10 AND user_id < 100) AS BIGINT) AS event_type_associativity
 FROM events GROUP BY event_type
 """)
 def filter_values_q(spark, d):

@@ -369,7 +369,7 @@ def distinct_count(spark, d):
 
 
 @register("count_if", """
-SELECT count_if(l_returnflag = 'R') AS n FROM lineitem
+SELECT CAST(count_if(l_returnflag = 'R') AS BIGINT) AS n FROM lineitem
 """)
 def count_if(spark, d):
     return R.count_if(table(spark, d, "lineitem"), F.col("l_returnflag") == "R")
