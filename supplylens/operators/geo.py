@@ -4,9 +4,10 @@ Points are two double columns (longitude, latitude).  Tile assignment
 replaces a per-request spatial index lookup: every point is expanded to its
 tile at each zoom level with ``explode(sequence(zmin, zmax))`` and integer
 maths, so a whole layer is tiled in one distributed pass.  Per-tile results
-are aggregates (count, bounds) computed with partial aggregation; a low-zoom
-tile that holds most points therefore costs one row per task, and no
-feature list is ever collected into a single group.
+are aggregates (count, bounds): ``tile_summary`` groups points by their
+deepest tile first and rolls those partial results up the zoom pyramid by
+bit shifts, so a low-zoom tile holding most points costs one row per deep
+tile, and no feature list is ever collected into a single group.
 """
 
 from __future__ import annotations
@@ -112,6 +113,48 @@ def tile_features(df: DataFrame, layer: str = "layer", measures: Sequence[str] =
     return df.groupBy(layer, "z", "x", "y").agg(*aggs)
 
 
+def tile_summary(df: DataFrame, zmin: int = 0, zmax: int = 16, layer: str = "layer",
+                 zoom_limits: Mapping[str, tuple[int, int]] | None = None,
+                 measures: Sequence[str] = (), lon: str = "longitude",
+                 lat: str = "latitude") -> DataFrame:
+    """GEO5 from points, aggregated before it is expanded over zooms.
+
+    Points are first grouped by their tile at the deepest zoom (one pass,
+    partial aggregation).  A tile at zoom ``z`` is that tile shifted right
+    by ``zmax - z`` (scaling by a power of two is exact in floating point,
+    so this equals tiling at ``z`` directly).  Only the per-tile partial
+    results are exploded over zoom levels and rolled up, so a dense layer
+    costs one row per occupied deep tile instead of one row per point per
+    zoom.
+    """
+    n = F.pow(F.lit(2.0), F.lit(zmax))
+    maxi = (n - 1).cast("bigint")
+    deep = df.select(
+        F.col(layer),
+        F.least(F.greatest(F.floor(_frac_x(F.col(lon)) * n), F.lit(0)), maxi).alias("xd"),
+        F.least(F.greatest(F.floor(_frac_y(F.col(lat)) * n), F.lit(0)), maxi).alias("yd"),
+        lon, lat, *measures)
+    part = deep.groupBy(layer, "xd", "yd").agg(
+        F.count(F.lit(1)).alias("n"), F.min(lon).alias("min_lon"), F.max(lon).alias("max_lon"),
+        F.min(lat).alias("min_lat"), F.max(lat).alias("max_lat"),
+        *[F.sum(m).alias(f"s_{m}") for m in measures])
+    lo, hi = F.lit(zmin), F.lit(zmax)
+    if zoom_limits:
+        lim = F.create_map(*[x for k, (a, b) in zoom_limits.items()
+                             for x in (F.lit(k), F.array(F.lit(a), F.lit(b)))])[F.col(layer)]
+        lo = F.greatest(lo, F.coalesce(lim[0], lo))
+        hi = F.least(hi, F.coalesce(lim[1], hi))
+    z = part.withColumn("z", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    z = z.withColumns({"x": F.expr(f"shiftright(xd, {int(zmax)} - z)"),
+                       "y": F.expr(f"shiftright(yd, {int(zmax)} - z)"),
+                       "z": F.col("z").cast("int")})
+    return z.groupBy(layer, "z", "x", "y").agg(
+        F.sum("n").alias("n_features"), F.min("min_lon").alias("min_lon"),
+        F.max("max_lon").alias("max_lon"), F.min("min_lat").alias("min_lat"),
+        F.max("max_lat").alias("max_lat"),
+        *[F.round(F.sum(f"s_{m}"), 2).alias(f"sum_{m}") for m in measures])
+
+
 def in_bbox(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float,
             x: str = "longitude", y: str = "latitude") -> DataFrame:
     """GEO6: inclusive bounding-box filter (pushed to the scan on stored columns)."""

@@ -148,6 +148,15 @@ def split_by(df: DataFrame, key: str, mapping: Mapping[str, str]) -> dict[str, D
     return {target: df.filter(F.col(key) == value) for value, target in mapping.items()}
 
 
+def write_split(df: DataFrame, key: str, mapping: Mapping[str, str], path: str,
+                fmt: str = "parquet") -> None:
+    """GRD7 as one job: rows of mapped key values written to one folder per
+    target name (``path/table=<name>``); other key values are skipped."""
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    (df.withColumn("table", m[F.col(key)]).filter(F.col("table").isNotNull())
+     .write.mode("overwrite").partitionBy("table").format(fmt).save(path))
+
+
 def sanitize_names(names: Sequence[str]) -> list[str]:
     """GRD8: storage-safe column names.
 

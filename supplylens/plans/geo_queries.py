@@ -129,7 +129,7 @@ SELECT layer, z, x, y, count(*) AS n_features, min(longitude) AS min_lon, max(lo
 FROM ({_TILES_SQL}) q GROUP BY layer, z, x, y
 """)
 def tile_features_q(spark, d):
-    return G.tile_features(_tiles(spark, d), measures=["acctbal"])
+    return G.tile_summary(layers(spark, d), 0, 6, zoom_limits=ZOOM_LIMITS, measures=["acctbal"])
 
 
 @register("in_bbox", f"""

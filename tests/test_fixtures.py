@@ -273,3 +273,10 @@ def test_scn1_empty_input_uses_fallback(spark):
     src = spark.createDataFrame([], "ts TIMESTAMP_NTZ, v DOUBLE")
     r = scenario(src, "ts", "v").filter("day_number = 0").first()
     assert r.brent_usd_bbl == 95.0
+
+
+def test_grd7_write_split(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "sheet STRING, v INT")
+    GR.write_split(df, "sheet", {"a": "alpha", "b": "beta", "z": "zeta"}, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.table, r.v) for r in back.collect()) == [("alpha", 1), ("beta", 2)]

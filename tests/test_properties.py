@@ -60,3 +60,13 @@ def test_forecast_bounds_bracket_forecast(spark, sf_dir):
     rows = forecast_multi(spark, sf_dir).collect()
     assert rows
     assert all(r.revenue_lower <= r.revenue_forecast <= r.revenue_upper for r in rows)
+
+
+def test_tile_rollup_equals_direct_tiling(spark, sf_dir):
+    pts = geo_queries.layers(spark, sf_dir)
+    direct = G.tile_features(G.tiles(pts, 0, 16, layer="layer", zoom_limits=geo_queries.ZOOM_LIMITS),
+                             measures=["acctbal"])
+    rolled = G.tile_summary(pts, 0, 16, zoom_limits=geo_queries.ZOOM_LIMITS, measures=["acctbal"])
+    cols = ["layer", "z", "x", "y", "n_features", "min_lon", "max_lon", "min_lat", "max_lat"]
+    assert direct.select(*cols).exceptAll(rolled.select(*cols)).count() == 0
+    assert rolled.select(*cols).exceptAll(direct.select(*cols)).count() == 0
