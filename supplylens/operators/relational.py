@@ -102,10 +102,11 @@ def at(df: DataFrame, column: str, value) -> DataFrame:
 def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast-hint ``dim`` only after checking it has at most max_rows.
 
-    The check is one cheap count; above the bound the hint is not added and
-    Spark falls back to a shuffle join (AQE may still broadcast at runtime).
+    The check counts at most ``max_rows + 1`` rows (a limit stops the job
+    early); above the bound the hint is not added and Spark falls back to a
+    shuffle join (AQE may still broadcast at runtime).
     """
-    n = dim.count()
+    n = dim.limit(max_rows + 1).count()
     return F.broadcast(dim) if n <= max_rows else dim
 
 
@@ -222,13 +223,16 @@ def count_if(df: DataFrame, pred: Column, name: str = "n") -> DataFrame:
 
 
 def rollup_text(df: DataFrame, text: Column, order: Sequence, k: int | None = None,
-                sep: str = "; ", name: str = "summary") -> DataFrame:
+                sep: str = "; ", name: str = "summary", unbounded_ok: bool = False) -> DataFrame:
     """AGG10: top-k rows (by an explicit order) formatted and joined as text.
 
     The top-k is taken *before* aggregating, so at most k rows reach the
-    single aggregate group.  Without k the caller asks for every row in one
-    string; that is only sound for inputs with a known small bound.
+    single aggregate group.  Joining every row into one string puts the whole
+    input in one group, so it must be asked for explicitly
+    (``unbounded_ok=True``) and is only sound for inputs of known small size.
     """
+    if k is None and not unbounded_ok:
+        raise ValueError("rollup_text needs k (or unbounded_ok=True for a known-small input)")
     src = df.select(text.alias("_t"), *[F.col(o if isinstance(o, str) else o[0]) for o in order])
     if k is not None:
         src = src.orderBy(*order_cols(order)).limit(k)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,28 +78,36 @@ def _indexed_lines(spark: SparkSession, path) -> DataFrame:
 
 def preamble_headers(lines: DataFrame, fallback: int = PREAMBLE_FALLBACK_LINE,
                      skip_words: Sequence[str] = PREAMBLE_SKIP_WORDS) -> DataFrame:
-    """Per file: ``(file, base, header_idx)``.
+    """Per file: ``(file, base, header_idx, header_line)``.
 
     The first data line is the first line not naming a skip word, with more
     than three comma fields and a digit in the first four characters; the
     header is the nearest non-empty line above it not starting with ``#``.
     Without either, line ``fallback`` is the header.
+
+    Only first-split lines take part; the per-file window therefore holds at
+    most one split of lines, and one aggregate yields the header and its text.
     """
+    w = Window.partitionBy("file")
     first = lines.filter(F.col("block") == 0)
-    base = first.groupBy("file").agg(F.min("mid").alias("base"))
-    idx = first.join(base, "file").withColumn("idx", F.col("mid") - F.col("base"))
+    idx = first.withColumn("base", F.min("mid").over(w)).withColumn("idx", F.col("mid") - F.col("base"))
     parts = F.split(F.trim("line"), ",")
     skip = F.lit(False)
-    for w in skip_words:
-        skip = skip | F.col("line").contains(w)
+    for wd in skip_words:
+        skip = skip | F.col("line").contains(wd)
     is_data = ~skip & (F.size(parts) > 3) & F.substring(parts[0], 1, 4).rlike("[0-9]")
-    data_at = idx.filter(is_data).groupBy("file").agg(F.min("idx").alias("first_data"))
-    hdr = (idx.join(data_at, "file")
-           .filter((F.col("idx") < F.col("first_data")) & (F.trim("line") != "")
-                   & ~F.col("line").startswith("#"))
-           .groupBy("file").agg(F.max("idx").alias("found")))
-    return (base.join(hdr, "file", "left")
-            .select("file", "base", F.coalesce("found", F.lit(fallback)).alias("header_idx")))
+    idx = idx.withColumn("first_data", F.min(F.when(is_data, F.col("idx"))).over(w))
+    cand = ((F.col("idx") < F.col("first_data")) & (F.trim("line") != "")
+            & ~F.col("line").startswith("#"))
+    meta = idx.groupBy("file").agg(
+        F.min("base").alias("base"),
+        F.max(F.when(cand, F.struct(F.col("idx"), F.col("line")))).alias("found"),
+        F.max(F.when(F.col("idx") == fallback, F.col("line"))).alias("fallback_line"))
+    return meta.select(
+        "file", "base",
+        F.coalesce(F.col("found.idx"), F.lit(fallback).cast("long")).alias("header_idx"),
+        F.when(F.col("found").isNotNull(), F.col("found.line"))
+        .otherwise(F.col("fallback_line")).alias("header_line"))
 
 
 def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
@@ -111,15 +119,11 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     columns are numbers (NULL where not numeric) unless ``numeric=False``.
     """
     lines = _indexed_lines(spark, path)
-    meta = preamble_headers(lines, fallback)
-    heads = (lines.join(meta, "file").filter((F.col("block") == 0)
-                                             & (F.col("mid") - F.col("base") == F.col("header_idx")))
-             .select("file", F.col("line").alias("header_line")))
+    meta = preamble_headers(lines, fallback).filter(F.col("header_line").isNotNull())
     body = (lines.join(meta, "file")
-            .filter((F.col("block") > 0) | (F.col("mid") - F.col("base") > F.col("header_idx")))
-            .join(heads, "file"))
+            .filter((F.col("block") > 0) | (F.col("mid") - F.col("base") > F.col("header_idx"))))
     # Driver sees one header line per distinct layout (metadata, not data).
-    layouts = [r.header_line for r in heads.select("header_line").distinct().collect()]
+    layouts = [r.header_line for r in meta.select("header_line").distinct().collect()]
     out = None
     for h in layouts:
         names = sanitize_names([p.strip() for p in h.split(",")])

@@ -280,3 +280,28 @@ def test_grd7_write_split(spark, tmp_path):
     GR.write_split(df, "sheet", {"a": "alpha", "b": "beta", "z": "zeta"}, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.table, r.v) for r in back.collect()) == [("alpha", 1), ("beta", 2)]
+
+
+def test_src2_multi_split_and_layouts(spark, tmp_path):
+    """Header search uses only each file's first split; later splits are
+    pure data.  Two layouts in one folder are unioned by name."""
+    d = tmp_path / "pre"
+    rows = [f"{(dt.date(2020, 1, 1) + dt.timedelta(days=i)).strftime('%d-%b-%Y')},{i},{i * 2},{i * 3}"
+            for i in range(400)]
+    write(str(d / "a.csv"), "Title,x,y,z\nUnits,a,b,c\n\nSeries ID,A,B,C\n" + "\n".join(rows) + "\n")
+    write(str(d / "b.csv"), "Description,q\nSeries ID,A,D,E,F\n01-Jan-2021,7,8,9,10\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        lines = S._indexed_lines(spark, str(d / "a.csv"))
+        assert lines.select("block").distinct().count() > 3
+        df = S.read_preamble_csv(spark, str(d))
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(df.columns) == ["A", "B", "C", "D", "E", "F", "date"]
+    assert len(got) == 401
+    a = sorted((r.date, r.A, r.B, r.C) for r in got if r.B is not None)
+    assert a[0] == (dt.date(2020, 1, 1), 0.0, 0.0, 0.0) and a[-1][1] == 399.0
+    b = [r for r in got if r.D is not None]
+    assert [(r.date, r.A, r.D, r.E, r.F) for r in b] == [(dt.date(2021, 1, 1), 7.0, 8.0, 9.0, 10.0)]
