@@ -42,3 +42,18 @@ def test_top_k_is_take_ordered(spark, sf_dir):
 def test_pct_of_total_has_no_unpartitioned_window(spark, sf_dir):
     p = plan(registry.queries()["pct_of_total"](spark, sf_dir))
     assert "Window" not in p
+
+
+# Window operators only where the input was capped first (prompt context);
+# nested-loop joins only against one-row global aggregates.
+WINDOW_OK = {"briefing_context"}
+NESTED_LOOP_OK = {"kpi_row", "pct_of_total", "catalogue_producers_percent"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_unbounded_window_or_nested_loop(spark, sf_dir, name):
+    p = plan(registry.queries()[name](spark, sf_dir))
+    if name not in WINDOW_OK:
+        assert not re.search(r"\bWindow\b", p), name
+    if name not in NESTED_LOOP_OK:
+        assert "BroadcastNestedLoopJoin" not in p, name
