@@ -84,9 +84,18 @@ def trailing(df: DataFrame, column: str, days: int) -> DataFrame:
     return df.filter(F.col(column) >= bound)
 
 
-def latest(df: DataFrame, column: str) -> DataFrame:
-    """FLT8: rows at the global MAX(column)."""
-    return df.filter(F.col(column) == global_max(df, column))
+def latest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """FLT8: rows at the global MAX(column).
+
+    With ``by``, rows at each key's own MAX(column) instead (so a series
+    that lacks the global latest period keeps its own latest rows).  The
+    per-key maxima are a grouped aggregate (one row per key after partial
+    aggregation) semi-joined back on ``(by..., column)``.
+    """
+    if not by:
+        return df.filter(F.col(column) == global_max(df, column))
+    tops = df.groupBy(*by).agg(F.max(column).alias(column))
+    return df.join(tops, [*by, column], "left_semi")
 
 
 def at(df: DataFrame, column: str, value) -> DataFrame:

@@ -44,6 +44,19 @@ def latest_scalar(spark, d):
                  F.count(F.lit(1)).alias("n_orders"))
 
 
+@register("latest_per_key", """
+WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders),
+m AS (SELECT o_orderstatus, max(month) AS month FROM o GROUP BY 1)
+SELECT o.o_orderstatus, o.month, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
+FROM o JOIN m ON o.o_orderstatus = m.o_orderstatus AND o.month = m.month
+GROUP BY 1, 2
+""")
+def latest_per_key(spark, d):
+    o = R.latest(orders_by_month(spark, d), "month", by=["o_orderstatus"])
+    return o.groupBy("o_orderstatus", "month").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
 @register("trailing_days", """
 SELECT CAST(ts AS DATE) AS day, round(sum(value), 2) AS total_value, count(*) AS n_events
 FROM events

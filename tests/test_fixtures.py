@@ -305,3 +305,11 @@ def test_src2_multi_split_and_layouts(spark, tmp_path):
     assert a[0] == (dt.date(2020, 1, 1), 0.0, 0.0, 0.0) and a[-1][1] == 399.0
     b = [r for r in got if r.D is not None]
     assert [(r.date, r.A, r.D, r.E, r.F) for r in b] == [(dt.date(2021, 1, 1), 7.0, 8.0, 9.0, 10.0)]
+
+
+def test_src1_latin1(spark, tmp_path):
+    p = str(tmp_path / "l.csv")
+    with open(p, "wb") as f:
+        f.write("name,v\ncaf\xe9,1\n".encode("latin-1"))
+    rows = S.read_delimited(spark, p, types={"v": "int"}, encoding="ISO-8859-1").collect()
+    assert [(r.name, r.v) for r in rows] == [("café", 1)]
