@@ -46,9 +46,22 @@ def clean_label(c: str | Column, blank: str = "Unknown") -> Column:
     return F.when(t == "", F.lit(blank)).otherwise(t)
 
 
+_DATE_UNITS = {"YEAR": "year", "QUARTER": "quarter", "MONTH": "month", "WEEK": "week"}
+
+
 def truncate_to(c: str | Column, unit: str) -> Column:
-    """``date_trunc`` that keeps a DATE result (Spark widens it to TIMESTAMP)."""
-    return F.to_date(F.date_trunc(unit.upper(), col_of(c)))
+    """Truncate to a calendar unit, keeping a DATE result.
+
+    Day and coarser units truncate the DATE itself (``trunc``), which avoids
+    the session-time-zone timestamp round trip of ``date_trunc``.
+    """
+    u = unit.upper()
+    d = F.to_date(col_of(c))
+    if u == "DAY":
+        return d
+    if u in _DATE_UNITS:
+        return F.trunc(d, _DATE_UNITS[u])
+    return F.to_date(F.date_trunc(u, col_of(c)))
 
 
 def month_start(c: str | Column) -> Column:

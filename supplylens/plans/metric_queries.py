@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from supplylens.functions.columns import truncate_to
+
 from supplylens.operators import relational as R
 from supplylens.operators.metrics import MetricView, context, kpis
 from supplylens.operators.widgets import date_range, filter_values, widget
@@ -136,7 +138,7 @@ SELECT
 def kpi_row(spark, d):
     o = table(spark, d, "orders")
     e = table(spark, d, "events")
-    om = o.withColumn("month", F.to_date(F.date_trunc("MONTH", "o_orderdate")))
+    om = o.withColumn("month", truncate_to("o_orderdate", "MONTH"))
     ed = e.withColumn("day", F.to_date("ts"))
     base = {
         "latest_price": lambda: R.latest(om, "month").agg(F.round(F.avg("o_totalprice"), 2)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplylens.functions.columns import month_start
+from supplylens.functions.columns import month_start, truncate_to
 from supplylens.operators import relational as R
 from supplylens.operators.forecast import chart_series, forecast, quarter_index
 from supplylens.operators.scenario import scenario
@@ -198,7 +198,7 @@ FROM orders GROUP BY 1
 @register("forecast_multi", _forecast_sql(_QUARTERLY_SQL, ["revenue", "n_orders"], "2004-01-01", step=3))
 def forecast_multi(spark, d):
     o = table(spark, d, "orders")
-    q = o.groupBy(F.to_date(F.date_trunc("QUARTER", "o_orderdate")).alias("ds")).agg(
+    q = o.groupBy(truncate_to("o_orderdate", "QUARTER").alias("ds")).agg(
         F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).cast("double").alias("n_orders"))
     return forecast(q, "ds", ["revenue", "n_orders"], "2004-01-01", "QUARTER")
 

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from supplylens.functions.columns import truncate_to
+
 from supplylens.operators import geo as G
 from supplylens.operators import quality as Q
 from supplylens.plans import geo_queries
@@ -179,7 +181,7 @@ def coded_records(spark, d):
     path = scratch_path(spark, "coded")
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    per_cust = o.groupBy("o_custkey", F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month")) \
+    per_cust = o.groupBy("o_custkey", truncate_to("o_orderdate", "MONTH").alias("month")) \
         .agg(F.count(F.lit(1)).alias("n"))
     m = (per_cust.join(c, "o_custkey")
          .groupBy("c_nationkey", "month")
@@ -325,7 +327,7 @@ FROM orders GROUP BY 1
 
 def _monthly(spark, d):
     o = table(spark, d, "orders")
-    return o.groupBy(F.to_date(F.date_trunc("MONTH", "o_orderdate")).alias("month")).agg(
+    return o.groupBy(truncate_to("o_orderdate", "MONTH").alias("month")).agg(
         F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
