@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.functions.columns import (
-    clean_label, col_of, is_present, order_cols, order_sql, truncate_to,
+    clean_label, is_present, order_cols, order_sql, truncate_to,
 )
 
 # --------------------------------------------------------------------------

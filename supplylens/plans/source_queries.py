@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from supplylens.functions.columns import truncate_to
 
-from supplylens.operators import geo as G
 from supplylens.operators import quality as Q
 from supplylens.plans import geo_queries
 from supplylens.plans.registry import register, table
