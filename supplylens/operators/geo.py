@@ -166,14 +166,17 @@ _PRIMITIVE = (T.StringType, T.NumericType, T.BooleanType)
 
 def to_features(df: DataFrame, props: Sequence[str] | None = None, lon: str = "longitude",
                 lat: str = "latitude", drop: Sequence[str] = ("latitude", "longitude", "lat",
-                                                              "lon", "geom", "id")) -> DataFrame:
+                                                              "lon", "geom", "id"),
+                keep: Sequence[str] = ()) -> DataFrame:
     """GEO7: one GeoJSON Feature (JSON text) per row with a valid point.
 
-    Properties are all columns except coordinates/geometry/id unless given;
-    non-primitive values are rendered as text.
+    Properties are all columns except coordinates/geometry/id (and ``keep``)
+    unless given; non-primitive values are rendered as text.  ``keep``
+    columns are passed through next to ``feature``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    names = list(props) if props is not None else [c for c in df.columns if c not in drop]
+    names = list(props) if props is not None else \
+        [c for c in df.columns if c not in drop and c not in keep]
     prop_cols = []
     for c in names:
         v = F.col(c)
@@ -188,4 +191,12 @@ def to_features(df: DataFrame, props: Sequence[str] | None = None, lon: str = "l
         .alias("geometry"),
         F.struct(*prop_cols).alias("properties"))
     return df.filter(col_of(lat).isNotNull() & col_of(lon).isNotNull()).select(
-        F.to_json(feature).alias("feature"))
+        *keep, F.to_json(feature).alias("feature"))
+
+
+
+def export_features(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """GEO7 sink: one GeoJSON Feature per line (newline-delimited GeoJSON),
+    written in parallel; ``partition_by`` columns become folders."""
+    (to_features(df, keep=partition_by).write.mode("overwrite")
+     .partitionBy(*partition_by).text(path))

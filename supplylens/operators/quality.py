@@ -61,3 +61,9 @@ def verify(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def load_summary(report: DataFrame) -> DataFrame:
+    """QA1 footer: how many of the expected tables loaded with rows."""
+    return report.agg(F.count_if(F.col("status") == "OK").alias("ok"),
+                      F.count(F.lit(1)).alias("expected"))

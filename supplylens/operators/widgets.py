@@ -66,3 +66,46 @@ def date_range(df: DataFrame, field: str, others: Sequence[Column] = ()) -> Data
         pred = pred & o
     return df.agg(F.min(F.when(pred, F.col(field))).alias(f"min({field})"),
                   F.max(F.when(pred, F.col(field))).alias(f"max({field})"))
+
+
+# Per-kind helpers with the dashboard builder's field conventions.
+
+def bar(df: DataFrame, x: str, y: str, agg: str = "SUM", color: str | None = None,
+        filters: Sequence[Column] = ()) -> DataFrame:
+    """Bar chart rows: ``x``, ``agg(y)`` (and ``color``)."""
+    return widget(df, x=x, y=[(agg, y)], color=color, filters=filters)
+
+
+def line(df: DataFrame, x: str, y: str, agg: str = "SUM", grain: str | None = None,
+         color: str | None = None, filters: Sequence[Column] = ()) -> DataFrame:
+    """Line / area chart rows, optionally bucketed by a time grain."""
+    return widget(df, x=x, y=[(agg, y)], color=color, grain=grain, filters=filters)
+
+
+area = line
+
+
+def combo(df: DataFrame, x: str, ys: Sequence[tuple[str, str]], grain: str | None = None,
+          filters: Sequence[Column] = ()) -> DataFrame:
+    """Combo chart rows: several measures on one axis."""
+    return widget(df, x=x, y=list(ys), grain=grain, filters=filters)
+
+
+def pie(df: DataFrame, color: str, angle: str | None = None, agg: str = "COUNT",
+        filters: Sequence[Column] = ()) -> DataFrame:
+    """Pie rows: slice label and ``count(*)`` (or ``agg(angle)``)."""
+    return widget(df, x=color, y=[(agg, "*" if agg.upper() == "COUNT" else angle)], filters=filters)
+
+
+def counter(df: DataFrame, value: str | None = None, agg: str = "SUM",
+            filters: Sequence[Column] = ()) -> DataFrame:
+    """Counter (KPI tile): one row with ``agg(value)`` or ``count(*)``."""
+    return widget(df, y=[(agg, "*" if agg.upper() == "COUNT" else value)], filters=filters)
+
+
+def table(df: DataFrame, fields: Sequence[str], filters: Sequence[Column] = ()) -> DataFrame:
+    """Table / scatter rows: the raw fields, not aggregated."""
+    return widget(df, disaggregated=True, fields=fields, filters=filters)
+
+
+scatter = table

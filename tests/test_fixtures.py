@@ -313,3 +313,29 @@ def test_src1_latin1(spark, tmp_path):
         f.write("name,v\ncaf\xe9,1\n".encode("latin-1"))
     rows = S.read_delimited(spark, p, types={"v": "int"}, encoding="ISO-8859-1").collect()
     assert [(r.name, r.v) for r in rows] == [("café", 1)]
+
+
+def test_widget_kinds(spark):
+    from supplylens.operators import widgets as W
+    df = spark.createDataFrame([("a", 1.0, dt.datetime(2024, 1, 5)), ("a", 2.0, dt.datetime(2024, 2, 1)),
+                                ("b", 4.0, dt.datetime(2024, 2, 9))], "k STRING, v DOUBLE, ts TIMESTAMP_NTZ")
+    assert sorted(tuple(r) for r in W.bar(df, "k", "v").collect()) == [("a", 3.0), ("b", 4.0)]
+    assert W.pie(df, "k").columns == ["k", "count(*)"]
+    assert W.counter(df, "v").first()[0] == 7.0 and W.counter(df, agg="COUNT").first()[0] == 3
+    months = sorted(r[0].month for r in W.line(df, "ts", "v", grain="MONTH").collect())
+    assert months == [1, 2]
+    assert W.combo(df, "k", [("SUM", "v"), ("MAX", "v")]).columns == ["k", "sum(v)", "max(v)"]
+    assert W.table(df, ["k", "v"]).count() == 3
+
+
+def test_geo7_export_and_qa_summary(spark, tmp_path):
+    from supplylens.operators import quality as Q
+    df = spark.createDataFrame([("x", "A", 1.0, 2.0), ("y", "B", 3.0, 4.0)],
+                               "name STRING, layer STRING, longitude DOUBLE, latitude DOUBLE")
+    G.export_features(df, str(tmp_path / "f"), partition_by=["layer"])
+    back = spark.read.text(str(tmp_path / "f"))
+    feats = sorted(json.loads(r.value)["properties"]["name"] for r in back.collect())
+    assert feats == ["x", "y"] and sorted(back.columns) == ["layer", "value"]
+    rep = spark.createDataFrame([("a", "OK", 3), ("b", "EMPTY", 0), ("c", "MISSING", None)],
+                                "table_name STRING, status STRING, n_rows BIGINT")
+    assert tuple(Q.load_summary(rep).first()) == (1, 3)
