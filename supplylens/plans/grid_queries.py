@@ -319,3 +319,20 @@ def normalize_nulls_q(spark, d):
             .otherwise(F.col("p_name")))
     ptype = F.when(F.col("p_size") > 45, F.lit("  ")).otherwise(F.col("p_type"))
     return G.normalize_nulls(p.select("p_partkey", name.alias("p_name"), ptype.alias("p_type")))
+
+
+@register("grid_write_split", f"""
+WITH {_CELLS_SQL}, {_ROUTE_SQL}
+SELECT CASE data_category WHEN 'sales' THEN 'sales_table' WHEN 'stocks' THEN 'stocks_table'
+            ELSE 'supply_table' END AS "table",
+       count(*) AS n_cells, count(DISTINCT source_sheet) AS n_sheets
+FROM routed GROUP BY 1
+""")
+def grid_write_split(spark, d):
+    path = scratch_path(spark, "split")
+    G.write_split(_routed(spark, d), "data_category",
+                  {"sales": "sales_table", "stocks": "stocks_table", "supply": "supply_table",
+                   "other": "other_table"}, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("table").agg(F.count(F.lit(1)).alias("n_cells"),
+                                     F.count_distinct("source_sheet").alias("n_sheets"))

@@ -398,3 +398,33 @@ def stream_refresh(spark, d):
         part.write.mode("append").parquet(src)
         refresh_table(spark, src, e.schema, build, sink, checkpoint=ckpt).awaitTermination()
     return spark.read.parquet(sink).withColumn("total_value", F.round("total_value", 2))
+
+
+@register("features_export", f"""
+WITH f AS (
+  SELECT layer, to_json({{'type': 'Feature',
+                         'geometry': {{'type': 'Point', 'coordinates': [longitude, latitude]}},
+                         'properties': {{'acctbal': acctbal}}}})::VARCHAR AS feature
+  FROM ({geo_queries._LAYERS_SQL}) l)
+SELECT layer, count(*) AS n_features, CAST(sum(length(feature)) AS BIGINT) AS text_length
+FROM f GROUP BY layer
+""")
+def features_export(spark, d):
+    from supplylens.operators.geo import export_features
+    path = scratch_path(spark, "geojsonl")
+    export_features(geo_queries.layers(spark, d), path, partition_by=["layer"])
+    back = spark.read.text(path)
+    return back.groupBy("layer").agg(F.count(F.lit(1)).alias("n_features"),
+                                     F.sum(F.length("value")).cast("bigint").alias("text_length"))
+
+
+@register("verify_summary", f"""
+SELECT CAST(1 AS BIGINT) AS ok, CAST(3 AS BIGINT) AS expected
+FROM (SELECT count(*) AS n FROM ({_MONTHLY_SQL}) m) t WHERE n > 0
+""")
+def verify_summary(spark, d):
+    db = _scratch_db(spark)
+    Q.save(_monthly(spark, d), f"{db}.order_months")
+    Q.save(table(spark, d, "orders").filter(F.col("o_totalprice") < 0), f"{db}.no_rows")
+    rep = Q.verify(spark, [f"{db}.order_months", f"{db}.no_rows", f"{db}.never_loaded"])
+    return Q.load_summary(rep)
