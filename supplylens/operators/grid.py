@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_COLS = ("sheet", "row_idx", "col_idx", "value")
@@ -67,18 +67,22 @@ def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = Fals
     needs a non-empty cell beyond the first column.
     """
     h = headers.select("sheet", "header_row")
-    names = (cells.join(h, "sheet").filter(F.col("row_idx") == F.col("header_row"))
+    cells_h = cells.join(h, "sheet")
+    names = (cells_h.filter(F.col("row_idx") == F.col("header_row"))
              .select("sheet", "col_idx", _text().alias("column")))
-    body = (cells.join(h, "sheet").filter(F.col("row_idx") > F.col("header_row"))
+    body = (cells_h.filter(F.col("row_idx") > F.col("header_row"))
             .select("sheet", "row_idx", "col_idx",
                     F.when(non_empty(), F.col("value")).alias("value")))
-    first_col = body.groupBy("sheet").agg(F.min("col_idx").alias("_c0"))
-    alive = body.filter(F.col("value").isNotNull())
+    live = F.col("value").isNotNull()
     if ignore_first:
-        alive = alive.join(first_col, "sheet").filter(F.col("col_idx") > F.col("_c0"))
-    keep = alive.select("sheet", "row_idx").distinct()
-    return (body.join(keep, ["sheet", "row_idx"], "left_semi")
-            .join(names, ["sheet", "col_idx"], "left")
+        first_col = body.groupBy("sheet").agg(F.min("col_idx").alias("_c0"))
+        body = body.join(first_col, "sheet")
+        live = live & (F.col("col_idx") > F.col("_c0"))
+    # one window partition per spreadsheet row: bounded by the sheet's width
+    row = Window.partitionBy("sheet", "row_idx")
+    kept = (body.withColumn("_live", F.max(live.cast("int")).over(row))
+            .filter(F.col("_live") == 1))
+    return (kept.join(names, ["sheet", "col_idx"], "left")
             .withColumn("column", F.when(non_empty("column"), F.col("column"))
                         .otherwise(F.lit(EMPTY_NAME)))
             .select("sheet", "row_idx", "col_idx", "column", "value"))

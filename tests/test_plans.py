@@ -46,8 +46,9 @@ def test_pct_of_total_has_no_unpartitioned_window(spark, sf_dir):
 
 # Window operators only where each window partition is bounded: the prompt
 # context (input capped first) and the preamble reader (partitioned by file,
-# first-split lines only).  Nested-loop joins only against one-row aggregates.
-WINDOW_OK = {"briefing_context", "read_preamble"}
+# first-split lines only) and header apply (partitioned by sheet row).
+# Nested-loop joins only against one-row aggregates.
+WINDOW_OK = {"briefing_context", "read_preamble", "grid_apply", "grid_apply_ignore_first"}
 NESTED_LOOP_OK = {"kpi_row", "pct_of_total", "catalogue_producers_percent"}
 
 
