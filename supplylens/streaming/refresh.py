@@ -20,16 +20,25 @@ from pyspark.sql.types import StructType
 from supplylens.session import scratch_path
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def refresh_table(spark: SparkSession, source: str, schema: StructType | str,
                   build: Callable[[DataFrame], DataFrame], sink: str,
                   checkpoint: str | None = None, fmt: str = "parquet",
                   sink_fmt: str = "parquet", available_now: bool = True,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None,
+                  rocksdb_state: bool = True) -> StreamingQuery:
     """Start (and with ``available_now`` finish) one refresh of ``sink``.
 
     ``build`` turns the streaming input into an aggregate; its complete
-    result replaces ``sink`` on every micro-batch.
+    result replaces ``sink`` on every micro-batch.  Aggregation state lives
+    in RocksDB by default (off-heap, spills to local disk, checkpointed to
+    the shared folder), so many keys do not pressure executor heaps.  The
+    provider is fixed by a query's first run and stored in its checkpoint.
     """
+    if rocksdb_state:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
