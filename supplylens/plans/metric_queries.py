@@ -133,7 +133,8 @@ SELECT
   CAST((SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS n_urgent,
   (SELECT round(sum(CASE WHEN event_type = 'purchase' THEN value END) / nullif(sum(value), 0) * 100, 1)
    FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)) AS purchase_share,
-  CAST(NULL AS DOUBLE) AS missing_metric
+  CAST(NULL AS DOUBLE) AS missing_metric,
+  (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS latest_value
 """)
 def kpi_row(spark, d):
     o = table(spark, d, "orders")
@@ -147,6 +148,8 @@ def kpi_row(spark, d):
         "purchase_share": lambda: R.share(R.latest(ed, "day"), F.col("event_type") == "purchase", "value"),
         # a KPI over a column that does not exist fails alone, to NULL
         "missing_metric": lambda: o.select("no_such_column"),
+        # the other reading of a coverage KPI: the latest value, not a row count
+        "latest_value": lambda: R.latest_row(e, "ts", tiebreak=["event_id"], cols=["value"]),
     }
     overrides = {
         "latest_price": lambda: R.latest_row(o, "o_orderdate", tiebreak=["o_orderkey"],

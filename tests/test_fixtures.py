@@ -339,3 +339,18 @@ def test_geo7_export_and_qa_summary(spark, tmp_path):
     rep = spark.createDataFrame([("a", "OK", 3), ("b", "EMPTY", 0), ("c", "MISSING", None)],
                                 "table_name STRING, status STRING, n_rows BIGINT")
     assert tuple(Q.load_summary(rep).first()) == (1, 3)
+
+
+def test_q11_zero_coordinate_kept(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (95.0, 10.0), (float("nan"), 1.0)],
+                               "latitude DOUBLE, longitude DOUBLE")
+    assert [(r.latitude, r.longitude) for r in G.points(df, {}).collect()] == [(0.0, 0.0)]
+
+
+def test_q13_deeper_geometry_is_null(spark, tmp_path):
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"n": "line"},
+         "geometry": {"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]]]}}]}
+    p = write(str(tmp_path / "deep.json"), json.dumps(fc))
+    r = S.flatten_features(spark, p).first()
+    assert (r.n, r.longitude, r.latitude) == ("line", None, None)
