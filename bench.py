@@ -4,6 +4,7 @@ JSON line with per-query seconds.
     BENCH_SF_DIR  (default /root/testdata/sf0.1)
     BENCH_CPUS    (default 8)
     BENCH_ONLY    comma-separated query names (optional)
+    BENCH_SHUFFLE_PARTITIONS  (default: BENCH_CPUS; AQE coalesces further)
 
 Each query is fully computed with a ``noop`` write (no collect to the
 driver).  The JVM is warmed with three small queries on the smallest
@@ -30,7 +31,8 @@ def main() -> None:
     from supplylens.plans import registry
 
     spark = get_session(f"local[{cpus}]", app="supplylens-bench",
-                        shuffle_partitions=max(2 * cpus, 8),
+                        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS",
+                                                              cpus)),
                         extra={"spark.driver.memory": "16g",
                                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"})
     spark.sparkContext.setLogLevel("ERROR")
