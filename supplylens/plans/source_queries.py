@@ -278,6 +278,27 @@ FROM supplier
 """)
 def features_flatten(spark, d):
     path = scratch_path(spark, "geojson")
+    _feature_pages(spark, d).select("line").write.mode("overwrite").text(path)
+    return S.flatten_features(spark, path, multiline=False)
+
+
+@register("features_flatten_text", """
+SELECT s_acctbal AS acctbal, s_name AS name, CAST(s_nationkey AS BIGINT) AS nationkey,
+       CASE WHEN s_nationkey < 5 THEN NULL
+            ELSE 112.0 + (s_suppkey * 37 % 4200) / 100.0::DOUBLE END AS longitude,
+       CASE WHEN s_nationkey < 5 THEN NULL
+            ELSE -44.0 + (s_suppkey * 53 % 3400) / 100.0::DOUBLE END AS latitude
+FROM supplier
+""")
+def features_flatten_text(spark, d):
+    """The same feature pages held as a text column (no files): flattened
+    with variant parsing and a merged property schema."""
+    return S.flatten_feature_text(_feature_pages(spark, d), "line")
+
+
+def _feature_pages(spark, d):
+    """Supplier points as GeoJSON FeatureCollection text, one page per
+    (nation, 100 suppliers): Point, MultiPoint or no geometry by nation."""
     s = geo_queries.supplier_points(spark, d).join(
         table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey"), "id")
     props = F.to_json(F.struct(F.col("name"), F.col("acctbal"), F.col("s_nationkey").alias("nationkey")))
@@ -289,11 +310,9 @@ def features_flatten(spark, d):
             .when(F.col("s_nationkey") < 12, F.concat(F.lit(',"geometry":'), multi))
             .otherwise(F.concat(F.lit(',"geometry":'), point)))
     feature = F.concat(F.lit('{"type":"Feature","properties":'), props, geom, F.lit("}"))
-    pages = (s.groupBy("s_nationkey", F.expr("id div 100").alias("page"))
-             .agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
-                           F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("line")))
-    pages.select("line").write.mode("overwrite").text(path)
-    return S.flatten_features(spark, path, multiline=False)
+    return (s.groupBy("s_nationkey", F.expr("id div 100").alias("page"))
+            .agg(F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                          F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("line")))
 
 
 # --------------------------------------------------------------------------

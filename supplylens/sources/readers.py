@@ -268,6 +268,38 @@ def flatten_features(spark: SparkSession, path, multiline: bool = True) -> DataF
     return f.select(*cols, coord(0).alias("longitude"), coord(1).alias("latitude"))
 
 
+def _variant_schema_to_ddl(schema: str) -> str:
+    """``schema_of_variant_agg`` text -> a type ``try_variant_get`` accepts
+    (objects as structs, JSON decimals as doubles like the JSON reader)."""
+    import re
+    ddl = schema.replace("OBJECT<", "STRUCT<")
+    return re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
+
+
+def flatten_feature_text(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """SRC8 for GeoJSON held as text in a column (e.g. a landed API table).
+
+    Each FeatureCollection is parsed to a variant and its features exploded;
+    the property schema is the merge over all features (one aggregate that
+    returns a short type string), so properties become typed columns.
+    """
+    feats = df.select(*keep, F.explode(F.try_variant_get(F.parse_json(F.col(column)), "$.features",
+                                                         "array<variant>")).alias("_f"))
+    props = F.try_variant_get(F.col("_f"), "$.properties", "variant")
+    schema = feats.select(F.schema_of_variant_agg(props)).first()[0]
+    cols = []
+    if schema and schema.startswith("OBJECT<") and schema != "OBJECT<>":
+        feats = feats.withColumn("_p", F.try_variant_get(F.col("_f"), "$.properties",
+                                                         _variant_schema_to_ddl(schema)))
+        cols = [F.col(f"_p.{n}").alias(n) for n in feats.schema["_p"].dataType.names]
+    g = "$.geometry.coordinates"
+
+    def coord(i):
+        return F.coalesce(F.try_variant_get(F.col("_f"), f"{g}[0][{i}]", "double"),
+                          F.try_variant_get(F.col("_f"), f"{g}[{i}]", "double"))
+    return feats.select(*keep, *cols, coord(0).alias("longitude"), coord(1).alias("latitude"))
+
+
 # --------------------------------------------------------------------------
 # SRC9 repeated page elements
 # --------------------------------------------------------------------------

@@ -354,3 +354,16 @@ def test_q13_deeper_geometry_is_null(spark, tmp_path):
     p = write(str(tmp_path / "deep.json"), json.dumps(fc))
     r = S.flatten_features(spark, p).first()
     assert (r.n, r.longitude, r.latitude) == ("line", None, None)
+
+
+def test_src8_geojson_from_text_column(spark):
+    fc = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"n": "a", "v": 1.5}, "geometry": {"type": "Point", "coordinates": [1, 2]}},
+        {"type": "Feature", "properties": {"n": "b"},
+         "geometry": {"type": "MultiPoint", "coordinates": [[3, 4], [5, 6]]}},
+        {"type": "Feature", "properties": {"n": "c"}}]}
+    df = spark.createDataFrame([(7, json.dumps(fc))], "page INT, body STRING")
+    out = S.flatten_feature_text(df, "body", keep=["page"])
+    assert out.columns == ["page", "n", "v", "longitude", "latitude"]
+    got = {r.n: (r.page, r.v, r.longitude, r.latitude) for r in out.collect()}
+    assert got == {"a": (7, 1.5, 1.0, 2.0), "b": (7, None, 3.0, 4.0), "c": (7, None, None, None)}
