@@ -108,6 +108,20 @@ def json_records_q(spark, d):
     return S.read_json_records(spark, path, multiline=False)
 
 
+@register("json_records_text", """
+SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey <> 4
+""")
+def json_records_text(spark, d):
+    """The same envelopes held as a text column (e.g. a landed API table)."""
+    n = table(spark, d, "nation")
+    env = (n.groupBy("n_regionkey")
+           .agg(F.collect_list(F.struct(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("name"),
+                                        F.col("n_regionkey").alias("region"))).alias("records"))
+           .select(F.to_json(F.struct((F.col("n_regionkey") != 4).alias("success"),
+                                      F.struct(F.col("records")).alias("result"))).alias("body")))
+    return S.json_records_from_text(env, "body")
+
+
 # --------------------------------------------------------------------------
 # SRC4 / SRC9
 # --------------------------------------------------------------------------

@@ -172,6 +172,25 @@ def read_json_records(spark: SparkSession, path, records: str = "result.records"
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
+def json_records_from_text(df: DataFrame, column: str, records: str = "result.records",
+                           flag: str | None = "success", keep: Sequence[str] = ()) -> DataFrame:
+    """SRC3 for envelopes held as text in a column: keep envelopes whose
+    ``flag`` is true, explode ``records``, type the fields from their merged
+    schema (one small aggregate), drop fields starting with ``_``."""
+    env = df.select(*keep, F.parse_json(F.col(column)).alias("_e"))
+    if flag:
+        env = env.filter(F.try_variant_get(F.col("_e"), f"$.{flag}", "boolean") == F.lit(True))
+    recs = env.select(*keep, F.explode(F.try_variant_get(F.col("_e"), f"$.{records}",
+                                                         "array<variant>")).alias("_r"))
+    schema = recs.select(F.schema_of_variant_agg(F.col("_r"))).first()[0]
+    if not schema or not schema.startswith("OBJECT<") or schema == "OBJECT<>":
+        return recs.select(*keep)
+    typed = recs.select(*keep, F.try_variant_get(F.col("_r"), "$",
+                                                 _variant_schema_to_ddl(schema)).alias("_t"))
+    names = [n for n in typed.schema["_t"].dataType.names if not n.startswith("_")]
+    return typed.select(*keep, *[F.col(f"_t.{n}").alias(n) for n in names])
+
+
 def read_coded_records(spark: SparkSession, path, code_map: Mapping[str, str] | DataFrame,
                        code: str = "code", records: str = "response.data",
                        value: str = "value", name: str = "name", multiline: bool = False) -> DataFrame:

@@ -367,3 +367,11 @@ def test_src8_geojson_from_text_column(spark):
     assert out.columns == ["page", "n", "v", "longitude", "latitude"]
     got = {r.n: (r.page, r.v, r.longitude, r.latitude) for r in out.collect()}
     assert got == {"a": (7, 1.5, 1.0, 2.0), "b": (7, None, 3.0, 4.0), "c": (7, None, None, None)}
+
+
+def test_src3_envelopes_from_text(spark):
+    rows = [(json.dumps({"success": True, "result": {"records": [{"_id": 1, "name": "p", "x": 2.5}]}}),),
+            (json.dumps({"success": False, "result": {"records": [{"_id": 2, "name": "q"}]}}),)]
+    out = S.json_records_from_text(spark.createDataFrame(rows, "body STRING"), "body")
+    assert out.columns == ["name", "x"]
+    assert [(r.name, r.x) for r in out.collect()] == [("p", 2.5)]
