@@ -274,3 +274,24 @@ FROM (SELECT * FROM ({geo_queries._CUST_SQL}) c ORDER BY id LIMIT 5000) t
 def catalogue_point_feed(spark, d):
     pts = R.cap(geo_queries.customer_points(spark, d), 5000, ["id"])
     return G.to_features(pts)
+
+
+@register("catalogue_scenario_latest", "SELECT * FROM (" + _scenario_sql(
+    "SELECT coalesce(arg_max(value, (ts, value)), 82.0) AS base FROM events "
+    "WHERE ts IS NOT NULL AND value IS NOT NULL") + ") s ORDER BY scenario_date DESC LIMIT 1")
+def catalogue_scenario_latest(spark, d):
+    """The scenario's latest row (price, FX) as the ticker reads it: S3 on SCN1."""
+    s = scenario(table(spark, d, "events"), "ts", "value")
+    return R.latest_row(s, "scenario_date")
+
+
+@register("catalogue_emissions_by_state_fuel", """
+SELECT c_nationkey, CAST(sum(CAST(floor(c_acctbal) AS BIGINT)) AS BIGINT) AS "sum(emissions)", c_mktsegment
+FROM customer WHERE c_acctbal >= 0 GROUP BY c_nationkey, c_mktsegment
+""")
+def catalogue_emissions_by_state_fuel(spark, d):
+    c = table(spark, d, "customer")
+    txt = F.when(F.col("c_acctbal") >= 0, F.format_number(F.floor("c_acctbal"), 0)).otherwise(F.lit(""))
+    t = R.present(c.withColumn("emissions_text", txt), ["emissions_text"])
+    t = t.withColumn("emissions", parse_number("emissions_text"))
+    return widget(t, x="c_nationkey", y=[("SUM", "emissions")], color="c_mktsegment")
