@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplylens.functions.columns import quarter_label, quarter_start, to_double
-from supplylens.operators.relational import bridge, merge_series, since
+from supplylens.operators.relational import bridge, join_on_keys, merge_series, since
 
 Z_95 = 1.96
 _PERIOD_MONTHS = {"MONTH": 1, "QUARTER": 3}
@@ -78,7 +78,7 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
         F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("ds").alias("last_ds"))
     carried = ["slope", "intercept", "t0", "t1", "last_ds"]
 
-    res = (obs.join(fit, keys)
+    res = (join_on_keys(obs, fit, keys)
            .withColumn("r", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))))
     by_pos = res.groupBy(*keys, *carried, "pos").agg(
         F.count(F.lit(1)).alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))

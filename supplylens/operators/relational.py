@@ -95,7 +95,7 @@ def latest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     if not by:
         return df.filter(F.col(column) == global_max(df, column))
     tops = df.groupBy(*by).agg(F.max(column).alias(column))
-    return df.join(tops, [*by, column], "left_semi")
+    return join_on_keys(df, tops, [*by, column], "left_semi")
 
 
 def at(df: DataFrame, column: str, value) -> DataFrame:
@@ -134,6 +134,20 @@ def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner",
     return df.join(dim, on=on, how=how)
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                 how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), as SQL
+    grouping treats NULL as one group.  ``right``'s key columns are renamed
+    first, so a side derived from ``left`` joins back without ambiguity.
+    """
+    keys = list(keys)
+    tmp = {k: f"__k{i}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(tmp)
+    cond = [left[k].eqNullSafe(r[tmp[k]]) for k in keys]
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*tmp.values())
+
+
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """JN3: attach the columns of a one-row aggregate to every row.
 
@@ -277,7 +291,7 @@ def pct_of_total(df: DataFrame, value: str, partition: Sequence[str] = (),
     would move every row into one task.
     """
     totals = df.groupBy(*partition).agg(F.sum(value).alias("_total"))
-    joined = with_scalar(df, totals) if not partition else df.join(totals, list(partition))
+    joined = with_scalar(df, totals) if not partition else join_on_keys(df, totals, partition)
     return (joined.withColumn(name, F.round(F.col(value) / F.nullif(F.col("_total"), F.lit(0))
                                             * 100, digits))
             .drop("_total"))

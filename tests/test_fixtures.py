@@ -375,3 +375,12 @@ def test_src3_envelopes_from_text(spark):
     out = S.json_records_from_text(spark.createDataFrame(rows, "body STRING"), "body")
     assert out.columns == ["name", "x"]
     assert [(r.name, r.x) for r in out.collect()] == [("p", 2.5)]
+
+
+def test_null_keys_are_kept_as_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 2.0, 1), ("a", 2.0, 2)],
+                               "k STRING, v DOUBLE, t INT")
+    pct = {(r.k, r.v): r.pct_of_total for r in R.pct_of_total(df, "v", partition=["k"]).collect()}
+    assert pct == {(None, 1.0): 25.0, (None, 3.0): 75.0, ("a", 2.0): 50.0}
+    last = sorted((r.k or "", r.v) for r in R.latest(df, "t", by=["k"]).collect())
+    assert last == [("", 3.0), ("a", 2.0)]
