@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from supplylens.functions.columns import to_double
 from supplylens.operators.grid import sanitize_names
+from supplylens.session import scratch_path
 
 # Words marking metadata lines in statistical CSV preambles,
 # the fallback header line, the preamble date format and the missing-value
@@ -119,7 +120,13 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     columns are numbers (NULL where not numeric) unless ``numeric=False``.
     """
     lines = _indexed_lines(spark, path)
-    meta = preamble_headers(lines, fallback).filter(F.col("header_line").isNotNull())
+    # The per-file header table (one small row per file) is landed once in
+    # the shared scratch folder: the layout listing and the body join both
+    # read it, so the lines are scanned twice in total, not three times.
+    meta_path = scratch_path(spark, "preamble-meta")
+    (preamble_headers(lines, fallback).filter(F.col("header_line").isNotNull())
+     .write.mode("overwrite").parquet(meta_path))
+    meta = spark.read.parquet(meta_path)
     body = (lines.join(meta, "file")
             .filter((F.col("block") > 0) | (F.col("mid") - F.col("base") > F.col("header_idx"))))
     # Driver sees one header line per distinct layout (metadata, not data).
