@@ -13,6 +13,7 @@ touches only the first split of each file and needs no whole-file rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -297,7 +298,6 @@ def flatten_features(spark: SparkSession, path, multiline: bool = True) -> DataF
 def _variant_schema_to_ddl(schema: str) -> str:
     """``schema_of_variant_agg`` text -> a type ``try_variant_get`` accepts
     (objects as structs, JSON decimals as doubles like the JSON reader)."""
-    import re
     ddl = schema.replace("OBJECT<", "STRUCT<")
     return re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
 
