@@ -48,16 +48,29 @@ def get_session(master: str | None = None, app: str = "supplylens",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only when unset."""
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
+    """The shared checkpoint folder; set a private one only when unset.
+
+    Works with classic sessions (the SparkContext's checkpoint dir) and with
+    Spark Connect sessions, which expose only the ``spark.checkpoint.dir``
+    setting.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        d = sc.getCheckpointDir()
+        if d:
+            return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="supplylens-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", d)
+    if sc is not None:
+        sc.setCheckpointDir(d)
+        return sc.getCheckpointDir() or d
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
