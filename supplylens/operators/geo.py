@@ -200,3 +200,14 @@ def export_features(df: DataFrame, path: str, partition_by: Sequence[str] = ())
     written in parallel; ``partition_by`` columns become folders."""
     (to_features(df, keep=partition_by).write.mode("overwrite")
      .partitionBy(*partition_by).text(path))
+
+
+def export_tiles(df: DataFrame, path: str, zmin: int = 0, zmax: int = 16, layer: str = "layer",
+                 zoom_limits: Mapping[str, tuple[int, int]] | None = None,
+                 extent: int = TILE_EXTENT) -> None:
+    """GEO3-5 sink: the precomputed tile store that replaces a per-process
+    tile cache.  Every point is written once per zoom with its tile and
+    tile-local position, partitioned by layer and zoom (``layer=.../z=...``),
+    so serving a tile reads one folder and filters on ``x, y``."""
+    t = tile_coords(tiles(df, zmin, zmax, layer=layer, zoom_limits=zoom_limits), extent)
+    t.write.mode("overwrite").partitionBy(layer, "z").parquet(path)

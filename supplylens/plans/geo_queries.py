@@ -150,3 +150,23 @@ FROM ({_CUST_SQL}) c
 """)
 def features_q(spark, d):
     return G.to_features(customer_points(spark, d))
+
+
+@register("tiles_export", f"""
+SELECT layer, z, count(*) AS n_points, count(DISTINCT (x, y)) AS n_tiles,
+       CAST(sum(px + py) AS BIGINT) AS px_py_sum
+FROM (SELECT *, CAST(least(greatest(floor((fx - x) * 4096), 0), 4095) AS BIGINT) AS px,
+             CAST(least(greatest(floor((fy - y) * 4096), 0), 4095) AS BIGINT) AS py
+      FROM ({_TILES_SQL}) q) t
+GROUP BY layer, z
+""")
+def tiles_export(spark, d):
+    """Write the tile store for zooms 0-6 and read it back per folder."""
+    from supplylens.session import scratch_path
+    path = scratch_path(spark, "tiles")
+    G.export_tiles(layers(spark, d), path, 0, 6, zoom_limits=ZOOM_LIMITS)
+    back = spark.read.parquet(path)
+    return back.groupBy("layer", "z").agg(
+        F.count(F.lit(1)).alias("n_points"),
+        F.count_distinct(F.struct("x", "y")).alias("n_tiles"),
+        F.sum(F.col("px") + F.col("py")).cast("bigint").alias("px_py_sum"))
