@@ -17,6 +17,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from supplylens.functions.columns import try_number
+
 CELL_COLS = ("sheet", "row_idx", "col_idx", "value")
 
 # Tokens treated as missing when landing text, characters
@@ -121,7 +123,7 @@ def melt_grid(cells: DataFrame, header_row: int = 0, first_row: int = 3,
     periods = (c.filter((F.col("row_idx") >= first_row) & (F.col("col_idx") == 0) & non_empty())
                .select("sheet", "row_idx", _text().alias(period_n)))
     vals = (c.filter((F.col("row_idx") >= first_row) & (F.col("col_idx") >= 1))
-            .select("sheet", "row_idx", "col_idx", _text().try_cast("double").alias("_v"))
+            .select("sheet", "row_idx", "col_idx", try_number(_text(), "double").alias("_v"))
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     out = vals.join(periods, ["sheet", "row_idx"]).join(heads, ["sheet", "col_idx"])
     label = label_from_name(F.col("sheet"), label_rules, default_label) if label_rules or default_label \

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplylens.functions.columns import month_start, parse_number
+from supplylens.functions.columns import month_start, parse_number, try_number
 from supplylens.operators import relational as R
 from supplylens.plans.registry import register, table
 
@@ -315,8 +315,8 @@ def fn_cast(spark, d):
         "event_id",
         F.floor("value").cast("bigint").alias("value_floor"),
         F.col("value").cast("string").isNotNull().alias("has_text"),
-        F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int").alias("k"),
-        F.col("event_type").try_cast("int").alias("type_as_int"),
+        try_number(F.regexp_extract("props", r"([0-9]+)", 1), "int").alias("k"),
+        try_number("event_type", "int").alias("type_as_int"),
         F.col("user_id").cast("double").alias("user_double"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from supplylens.functions.columns import to_double
+from supplylens.functions.columns import to_double, try_number
 from supplylens.operators.grid import sanitize_names
 from supplylens.session import scratch_path
 
@@ -55,7 +55,10 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str],
           .csv(path))
     types = dict(types or {})
     for c, t in types.items():
-        df = df.withColumn(c, F.trim(F.col(c)).try_cast(t))
+        txt = F.trim(F.col(c))
+        numeric = t.lower() in ("tinyint", "smallint", "int", "integer", "bigint", "long",
+                                "float", "double", "real") or t.lower().startswith("decimal")
+        df = df.withColumn(c, try_number(txt, t) if numeric else txt.try_cast(t))
     for old, new in (rename or {}).items():
         df = df.withColumnRenamed(old, new)
     if dropna:

@@ -53,3 +53,16 @@ def test_quarter_start_never_raises(spark, pairs):
             assert (r.d.year, r.d.month, r.d.day) == (int(y), {"Q1": 1, "Q2": 4, "Q3": 7, "Q4": 10}[q], 1)
         else:
             assert r.d is None
+
+
+@given(st.lists(st.one_of(st.text(alphabet="0123456789+-.eE xaInfityN", max_size=10),
+                          st.floats(allow_nan=True).map(str), st.integers().map(str)),
+                min_size=1, max_size=40))
+@settings(max_examples=30, deadline=None)
+def test_guarded_cast_equals_try_cast(spark, texts):
+    from supplylens.functions.columns import try_number
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for to in ("int", "bigint", "double"):
+        rows = df.select(try_number("t", to).alias("a"), F.col("t").try_cast(to).alias("b")).collect()
+        for r in rows:
+            assert (r.a == r.b) or (r.a != r.a and r.b != r.b), (to, r)
