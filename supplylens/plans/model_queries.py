@@ -69,14 +69,13 @@ def scenario_by_brand(spark, d):
     """One curve per part brand; base = the brand's latest daily unit price / 15."""
     li = table(spark, d, "lineitem")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    # pre-aggregate per (part, day) before the join: a hot part collapses to
-    # one row per day and the join input shrinks
-    per_part = (li.groupBy("l_partkey", F.to_date("l_shipdate").alias("day"))
-                .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"),
-                     F.count(F.lit(1)).alias("n")))
-    daily = (per_part.join(p, "l_partkey")
-             .groupBy("p_brand", "day")
-             .agg((F.sum("s") / F.sum("n") / 15.0).alias("unit_price")))
+    # Join first: (part, day) is nearly unique per line, so pre-aggregating
+    # on it would remove no rows and add a full shuffle.  The (brand, day)
+    # aggregate after the join is partial-aggregated map-side, and AQE splits
+    # a hot part's partition in the sort-merge join at scale.
+    daily = (li.join(p, "l_partkey")
+             .groupBy("p_brand", F.to_date("l_shipdate").alias("day"))
+             .agg((F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 15.0).alias("unit_price")))
     return scenario(daily, "day", "unit_price", by=["p_brand"])
 
 

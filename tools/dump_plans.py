@@ -17,7 +17,7 @@ SELECTED = {
     "latest_row": "latest row per key via max_by: sort-based partial aggregation",
     "top_k": "top-k as TakeOrderedAndProject with a pruned ReadSchema",
     "pick_value": "equality filter pushed to the parquet scan",
-    "scenario_by_brand": "lineitem pre-aggregated per (part, day) before the part join",
+    "scenario_by_brand": "join first (no row reduction from pre-aggregating), then partial aggregation",
     "forecast_by_key": "per-series fit, one join back, then grouped sums; no further joins",
     "tile_features": "deepest-tile partials rolled up the zoom pyramid",
     "grid_apply": "header apply: broadcast header cells, per-row window for live rows",
