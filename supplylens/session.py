@@ -2,8 +2,9 @@
 
 Scratch output (written tables used to cut lineage, files produced by the
 source operators) always lives under the folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is absent (a bare local
-test session) do we pick a folder of our own and register it.
+``spark.checkpoint.dir``.  Only when that setting is absent in a local
+session (tests) do we pick a folder of our own and register it; on a
+cluster an absent setting is an error, never a driver-local folder.
 """
 
 from __future__ import annotations
@@ -64,6 +65,10 @@ def checkpoint_root(spark: SparkSession) -> str:
             return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            # a driver-local folder is invisible to executors on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="supplylens-ckpt-")
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", d)
