@@ -75,8 +75,10 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str],
 
 
 def _indexed_lines(spark: SparkSession, path) -> DataFrame:
+    # a UTF-8 byte-order mark, if any, sits at the start of a file's first line
     return spark.read.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"))
 

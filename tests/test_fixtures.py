@@ -384,3 +384,12 @@ def test_null_keys_are_kept_as_a_group(spark):
     assert pct == {(None, 1.0): 25.0, (None, 3.0): 75.0, ("a", 2.0): 50.0}
     last = sorted((r.k or "", r.v) for r in R.latest(df, "t", by=["k"]).collect())
     assert last == [("", 3.0), ("a", 2.0)]
+
+
+def test_src2_byte_order_mark(spark, tmp_path):
+    p = str(tmp_path / "bom.csv")
+    with open(p, "w", encoding="utf-8-sig") as f:
+        f.write("Series ID,A,B,C\n02-Jan-2024,1,2,3\n")
+    df = S.read_preamble_csv(spark, p)
+    assert df.columns == ["date", "A", "B", "C"]
+    assert [tuple(r) for r in df.collect()] == [(dt.date(2024, 1, 2), 1.0, 2.0, 3.0)]
