@@ -146,8 +146,8 @@ def kpi_row(spark, d):
         "n_events": lambda: R.counter(e),
         "n_urgent": lambda: R.counter(R.at(o, "o_orderpriority", "1-URGENT")),
         "purchase_share": lambda: R.share(R.latest(ed, "day"), F.col("event_type") == "purchase", "value"),
-        # a KPI over a column that does not exist fails alone, to NULL
-        "missing_metric": lambda: o.select("no_such_column"),
+        # a KPI over a table that was never loaded fails alone, to NULL
+        "missing_metric": lambda: spark.table("no_such_table_anywhere").select("value"),
         # the other reading of a coverage KPI: the latest value, not a row count
         "latest_value": lambda: R.latest_row(e, "ts", tiebreak=["event_id"], cols=["value"]),
     }
