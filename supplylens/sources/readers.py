@@ -446,6 +446,11 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """SRC12: whether a catalog table or view resolves (metadata only)."""
+    return spark.catalog.tableExists(name)
+
+
 def list_tables(spark: SparkSession, db: str | None = None) -> DataFrame:
     """SRC12: the catalog listing as a DataFrame (``SHOW TABLES``)."""
     return spark.sql(f"SHOW TABLES IN {db}" if db else "SHOW TABLES")

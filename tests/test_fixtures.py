@@ -393,3 +393,10 @@ def test_src2_byte_order_mark(spark, tmp_path):
     df = S.read_preamble_csv(spark, p)
     assert df.columns == ["date", "A", "B", "C"]
     assert [tuple(r) for r in df.collect()] == [(dt.date(2024, 1, 2), 1.0, 2.0, 3.0)]
+
+
+def test_src12_table_exists(spark):
+    spark.range(2).createOrReplaceTempView("sl_probe_view")
+    assert S.table_exists(spark, "sl_probe_view")
+    assert not S.table_exists(spark, "sl_never_created")
+    assert S.table(spark, "sl_probe_view").count() == 2
