@@ -19,7 +19,7 @@ def order_metrics(spark, d) -> MetricView:
         source=table(spark, d, "orders"),
         dimensions={"order_year": "year(o_orderdate)", "priority": "o_orderpriority",
                     "status": "o_orderstatus"},
-        measures={"avg_price": "round(avg(o_totalprice), 2)",
+        measures={"avg_price": "round(avg(o_totalprice), 4)",
                   "max_price": "max(o_totalprice)",
                   "min_price": "min(o_totalprice)",
                   "price_volatility": "round(stddev_samp(o_totalprice), 4)",
@@ -27,7 +27,7 @@ def order_metrics(spark, d) -> MetricView:
         comment="order price KPIs")
 
 
-_MV_SELECT = """round(avg(o_totalprice), 2) AS avg_price, max(o_totalprice) AS max_price,
+_MV_SELECT = """round(avg(o_totalprice), 4) AS avg_price, max(o_totalprice) AS max_price,
        min(o_totalprice) AS min_price, round(stddev_samp(o_totalprice), 4) AS price_volatility,
        count(*) AS record_count"""
 

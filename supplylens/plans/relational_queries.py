@@ -21,26 +21,26 @@ def orders_by_month(spark, d):
 @register("latest_group_avg", """
 WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders)
 SELECT o_orderpriority,
-       round(avg(o_totalprice), 2) AS avg_o_totalprice,
-       round(min(o_totalprice), 2) AS min_o_totalprice,
-       round(max(o_totalprice), 2) AS max_o_totalprice
+       round(avg(o_totalprice), 4) AS avg_o_totalprice,
+       round(min(o_totalprice), 4) AS min_o_totalprice,
+       round(max(o_totalprice), 4) AS max_o_totalprice
 FROM o WHERE month = (SELECT max(month) FROM o)
 GROUP BY o_orderpriority
 """)
 def latest_group_avg(spark, d):
     o = orders_by_month(spark, d)
-    return R.group_stats(R.latest(o, "month"), ["o_orderpriority"], "o_totalprice", digits=2)
+    return R.group_stats(R.latest(o, "month"), ["o_orderpriority"], "o_totalprice", digits=4)
 
 
 @register("latest_scalar", """
 WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders)
-SELECT round(avg(o_totalprice), 2) AS avg_price, count(*) AS n_orders
+SELECT round(avg(o_totalprice), 4) AS avg_price, count(*) AS n_orders
 FROM o WHERE o_orderpriority = '1-URGENT' AND month = (SELECT max(month) FROM o)
 """)
 def latest_scalar(spark, d):
     o = R.latest(orders_by_month(spark, d), "month")
     o = R.at(o, "o_orderpriority", "1-URGENT")
-    return o.agg(F.round(F.avg("o_totalprice"), 2).alias("avg_price"),
+    return o.agg(F.round(F.avg("o_totalprice"), 4).alias("avg_price"),
                  F.count(F.lit(1)).alias("n_orders"))
 
 
@@ -416,12 +416,12 @@ def group_count_clean(spark, d):
 
 
 @register("group_stats", """
-SELECT event_type, round(avg(value), 2) AS avg_value, round(min(value), 2) AS min_value,
-       round(max(value), 2) AS max_value
+SELECT event_type, round(avg(value), 4) AS avg_value, round(min(value), 4) AS min_value,
+       round(max(value), 4) AS max_value
 FROM events GROUP BY event_type
 """)
 def group_stats(spark, d):
-    return R.group_stats(table(spark, d, "events"), ["event_type"], "value", digits=2)
+    return R.group_stats(table(spark, d, "events"), ["event_type"], "value", digits=4)
 
 
 @register("volatility", """
@@ -447,11 +447,12 @@ def group_sum_having(spark, d):
 
 @register("resample_month", """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
-       round(avg(o_totalprice), 2) AS avg_o_totalprice
+       round(avg(o_totalprice), 4) AS avg_o_totalprice
 FROM orders GROUP BY 1
 """)
 def resample_month(spark, d):
-    return R.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "MONTH", "AVG")
+    return R.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "MONTH", "AVG",
+                      digits=4)
 
 
 def _nation_balances(spark, d):
