@@ -331,16 +331,17 @@ def latest_row(df: DataFrame, ts: str, partition: Sequence[str] = (),
                tiebreak: Sequence[str] = (), cols: Sequence[str] | None = None) -> DataFrame:
     """S3: the row with the greatest ``ts`` (per partition).
 
-    Per partition this is ``max_by(struct, (ts, tiebreak))``: a partial
-    aggregate keeps one candidate per key per task, so a hot key is cheap.
+    Per partition this is ``max_by(struct, (ts present, ts, tiebreak))``: a
+    partial aggregate keeps one candidate per key per task, so a hot key is
+    cheap.  A NULL ``ts`` ranks below every real one (SQL ``DESC NULLS
+    LAST``), so a key whose times are all NULL still yields a row.
     """
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in partition]
-    key = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+    key = F.struct(F.col(ts).isNotNull(), F.col(ts), *[F.col(t) for t in tiebreak])
     if not partition:
         return df.orderBy(*[c.desc_nulls_last() for c in [F.col(ts)] + [F.col(t) for t in tiebreak]]) \
                  .limit(1).select(*cols)
-    return (df.filter(F.col(ts).isNotNull())
-            .groupBy(*partition)
+    return (df.groupBy(*partition)
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), key).alias("_r"))
             .select(*partition, "_r.*"))
 

@@ -91,3 +91,17 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete one folder made by :func:`scratch_path`, and nothing else.
+
+    Call it only when no DataFrame still reads from the folder.  Paths
+    outside this application's scratch root are refused.
+    """
+    root = checkpoint_root(spark).rstrip("/") + "/supplylens/"
+    if not path.startswith(root) or "/../" in path:
+        raise ValueError(f"not a supplylens scratch folder: {path}")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.delete(jpath, True))

@@ -400,3 +400,22 @@ def test_src12_table_exists(spark):
     assert S.table_exists(spark, "sl_probe_view")
     assert not S.table_exists(spark, "sl_never_created")
     assert S.table(spark, "sl_probe_view").count() == 2
+
+
+def test_s3_latest_row_keeps_all_null_key(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("b", dt.datetime(2024, 1, 1), 1),
+                                ("b", None, 9)], "k STRING, ts TIMESTAMP_NTZ, id INT")
+    got = {r.k: (r.ts, r.id) for r in R.latest_row(df, "ts", partition=["k"], tiebreak=["id"]).collect()}
+    assert got == {"a": (None, 2), "b": (dt.datetime(2024, 1, 1), 1)}
+
+
+def test_drop_scratch(spark):
+    from supplylens.session import drop_scratch, scratch_path
+    p = scratch_path(spark, "t-drop")
+    spark.range(3).write.parquet(p)
+    assert spark.read.parquet(p).count() == 3
+    assert drop_scratch(spark, p)
+    with pytest.raises(Exception):
+        spark.read.parquet(p).count()
+    with pytest.raises(ValueError):
+        drop_scratch(spark, "/tmp/not-ours")
