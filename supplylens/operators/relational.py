@@ -78,10 +78,25 @@ def global_max(df: DataFrame, column: str) -> Column:
     return df.select(F.max(column)).scalar()
 
 
-def trailing(df: DataFrame, column: str, days: int) -> DataFrame:
-    """FLT7: rows within ``days`` of the data's own MAX(column), inclusive."""
-    bound = global_max(df, column) - F.make_dt_interval(F.lit(days))
-    return df.filter(F.col(column) >= bound)
+def _literal_like(df: DataFrame, column: str, text: str) -> Column:
+    """A literal of ``column``'s own type, parsed by Spark (session-zone safe)."""
+    return F.lit(text).cast(df.schema[column].dataType)
+
+
+def trailing(df: DataFrame, column: str, days: int, prune: bool = False) -> DataFrame:
+    """FLT7: rows within ``days`` of the data's own MAX(column), inclusive.
+
+    With ``prune`` the MAX is evaluated first (one aggregate, one value to
+    the driver) and the bound becomes a literal, so the filter is pushed into
+    the parquet scan and skips row groups / partitions outside the window.
+    """
+    if not prune:
+        bound = global_max(df, column) - F.make_dt_interval(F.lit(days))
+        return df.filter(F.col(column) >= bound)
+    b = df.agg((F.max(column) - F.make_dt_interval(F.lit(days))).cast("string")).first()[0]
+    if b is None:
+        return df.filter(F.lit(False))
+    return df.filter(F.col(column) >= _literal_like(df, column, b))
 
 
 def latest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -98,6 +113,29 @@ def latest(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return join_on_keys(df, tops, [*by, column], "left_semi")
 
 
+_NEXT = {"DAY": lambda d: F.date_add(d, 1), "WEEK": lambda d: F.date_add(d, 7),
+         "MONTH": lambda d: F.add_months(d, 1), "QUARTER": lambda d: F.add_months(d, 3),
+         "YEAR": lambda d: F.add_months(d, 12)}
+
+
+def latest_period(df: DataFrame, column: str, unit: str = "MONTH") -> DataFrame:
+    """FLT8 on a stored time column: rows in the calendar period (day, week,
+    month, quarter, year) that holds the data's MAX(column).
+
+    Same rows as ``latest`` on a truncated period column, but the MAX is
+    evaluated first and the period becomes a literal half-open range on the
+    stored column, so Catalyst pushes it into the scan (row-group and
+    partition pruning).  The scalar subquery form cannot be pushed down.
+    """
+    u = unit.upper()
+    start = truncate_to(F.max(column), u)
+    row = df.agg(start.cast("string").alias("a"), _NEXT[u](start).cast("string").alias("b")).first()
+    if row.a is None:
+        return df.filter(F.lit(False))
+    c = F.col(column)
+    return df.filter((c >= _literal_like(df, column, row.a)) & (c < _literal_like(df, column, row.b)))
+
+
 def at(df: DataFrame, column: str, value) -> DataFrame:
     """FLT9: pick rows where column equals a value."""
     return df.filter(F.col(column) == F.lit(value))

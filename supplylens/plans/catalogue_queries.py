@@ -27,8 +27,8 @@ SELECT event_type, round(avg(value), 4) AS avg_value, count(*) AS n
 FROM e WHERE day = (SELECT max(day) FROM e) GROUP BY event_type
 """)
 def rounded_latest(spark, d):
-    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    g = R.latest(e, "day").groupBy("event_type").agg(F.avg("value").alias("avg_value"),
+    e = R.latest_period(table(spark, d, "events"), "ts", "DAY")
+    g = e.groupBy("event_type").agg(F.avg("value").alias("avg_value"),
                                                      F.count(F.lit(1)).alias("n"))
     return R.rounded(g, {"avg_value": 4})
 
@@ -104,8 +104,8 @@ SELECT o_orderpriority, round(revenue, 2) AS revenue,
 FROM g
 """)
 def catalogue_producers_percent(spark, d):
-    o = table(spark, d, "orders").withColumn("month", month_start("o_orderdate"))
-    g = R.latest(o, "month").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("revenue"))
+    o = R.latest_period(table(spark, d, "orders"), "o_orderdate", "MONTH")
+    g = o.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("revenue"))
     out = R.pct_of_total(g, "revenue", digits=4).withColumn("revenue", F.round("revenue", 2))
     return R.order(out, [("pct_of_total", "desc")])
 
@@ -170,7 +170,7 @@ SELECT event_id, ts, value FROM events
 WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY ORDER BY ts DESC
 """)
 def catalogue_last_days(spark, d):
-    e = R.trailing(table(spark, d, "events"), "ts", 10).select("event_id", "ts", "value")
+    e = R.trailing(table(spark, d, "events"), "ts", 10, prune=True).select("event_id", "ts", "value")
     return R.order(e, [("ts", "desc")])
 
 
@@ -214,8 +214,8 @@ SELECT string_agg(o_orderpriority || ': ' || CAST(CAST(round(revenue, 2) AS DECI
 FROM t
 """)
 def catalogue_prompt_rollup(spark, d):
-    o = table(spark, d, "orders").withColumn("month", month_start("o_orderdate"))
-    g = R.latest(o, "month").groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("revenue"))
+    o = R.latest_period(table(spark, d, "orders"), "o_orderdate", "MONTH")
+    g = o.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("revenue"))
     text = F.concat("o_orderpriority", F.lit(": "),
                     F.round("revenue", 2).cast("decimal(18,2)").cast("string"))
     return R.rollup_text(g, text, [("revenue", "desc"), ("o_orderpriority", "asc")], k=3)

@@ -28,8 +28,9 @@ FROM o WHERE month = (SELECT max(month) FROM o)
 GROUP BY o_orderpriority
 """)
 def latest_group_avg(spark, d):
-    o = orders_by_month(spark, d)
-    return R.group_stats(R.latest(o, "month"), ["o_orderpriority"], "o_totalprice", digits=4)
+    # the latest month as a literal range on o_orderdate: pushed into the scan
+    o = R.latest_period(table(spark, d, "orders"), "o_orderdate", "MONTH")
+    return R.group_stats(o, ["o_orderpriority"], "o_totalprice", digits=4)
 
 
 @register("latest_scalar", """
@@ -38,7 +39,7 @@ SELECT round(avg(o_totalprice), 4) AS avg_price, count(*) AS n_orders
 FROM o WHERE o_orderpriority = '1-URGENT' AND month = (SELECT max(month) FROM o)
 """)
 def latest_scalar(spark, d):
-    o = R.latest(orders_by_month(spark, d), "month")
+    o = R.latest_period(table(spark, d, "orders"), "o_orderdate", "MONTH")
     o = R.at(o, "o_orderpriority", "1-URGENT")
     return o.agg(F.round(F.avg("o_totalprice"), 4).alias("avg_price"),
                  F.count(F.lit(1)).alias("n_orders"))
@@ -64,7 +65,7 @@ WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
 GROUP BY 1
 """)
 def trailing_days(spark, d):
-    e = R.trailing(table(spark, d, "events"), "ts", 7)
+    e = R.trailing(table(spark, d, "events"), "ts", 7, prune=True)
     out = e.groupBy(F.to_date("ts").alias("day")).agg(
         F.round(F.sum("value"), 2).alias("total_value"), F.count(F.lit(1)).alias("n_events"))
     return R.order(out, ["day"])

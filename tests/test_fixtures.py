@@ -419,3 +419,16 @@ def test_drop_scratch(spark):
         spark.read.parquet(p).count()
     with pytest.raises(ValueError):
         drop_scratch(spark, "/tmp/not-ours")
+
+
+def test_latest_period_literal_range(spark):
+    ts = spark.createDataFrame([(dt.datetime(2024, 1, 31, 23, 59), 1), (dt.datetime(2024, 2, 1, 0, 0), 2),
+                                (dt.datetime(2024, 2, 29, 23, 59, 59), 3)], "t TIMESTAMP_NTZ, v INT")
+    assert sorted(r.v for r in R.latest_period(ts, "t", "MONTH").collect()) == [2, 3]
+    assert sorted(r.v for r in R.latest_period(ts, "t", "YEAR").collect()) == [1, 2, 3]
+    d = spark.createDataFrame([(dt.date(2024, 3, 1), 1), (dt.date(2024, 3, 2), 2)], "t DATE, v INT")
+    assert [r.v for r in R.latest_period(d, "t", "DAY").collect()] == [2]
+    assert R.latest_period(ts.limit(0), "t").count() == 0
+    lazy = sorted(r.v for r in R.trailing(ts, "t", 29).collect())
+    eager = sorted(r.v for r in R.trailing(ts, "t", 29, prune=True).collect())
+    assert lazy == eager == [2, 3]

@@ -59,3 +59,11 @@ def test_no_unbounded_window_or_nested_loop(spark, sf_dir, name):
         assert not re.search(r"\bWindow\b", p), name
     if name not in NESTED_LOOP_OK:
         assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_latest_period_is_pushed_into_the_scan(spark, sf_dir):
+    for name, col in (("latest_group_avg", "o_orderdate"), ("rounded_latest", "ts"),
+                      ("trailing_days", "ts")):
+        p = plan(registry.queries()[name](spark, sf_dir))
+        assert f"GreaterThanOrEqual({col}," in p, (name, p)
+        assert "Subquery" not in p, name
