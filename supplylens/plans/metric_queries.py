@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplylens.functions.columns import truncate_to
 
 from supplylens.operators import relational as R
 from supplylens.operators.metrics import MetricView, context, kpis
@@ -139,10 +138,10 @@ SELECT
 def kpi_row(spark, d):
     o = table(spark, d, "orders")
     e = table(spark, d, "events")
-    om = o.withColumn("month", truncate_to("o_orderdate", "MONTH"))
     ed = e.withColumn("day", F.to_date("ts"))
     base = {
-        "latest_price": lambda: R.latest(om, "month").agg(F.round(F.avg("o_totalprice"), 2)),
+        "latest_price": lambda: R.latest_period(o, "o_orderdate", "MONTH").agg(
+            F.round(F.avg("o_totalprice"), 2)),
         "n_events": lambda: R.counter(e),
         "n_urgent": lambda: R.counter(R.at(o, "o_orderpriority", "1-URGENT")),
         "purchase_share": lambda: R.share(R.latest(ed, "day"), F.col("event_type") == "purchase", "value"),
