@@ -432,3 +432,13 @@ def test_latest_period_literal_range(spark):
     lazy = sorted(r.v for r in R.trailing(ts, "t", 29).collect())
     eager = sorted(r.v for r in R.trailing(ts, "t", 29, prune=True).collect())
     assert lazy == eager == [2, 3]
+
+
+def test_trailing_prune_on_dates(spark):
+    d = spark.createDataFrame([(dt.date(2024, 3, 1), 1), (dt.date(2024, 3, 8), 2), (dt.date(2024, 3, 15), 3)],
+                              "t DATE, v INT")
+    for days in (0, 7, 14, 20):
+        lazy = sorted(r.v for r in R.trailing(d, "t", days).collect())
+        eager = sorted(r.v for r in R.trailing(d, "t", days, prune=True).collect())
+        assert lazy == eager, days
+    assert sorted(r.v for r in R.trailing(d, "t", 7, prune=True).collect()) == [2, 3]
