@@ -138,13 +138,13 @@ SELECT
 def kpi_row(spark, d):
     o = table(spark, d, "orders")
     e = table(spark, d, "events")
-    ed = e.withColumn("day", F.to_date("ts"))
     base = {
         "latest_price": lambda: R.latest_period(o, "o_orderdate", "MONTH").agg(
             F.round(F.avg("o_totalprice"), 2)),
         "n_events": lambda: R.counter(e),
         "n_urgent": lambda: R.counter(R.at(o, "o_orderpriority", "1-URGENT")),
-        "purchase_share": lambda: R.share(R.latest(ed, "day"), F.col("event_type") == "purchase", "value"),
+        "purchase_share": lambda: R.share(R.latest_period(e, "ts", "DAY"),
+                                          F.col("event_type") == "purchase", "value"),
         # a KPI over a table that was never loaded fails alone, to NULL
         "missing_metric": lambda: spark.table("no_such_table_anywhere").select("value"),
         # the other reading of a coverage KPI: the latest value, not a row count
