@@ -461,3 +461,24 @@ def verify_summary(spark, d):
     Q.save(table(spark, d, "orders").filter(F.col("o_totalprice") < 0), f"{db}.no_rows")
     rep = Q.verify(spark, [f"{db}.order_months", f"{db}.no_rows", f"{db}.never_loaded"])
     return Q.load_summary(rep)
+
+
+@register("table_count", """
+SELECT CAST(count(DISTINCT r_name) AS BIGINT) AS n_tables
+FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+""")
+def table_count(spark, d):
+    """AGG8 over SRC12: one table per region is landed (its nations), then
+    the catalog listing is counted by distinct table name."""
+    from supplylens.operators.grid import sanitize_names
+    db = _scratch_db(spark)
+    nation = table(spark, d, "nation")
+    region = table(spark, d, "region").join(nation.select("n_regionkey").distinct()
+                                            .withColumnRenamed("n_regionkey", "r_regionkey"),
+                                            "r_regionkey", "left_semi")
+    # region is a fixed-size dimension: its names label the landed tables
+    names = sorted(r.r_name for r in region.select("r_name").collect())
+    for label, tname in zip(names, sanitize_names(names)):
+        rk = region.filter(F.col("r_name") == label).select(F.col("r_regionkey").alias("n_regionkey"))
+        Q.save(nation.join(rk, "n_regionkey", "left_semi"), f"{db}.nations_{tname.lower()}")
+    return S.list_tables(spark, db).agg(F.count_distinct("tableName").alias("n_tables"))
