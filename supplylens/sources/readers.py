@@ -452,5 +452,12 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def list_tables(spark: SparkSession, db: str | None = None) -> DataFrame:
-    """SRC12: the catalog listing as a DataFrame (``SHOW TABLES``)."""
-    return spark.sql(f"SHOW TABLES IN {db}" if db else "SHOW TABLES")
+    """SRC12: the catalog listing as a DataFrame (``SHOW TABLES``).
+
+    For a named database only its own tables are listed: Spark also shows
+    the session's temporary views under every database, which are not part
+    of the namespace.
+    """
+    if not db:
+        return spark.sql("SHOW TABLES")
+    return spark.sql(f"SHOW TABLES IN {db}").filter(~F.col("isTemporary"))
