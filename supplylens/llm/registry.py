@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op8_mixing": mixing.op8_mixing,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op1_warc": warc.OP1_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }
