@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import mixing, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op3_token_store": token_store.op3_token_store,
         "op8_mixing": mixing.op8_mixing,
     }
 
