@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, token_store, warc
+from . import mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_token_store": token_store.op3_token_store,
         "op8_mixing": mixing.op8_mixing,
     }
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_warc": warc.OP1_SQL,
+        "op2_quality_rules": quality_rules.OP2_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }
