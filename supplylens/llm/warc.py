@@ -101,13 +101,15 @@ def _parts(value: Column) -> dict[str, Column]:
 
 
 def _with_payload(df: DataFrame, text: str) -> DataFrame:
-    """Adds payload (binary): the record's block, without the HTTP header if it has one."""
+    """Adds payload (binary), the record's block without the HTTP header if it has one, its bytes and its digest."""
     block = F.substring(F.col(text).cast("binary"), F.octet_length("header") + 5, F.col("length").cast("int"))
     df = df.withColumn("_block", block)
     head = F.substring_index(F.col("_block").cast("string"), END, 1)
     http = F.col("content_type").startswith("application/http")
     body = F.substring(F.col("_block"), F.octet_length(head) + 5, F.lit(2**31 - 1))
-    return df.withColumn("payload", F.when(http, body).otherwise(F.col("_block"))).drop("_block")
+    df = df.withColumn("payload", F.when(http, body).otherwise(F.col("_block"))).drop("_block")
+    return (df.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+            .withColumn("payload_digest", base32_sha1(F.col("payload"))))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -173,42 +175,43 @@ def reachable(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return known.join(edges, ["file", "offset"])
 
 
+RECORD = ["file", "offset", "type", "record_id", "target_uri", "refers_to", "declared_digest", "payload_bytes",
+          "payload_digest", "payload"]
+
+
 def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The records below ``path``: file, offset, type, record_id, target_uri,
-    refers_to, declared_digest, payload (binary).
+    """The records below ``path``, with the columns of ``RECORD``.
 
     With ``strict`` a file whose chain of records doesn't end at its end (cut
     short, or damaged) raises a ValueError; otherwise its records up to there
     are returned.  A folder without records gives an empty table.
     """
     found = candidates(spark, path)
-    chain = common.land(spark, reachable(spark, found.select("file", "offset", "successor")), "warc-chain")
+    places = common.land(spark, found.select("file", "file_size", "offset", "successor", "whole"), "warc-places")
+    chain = common.land(spark, reachable(spark, places), "warc-chain")
     if strict:
-        sizes = found.groupBy("file").agg(F.max("file_size").alias("size"), F.max("offset").alias("last"))
+        sizes = places.groupBy("file").agg(F.max("file_size").alias("size"))
         ends = chain.groupBy("file").agg(F.max("successor").alias("end"))
-        bad = (sizes.join(ends, "file", "left")
-               .where((F.col("size") > 0) & ~F.col("size").eqNullSafe(F.col("end"))).select("file").limit(5).collect())
+        bad = sizes.join(ends, "file", "left").where("not size <=> end").select("file").limit(5).collect()
         if bad:
             raise ValueError(f"records don't reach the end of {[r['file'] for r in bad]}")
-    kept = chain.select(F.col("file").alias("_file"), F.col("offset").alias("own"))
-    marked = found.join(kept, (F.col("file") == F.col("_file")) & (F.col("offset") == F.col("own")), "left").drop("_file")
-    simple = marked.where("own is not null and whole").select(*RECORD)
-    pieces = common.land(spark, _pieces(marked), "warc-pieces")
+    kept = chain.select("file", "offset")
+    simple = found.where("whole").join(kept, ["file", "offset"], "left_semi").select(*RECORD)
+    # A payload that holds the magic reaches over several candidates: join their texts again.
+    pieces = common.land(spark, _pieces(places, kept), "warc-pieces")
     if pieces.isEmpty():
         return simple
     return simple.unionByName(_rejoined(found, pieces))
 
 
-RECORD = ["file", "offset", "type", "record_id", "target_uri", "refers_to", "declared_digest", "payload"]
-
-
-def _pieces(marked: DataFrame) -> DataFrame:
+def _pieces(places: DataFrame, kept: DataFrame) -> DataFrame:
     """(file, offset, owner) of the candidates that make up records with the magic in them.
 
     The owner of a candidate is the last kept offset at or before it.  Only
     files that hold such a record are sorted, and only their offsets.
     """
-    light = marked.where("offset >= 0").select("file", "offset", "own", "whole")
+    kept = kept.withColumn("own", F.col("offset"))
+    light = places.where("offset >= 0").join(kept, ["file", "offset"], "left")
     files = light.where("own is not null and not whole").select("file").distinct()
     last = F.last(F.when(F.col("own").isNotNull(), F.struct("own", "whole")), ignorenulls=True).over(
         Window.partitionBy("file").orderBy("offset"))
@@ -226,22 +229,20 @@ def _rejoined(found: DataFrame, pieces: DataFrame) -> DataFrame:
     return _with_payload(whole, "text").select(*RECORD)
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
     """Per record: record_id, type, refers_to, payload_bytes and payload_digest of the full payload.
 
     A revisit takes both from the response that it refers to; if that is not
     in the archives they are null.
     """
-    own = records.select("record_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("n"),
-                         base32_sha1(F.col("payload")).alias("digest"))
-    first = (own.where("type = 'response'").groupBy(F.col("record_id").alias("_id"))
-             .agg(F.max("n").alias("_n"), F.max("digest").alias("_digest")))
+    light = common.land(spark, records.select("record_id", "type", "refers_to", "payload_bytes", "payload_digest"),
+                        "warc-records")
     revisit = F.col("type") == "revisit"
-    told = (own.where(revisit).join(first, F.col("refers_to") == F.col("_id"), "left")
-            .select("record_id", "type", "refers_to", F.col("_n").alias("payload_bytes"),
-                    F.col("_digest").alias("payload_digest")))
-    return (own.where(~revisit).select("record_id", "type", "refers_to", F.col("n").alias("payload_bytes"),
-                                       F.col("digest").alias("payload_digest")).unionByName(told))
+    first = (light.where(~revisit).groupBy(F.col("record_id").alias("_id"))
+             .agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")))
+    told = (light.where(revisit).select("record_id", "type", "refers_to")
+            .join(first, F.col("refers_to") == F.col("_id"), "left").drop("_id"))
+    return light.where(~revisit).unionByName(told)
 
 
 def row_id(record_id: Column) -> Column:
@@ -252,7 +253,7 @@ def row_id(record_id: Column) -> Column:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(spark, common.table(spark, sf_dir, "pages"), path)
-    return resolve(read_warc(spark, path)).select(
+    return resolve(spark, read_warc(spark, path)).select(
         row_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), row_id(F.col("refers_to")).alias("refers_to"))
 
