@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, quality_rules, token_store, warc
+from . import decontaminate, jaccard_join, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_token_store": token_store.op3_token_store,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     }
