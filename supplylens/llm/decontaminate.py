@@ -5,6 +5,7 @@ is a query.  An item's BM25 weights are divided by their sum, so a passage's
 score is the share of the item's weight that it holds, and one threshold
 serves all items.  All items at or above it are retrieved, then verified: the
 word runs of the question and those of the answer must both be in the passage.
+Words are compared in lower case and without punctuation.
 
 The search is WAND over blocks, for many passages at a time.  Of each item
 the commonest terms, as many as together stay below the threshold, can't
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -42,32 +43,38 @@ BLOCK_ITEMS = 16
 SHARD_WORDS = 1 << 19
 FOUND_DDL = "k long, text_hash long, item_id long, start int, score double, question_share double, answer_share double"
 
-_WORD = re.compile(common.WORD_PATTERN)
+#: Punctuation that counts as white space, in items and documents alike.
+MARKS = ".,;:!?#*$%&|<>()[]{}=+/_~^`\"'-"
+
+
+def normal(text: Column) -> Column:
+    """Lower case (of all scripts) without punctuation marks."""
+    return F.translate(F.lower(text), MARKS, " " * len(MARKS))
+
+
+def _count(text: str) -> int:
+    return len(text.lower().translate(dict.fromkeys(map(ord, MARKS), " ")).split())
 
 
 def answer_start(text: str) -> int:
-    """The number of words before the answer.
+    """The number of words (of the normal form) before the answer.
 
     The answer is the last line, or in an item of one line the last sentence;
     it is lengthened by what is before it until it has ``MIN_ANSWER_WORDS``
     words.  At most half of the words are answer.
     """
-    words = _WORD.findall(text)
-    lines = [len(_WORD.findall(x)) for x in text.split("\n") if _WORD.search(x)]
-    if len(lines) > 1:
-        n = lines[-1]
-    else:
-        ends = [i + 1 for i, w in enumerate(words[:-1]) if w[-1] in ".?!"]
-        n = len(words) - ends[-1] if ends else len(words) // 2
-    return len(words) - min(max(n, MIN_ANSWER_WORDS), len(words) // 2)
+    lines = [x for x in text.split("\n") if _count(x)]
+    last = lines[-1] if len(lines) > 1 else re.split(r"(?<=[.?!])\s+", text.strip())[-1]
+    words = _count(text)
+    n = _count(last) if _count(last) < words else words // 2
+    return words - min(max(n, MIN_ANSWER_WORDS), words // 2)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        split = [answer_start(t) for t in texts.fill_null("").to_pylist()]
+        split = [answer_start(t) for t in batch.column(1).fill_null("").to_pylist()]
         rows = []
-        for a, b, data, ends in shingles.chunks(texts):
+        for a, b, data, ends in shingles.chunks(batch.column(2)):
             hashes, owner, _, _ = shingles.words(data, ends)
             limits = np.searchsorted(owner, np.arange(b - a + 1))
             rows += [hashes[i:j].view(np.int64) for i, j in zip(limits[:-1], limits[1:], strict=True)]
@@ -260,8 +267,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("text_hash"),
-                        F.col(text_col).cast("string").alias("text"))
-    items = common.land(spark, benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+                        normal(F.col(text_col).cast("string")).alias("text"))
+    items = common.land(spark, benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"),
+                                                normal(F.col("text").cast("string")).alias("normal"))
                         .mapInArrow(_items, "item_id long, words array<long>, split int").distinct(), "items")
     items = items.where("size(words) > 0")
     about = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"),
