@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, token_store, warc
+from . import context_tree, decontaminate, jaccard_join, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+        "op10_context_tree": context_tree.op10_context_tree,
     }
 
 

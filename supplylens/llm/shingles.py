@@ -73,6 +73,11 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return hashes, np.searchsorted(ends, begins, "right") - 1, begins, stops
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 def fold(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` hashes."""
     out = hashes[:len(hashes) - width + 1].copy()
