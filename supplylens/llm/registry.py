@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontaminate, jaccard_join, mixing, quality_rules, token_store, warc
+from . import context_tree, decontaminate, html_extract, jaccard_join, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_token_store": token_store.op3_token_store,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_html_extract": html_extract.op5_html_extract,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_context_tree": context_tree.op10_context_tree,
