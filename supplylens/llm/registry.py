@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontaminate, html_extract, jaccard_join, mixing, quality_rules, token_store, warc
+from . import chat, context_tree, decontaminate, html_extract, jaccard_join, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_store": token_store.op3_token_store,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_html_extract": html_extract.op5_html_extract,
+        "op7_chat": chat.op7_chat,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_context_tree": context_tree.op10_context_tree,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict:
     return {
         "op1_warc": warc.OP1_SQL,
         "op2_quality_rules": quality_rules.OP2_SQL,
+        "op7_chat": chat.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }
