@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, context_tree, decontaminate, html_extract, jaccard_join, mixing, quality_rules, token_store, warc
+from . import chat, context_tree, decontaminate, html_extract, jaccard_join, mixing, pii, quality_rules, token_store, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_store": token_store.op3_token_store,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_html_extract": html_extract.op5_html_extract,
+        "op6_pii": pii.op6_pii,
         "op7_chat": chat.op7_chat,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,

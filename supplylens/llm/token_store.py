@@ -14,7 +14,9 @@ a second small table ``parts``.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,17 +53,46 @@ class PieceEncoder:
 
     Good for tokenizers that drop white space and join nothing across it, as
     ``word_bpe_49k``: the ids of a text are then those of its pieces in a
-    row, and a piece that comes again need not be encoded again.
+    row, and a piece that comes again need not be encoded again.  Where the
+    definition lower-cases texts, pieces are told apart in lower case only.
+
+    New pieces are encoded many in one call, between a special token of the
+    tokenizer: it is cut out before anything else, so pieces stay apart.
     """
 
     def __init__(self, definition: str, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        told = json.loads(definition)
+        self.lower = '"Lowercase"' in json.dumps(told.get("normalizer"))
+        special = [t for t in told.get("added_tokens") or [] if t["special"] and not t["lstrip"] and not t["rstrip"]]
+        self.special = [t["content"].encode() for t in told.get("added_tokens") or []]
+        self.between = (special[0]["content"], special[0]["id"]) if special else None
         self.kept = kept
         self.ids: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _pieces(self, text: bytes | None) -> list[bytes]:
+        if not text:
+            return []
+        if self.lower and not any(s in text for s in self.special):  # special tokens keep their case
+            text = text.lower()
+        return text.split()
+
+    def _encode_apart(self, pieces: list[bytes]) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        if self.between is None or any(s in p for p in pieces for s in self.special if len(p) >= len(s)):
+            return [array("I", e.ids).tobytes() for e in encode([p.decode() for p in pieces], add_special_tokens=False)]
+        text, mark = self.between
+        joined = [text.join(p.decode() for p in pieces[at:at + 500]) for at in range(0, len(pieces), 500)]
+        out = []
+        for e in encode(joined, add_special_tokens=False):
+            ids = np.array(e.ids, dtype="<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+        return out
+
     def _learn(self, pieces: set[bytes]) -> None:
         """Puts the ids of all ``pieces`` into ``self.ids``."""
         if len(self.ids) > self.kept:
@@ -74,13 +105,12 @@ class PieceEncoder:
                 self.ids[p] = ids
         for at in range(0, len(missing), 20_000):
             part = missing[at:at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            self.ids.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(part, encoded, strict=True))
+            self.ids.update(zip(part, self._encode_apart(part), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
-        rows = [(t or b"").split() for t in texts]
-        self._learn({p for row in rows for p in row})
+        rows = [self._pieces(t) for t in texts]
+        self._learn(set().union(*rows))
         get = self.ids.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
