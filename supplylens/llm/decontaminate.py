@@ -293,9 +293,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their own columns."""
-    bad = common.land(spark, contaminated(spark, docs, benchmark, id_col, text_col)
-                      .select("k", "text_hash").distinct(), "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("k")) & (F.xxhash64(text_col) == F.col("text_hash"))
+    k, text_hash = common.fresh(docs, "_k"), common.fresh(docs, "_text_hash")
+    bad = contaminated(spark, docs, benchmark, id_col, text_col).select(F.col("k").alias(k), F.col("text_hash").alias(text_hash))
+    bad = common.land(spark, bad.distinct(), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col(k)) & (F.xxhash64(text_col) == F.col(text_hash))
     return docs.join(common.small_side(bad, 24), same, "left_anti")
 
 

@@ -70,6 +70,24 @@ def hash_unit(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _planned(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, source_col: str,
+             weights: Sequence[float], max_rate: float, share: float, seed: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns of :data:`PLANNED` under names that are free in it, and those names."""
+    name = {c: common.fresh(docs, f"_mix_{c}") for c in ("key", *PLANNED)}
+    sizes = docs.select(F.col(source_col).alias("_source"), common.word_count(F.col(text_col)).alias("_size"))
+    targets = source_targets(sizes, "_source", "_size", weights, max_rate, share)
+    targets = targets.toDF(*[name[c] for c in ("key", "source_size", "target", "rate")])
+    targets = common.small_side(common.land(spark, targets, "mix-targets"), row_bytes=256)
+    joined = (docs.withColumn(name["size"], common.word_count(F.col(text_col)))
+              .join(targets, F.col(source_col).eqNullSafe(F.col(name["key"])), "left"))
+    whole = F.floor(name["rate"])
+    extra = hash_unit(F.col(id_col), seed) < F.col(name["rate"]) - whole
+    return joined.withColumn(name["copies"], (whole + extra.cast("long")).cast("long")).drop(name["key"]), name
+
+
+PLANNED = ("size", "source_size", "target", "rate", "copies")
+
+
 def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", weights: Sequence[float] = WEIGHTS,
          max_rate: float = MAX_RATE, share: float = 1.0, seed: str = "mix") -> DataFrame:
@@ -79,27 +97,20 @@ def plan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     columns are kept, but those named like one of the new columns are
     replaced.  Rows with equal ids take the same decision.
     """
-    keep = [c for c in docs.columns
-            if c not in ("size", "source_size", "target", "rate", "copies", "_source", "_key")]
-    sizes = docs.select(F.col(source_col).alias("_source"), common.word_count(F.col(text_col)).alias("_size"))
-    targets = common.land(spark, source_targets(sizes, "_source", "_size", weights, max_rate, share)
-                          .withColumnRenamed("_source", "_key"), "mix-targets")
-    targets = common.small_side(targets, row_bytes=256)
-    joined = (docs.select(*keep, common.word_count(F.col(text_col)).alias("size"))
-              .join(targets, F.col(source_col).eqNullSafe(F.col("_key")), "left"))
-    whole = F.floor("rate")
-    extra = hash_unit(F.col(id_col), seed) < F.col("rate") - whole
-    return joined.select(*keep, "size", "source_size", "target", "rate",
-                         (whole + extra.cast("long")).cast("long").alias("copies"))
-
-
-def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    planned, name = _planned(spark, docs, id_col, text_col, source_col, weights, max_rate, share, seed)
+    return planned.select(*[c for c in docs.columns if c.lower() not in PLANNED], *[F.col(name[c]).alias(c) for c in PLANNED])
+
+
+def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_rate: float = MAX_RATE,
+        share: float = 1.0, seed: str = "mix") -> DataFrame:
     """Emit every document as often as :func:`plan` says, with its own columns.
 
-    Same rows and columns as ``docs`` otherwise; an empty table stays empty.
+    All columns of ``docs`` stay as they are; an empty table stays empty.
     """
-    planned = plan(spark, docs, **how).where("copies > 0")
-    return (planned.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    planned, name = _planned(spark, docs, id_col, text_col, source_col, weights, max_rate, share, seed)
+    copies = F.col(name["copies"])
+    return (planned.where(copies > 0).withColumn(name["key"], F.explode(F.sequence(F.lit(1).cast("long"), copies)))
             .select(*docs.columns))
 
 

@@ -104,9 +104,12 @@ RULES = (
 )
 
 
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    return (docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-            .withColumn("_words", F.regexp_extract_all("_text", F.lit(common.WORD_PATTERN), F.lit(0))))
+def _with_words(docs: DataFrame, text_col: str) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with two more columns under free names, the text (null: empty) and its words."""
+    text, words = common.fresh(docs, "_text"), common.fresh(docs, "_words")
+    rows = (docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+            .withColumn(words, F.regexp_extract_all(text, F.lit(common.WORD_PATTERN), F.lit(0))))
+    return rows, F.col(text), F.col(words)
 
 
 def cascade(rules: Sequence[Rule], values: dict[str, Column]) -> Column:
@@ -131,9 +134,10 @@ def ranked(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULE
         return [(r, 0.0, 0.0) for r in rules]
     sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_rows / total), seed=7)
     sample = common.land(spark, sample.coalesce(8), "quality-sample")
-    values, found = metrics(F.col("_text"), F.col("_words")), []
+    rows, text, words = _with_words(sample, "text")
+    values, found = metrics(text, words), []
     for rule in rules:
-        judged = _with_words(sample, "text").agg(F.count("*").alias("n"), F.count_if(rule.reject(values)).alias("bad"))
+        judged = rows.agg(F.count("*").alias("n"), F.count_if(rule.reject(values)).alias("bad"))
         for _ in range(2):  # the first run also compiles
             began = time.perf_counter()
             row = judged.collect()[0]
@@ -150,8 +154,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule
     Equal rows share their verdict.  An empty table stays empty.
     """
     order = order or [r for r, _, _ in ranked(docs, text_col, rules)]
-    values = metrics(F.col("_text"), F.col("_words"))
-    return _with_words(docs, text_col).where(cascade(order, values).isNull()).select(*docs.columns)
+    rows, text, words = _with_words(docs, text_col)
+    return rows.where(cascade(order, metrics(text, words)).isNull()).select(*docs.columns)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -162,10 +166,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rules on other metrics run in the cascade only while no rule has rejected.
     """
     order = order or [r for r, _, _ in ranked(docs, text_col, rules)]
-    lazy = metrics(F.col("_text"), F.col("_words"))
     told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = _with_words(docs.select(F.col(id_col), F.col(text_col)), text_col)
-    rows = rows.select(id_col, "_text", "_words", *[lazy[c].cast("long").alias(c) for c in told])
+    rows, text, words = _with_words(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    lazy = metrics(text, words)
+    rows = rows.select(id_col, text, words, *[lazy[c].cast("long").alias(c) for c in told])
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
     values = lazy | {c: F.col(c) for c in told}

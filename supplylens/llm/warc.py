@@ -188,7 +188,8 @@ def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """
     found = candidates(spark, path)
     places = common.land(spark, found.select("file", "file_size", "offset", "successor", "whole"), "warc-places")
-    chain = common.land(spark, reachable(spark, places), "warc-chain")
+    # a record that the end of its file cuts is none
+    chain = common.land(spark, reachable(spark, places.where("successor <= file_size")), "warc-chain")
     if strict:
         sizes = places.groupBy("file").agg(F.max("file_size").alias("size"))
         ends = chain.groupBy("file").agg(F.max("successor").alias("end"))
