@@ -238,20 +238,18 @@ def main_text(html: str | None) -> str:
         way.append(node)
     threshold = min(x.density for x in way)
     # beside the subtree: what hangs off the way, in page order
-    chosen: list[Node] = []
-
-    def walk(at: int) -> None:
-        if at == 0:
-            chosen.append(best)
-            return
-        for p in way[at].parts:
-            if p is way[at - 1]:
-                walk(at - 1)
+    before: list[Node] = []
+    after: list[Node] = []
+    for inner, outer in zip(way, way[1:]):
+        side = []
+        for p in outer.parts:
+            if p is inner:
+                before, side = side + before, []
             elif isinstance(p, Node) and p.chars and p.link_chars * 2 <= p.chars and (
                     p.density >= threshold or p.tag in HEADINGS):
-                chosen.append(p)
-
-    walk(len(way) - 1)
+                side.append(p)
+        after += side
+    chosen = [*before, best, *after]
     return _text(chosen)
 
 
