@@ -144,7 +144,7 @@ def mercator_x(lon: str | Column) -> Column:
 
 
 def mercator_y(lat: str | Column) -> Column:
-    lat_c = F.least(F.greatest(col_of(lat), F.lit(-MERCATOR_MAX_LAT)),
-                    F.lit(MERCATOR_MAX_LAT))
+    """NULL beyond the projection's latitude limit."""
+    lat_c = F.when(col_of(lat).between(-MERCATOR_MAX_LAT, MERCATOR_MAX_LAT), col_of(lat))
     return (F.ln(F.tan((F.lit(90.0) + lat_c) * F.lit(3.141592653589793) / F.lit(360.0)))
             / F.lit(3.141592653589793) * F.lit(MERCATOR_HALF_WORLD))

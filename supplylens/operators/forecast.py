@@ -43,11 +43,12 @@ def _long(df: DataFrame, time: str, values: Sequence[str], by: Sequence[str]) ->
 
 def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str,
              grain: str = "MONTH", by: Sequence[str] = (), digits: int | None = 2,
-             z: float = Z_95) -> DataFrame:
+             z: float = Z_95, season: bool | str = "auto") -> DataFrame:
     """FC1: ``(by..., ds, {v}_forecast, {v}_upper, {v}_lower)`` per value column.
 
     ``df`` holds one row per period (per key); the period key is ``time``
-    truncated to the grain by the caller.
+    truncated to the grain by the caller.  ``season``: True, False, or
+    "auto", which fits one where a series covers two whole years.
 
     Plan: one fit aggregate per series, one join of the observations with
     the fits, then two grouped aggregates that carry the fit along as
@@ -87,7 +88,7 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
         F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("SSW"),
         F.map_from_entries(F.collect_list(F.struct("pos", (F.col("s1") / F.col("n")))))
         .alias("season_map"))
-    use_season = (F.col("t1") - F.col("t0")) >= F.lit(2 * per_year - 1)
+    use_season = ((F.col("t1") - F.col("t0")) >= F.lit(2 * per_year - 1)) if season == "auto" else F.lit(bool(season))
     var = F.when(use_season, F.col("SSW")).otherwise(
         F.col("S2") - F.col("S1") * F.col("S1") / F.col("N")) / (F.col("N") - 1)
     ser = ser.withColumn("sigma", F.when(F.col("N") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
@@ -97,9 +98,9 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
     end = F.date_sub(F.to_date(F.lit(horizon)), 1)
     periods = F.when(nxt <= end, F.sequence(nxt, end, F.expr(f"INTERVAL {step} MONTH")))
     fut = ser.withColumn("ds", F.explode(periods))
-    season = F.when(use_season, F.coalesce(F.try_element_at("season_map", pos_of(F.col("ds"))),
+    at_season = F.when(use_season, F.coalesce(F.try_element_at("season_map", pos_of(F.col("ds"))),
                                            F.lit(0.0))).otherwise(F.lit(0.0))
-    yhat = F.col("intercept") + F.col("slope") * t_of(F.col("ds")) + season
+    yhat = F.col("intercept") + F.col("slope") * t_of(F.col("ds")) + at_season
     fut = fut.select(*keys, "ds", yhat.alias("f"), (yhat + z * F.col("sigma")).alias("u"),
                      (yhat - z * F.col("sigma")).alias("l"))
 

@@ -61,8 +61,7 @@ def _frac_x(lon: Column) -> Column:
 
 
 def _frac_y(lat: Column) -> Column:
-    la = F.least(F.greatest(lat, F.lit(-MERCATOR_MAX_LAT)), F.lit(MERCATOR_MAX_LAT))
-    return (F.lit(1.0) - F.ln(F.tan((la + 90.0) * F.lit(math.pi) / 360.0)) / F.lit(math.pi)) / 2.0
+    return (F.lit(1.0) - F.ln(F.tan((lat + 90.0) * F.lit(math.pi) / 360.0)) / F.lit(math.pi)) / 2.0
 
 
 def tiles(df: DataFrame, zmin: int = 0, zmax: int = 16, layer: str | None = None,
@@ -71,8 +70,10 @@ def tiles(df: DataFrame, zmin: int = 0, zmax: int = 16, layer: str | None = None
     """GEO3: one row per point and zoom with its tile ``z, x, y``.
 
     ``zoom_limits`` narrows the zoom range per layer value.  Tiles are
-    half-open, so every point lands in exactly one tile per zoom.
+    half-open, so every point lands in exactly one tile per zoom; a point
+    beyond the projection's latitude limit lies in none.
     """
+    df = df.filter(F.col(lat).between(-MERCATOR_MAX_LAT, MERCATOR_MAX_LAT))
     lo, hi = F.lit(zmin), F.lit(zmax)
     if layer and zoom_limits:
         lim = F.create_map(*[x for k, (a, b) in zoom_limits.items()
@@ -191,7 +192,7 @@ def to_features(df: DataFrame, props: Sequence[str] | None = None, lon: str = "l
         .alias("geometry"),
         F.struct(*prop_cols).alias("properties"))
     return df.filter(col_of(lat).isNotNull() & col_of(lon).isNotNull()).select(
-        *keep, F.to_json(feature).alias("feature"))
+        *keep, F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
 

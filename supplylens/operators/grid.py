@@ -11,6 +11,7 @@ hot sheet's partition with the skew-join rule.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -61,12 +62,14 @@ def detect_period_header(cells: DataFrame, within: int = 15) -> DataFrame:
             .groupBy("sheet").agg(F.min("row_idx").alias("header_row")))
 
 
-def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = False) -> DataFrame:
+def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = False,
+                 unique: bool = False) -> DataFrame:
     """GRD3: the cells under each sheet's header, labelled with the header
     text, as ``(sheet, row_idx, col_idx, column, value)``.
 
     Rows with no non-empty cell are dropped; with ``ignore_first`` a row also
-    needs a non-empty cell beyond the first column.
+    needs a non-empty cell beyond column 0.  With ``unique`` the labels of a
+    sheet are storage-safe and all different (GRD8), blank ones included.
     """
     h = headers.select("sheet", "header_row")
     cells_h = cells.join(h, "sheet")
@@ -77,19 +80,43 @@ def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = Fals
                     F.when(non_empty(), F.col("value")).alias("value")))
     live = F.col("value").isNotNull()
     if ignore_first:
-        first_col = body.groupBy("sheet").agg(F.min("col_idx").alias("_c0"))
-        body = body.join(first_col, "sheet")
-        live = live & (F.col("col_idx") > F.col("_c0"))
+        live = live & (F.col("col_idx") > 0)
     # one window partition per spreadsheet row: bounded by the sheet's width
     row = Window.partitionBy("sheet", "row_idx")
     kept = (body.withColumn("_live", F.max(live.cast("int")).over(row))
             .filter(F.col("_live") == 1))
+    if unique:
+        # a column without a header cell counts as a blank one; a sheet's labels are one small group
+        every = kept.select("sheet", "col_idx").distinct().unionByName(names.select("sheet", "col_idx")).distinct()
+        heads = (every.join(names, ["sheet", "col_idx"], "left").groupBy("sheet")
+                 .agg(F.array_sort(F.collect_list(F.struct("col_idx", "column"))).alias("heads")))
+        names = (heads.withColumn("_named", _unique(F.transform("heads", lambda x: x["column"])))
+                 .select("sheet", F.explode(F.arrays_zip(F.transform("heads", lambda x: x["col_idx"]).alias("c"),
+                                                         F.col("_named").alias("n"))).alias("z"))
+                 .select("sheet", F.col("z.c").alias("col_idx"), F.col("z.n").alias("column")))
     return (kept.join(names, ["sheet", "col_idx"], "left")
             .withColumn("column", F.when(non_empty("column"), F.col("column"))
                         .otherwise(F.lit(EMPTY_NAME)))
             .select("sheet", "row_idx", "col_idx", "column", "value"))
 
 
+def _unique(labels: Column) -> Column:
+    """:func:`sanitize_names` of an array of labels as one expression."""
+    drop = "[" + re.escape(NAME_DROP_CHARS) + "]"
+    clean = F.transform(labels, lambda x: F.trim(F.regexp_replace(
+        F.regexp_replace(F.coalesce(x, F.lit("")), drop, ""), r"[\s_]+", " ")))
+    clean = F.transform(clean, lambda x: F.when(x == "", F.lit(EMPTY_NAME)).otherwise(F.replace(x, F.lit(" "), F.lit("_"))))
+
+    def free(acc, x):
+        used = F.transform(acc, lambda y: F.lower(y))
+        tries = F.transform(F.sequence(F.lit(1), F.size(clean) * 2), lambda i: F.concat(x, F.lit("_"), i.cast("string")))
+        wanted = F.transform(clean, lambda y: F.lower(y))
+        fits = F.filter(tries, lambda t: ~F.array_contains(used, F.lower(t)) & ~F.array_contains(wanted, F.lower(t)))
+        return F.concat(acc, F.array(F.when(F.array_contains(used, F.lower(x)), F.get(fits, F.lit(0))).otherwise(x)))
+
+    return F.aggregate(clean, F.array().cast("array<string>"), free)
+
+
 def rows_as_maps(long: DataFrame) -> DataFrame:
     """``(sheet, row_idx, record map<column, value>)``; one group per row,
     bounded by the sheet's width."""
@@ -170,31 +197,23 @@ def sanitize_names(names: Sequence[str]) -> list[str]:
     collapse ``_`` -> strip ``_`` -> empty becomes ``col``.  Duplicates get
     ``_1``, ``_2``... (case-insensitive, skipping suffixes already taken).
     """
-    cleaned = []
-    for n in names:
-        c = str(n).strip()
-        c = re.sub("[" + re.escape(NAME_DROP_CHARS) + "]", "", c)
-        c = re.sub(r"\s+", "_", c)
-        c = re.sub(r"_+", "_", c).strip("_")
-        cleaned.append(c or EMPTY_NAME)
-    taken = {c.lower() for c in cleaned}
-    seen: dict[str, int] = {}
+    drop = dict.fromkeys(map(ord, NAME_DROP_CHARS))
+    blank = str.maketrans("_", " ")
+    parts = [str(n).strip().translate(drop).translate(blank).split() for n in names]
+    return unique_names(["_".join(p) or EMPTY_NAME for p in parts])
+
+
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Each first use of a name stays; later ones get the least free suffix."""
+    wanted = {n.lower() for n in names}
+    used: set[str] = set()
     out = []
-    for c in cleaned:
-        key = c.lower()
-        if key not in seen:
-            seen[key] = 0
-            out.append(c)
-            continue
-        i = seen[key]
-        while True:
-            i += 1
-            cand = f"{c}_{i}"
-            if cand.lower() not in taken:
-                break
-        seen[key] = i
-        taken.add(cand.lower())
-        out.append(cand)
+    for n in names:
+        options = itertools.chain([n], (f"{n}_{i}" for i in itertools.count(1)))
+        pick = next(x for x in options
+                    if x.lower() not in used and (x == n or x.lower() not in wanted))
+        used.add(pick.lower())
+        out.append(pick)
     return out
 
 

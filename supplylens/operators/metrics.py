@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +55,9 @@ class MetricView:
 
 
 def scalar(df: DataFrame, column: str | Column, name: str = "val") -> DataFrame:
-    """Make a one-row DataFrame from the first column value of a small query."""
+    """Make a one-row DataFrame from a column of a one-row query (of several rows the largest value)."""
     c = F.col(column) if isinstance(column, str) else column
-    return df.agg(F.any_value(c).alias(name))
+    return df.agg(F.max(c).alias(name))
 
 
 def kpis(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]],
@@ -65,36 +65,34 @@ def kpis(spark: SparkSession, queries: Mapping[str, Callable[[], DataFrame]],
          value_type: str = "double") -> DataFrame:
     """KPI1: one row, one column per KPI; overrides win where not NULL.
 
-    Each callable returns a DataFrame whose first column is the value.  A
-    callable that fails to plan gives NULL for that KPI only.
+    Each callable returns a DataFrame whose first column is the value.  Every
+    KPI is evaluated alone (one small job, one value), so one that fails, when it
+    is planned or when it runs, is NULL and the others stand.
     """
     overrides = overrides or {}
 
-    def one(fn, name):
+    def value(fn):
         try:
             df = fn()
-            return scalar(df, df.columns[0], name).select(F.col(name).cast(value_type).alias(name))
-        except (AnalysisException, KeyError, ValueError):
-            return spark.range(1).select(F.lit(None).cast(value_type).alias(name))
+            return scalar(df, df.columns[0]).select(F.col("val").cast(value_type)).first()[0]
+        except (PySparkException, KeyError, ValueError):
+            return None
 
-    row = spark.range(1).select()
+    row = {}
     for name, fn in queries.items():
-        base = one(fn, name)
-        if name in overrides:
-            over = one(overrides[name], f"_o_{name}")
-            base = base.crossJoin(F.broadcast(over)).select(
-                F.coalesce(F.col(f"_o_{name}"), F.col(name)).alias(name))
-        row = row.crossJoin(F.broadcast(base))
-    return row
+        over = value(overrides[name]) if name in overrides else None
+        row[name] = value(fn) if over is None else over
+    return spark.range(1).select(*[F.lit(v).cast(value_type).alias(k) for k, v in row.items()])
 
 
 def context(spark: SparkSession, sets: Mapping[str, Callable[[], DataFrame]],
-            order: Mapping[str, Sequence] | None = None, max_rows: int = 50) -> DataFrame:
+            order: Mapping[str, Sequence] | None = None, max_rows: int | None = None) -> DataFrame:
     """BRF1: ``(label, context)`` rows; context is the set as JSON text.
 
-    Rows inside a set are ordered by the given keys (default: all columns)
-    and at most ``max_rows`` are kept, so one label's text stays bounded.
-    A set that fails to plan reads ``unavailable``.
+    Rows inside a set are ordered by the given keys (default: all columns).
+    All are kept unless ``max_rows`` is given: the caller's sets are summary
+    tables, and each becomes one text.  A set that fails to plan reads
+    ``unavailable``.
     """
     order = order or {}
     parts = []
@@ -102,9 +100,8 @@ def context(spark: SparkSession, sets: Mapping[str, Callable[[], DataFrame]],
         try:
             df = fn()
             keys = list(order.get(label, df.columns))
-            # the window below sees at most max_rows rows (after the limit)
-            capped = (df.orderBy(*order_cols(keys)).limit(max_rows)
-                      .withColumn("_pos", F.row_number().over(Window.orderBy(*order_cols(keys)))))
+            capped = df if max_rows is None else df.orderBy(*order_cols(keys)).limit(max_rows)
+            capped = capped.withColumn("_pos", F.row_number().over(Window.orderBy(*order_cols(keys))))
             st = F.struct(F.col("_pos"), *[F.col(c) for c in df.columns])
             packed = capped.agg(F.sort_array(F.collect_list(st)).alias("_a"))
             body = F.transform("_a", lambda s: F.struct(*[s[c].alias(c) for c in df.columns]))

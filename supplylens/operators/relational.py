@@ -146,29 +146,13 @@ def at(df: DataFrame, column: str, value) -> DataFrame:
 # --------------------------------------------------------------------------
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``dim`` only after checking it has at most max_rows.
-
-    The check counts at most ``max_rows + 1`` rows (a limit stops the job
-    early); above the bound the hint is not added and Spark falls back to a
-    shuffle join (AQE may still broadcast at runtime).
-    """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
-def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner",
-           max_broadcast_rows: int | None = None) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
     """JN2: code -> name dimension lookup.
 
     By default the join strategy is Spark's: a dimension read from files has
     size statistics, and Catalyst broadcasts it only under
     ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime).
-    Pass ``max_broadcast_rows`` for a derived dimension without statistics to
-    hint a broadcast after an explicit row-count check.
     """
-    if max_broadcast_rows is not None:
-        dim = bounded_broadcast(dim, max_broadcast_rows)
     return df.join(dim, on=on, how=how)
 
 
@@ -244,14 +228,13 @@ def group_stats(df: DataFrame, keys: Sequence[str], column: str, digits: int | N
 
 def group_sum(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
               having: str | None = None, digits: int | None = 2) -> DataFrame:
-    """AGG4: several sums per group, with an optional ``HAVING sum > 0``."""
-    exprs = []
-    for c in cols:
-        e = F.sum(F.col(c))
-        exprs.append((F.round(e, digits) if digits is not None else e).alias(f"sum_{c}"))
-    out = df.groupBy(*keys).agg(*exprs)
+    """AGG4: several sums per group, with an optional ``HAVING sum > 0`` on the
+    unrounded sum; rounding comes last."""
+    out = df.groupBy(*keys).agg(*[F.sum(F.col(c)).alias(f"sum_{c}") for c in cols])
     if having:
         out = out.filter(F.col(f"sum_{having}") > 0)
+    if digits is not None:
+        out = out.withColumns({f"sum_{c}": F.round(f"sum_{c}", digits) for c in cols})
     return out
 
 

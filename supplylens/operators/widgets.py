@@ -26,8 +26,19 @@ def axis(column: str, grain: str | None = None) -> tuple[str, Column]:
     """WID2: a plain field, or a time-grain bucket named ``grain(column)``."""
     if not grain:
         return column, F.col(column)
-    return (f"{grain.lower()}({column})",
-            F.date_trunc(grain.upper(), F.col(column)).cast("timestamp_ntz"))
+    return f"{grain.lower()}({column})", bucket(F.col(column).cast("timestamp_ntz"), grain)
+
+
+def bucket(at: Column, grain: str) -> Column:
+    """The start of the grain as a zone-free timestamp, from calendar fields only:
+    no step goes through the session time zone, where an hour may be missing."""
+    grain = grain.upper()
+    day = F.to_date(at)
+    if grain in ("HOUR", "MINUTE", "SECOND"):
+        return F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), F.hour(at),
+                                    F.minute(at) if grain != "HOUR" else F.lit(0),
+                                    F.floor(F.extract(F.lit("SECOND"), at)) if grain == "SECOND" else F.lit(0))
+    return (day if grain == "DAY" else F.trunc(day, grain)).cast("timestamp_ntz")
 
 
 def widget(df: DataFrame, x: str | None = None, y: Sequence[tuple[str, str | None]] = (),

@@ -118,7 +118,7 @@ SELECT s_nationkey, round(sum(l_quantity), 2) AS sum_l_quantity,
        round(sum(l_extendedprice), 2) AS sum_l_extendedprice
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 WHERE s_nationkey NOT IN (0, 24) AND l_quantity IS NOT NULL
-GROUP BY s_nationkey HAVING round(sum(l_extendedprice), 2) > 0
+GROUP BY s_nationkey HAVING sum(l_extendedprice) > 0
 ORDER BY sum_l_extendedprice DESC, s_nationkey ASC LIMIT 15
 """)
 def catalogue_importers_by_volume(spark, d):
@@ -267,13 +267,12 @@ def catalogue_six_sources(spark, d):
 @register("catalogue_point_feed", f"""
 SELECT to_json({{'type': 'Feature',
                 'geometry': {{'type': 'Point', 'coordinates': [longitude, latitude]}},
-                'properties': {{'acctbal': acctbal, 'name': substring(c_name, 1, 12),
-                                'commodity': substring(c_mktsegment, 1, 5), 'state': ''}}}})::VARCHAR AS feature
-FROM (SELECT * FROM ({geo_queries._CUST_SQL}) c ORDER BY id LIMIT 5000) t
+                'properties': {{'acctbal': acctbal, 'name': substring(c_name, 1, 300),
+                                'commodity': substring(c_mktsegment, 1, 200), 'state': ''}}}})::VARCHAR AS feature
+FROM (SELECT * FROM ({geo_queries._CUST_SQL}) c) t
 """)
 def catalogue_point_feed(spark, d):
-    pts = R.cap(geo_queries.customer_points(spark, d), 5000, ["id"])
-    return G.to_features(pts)
+    return G.to_features(geo_queries.customer_points(spark, d))
 
 
 @register("catalogue_scenario_latest", "SELECT * FROM (" + _scenario_sql(

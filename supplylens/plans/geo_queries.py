@@ -37,7 +37,7 @@ def customer_points(spark, d):
                     {"name": ["name", "Name", "DEPOSIT_NAME"],
                      "commodity": ["commodity", "Commodity", "COMMODITY"],
                      "state": ["state", "State", "STATE"]},
-                    limits={"name": 12, "commodity": 5, "state": 50}, keep=["id", "acctbal"])
+                    limits={"name": 300, "commodity": 200, "state": 50}, keep=["id", "acctbal"])
 
 
 def supplier_points(spark, d):
@@ -89,7 +89,7 @@ def _tiles(spark, d):
 
 
 @register("points", f"""
-SELECT id, acctbal, substring(c_name, 1, 12) AS name, substring(c_mktsegment, 1, 5) AS commodity,
+SELECT id, acctbal, substring(c_name, 1, 300) AS name, substring(c_mktsegment, 1, 200) AS commodity,
        '' AS state, longitude, latitude
 FROM ({_CUST_SQL}) c
 """)
@@ -144,8 +144,8 @@ def in_bbox_q(spark, d):
 @register("features", f"""
 SELECT to_json({{'type': 'Feature',
                 'geometry': {{'type': 'Point', 'coordinates': [longitude, latitude]}},
-                'properties': {{'acctbal': acctbal, 'name': substring(c_name, 1, 12),
-                                'commodity': substring(c_mktsegment, 1, 5), 'state': ''}}}})::VARCHAR AS feature
+                'properties': {{'acctbal': acctbal, 'name': substring(c_name, 1, 300),
+                                'commodity': substring(c_mktsegment, 1, 200), 'state': ''}}}})::VARCHAR AS feature
 FROM ({_CUST_SQL}) c
 """)
 def features_q(spark, d):

@@ -169,16 +169,17 @@ def parse_number_q(spark, d):
 @register("tag_union", """
 SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, count(*) AS n,
        CASE o_orderstatus WHEN 'F' THEN 'actual' ELSE 'forecast' END AS series_type
-FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 3
+FROM orders GROUP BY 1, 3
 """)
 def tag_union(spark, d):
     o = table(spark, d, "orders")
 
-    def monthly(status):
-        return (o.filter(F.col("o_orderstatus") == status)
+    def monthly(rows):
+        return (o.filter(rows)
                 .groupBy(month_start("o_orderdate").alias("ds"))
                 .agg(F.count(F.lit(1)).alias("n")))
-    return R.stack_series(monthly("F"), monthly("O"))
+    done = F.col("o_orderstatus").eqNullSafe(F.lit("F"))
+    return R.stack_series(monthly(done), monthly(~done))
 
 
 @register("union_missing", """
@@ -437,7 +438,7 @@ def volatility(spark, d):
 SELECT l_suppkey, round(sum(l_quantity), 2) AS sum_l_quantity,
        round(sum(l_extendedprice), 2) AS sum_l_extendedprice
 FROM lineitem GROUP BY l_suppkey
-HAVING round(sum(l_extendedprice), 2) > 0
+HAVING sum(l_extendedprice) > 0
 ORDER BY sum_l_extendedprice DESC, l_suppkey ASC LIMIT 15
 """)
 def group_sum_having(spark, d):
@@ -460,7 +461,6 @@ def _nation_balances(spark, d):
     c = table(spark, d, "customer")
     n = table(spark, d, "nation")
     bal = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("balance"))
-    # nation is a fixed 25-row dimension; the size check keeps the hint honest.
     return R.lookup(bal, n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
 
 

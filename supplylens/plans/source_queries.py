@@ -370,11 +370,16 @@ def save_count(spark, d):
     return spark.table(f"{db}.order_months")
 
 
-@register("list_tables")
+@register("list_tables", """
+SELECT CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS n_tables FROM orders
+""")
 def list_tables_q(spark, d):
+    """One table per order status is landed (a one-letter code: a few values), then the catalog is listed."""
     db = _scratch_db(spark)
-    Q.save(_monthly(spark, d), f"{db}.order_months")
-    Q.save(table(spark, d, "nation"), f"{db}.nations")
+    o = table(spark, d, "orders").filter(F.col("o_orderstatus").isNotNull())
+    for r in o.select("o_orderstatus").distinct().collect():
+        Q.save(o.filter(F.col("o_orderstatus") == r.o_orderstatus).groupBy("o_orderpriority").count(),
+               f"{db}.orders_{r.o_orderstatus.lower()}")
     return S.list_tables(spark, db).agg(F.count_distinct("tableName").alias("n_tables"))
 
 
@@ -427,7 +432,7 @@ def stream_refresh(spark, d):
         return stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
                                                 F.sum("value").alias("total_value"))
 
-    for part in (e.filter(F.col("ts") < mid), e.filter(F.col("ts") >= mid)):
+    for part in (e.filter(F.col("ts") < mid), e.filter(~F.coalesce(F.col("ts") < mid, F.lit(False)))):
         part.write.mode("append").parquet(src)
         refresh_table(spark, src, e.schema, build, sink, checkpoint=ckpt).awaitTermination()
     return spark.read.parquet(sink).withColumn("total_value", F.round("total_value", 2))

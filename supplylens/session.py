@@ -84,15 +84,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/supplylens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file writes in tests."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
-
-
 def drop_scratch(spark: SparkSession, path: str) -> bool:
     """Delete one folder made by :func:`scratch_path`, and nothing else.
 

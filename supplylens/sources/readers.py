@@ -13,6 +13,7 @@ touches only the first split of each file and needs no whole-file rows.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
@@ -85,36 +86,36 @@ def _indexed_lines(spark: SparkSession, path) -> DataFrame:
 
 def preamble_headers(lines: DataFrame, fallback: int = PREAMBLE_FALLBACK_LINE,
                      skip_words: Sequence[str] = PREAMBLE_SKIP_WORDS) -> DataFrame:
-    """Per file: ``(file, base, header_idx, header_line)``.
+    """Per file: ``(file, block, mid, header_line)``; block and mid place the header.
 
     The first data line is the first line not naming a skip word, with more
     than three comma fields and a digit in the first four characters; the
     header is the nearest non-empty line above it not starting with ``#``.
     Without either, line ``fallback`` is the header.
 
-    Only first-split lines take part; the per-file window therefore holds at
-    most one split of lines, and one aggregate yields the header and its text.
+    All lines of a file take part, wherever its splits fall: the first data
+    line and the header are two partial aggregates in (block, mid) order, and
+    the fallback keeps a few lines per task.
     """
-    w = Window.partitionBy("file")
-    first = lines.filter(F.col("block") == 0)
-    idx = first.withColumn("base", F.min("mid").over(w)).withColumn("idx", F.col("mid") - F.col("base"))
+    pos = F.struct("block", "mid")
     parts = F.split(F.trim("line"), ",")
     skip = F.lit(False)
     for wd in skip_words:
         skip = skip | F.col("line").contains(wd)
     is_data = ~skip & (F.size(parts) > 3) & F.substring(parts[0], 1, 4).rlike("[0-9]")
-    idx = idx.withColumn("first_data", F.min(F.when(is_data, F.col("idx"))).over(w))
-    cand = ((F.col("idx") < F.col("first_data")) & (F.trim("line") != "")
-            & ~F.col("line").startswith("#"))
-    meta = idx.groupBy("file").agg(
-        F.min("base").alias("base"),
-        F.max(F.when(cand, F.struct(F.col("idx"), F.col("line")))).alias("found"),
-        F.max(F.when(F.col("idx") == fallback, F.col("line"))).alias("fallback_line"))
-    return meta.select(
-        "file", "base",
-        F.coalesce(F.col("found.idx"), F.lit(fallback).cast("long")).alias("header_idx"),
-        F.when(F.col("found").isNotNull(), F.col("found.line"))
-        .otherwise(F.col("fallback_line")).alias("header_line"))
+    first = (lines.filter(is_data).groupBy(F.col("file").alias("_file"))
+             .agg(F.min(pos).alias("_first")))
+    above = (lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#"))
+             .join(first, F.col("file") == F.col("_file")).filter(pos < F.col("_first")))
+    found = above.groupBy("file").agg(F.max(F.struct("block", "mid", "line")).alias("found"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("block", "mid"))
+    other = (lines.withColumn("_n", rank).filter(F.col("_n") <= fallback + 1)
+             .filter(F.col("_n") == fallback + 1)
+             .select(F.col("file").alias("_f"), F.struct("block", "mid", "line").alias("other")))
+    head = F.coalesce("found", "other")
+    return (found.join(other, F.col("file") == F.col("_f"), "full_outer")
+            .select(F.coalesce("file", "_f").alias("file"), head.getField("block").alias("block"),
+                    head.getField("mid").alias("mid"), head.getField("line").alias("header_line")))
 
 
 def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
@@ -133,13 +134,14 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     (preamble_headers(lines, fallback).filter(F.col("header_line").isNotNull())
      .write.mode("overwrite").parquet(meta_path))
     meta = spark.read.parquet(meta_path)
-    body = (lines.join(meta, "file")
-            .filter((F.col("block") > 0) | (F.col("mid") - F.col("base") > F.col("header_idx"))))
+    heads = meta.select(F.col("file").alias("_file"), F.struct("block", "mid").alias("_head"), "header_line")
+    body = (lines.join(heads, F.col("file") == F.col("_file"))
+            .filter(F.struct("block", "mid") > F.col("_head")))
     # Driver sees one header line per distinct layout (metadata, not data).
     layouts = [r.header_line for r in meta.select("header_line").distinct().collect()]
     out = None
     for h in layouts:
-        names = sanitize_names([p.strip() for p in h.split(",")])
+        names = sanitize_names([p.strip() for p in next(csv.reader([h]))])
         names[0] = "date"
         names = sanitize_names(names)
         ddl = ", ".join(f"`{n}` STRING" for n in names)
@@ -190,7 +192,7 @@ def json_records_from_text(df: DataFrame, column: str, records: str = "result.re
     """SRC3 for envelopes held as text in a column: keep envelopes whose
     ``flag`` is true, explode ``records``, type the fields from their merged
     schema (one small aggregate), drop fields starting with ``_``."""
-    env = df.select(*keep, F.parse_json(F.col(column)).alias("_e"))
+    env = df.select(*keep, F.try_parse_json(F.col(column)).alias("_e"))
     if flag:
         env = env.filter(F.try_variant_get(F.col("_e"), f"$.{flag}", "boolean") == F.lit(True))
     recs = env.select(*keep, F.explode(F.try_variant_get(F.col("_e"), f"$.{records}",
@@ -291,7 +293,7 @@ def flatten_features(spark: SparkSession, path, multiline: bool = True) -> DataF
         T.StructField("properties", props), T.StructField("geometry", T.StringType())])))])
     f = (spark.read.schema(schema).option("multiLine", multiline).json(path)
          .select(F.explode("features").alias("f")))
-    g = F.parse_json(F.col("f.geometry"))
+    g = F.try_parse_json(F.col("f.geometry"))
 
     def coord(i):
         return F.coalesce(F.try_variant_get(g, f"$.coordinates[0][{i}]", "double"),
@@ -314,7 +316,7 @@ def flatten_feature_text(df: DataFrame, column: str, keep: Sequence[str] = ()) -
     the property schema is the merge over all features (one aggregate that
     returns a short type string), so properties become typed columns.
     """
-    feats = df.select(*keep, F.explode(F.try_variant_get(F.parse_json(F.col(column)), "$.features",
+    feats = df.select(*keep, F.explode(F.try_variant_get(F.try_parse_json(F.col(column)), "$.features",
                                                          "array<variant>")).alias("_f"))
     props = F.try_variant_get(F.col("_f"), "$.properties", "variant")
     schema = feats.select(F.schema_of_variant_agg(props)).first()[0]
@@ -422,15 +424,21 @@ def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def read_first(readers: Sequence[Callable[[], DataFrame]]) -> DataFrame | None:
-    """SRC11: the first candidate that plans and has at least one row.
+    """SRC11: the first candidate that plans, has at least one row and decodes.
 
-    The row check is ``limit(1)`` on the candidate: a short job that stops
-    after the first row, never a full count.
+    The row check is ``limit(1)`` on the candidate.  A candidate whose text
+    holds U+FFFD was read with the wrong encoding and is passed over; that
+    check stops at the first such row, and reads a good candidate once.
     """
     for make in readers:
         try:
             df = make()
-            if df.limit(1).count() > 0:
+            texts = [F.col(f"`{f.name}`").contains("\ufffd") for f in df.schema.fields
+                     if isinstance(f.dataType, T.StringType)]
+            broken = F.lit(False)
+            for t in texts:
+                broken = broken | F.coalesce(t, F.lit(False))
+            if df.limit(1).count() > 0 and (not texts or df.filter(broken).limit(1).count() == 0):
                 return df
         except (AnalysisException, OSError, ValueError):
             continue

@@ -21,6 +21,5 @@ def test_query_matches_oracle(spark, con, sf_dir, name):
     assert res["status"] in ("ok", "rows-only"), res
 
 
-def test_every_query_but_catalog_listing_has_an_oracle():
-    missing = set(registry.queries()) - set(registry.oracle_sql())
-    assert missing <= {"list_tables"}, missing
+def test_every_query_has_an_oracle():
+    assert set(registry.queries()) == set(registry.oracle_sql())
