@@ -196,11 +196,32 @@ def to_features(df: DataFrame, props: Sequence[str] | None = None, lon: str = "l
 
 
 
+def tile_bounds(z: Column, x: Column, y: Column) -> list[Column]:
+    """The envelope of a tile in degrees: min_lon, min_lat, max_lon, max_lat."""
+    n = F.pow(F.lit(2.0), z)
+
+    def lat(row: Column) -> Column:
+        return F.degrees(F.atan(F.sinh(F.lit(math.pi) * (F.lit(1.0) - 2 * row / n))))
+    return [(x / n * 360.0 - 180.0).alias("min_lon"), lat(y + 1).alias("min_lat"),
+            ((x + 1) / n * 360.0 - 180.0).alias("max_lon"), lat(y).alias("max_lat")]
+
+
+def tile_lookup(df: DataFrame, z: int, x: int, y: int, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """The points of one tile: its envelope as literal bounds, half-open as in :func:`tiles`
+    (pushed to the scan on stored columns)."""
+    n = 2.0 ** z
+    north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + i) / n)))) for i in (0, 1))
+    return df.filter((F.col(lon) >= x / n * 360.0 - 180.0) & (F.col(lon) < (x + 1) / n * 360.0 - 180.0)
+                     & (F.col(lat) <= north) & (F.col(lat) > south))
+
+
 def export_features(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """GEO7 sink: one GeoJSON Feature per line (newline-delimited GeoJSON),
     written in parallel; ``partition_by`` columns become folders."""
-    (to_features(df, keep=partition_by).write.mode("overwrite")
-     .partitionBy(*partition_by).text(path))
+    out = to_features(df, keep=partition_by)
+    if partition_by:
+        out = out.hint("rebalance", *partition_by)  # files by size, not one per task and folder
+    out.write.mode("overwrite").partitionBy(*partition_by).text(path)
 
 
 def export_tiles(df: DataFrame, path: str, zmin: int = 0, zmax: int = 16, layer: str = "layer",
@@ -208,7 +229,10 @@ def export_tiles(df: DataFrame, path: str, zmin: int = 0, zmax: int = 16, layer:
                  extent: int = TILE_EXTENT) -> None:
     """GEO3-5 sink: the precomputed tile store that replaces a per-process
     tile cache.  Every point is written once per zoom with its tile and
-    tile-local position, partitioned by layer and zoom (``layer=.../z=...``),
-    so serving a tile reads one folder and filters on ``x, y``."""
+    tile-local position, partitioned by layer and zoom (``layer=.../z=...``)
+    and clustered by tile, so serving a tile reads one folder and, by the
+    statistics of ``x, y``, a few row groups of it."""
     t = tile_coords(tiles(df, zmin, zmax, layer=layer, zoom_limits=zoom_limits), extent)
+    order = [layer, "z", "x", "y"]
+    t = t.repartitionByRange(*order).sortWithinPartitions(*order)
     t.write.mode("overwrite").partitionBy(layer, "z").parquet(path)

@@ -186,7 +186,7 @@ def write_split(df: DataFrame, key: str, mapping: Mapping[str, str], path: str,
     """GRD7 as one job: rows of mapped key values written to one folder per
     target name (``path/table=<name>``); other key values are skipped."""
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    (df.withColumn("table", m[F.col(key)]).filter(F.col("table").isNotNull())
+    (df.withColumn("table", m[F.col(key)]).filter(F.col("table").isNotNull()).hint("rebalance", "table")
      .write.mode("overwrite").partitionBy("table").format(fmt).save(path))
 
 

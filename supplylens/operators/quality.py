@@ -35,7 +35,7 @@ def export_points(df: DataFrame, path: str, layer: str = "layer", fmt: str = "pa
 
     Returns the exported data read back, for checks downstream.
     """
-    df.write.mode("overwrite").partitionBy(layer).format(fmt).save(path)
+    df.hint("rebalance", layer).write.mode("overwrite").partitionBy(layer).format(fmt).save(path)
     return df.sparkSession.read.format(fmt).load(path)
 
 

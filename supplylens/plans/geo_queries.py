@@ -170,3 +170,27 @@ def tiles_export(spark, d):
         F.count(F.lit(1)).alias("n_points"),
         F.count_distinct(F.struct("x", "y")).alias("n_tiles"),
         F.sum(F.col("px") + F.col("py")).cast("bigint").alias("px_py_sum"))
+
+
+@register("tile_bounds", f"""
+SELECT DISTINCT z, x, y, round(x / pow(2.0, z) * 360.0 - 180.0, 6) AS min_lon,
+       round(degrees(atan(sinh(pi() * (1.0 - 2.0 * (y + 1) / pow(2.0, z))))), 6) AS min_lat,
+       round((x + 1) / pow(2.0, z) * 360.0 - 180.0, 6) AS max_lon,
+       round(degrees(atan(sinh(pi() * (1.0 - 2.0 * y / pow(2.0, z))))), 6) AS max_lat
+FROM ({_TILES_SQL}) q
+""")
+def tile_bounds_q(spark, d):
+    """The envelope of every occupied tile."""
+    t = _tiles(spark, d).select("z", "x", "y").distinct()
+    bounds = zip(("min_lon", "min_lat", "max_lon", "max_lat"), G.tile_bounds(F.col("z"), F.col("x"), F.col("y")))
+    return t.select("z", "x", "y", *[F.round(c, 6).alias(n) for n, c in bounds])
+
+
+@register("tile_lookup", f"""
+SELECT layer, id, longitude, latitude FROM ({_TILES_SQL}) q WHERE z = 4 AND x = 13 AND y = 9
+""")
+def tile_lookup_q(spark, d):
+    """The features of tile 4/13/9 by its envelope; the SQL takes them by tile number."""
+    limits = {k for k, (a, b) in ZOOM_LIMITS.items() if not a <= 4 <= b}
+    pts = layers(spark, d).filter(~F.col("layer").isin(list(limits)))
+    return G.tile_lookup(pts, 4, 13, 9).select("layer", "id", "longitude", "latitude")
