@@ -62,13 +62,15 @@ def stream(low: np.ndarray, owner: np.ndarray, begins: np.ndarray, stops: np.nda
 
 def runs(coded: np.ndarray, limits: np.ndarray, depth: int) -> np.ndarray:
     """For every byte the number made of it (low byte) and the ``depth`` bytes before it; before a text stand end symbols."""
-    within = np.arange(len(coded)) - np.repeat(limits[:-1], np.diff(limits))
-    key = coded.astype(np.int64)
-    for k in range(1, depth + 1):
-        back = np.full(len(coded), END, dtype=np.int64)
-        back[k:] = np.where(within[k:] >= k, coded[:-k], END)
-        key |= back << (8 * k)
-    return key
+    at = np.arange(len(coded)) + np.repeat(depth * np.arange(1, len(limits)), np.diff(limits))
+    padded = np.full(len(coded) + depth * (len(limits) - 1), END, dtype=np.int64)
+    padded[at] = coded
+    key, span = padded.copy(), 1  # numbers of 1, 2, 4, ... bytes, then the whole
+    while span <= depth:
+        step = min(span, depth + 1 - span)
+        key[step:] |= key[:-step] << (8 * step) if len(key) > step else key[:0]
+        span += step
+    return key[at] & ((1 << (8 * (depth + 1))) - 1)
 
 
 def _pieces(texts: pa.Array, depth: int):
@@ -191,14 +193,44 @@ def lengths(spark: SparkSession, grams: DataFrame, tables: list[DataFrame]) -> D
     return done.groupBy("gram").agg(F.sum(F.log10(p)).alias("value"))
 
 
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value or 0) of each wanted key; ``keys`` ascend."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    found = keys[at] == wanted
-    return found, np.where(found, values[at], 0.0)
+class Table:
+    """A hash table of 64-bit keys and numbers in two arrays, looked up for many keys at once."""
+
+    EMPTY = np.iinfo(np.int64).min
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(1.6 * len(keys) + 1))))
+        self.keys = np.full(1 << self.bits, self.EMPTY)
+        self.values = np.zeros(1 << self.bits)
+        keys, values = keys[keys != self.EMPTY], values[keys != self.EMPTY]
+        at = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == self.EMPTY)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[put] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value or 0) of each wanted key."""
+        at = self._place(wanted)
+        got = self.keys[at]
+        hit, value = got == wanted, self.values[at]
+        value[~hit] = 0.0
+        open_ = np.flatnonzero(~hit & (got != self.EMPTY))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[open_]]
+            found = got == wanted[open_]
+            hit[open_[found]] = True
+            value[open_[found]] = self.values[at[open_[found]]]
+            open_ = open_[~found & (got != self.EMPTY)]
+        return hit, value
 
 
 SCORED = ("row long, k long, held_out boolean, n_tokens long, n_bytes long, hot_base double, hot_known long, "
@@ -217,16 +249,16 @@ def _rare(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.A
 
 def _score(shared, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_values, grams, gram_values = shared.value
+        words, grams = shared.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, n, tokens, owner, keys, limits in _pieces(batch.column(2), depth):
-                hit, value = _look_up(words, word_values, tokens)
+                hit, value = words.find(tokens)
                 base = np.bincount(owner, weights=value, minlength=n)
                 known = np.bincount(owner, weights=hit, minlength=n).astype(np.int64)
                 rare = _rare(tokens[~hit], owner[~hit], n)
                 of = np.repeat(np.arange(n), np.diff(limits))
-                hit, value = _look_up(grams, gram_values, keys)
+                hit, value = grams.find(keys)
                 score = np.bincount(of, weights=value, minlength=n)
                 rare_grams = _rare(keys[~hit], of[~hit], n)
                 yield pa.RecordBatch.from_arrays(
@@ -240,12 +272,10 @@ def _score(shared, depth: int):
     return run
 
 
-def _hot(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` commonest rows of (key, n, value), as ascending keys and their values."""
+def _hot(table: DataFrame, most: int) -> Table:
+    """The ``most`` commonest rows of (key, n, value)."""
     top = table.where("n > 0").orderBy(F.col("n").desc(), "key").limit(most).select("key", "value").toArrow()
-    keys, values = top.column(0).to_numpy(), top.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    return Table(top.column(0).to_numpy(), top.column(1).to_numpy())
 
 
 def _rest(scored: DataFrame, keys: str, counts: str, table: DataFrame) -> DataFrame:
@@ -278,7 +308,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     grams = counts.where(F.col("kind") == RUN).select(F.col("key").alias("gram"), "n")
     table = lengths(spark, grams, train(spark, grams, depth))
     table = common.land(spark, grams.join(table, "gram").select(F.col("gram").alias("key"), "n", "value"), "code")
-    shared = spark.sparkContext.broadcast((*_hot(words, hot_words), *_hot(table, hot)))
+    shared = spark.sparkContext.broadcast((_hot(words, hot_words), _hot(table, hot)))
     scored = common.land(spark, texts.mapInArrow(_score(shared, depth), SCORED), "scored")
     for name, keys, c, of in (("base", "words", "word_counts", words), ("gram", "grams", "gram_counts", table)):
         rest = _rest(scored, keys, c, of).select("_row", F.col("value").alias(f"{name}_rest"), F.col("known").alias(f"{name}_known"))
