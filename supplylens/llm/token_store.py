@@ -67,7 +67,8 @@ class PieceEncoder:
         told = json.loads(definition)
         self.lower = '"Lowercase"' in json.dumps(told.get("normalizer"))
         special = [t for t in told.get("added_tokens") or [] if t["special"] and not t["lstrip"] and not t["rstrip"]]
-        self.special = [t["content"].encode() for t in told.get("added_tokens") or []]
+        self.special = [t["content"].encode().lower() for t in told.get("added_tokens") or []]
+        self._marked = all(s.startswith(b"<") for s in self.special)  # then pieces without "<" need no look
         self.between = (special[0]["content"], special[0]["id"]) if special else None
         self.kept = kept
         self.ids: dict[bytes, bytes] = {}
@@ -76,13 +77,15 @@ class PieceEncoder:
     def _pieces(self, text: bytes | None) -> list[bytes]:
         if not text:
             return []
-        if self.lower and not any(s in text for s in self.special):  # special tokens keep their case
-            text = text.lower()
+        if self.lower:
+            low = text.lower()
+            if not any(s in low for s in self.special):  # lower case must not make a special token
+                return low.split()
         return text.split()
 
     def _encode_apart(self, pieces: list[bytes]) -> list[bytes]:
         encode = self.tokenizer.encode_batch_fast
-        if self.between is None or any(s in p for p in pieces for s in self.special if len(p) >= len(s)):
+        if self.between is None or any(s in p.lower() for p in pieces if b"<" in p or not self._marked for s in self.special):
             return [array("I", e.ids).tobytes() for e in encode([p.decode() for p in pieces], add_special_tokens=False)]
         text, mark = self.between
         joined = [text.join(p.decode() for p in pieces[at:at + 500]) for at in range(0, len(pieces), 500)]
