@@ -179,14 +179,14 @@ def lengths(spark: SparkSession, grams: DataFrame, tables: list[DataFrame]) -> D
     less, and so on; one never met has probability 1/2.
     """
     depth = len(tables) - 1
-    open_ = _decisions(grams, depth).select("gram", "node", "bit")
-    done = None
+    look = lambda rows, d, how: rows.join(
+        tables[d].select(F.col("node").alias("_node"), "p1"), F.col("node") == F.col("_node"), how)
+    # Runs that training saw have all their decisions at the full depth; only the others go down.
+    done = look(_decisions(grams.where("n > 0"), depth), depth, "inner").select("gram", "bit", "p1")
+    open_ = _decisions(grams.where("n = 0"), depth).select("gram", "node", "bit")
     for d in range(depth, -1, -1):
-        known = tables[d].select(F.col("node").alias("_node"), "p1")
-        told = open_.join(known, F.col("node") == F.col("_node"), "left")
-        told = common.land(spark, told, "decisions")
-        hit = told.where("p1 is not null").select("gram", "bit", "p1")
-        done = hit if done is None else done.unionByName(hit)
+        told = common.land(spark, look(open_, d, "left"), "decisions")
+        done = done.unionByName(told.where("p1 is not null").select("gram", "bit", "p1"))
         open_ = told.where("p1 is null").select("gram", _up(F.col("node"), d).alias("node") if d else F.col("node"), "bit")
     done = done.unionByName(open_.select("gram", "bit", F.lit(0.5).alias("p1")))
     p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
