@@ -16,13 +16,15 @@ shingles and so agree on a whole cell.
 The boundary between the two is the size up to which the subsets cost fewer
 keys than the cells.
 
-A list is never expanded into pairs.  Each member is compared with the list's
-leader.  Members that link to it are one component.  A member x that doesn't
-can link to a member y only if the two share an *edit*, a shingle in which
-both differ from the leader (if they shared none, |x edits| + |y edits| would
-be their distance, but |x edits| alone is too large).  So x and the others go
-on to new lists, by leader and edit, and the next round works on those.
-Without common edits the lists are empty and the join is done.
+A list of a few members is compared pair by pair.  A longer one never is: each
+member gets a home, the most listed node among those it shares a list with,
+and is compared with that.  Two members that link to it are one component.  A
+member x that doesn't can link to a member y of the same home only if both
+gained, or both lost, a common shingle against the home (if they shared no
+such edit, the edits of x and y together would be their distance, but those of x alone are too
+many).  So these go on to new lists, by home and edit, in the next round;
+members of different homes are compared.  Rounds end when no list joins two
+components; each leaves out what its homes have in common with their members.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ from .components import connected_components
 WIDTH, PERCENT = 3, 90
 #: Ratio of the largest to the smallest size of a class of large sets.
 CLASS_RATIO = 1.5
+#: Lists of up to so many members are compared pair by pair (at the start, and later on): a constant factor.
+FIRST_SHORT, SHORT = 8, 64
 FEATURES = pa.schema([("k", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-#: Rounds of lists by leader and edit; what is left then is compared pair by pair, within its lists.
-ROUNDS = 8
 
 
 class Scheme:
@@ -156,24 +158,33 @@ def _sets(width: int):
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, node, component, leader) of the lists in which more than one component meets.
+    """(key, node, component, n) of the lists in which more than one component meets; n members each.
 
-    The leader is the member that stands in most lists: among copies with
-    scattered edits, the original.  Both aggregates are partial, so a list
-    with a third of all nodes is never held in one task.
+    All aggregates on lists are partial, so a list with a third of all nodes is never held in one task.
     """
     if labels is None:
         rows = lists.withColumn("component", F.col("node"))
     else:
         rows = (lists.join(labels, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
+    open_ = (rows.groupBy(F.col("key").alias("_k"))
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+             .where("lo < hi").select("_k", "n"))
+    return rows.join(open_, F.col("key") == F.col("_k")).drop("_k")
+
+
+def _homes(rows: DataFrame) -> DataFrame:
+    """``rows`` of lists with home: the node with the most lists among those that a node shares a list with.
+
+    Among copies with scattered edits that is the original, or one near it.
+    """
     fame = rows.groupBy(F.col("node").alias("_n")).agg(F.count("*").alias("fame"))
     rows = rows.join(fame, F.col("node") == F.col("_n")).drop("_n")
-    per = (rows.groupBy(F.col("key").alias("_k"))
-           .agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                F.max(F.struct("fame", "node")).alias("top")))
-    per = per.where("lo < hi").select("_k", F.col("top.node").alias("leader"))
-    return rows.join(per, F.col("key") == F.col("_k")).select("key", "node", "component", "leader")
+    top = rows.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("fame", "node")).alias("top"))
+    rows = rows.join(top, F.col("key") == F.col("_k")).drop("_k", "fame")
+    home = rows.groupBy(F.col("node").alias("_n")).agg(F.max("top").alias("home"))
+    return (rows.drop("top").join(home, F.col("node") == F.col("_n"))
+            .select("key", "node", "component", F.col("home.node").alias("home")))
 
 
 def _linked(a: str, b: str, percent: int):
@@ -181,15 +192,61 @@ def _linked(a: str, b: str, percent: int):
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (node, leader) with linked, and for new lists the edits of node against leader."""
+def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (node, leader) with linked, and for new lists the edits of node against leader.
+
+    While the pairs and the leaders' sets are small they are broadcast, and
+    no set is shuffled; beyond that bound both joins shuffle.
+    """
+    pairs = common.small_side(common.land(spark, pairs, "pairs"), 16)
     left = sets.select("node", F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("leader"), F.col("members").alias("y"))
-    rows = pairs.join(left, "node").join(right, "leader").withColumn("linked", _linked("x", "y", percent))
-    # A node's edits, those that it adds first: the most that a link allows, and one more.
-    most = F.floor(F.size("x") * F.lit(100 - percent) / F.lit(percent)).cast("int") + 1
-    edits = F.concat(F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x")))
-    return rows.select("node", "leader", "linked", F.slice(edits, 1, most).alias("edits"))
+    right = common.land(spark, right.join(pairs.select("leader").distinct(), "leader", "left_semi"), "leaders")
+    held = right.agg(F.coalesce(F.sum(8 * F.size("y") + 64), F.lit(0))).first()[0]
+    right = F.broadcast(right) if held <= common.BROADCAST_BYTES else right
+    rows = left.join(pairs, "node").join(right, "leader").withColumn("linked", _linked("x", "y", percent))
+    # Linked sets differ in ``most`` shingles at most, so of each kind of edit one more than that is enough to share one.
+    rows = (rows.withColumn("most", F.floor(F.size("x") * F.lit(100 - percent) / F.lit(percent)).cast("int"))
+            .withColumn("gained", F.array_except("x", "y")).withColumn("lost", F.array_except("y", "x")))
+    first = lambda c: F.slice(F.array_sort(c), 1, F.col("most") + 1)
+    return rows.select("node", "leader", "linked", "most", F.size("gained").alias("n_gained"), F.size("lost").alias("n_lost"),
+                       first("gained").alias("gained"), first("lost").alias("lost"))
+
+
+def _edit_lists(told: DataFrame) -> DataFrame:
+    """(key, node): the lists by leader and edit in which a stray may meet a set that it links to.
+
+    Two sets that link share a shingle that both gained, or one that both
+    lost.  Those that share lost ones only differ in all that they gained
+    and in at least the difference of how many they lost.  So lost shingles make lists
+    only where these counts leave room: the distinct counts of a leader are compared
+    first, a small table.
+    """
+    strays = told.where("not linked").select("leader").distinct()
+    near = told.join(strays, "leader", "left_semi")
+    counts = near.groupBy("leader", "n_gained", "n_lost").agg(
+        F.max("most").alias("most"), F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("strays"))
+    x, y = counts.alias("x"), counts.alias("y")
+    room = (F.col("x.n_gained") + F.col("y.n_gained") + F.abs(F.col("x.n_lost") - F.col("y.n_lost")) <= F.col("x.most"))
+    other = (F.col("x.n_gained") != F.col("y.n_gained")) | (F.col("x.n_lost") != F.col("y.n_lost")) | (F.col("x.n") > 1)
+    meet = x.where("strays > 0").join(y, (F.col("x.leader") == F.col("y.leader")) & room & other)
+    both = [meet.select(f"{s}.leader", f"{s}.n_gained", f"{s}.n_lost") for s in "xy"]
+    open_ = both[0].unionByName(both[1]).distinct()
+    gained = near.select("node", "leader", F.lit(1).alias("kind"), F.explode("gained").alias("edit"))
+    lost = (near.join(open_, ["leader", "n_gained", "n_lost"], "left_semi")
+            .select("node", "leader", F.lit(2).alias("kind"), F.explode("lost").alias("edit")))
+    return gained.unionByName(lost).select(F.xxhash64("kind", "leader", "edit").alias("key"), "node")
+
+
+def _across(rows: DataFrame, by: str) -> DataFrame:
+    """(node, leader) pairs of nodes of different components, and of different ``by``, that share a list."""
+    many = (rows.groupBy(F.col("key").alias("_k")).agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
+            .where("lo < hi").select("_k"))
+    rows = rows.join(many, F.col("key") == F.col("_k"), "left_semi")
+    a, b = rows.alias("a"), rows.alias("b")
+    return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{by}") < F.col(f"b.{by}"))
+                   & (F.col("a.component") != F.col("b.component")))
+            .select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")).distinct())
 
 
 def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -216,27 +273,21 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     sets = common.land(spark, texts.join(first, F.col("k") == F.col("first")).select("node", "text")
                        .mapInArrow(_sets(width), "node long, members array<long>").dropDuplicates(["node"]), "sets")
     labels, links = None, None
-    for turn in range(ROUNDS):
-        open_ = common.land(spark, _open_lists(lists, labels), "open")
-        if open_.isEmpty():
+    while True:
+        rows = common.land(spark, _open_lists(lists, labels), "open")
+        if rows.isEmpty():
             break
-        pairs = open_.where("node <> leader").select("node", "leader").distinct()
-        told = common.land(spark, _compare(pairs, sets, percent), "compared")
-        new = told.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        short = FIRST_SHORT if labels is None else SHORT
+        long = common.land(spark, _homes(rows.where(F.col("n") > short)), "homes")
+        pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
+        told = common.land(spark, _compare(spark, pairs, sets, percent), "compared")
+        apart = _across(long, "home").unionByName(_across(rows.where(F.col("n") <= short), "component")).distinct()
+        across = common.land(spark, _compare(spark, apart, sets, percent).select("node", "leader", "linked"), "across")
+        new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
+        new = new.select(F.col("node").alias("a"), F.col("leader").alias("b"))
         links = new if links is None else links.unionByName(new)
         labels = common.land(spark, connected_components(spark, links), "labels")
-        # only leaders with a member that doesn't link need new lists
-        strays = told.where("not linked").select("leader").distinct()
-        lists = (told.join(strays, "leader", "left_semi")
-                 .select("node", F.explode("edits").alias("edit"), "leader")
-                 .select(F.xxhash64("leader", "edit").alias("key"), "node"))
-    else:
-        rest = _open_lists(lists, labels).select("key", "node", "component")
-        a, b = rest.alias("a"), rest.alias("b")
-        pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")))
-                 .select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")).distinct())
-        new = _compare(pairs, sets, percent).where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        labels = common.land(spark, connected_components(spark, links.unionByName(new)), "labels")
+        lists = _edit_lists(told)
     rooted = found.select("k", "n_shingles", "node")
     if labels is None:
         rooted = rooted.withColumn("root", F.col("node"))
@@ -256,8 +307,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     without words, stay too.
     """
     told = components(spark, docs, id_col, text_col, width, percent)
-    gone = common.land(spark, told.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = common.fresh(docs, "_gone")
+    gone = told.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    gone = common.small_side(common.land(spark, gone, "gone"), 16)
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
