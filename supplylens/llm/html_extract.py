@@ -7,10 +7,12 @@ density on the way from it up to ``body`` is the threshold: beside that
 subtree, blocks hanging off the way that reach the threshold belong to the
 article too, and so do headings, whose density is low as they are short.
 Where the subtree lies in an ``article`` element, that is the article.
+Bare text beside blocks is a block of its own.
 
 Elements that are no article by their meaning (menus, site headers, footers,
 asides, forms, scripts, reader comments, ...) leave the tree beforehand, by
-element name, role, or a word of their class or id.
+element name, role, or a word of their class or id.  Forms, roles and words
+only count for elements that aren't the holders of the page's text.
 
 Each page is a row of its own; tasks hold one Arrow batch (bounded by bytes).
 """
@@ -36,7 +38,7 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
     "tfoot th thead tr ul".split())
 NOT_ARTICLE = frozenset(
-    "head script style noscript template iframe object embed svg canvas map audio video nav menu footer aside form button "
+    "head script style noscript template iframe object embed svg canvas map audio video nav menu footer aside button "
     "select option input textarea dialog title noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 WORDS = frozenset(
@@ -44,6 +46,14 @@ WORDS = frozenset(
     "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar aside rail "
     "menu submenu nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments disqus reply replies "
     "respond share sharing social related recommended recommendations pagination pager widget toolbar skip".split())
+#: Words that tell what an element holds even as a part of a longer name.
+CLEAR_WORDS = frozenset(
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login paywall comment comments "
+    "disqus reply replies respond".split())
+#: Left out for being a form or for one part of a name; for a whole name, a clear word or a role; for good.
+DOUBTED, NAMED, BARRED = 1, 2, 3
+#: Characters of text that a page has at most beside an element of an unwanted name that is kept, and their share.
+REST_CHARS, REST_SHARE = 200, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 KEPT = frozenset("html body main article".split())
 
@@ -59,27 +69,34 @@ _SCOPE = frozenset("html body table td th button object article section div nav
 
 
 class Node:
-    __slots__ = ("tag", "drop", "above", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "drop", "above", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "full", "plain")
 
-    def __init__(self, tag: str, above: Node | None, drop: bool = False):
+    def __init__(self, tag: str, above: Node | None, drop: int = 0):
         self.tag, self.above, self.drop = tag, above, drop
         self.parts: list[Node | str] = []
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> int:
+    """0, or how sure it is that the element is no article."""
     if tag in NOT_ARTICLE or tag == "header" and not inside_article:
-        return True
+        return BARRED
     if not attributes or tag in KEPT:
-        return False
+        return DOUBTED if tag == "form" else 0
+    found = DOUBTED if tag == "form" else 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return BARRED
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(p.lower() in WORDS for p in _NAME_PART.findall(value)):
-            return True
-    return False
+            found = max(found, DOUBTED if value.lower() == "form" else NAMED)
+        if name in ("class", "id"):
+            for one in value.split():
+                parts = [p.lower() for p in _NAME_PART.findall(one)]
+                told = [p for p in parts if p in WORDS]
+                if told:
+                    whole = len(told) == sum(not p.isdigit() for p in parts) or not CLEAR_WORDS.isdisjoint(told)
+                    found = max(found, NAMED if whole else DOUBTED)
+    return found
 
 
 def parse(html: str) -> Node:
@@ -139,8 +156,77 @@ def parse(html: str) -> Node:
     return root
 
 
+def _solid(text: str) -> int:
+    return sum(map(len, text.split()))
+
+
+def _keep_holders(order: list[Node]) -> None:
+    """Takes back the drop of elements that hold the page's text outside links: doubted ones that hold most of it, named
+    ones that hold most while next to nothing is left beside them.  ``order``: every node before what is in it.
+
+    Where the page has ``article`` or ``main`` elements with text, only what is inside them counts.
+    """
+    if not any(x.drop in (DOUBTED, NAMED) for x in order):
+        return
+    for node in reversed(order):
+        node.full = node.plain = 0
+        if node.drop == BARRED or node.tag == "a":
+            continue
+        for p in node.parts:
+            if isinstance(p, str):
+                n = _solid(p)
+                node.full += n
+                node.plain += n
+            else:
+                node.full += p.full
+                node.plain += p.plain if p.drop != NAMED else 0
+    scopes, stack = [], [order[0]]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("article", "main") and node.full:
+            scopes.append(node)
+        elif node.drop != BARRED:
+            stack += [p for p in node.parts if isinstance(p, Node)]
+    scopes = scopes or order[:1]
+    every, most, rest = sum(x.full for x in scopes), sum(x.plain for x in scopes), 0
+    named: list[Node] = []
+
+    def walk(stack: list[Node]) -> int:
+        """Decides on the doubted elements; the text that stays."""
+        kept = 0
+        while stack:
+            node = stack.pop()
+            if node.tag == "a":
+                continue
+            for p in node.parts:
+                if isinstance(p, str):
+                    kept += _solid(p)
+                    continue
+                if p.drop == DOUBTED and 2 * p.plain > most:
+                    p.drop = 0
+                if not p.drop:
+                    stack.append(p)
+                elif p.drop == NAMED:
+                    named.append(p)
+        return kept
+
+    rest = walk(list(scopes))
+    for node in named:  # grows by what is inside those kept
+        if 2 * node.full > every and rest < REST_CHARS and rest < REST_SHARE * node.full:
+            node.drop = 0
+            most += node.plain
+            rest += walk([node])
+    if not rest:  # the names leave nothing of the page
+        stack = list(scopes)
+        while stack:
+            for p in stack.pop().parts:
+                if isinstance(p, Node) and p.drop != BARRED:
+                    p.drop = 0
+                    stack.append(p)
+
+
 def _prune(root: Node) -> list[Node]:
-    """Drops unwanted subtrees (unless they hold an article); the other nodes, each before what is in it."""
+    """Drops unwanted subtrees (unless they hold an article or the page's text); the other nodes, each before what is in it."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -149,16 +235,52 @@ def _prune(root: Node) -> list[Node]:
     holds = {id(root)}
     for node in reversed(order):
         if node.tag in ("article", "main") or id(node) in holds:
-            node.drop = False if node.tag not in NOT_ARTICLE else node.drop
+            node.drop = 0 if node.tag not in NOT_ARTICLE else node.drop
             if node.above is not None:
                 holds.add(id(node.above))
+    _keep_holders(order)
     kept, stack = [], [root]
     while stack:
         node = stack.pop()
         node.parts = [p for p in node.parts if isinstance(p, str) or not p.drop]
         kept.append(node)
         stack += [p for p in node.parts if isinstance(p, Node)]
-    return kept
+    return _wrap_runs(kept)
+
+
+def _wrap_runs(nodes: list[Node]) -> list[Node]:
+    """Makes each run of bare text and inline elements beside blocks a node without a tag."""
+    blocks: set[int] = set()  # blocks, and inline elements around blocks
+    for node in reversed(nodes):
+        if node.above is not None and (node.tag in BLOCKS or id(node) in blocks):
+            blocks.add(id(node))
+            blocks.add(id(node.above))
+    out = []
+    for node in nodes:
+        out.append(node)
+        if not any(isinstance(p, Node) and id(p) in blocks for p in node.parts):
+            continue
+        parts, run = [], None
+        for p in node.parts:
+            if isinstance(p, Node) and id(p) in blocks:
+                parts.append(p)
+                run = None
+                continue
+            if run is None:
+                run = Node("", node)
+                parts.append(run)
+            run.parts.append(p)
+            if isinstance(p, Node):
+                p.above = run
+        node.parts = []
+        for p in parts:  # white space alone stays as it is
+            if isinstance(p, Node) and not p.tag and not any(isinstance(x, Node) or not x.isspace() for x in p.parts):
+                node.parts += p.parts
+            else:
+                node.parts.append(p)
+                if isinstance(p, Node) and not p.tag:
+                    out.append(p)
+    return out
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -171,7 +293,7 @@ def _measure(nodes: list[Node]) -> None:
                 node.chars += len(p) - p.count(" ") - p.count("\n")
             else:
                 node.chars += p.chars
-                node.tags += p.tags + 1
+                node.tags += p.tags + (p.tag != "")
                 node.link_chars += p.link_chars
                 node.link_tags += p.link_tags + (p.tag == "a")
         if node.tag == "a":
@@ -208,7 +330,7 @@ def _text(nodes: list[Node]) -> str:
             run.append(p)
         elif p.tag == "br":
             run.append(" ")
-        elif p.tag in BLOCKS:
+        elif p.tag in BLOCKS or not p.tag:
             end()
             stack.append(None)
             stack += reversed(p.parts)

@@ -282,6 +282,36 @@ def test_main_text_of_pages():
     assert html_extract.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>") == "\n".join(["word word"] * 20_000)
 
 
+LONG = "This is a long sentence of the article, with enough words to count as text. " * 4
+WRAPPED = [  # (before the text, after it)
+    ("<body><form id=aspnetForm><div class=menu><a href=x>Menu</a></div><article>", "</article></form>"),
+    ("<body><form id=aspnetForm><main>", "</main></form><footer>f</footer>"),
+    ("<body><form><div>", "</div></form>"),
+    ("<body><div class='layout has-sidebar'><div class=sidebar><p>side</p></div><div>", "</div></div>"),
+    ("<body><div class=no-sidebar><div class=ad-free>", "</div></div><div class=cookie-notice><p>We use cookies.</p></div>"),
+    ("<body><div id='related-work'>", "</div><section id=comments><p>First!</p></section>"),
+    ("<body><div class='page modal-open'><div>", "</div><div class=comments><p>First!</p></div></div>"),
+    ("<article><div class=has-sidebar><div>", "</div></div></article><div class=related-posts><p>Other</p></div>"),
+]
+
+
+def test_wrappers_of_the_main_text_stay():
+    for before, after in WRAPPED:
+        assert html_extract.main_text(f"{before}<p>{LONG}</p><p>{LONG}</p>{after}") == "\n".join([LONG.strip()] * 2), before
+    # what holds most of the text by its clear name is still no article
+    talk = f"<div class=comment-list><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html_extract.main_text(f"<div><p>{LONG}</p></div>{talk}") == LONG.strip()
+    assert html_extract.main_text(f"<article><p>Short news.</p></article><div class=related-posts><p>{LONG}</p></div>") == "Short news."
+
+
+def test_bare_text_beside_the_densest_subtree_stays():
+    page = f"<body><div id=content>{LONG}<br><b>Bold</b> {LONG}<div><p>{LONG}</p><p>{LONG}</p></div>{LONG}<p>{LONG}</p></div></body>"
+    one = LONG.strip()
+    assert html_extract.main_text(page) == "\n".join([f"{one} Bold {one}", one, one, one, one])
+    inner = f"<div><div>{f'<p>{LONG}</p>' * 9}</div>{LONG}<br>{LONG}</div>"
+    assert html_extract.main_text(f"<body>{inner}</body>") == "\n".join([one] * 9 + [f"{one} {one}"])
+
+
 def test_main_text_of_the_table(spark, sf_dir):
     from html import unescape
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
