@@ -54,7 +54,9 @@ class PieceEncoder:
     Good for tokenizers that drop white space and join nothing across it, as
     ``word_bpe_49k``: the ids of a text are then those of its pieces in a
     row, and a piece that comes again need not be encoded again.  Where the
-    definition lower-cases texts, pieces are told apart in lower case only.
+    definition lower-cases texts, pieces are told apart in lower case only, but for
+    those with combining marks: some marks compose with a small letter alone, and
+    the definition composes before it lower-cases.
 
     New pieces are encoded many in one call, between a special token of the
     tokenizer: it is cut out before anything else, so pieces stay apart.
@@ -80,7 +82,9 @@ class PieceEncoder:
         if self.lower:
             low = text.lower()
             if not any(s in low for s in self.special):  # lower case must not make a special token
-                return low.split()
+                if b"\xcc" not in low and b"\xcd" not in low:  # the first bytes of U+0300 to U+036F
+                    return low.split()
+                return [p if b"\xcc" in p or b"\xcd" in p else p.lower() for p in text.split()]
         return text.split()
 
     def _encode_apart(self, pieces: list[bytes]) -> list[bytes]:

@@ -90,6 +90,16 @@ def test_pieces_encode_as_the_whole(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_decomposed_capitals_encode_as_the_whole(tokenizer):
+    """NFC comes before lower case: these marks compose with the small letter only."""
+    letters = ["T\u0308", "H\u0331", "W\u030a", "J\u030c", "Y\u030a"]
+    texts = [f"{x}a" for x in letters] + [f"ABC {x}A B{x} de" for x in letters] + ["A\u0300B E\u0301 \u0301T T\u0323\u0308a <|ENDOFTEXT|>T\u0308"]
+    texts += [f"Q{chr(c + 65)}{chr(m)}R S" for c in range(26) for m in range(0x300, 0x370)]
+    got = token_store.PieceEncoder(token_store.tokenizer_definition()).encode([t.encode() for t in texts])
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 # -- Jaccard join
 
 def sets_of(docs, width):
