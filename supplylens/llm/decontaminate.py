@@ -5,7 +5,8 @@ is a query.  An item's BM25 weights are divided by their sum, so a passage's
 score is the share of the item's weight that it holds, and one threshold
 serves all items.  All items at or above it are retrieved, then verified: the
 word runs of the question and those of the answer must both be in the passage.
-Words are compared in lower case and without punctuation.
+Words are compared in lower case and without punctuation.  Scripts written
+without blanks (Chinese, Japanese, Thai, ...) give a word a character.
 
 The search is WAND over blocks, for many passages at a time.  Of each item
 the commonest terms, as many as together stay below the threshold, can't
@@ -47,13 +48,24 @@ FOUND_DDL = "k long, text_hash long, item_id long, start int, score double, ques
 MARKS = ".,;:!?#*$%&|<>()[]{}=+/_~^`\"'-"
 
 
+#: White space besides the bytes that end a word (9 to 13 and 32).
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\t\n\v\f\r ")
+#: Characters of scripts without blanks between words, for regular expressions of Java and Python.
+UNSPACED = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007),
+    (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))) + "]"
+_BLANKED = dict.fromkeys(map(ord, MARKS + SPACES), " ")
+
+
 def normal(text: Column) -> Column:
-    """Lower case (of all scripts) without punctuation marks."""
-    return F.translate(F.lower(text), MARKS, " " * len(MARKS))
+    """Lower case (of all scripts) without punctuation marks, blanks for all white space and around unspaced characters."""
+    plain = F.translate(F.lower(text), MARKS + SPACES, " " * len(MARKS + SPACES))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.regexp_replace(plain, UNSPACED, " $0 "))
 
 
 def _count(text: str) -> int:
-    return len(text.lower().translate(dict.fromkeys(map(ord, MARKS), " ")).split())
+    return len(re.sub(UNSPACED, r" \g<0> ", text.lower().translate(_BLANKED)).split())
 
 
 def answer_start(text: str) -> int:
@@ -61,7 +73,7 @@ def answer_start(text: str) -> int:
 
     The answer is the last line, or in an item of one line the last sentence;
     it is lengthened by what is before it until it has ``MIN_ANSWER_WORDS``
-    words.  At most half of the words are answer.
+    words.  At most half of the words are answer: none of a single word.
     """
     lines = [x for x in text.split("\n") if _count(x)]
     last = lines[-1] if len(lines) > 1 else re.split(r"(?<=[.?!])\s+", text.strip())[-1]
@@ -241,9 +253,12 @@ def _search(shared):
                 best = {}
                 for p, i, score in zip(*(x.tolist() for x in retrieve(shard, hashes, windows)), strict=True):
                     words, item, cut = hashes[windows[p, 0]:windows[p, 1]], shard.texts[i], shard.splits[i]
-                    q, r = run_share(item[:cut], words), run_share(item[cut:], words)
+                    row = int(text[p])
+                    if 0 < cut < len(item):
+                        q, r = run_share(item[:cut], words), run_share(item[cut:], words)
+                    else:  # a single word has no parts; in a longer text it tells nothing
+                        q = r = run_share(item, words) if limits[row + 1] - limits[row] == len(item) else 0.0
                     if q >= QUESTION_SHARE and r >= ANSWER_SHARE:
-                        row = int(text[p])
                         told = (score, q, r, -int(windows[p, 0] - limits[row]))
                         if told > best.get((row, i), (0,)):
                             best[row, i] = told
@@ -262,7 +277,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     """k (the document's id), text_hash, item_id, start, score, question_share, answer_share.
 
     One row per document and test item found in it, with the best passage
-    (its first word's number).  Null and empty texts and items match nothing;
+    (its first word's number).  An item of a single word is found in documents
+    that hold nothing else.  Null and empty texts and items match nothing;
     equal rows give equal rows; an empty side gives an empty table; extra columns
     are ignored.
     """

@@ -270,6 +270,23 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, small, sf_dir):
     assert decontaminate.clean(spark, docs, odd).count() == docs.count()
 
 
+def test_items_without_blanks_or_with_other_white_space_are_found(spark):
+    items = {1: "中国的首都是哪个城市？答案是北京市。", 2: "日本で一番高い山は何ですか答えは富士山です", 3: "ประเทศไทยมีเมืองหลวงคือกรุงเทพมหานคร",
+             4: "combien\u00a0\u00a0coûte\u00a0\u00a0le\u2009\u2009pain\u3000\u3000ici", 5: "Supercalifragilistic",
+             6: "1\u00a0000\u00a0\u00a0000\u2009\u2009+\u2009\u20092\u00a0000\u00a0\u00a0000", 7: "What is the capital of Peru?\nThe capital is Lima."}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, t) for i, t in items.items()] + [(10 + i, f"{PROSE} {t} {PROSE}") for i, t in items.items()]
+    rows += [(20 + i, f"另外一段文字在这里{items[i]}后面还有别的内容") for i in (1, 2, 3)]
+    rows += [(30, "中文的另一段话没有题目"), (31, PROSE), (32, "combien le pain"), (33, "capital\u00a0of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["k"], r["item_id"]) for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    # a single word in a longer text is no copy of the item
+    assert got == ({(i + at, i) for i in items for at in (0, 10)} | {(20 + i, i) for i in (1, 2, 3)}) - {(15, 5)}
+    normal = {r["item_id"]: len(r["n"].split(" ")) - r["n"].split(" ").count("") for r in
+              bench.select("item_id", decontaminate.normal(F.col("text")).alias("n")).collect()}
+    assert normal == {i: decontaminate._count(t) for i, t in items.items()}
+
+
 # -- html
 
 PAGES = {
