@@ -19,6 +19,7 @@ import hmac
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +50,13 @@ PATTERNS = (
     ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[a-f]*\d)[0-9a-f]{32,})(?![0-9A-Za-z])")),
     ("ip", "0123456789", re.compile(
         r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")),
+    ("ip", ":", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?:::)?(?![\w:])")),
     ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("card", "0123456789", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)")),
+    ("card", "0123456789", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])(?:\d{4}\1\d{4}\1\d{4}|\d{6}\1\d{5}))(?!\d)")),
     ("ssn", "0123456789", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", "0123456789", re.compile(
         r"(?<![\d\w])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}"
-        r"|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|\.\d)")),
+        r"|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<!\.)(?=(?:[ /-]?\d){8,12}(?![ /-]?\d))0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,2})(?!\d|\.\d)")),
     ("person", "", re.compile(
         rf"(?<!\w)(?:(?P<title>{'|'.join(t for k in TITLES.values() for t in k)})\.? (?:(?P<a>{_CAPITAL}) )?(?P<b>{_CAPITAL})"
         rf"|(?P<given>{'|'.join(_GIVEN_OF)}) (?P<last>{_CAPITAL}))(?!\w)")),
@@ -89,6 +91,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             a, b, norm = m.start(), m.end(), m[0]
             if kind == "secret" and m.lastindex:
                 (a, b), norm = m.span(1), m[1]
+            elif kind == "ip" and ":" in norm:
+                try:
+                    norm = IPv6Address(norm).exploded
+                except ValueError:  # a time, a ratio, ...
+                    continue
             elif kind == "email":
                 norm = norm.lower()
             elif kind in ("card", "phone"):
@@ -123,6 +130,8 @@ def surrogate(key: str, kind: str, norm: str, attempt: int = 0) -> str:
         first = pool[next(numbers) % len(pool)] if given else ""
         last = "".join(parts[next(numbers) % len(parts)] for _ in range(4 + attempt)).capitalize()
         return f"{script}|{gender}|{first}|{last}"
+    if kind == "ip" and ":" in norm:  # 2001:db8::/32 is for documentation
+        return ":".join(["2001", "0db8", *(f"{next(numbers) % 65536:04x}" for _ in range(6))])
     if kind == "ip":  # 240.0.0.0/4 is assigned to nobody
         return ".".join(str(x) for x in (240 + next(numbers) % 15, *(next(numbers) % 256 for _ in range(3))))
     if kind == "email":

@@ -383,6 +383,20 @@ def test_surrogates_keep_kind_layout_and_identity(spark):
     assert pii.pseudonymize(spark, docs.where("false")).count() == 0
 
 
+def test_layouts_of_cards_addresses_and_national_phones():
+    text = ("Card 3782 822463 10005 or 378282246310005, from 2001:DB8:0:0:8:800:200C:417A or 2001:db8::8:800:200c:417a or fe80::1a, "
+            "call 030 1234567 or 0171/2345678 or 089-123 456 78.")
+    found = pii.find(text)
+    assert [(k, text[a:b]) for a, b, k, _ in found] == [
+        ("card", "3782 822463 10005"), ("card", "378282246310005"), ("ip", "2001:DB8:0:0:8:800:200C:417A"),
+        ("ip", "2001:db8::8:800:200c:417a"), ("ip", "fe80::1a"), ("phone", "030 1234567"), ("phone", "0171/2345678"), ("phone", "089-123 456 78")]
+    assert found[0][3] == found[1][3] and found[2][3] == found[3][3]
+    for a, b, kind, norm in found:
+        new = pii.rendered(kind, text[a:b], pii.surrogate("k", kind, norm))
+        assert new != text[a:b] and [k for _, _, k, _ in pii.find(f"x {new}.")] == [kind]
+    assert pii.find("at 12:30:45, ratio 1:2, std::vector<a>, a::b, 01.02.2024, 2024-01-02, 0.12345678, v 10 20 30") == []
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Draws from a space of 16 values, 10 entities: redrawn until all differ and none is an entity."""
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, norm, attempt=0: f"{zlib.crc32(f'{key}{norm}{attempt}'.encode()) % 16}")
