@@ -1,6 +1,6 @@
 """Training-data pipeline operators.
 
-Ten operators over ``documents``, ``pages``, ``benchmark`` and
-``conversations``.  Nothing else in the library imports this subpackage;
+Thirteen operators over ``documents``, ``pages``, ``benchmark``, ``labels``
+and ``conversations``.  Nothing else in the library imports this subpackage;
 ``registry`` lists its queries and their SQL.
 """

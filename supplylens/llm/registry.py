@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, context_tree, decontaminate, html_extract, jaccard_join, mixing, pii, quality_rules, token_store, warc
+from . import (chat, context_tree, decontaminate, html_extract, jaccard_join, merkle, mixing, periodic_runs, pii, quality_rules,
+               token_store, toxicity, warc)
 
 
 def queries() -> dict:
@@ -17,6 +18,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_context_tree": context_tree.op10_context_tree,
+        "op11_toxicity": toxicity.op11_toxicity,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
@@ -26,4 +30,5 @@ def oracle_sql() -> dict:
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op7_chat": chat.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
+        "op13_merkle": merkle.OP13_SQL,
     }

@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
     entry = importlib.import_module("__spark_entry__")
     assert set(registry.queries()) | {"pipeline"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
