@@ -28,13 +28,13 @@ from . import common
 #: The training sample: rows of each label, and words of a row at most.  Short texts say best which words a label is about.
 SAMPLE_ROWS, SAMPLE_WORDS = 700, 400
 #: Words of a window, and from one window's begin to the next.
-WINDOW, STRIDE = 64, 32
+WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 20, 16, 12
 GRAMS, BUCKET_BITS = (3, 5), 14
 #: Batches trained on, those of them by noisy or, texts of a batch.
 STEPS, OR_STEPS, BATCH_TEXTS, RATE, SEED = 300, 130, 24, 4e-3, 7
 #: Windows scored at a time, words whose vectors a worker keeps, and bytes of text worked on at a time.
-AT_ONCE, KEPT_WORDS, CHUNK = 512, 150_000, 1 << 20
+AT_ONCE, KEPT_WORDS, CHUNK = 512, 400_000, 1 << 20
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -99,7 +99,11 @@ def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    y = np.multiply(x, 0.5)
+    np.tanh(y, out=y)
+    y *= 0.5
+    y += 0.5
+    return y
 
 
 def initial(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -121,8 +125,8 @@ def initial(n_words: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
 
 
 def inputs(p: dict[str, np.ndarray], vectors: np.ndarray) -> dict[str, np.ndarray]:
-    """What each word adds to the units, per direction; the last row is for places without a word."""
-    return {way: np.concatenate((vectors @ p[f"in_{way}"] + p[f"bias_{way}"], np.zeros((1, 3 * HIDDEN), np.float32)))
+    """What each word adds to the units, per direction; the first row is for places without a word."""
+    return {way: np.concatenate((np.zeros((1, 3 * HIDDEN), np.float32), vectors @ p[f"in_{way}"] + p[f"bias_{way}"]))
             for way in ("f", "b")}
 
 
@@ -131,10 +135,13 @@ def _read(p: dict[str, np.ndarray], way: str, table: np.ndarray, ids: np.ndarray
     gates, candidate = p[f"gates_{way}"], p[f"state_{way}"]
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
     out = np.empty((len(ids), ids.shape[1], HIDDEN), np.float32)
+    full = there.all(axis=1)
     for t in range(len(ids)) if way == "f" else range(len(ids) - 1, -1, -1):
         x = table[ids[t]]
         zr = _sigmoid(x[:, :2 * HIDDEN] + h @ gates)
-        z, r = zr[:, :HIDDEN] * there[t][:, None], zr[:, HIDDEN:]  # without a word nothing is updated
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        if not full[t]:
+            z = z * there[t][:, None]  # without a word nothing is updated
         c = np.tanh(x[:, 2 * HIDDEN:] + (r * h) @ candidate)
         if keep is not None:
             keep.append((t, h, zr, c))
@@ -144,8 +151,8 @@ def _read(p: dict[str, np.ndarray], way: str, table: np.ndarray, ids: np.ndarray
 
 
 def forward(p: dict[str, np.ndarray], tables: dict[str, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """The logit of each window; ``ids`` is (places, windows) with the table's last row where no word is."""
-    there = (ids != len(tables["f"]) - 1).astype(np.float32)
+    """The logit of each window; ``ids`` is (places, windows) with the number 0 where no word is."""
+    there = (ids > 0).astype(np.float32)
     steps = {way: [] if keep is not None else None for way in ("f", "b")}
     states = np.concatenate([_read(p, way, tables[way], ids, there, steps[way]) for way in ("f", "b")], axis=2)
     looked = np.tanh(states @ p["look"])
@@ -189,17 +196,17 @@ def backward(p: dict[str, np.ndarray], ids: np.ndarray, keep: dict, d: np.ndarra
             d_h = d_h * (1 - z * m) + d_rh * r + d_zr @ gates.T
             d_x[t, :, :2 * HIDDEN], d_x[t, :, 2 * HIDDEN:] = d_zr, d_c
         _add_rows(d_table, ids.ravel(), d_x.reshape(-1, 3 * HIDDEN))
-        out[way] = d_table[:-1]
+        out[way] = d_table[1:]
     return out
 
 
-def windows_of(rows: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, windows) of word numbers of all windows of the texts, ``none`` beyond an end; each window's text."""
+def windows_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, windows) of word numbers, which start at 1, of all windows of the texts, 0 beyond an end; each window's text."""
     cut = [r[i:i + WINDOW] for r in rows for i in window_starts(len(r))]
-    out = np.full((len(cut), WINDOW), none, np.int64)
+    out = np.zeros((len(cut), WINDOW), np.int64)
     for i, w in enumerate(cut):
         out[i, :len(w)] = w
-    return out.T, np.repeat(np.arange(len(rows)), [len(window_starts(len(r))) for r in rows])
+    return np.ascontiguousarray(out.T), np.repeat(np.arange(len(rows)), [len(window_starts(len(r))) for r in rows])
 
 
 @dataclass
@@ -209,26 +216,30 @@ class Network:
     weights: dict[str, np.ndarray]
     vocabulary: dict[bytes, int]
     known: dict[bytes, int] = field(default_factory=dict)
-    tables: dict[str, np.ndarray] | None = None
+    tables: dict[str, np.ndarray] = field(default_factory=dict)
 
     def _numbers(self, rows: list[list[bytes]]) -> list[np.ndarray]:
         """The words' rows in the tables, which grow by the words that are new."""
-        new = list(dict.fromkeys(w for row in rows for w in row if w not in self.known))
+        new = list({w for row in rows for w in row}.difference(self.known))
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.tables = {}, None
-            new = list(dict.fromkeys(w for row in rows for w in row))
-        if new or self.tables is None:
-            more = inputs(self.weights, Words.of(new, self.vocabulary).vectors(self.weights) if new
-                          else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.tables = more if self.tables is None else {
-                way: np.concatenate((t[:-1], more[way])) for way, t in self.tables.items()}
+            self.known, self.tables = {}, {}
+            new = list({w for row in rows for w in row})
+        if new or not self.tables:
+            vectors = (Words.of(new, self.vocabulary).vectors(self.weights) if new
+                       else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
+            first, last = len(self.known) + 1, len(self.known) + 1 + len(new)
+            for way, rows_of in inputs(self.weights, vectors).items():
+                if len(self.tables.get(way, ())) < last:
+                    larger = np.zeros((max(last, KEPT_WORDS + 1), 3 * HIDDEN), np.float32)
+                    larger[:first] = self.tables.get(way, larger)[:first]
+                    self.tables[way] = larger
+                self.tables[way][first:last] = rows_of[1:]
+            self.known.update(zip(new, range(first, last), strict=True))
         return [np.fromiter(map(self.known.__getitem__, row), np.int64, len(row)) for row in rows]
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
         """The probability that each text is toxic: that of its highest window."""
         rows = self._numbers([split(t) for t in texts])
-        none = len(self.tables["f"]) - 1
         best = np.full(len(rows), -np.inf, np.float32)
         at = 0
         while at < len(rows):  # texts of a few hundred windows, or the windows of a long one part by part
@@ -238,7 +249,7 @@ class Network:
                 end += 1
             for lo in range(0, n, AT_ONCE):
                 part = rows[at:end] if n <= AT_ONCE else [rows[at][STRIDE * lo:STRIDE * (lo + AT_ONCE - 1) + WINDOW]]
-                ids, owner = windows_of(part, none)
+                ids, owner = windows_of(part)
                 np.maximum.at(best, at + owner, forward(self.weights, self.tables, ids))
             at = end
         return _sigmoid(best.astype(np.float64))
@@ -274,7 +285,7 @@ def train(texts: list[bytes | None], labels: list[int], count: int = STEPS, seed
         limits = np.cumsum([0] + [len(numbers[i]) for i in chosen])
         vectors = some.vectors(p)
         tables = inputs(p, vectors)
-        ids, owner = windows_of([inverse[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)], len(here))
+        ids, owner = windows_of([inverse[a:b] + 1 for a, b in zip(limits[:-1], limits[1:], strict=True)])
         keep: dict = {}
         logit = forward(p, tables, ids, keep)
         d = _text_gradient(logit, owner, y_all[chosen], step <= OR_STEPS) / np.float32(len(chosen))
@@ -346,20 +357,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The training sample: of each label at most ``rows`` texts of 1 to ``words`` words, chosen by a hash of the id.
 
     Held-out rows and null labels are never in it.  Four times as many labelled
-    ids are looked up, as not every labelled row is there or short enough.
+    ids are looked up in one scan, as not every labelled row is there or short enough.
     """
-    out = []
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.where((fold("_id") != HELD_OUT) & F.col("_id").isNotNull()).distinct()
+    known = known.where((fold("_id") != HELD_OUT) & F.col("_id").isNotNull()).distinct().withColumn("_at", F.xxhash64("_id"))
+    some = [known.where(F.col("_label") == label).orderBy("_at", "_id").limit(4 * rows) for label in (0, 1)]
+    ids = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    for label in (0, 1):
-        ids = (known.where(F.col("_label") == label).withColumn("_at", F.xxhash64("_id"))
-               .orderBy("_at", "_id").limit(4 * rows))
-        short = F.size(F.regexp_extract_all("_text", F.lit(f"({common.WORD_PATTERN})"), F.lit(1)))
-        found = (texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).where(F.length("_text") <= 16 * words)
-                 .where(short.between(1, words)).orderBy("_at", "_id", F.xxhash64("_text")).limit(rows))
-        out += [(r["_text"].encode(), label) for r in found.select("_text").collect()]
-    return out
+    found = texts.join(ids, F.col("_doc") == F.col("_id")).where(F.length("_text") <= 16 * words)
+    found = found.where(common.word_count(F.col("_text")).between(1, words)).select("_label", "_at", "_id", "_text")
+    out = sorted((r["_label"], r["_at"], r["_id"], r["_text"].encode()) for r in found.collect())
+    return [(text, label) for want in (0, 1) for label, _, _, text in [r for r in out if r[0] == want][:rows]]
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
