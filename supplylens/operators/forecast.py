@@ -4,27 +4,29 @@ chart series that merges actuals with a forecast (FC3).
 Method (closed form, fully distributed):
 * every value column of every key is one series; ``t`` counts periods
   since the series' first period;
-* per series, ``regr_slope``/``regr_intercept`` of ``y`` on ``t``;
+* per series, the least-squares line of ``y`` on ``t``;
 * the seasonal term is the mean residual by position in the year (month
   or quarter), used only when the series spans at least two years;
 * ``sigma`` is the sample stddev of the residuals left after the season;
 * future periods run from the period after the last observation up to the
   horizon (exclusive); forecast = trend + season, bounds = +-1.96 sigma.
 
-Each step is a grouped aggregate keyed by series (partial aggregation, so a
-huge series costs one row per task before the shuffle) or a join of rows
-with per-series statistics, whose size is the number of series.
+The observations are read once.  One grouped aggregate gives centred moments
+(count, means, variances, covariance) per series and position in the year;
+they merge, so a huge series costs a row per task and position before the
+shuffle.  Line, season and sigma of a series all follow from its at most
+12 moments, and nothing is joined back to the observations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.columns import quarter_label, quarter_start, to_double
-from supplylens.operators.relational import bridge, join_on_keys, merge_series, since
+from supplylens.operators.relational import bridge, merge_series, since
 
 Z_95 = 1.96
 _PERIOD_MONTHS = {"MONTH": 1, "QUARTER": 3}
@@ -50,14 +52,10 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
     truncated to the grain by the caller.  ``season``: True, False, or
     "auto", which fits one where a series covers two whole years.
 
-    Plan: one fit aggregate per series, one join of the observations with
-    the fits, then two grouped aggregates that carry the fit along as
-    grouping columns (constant per series): per position in the year they
-    sum ``r`` and ``r^2`` and per series they fold that into the season
-    means (a map of at most 12 entries) and sigma.  Sigma without a season
-    is the plain residual stddev; with one it uses the within-position sum
-    of squares.  Future rows look the season up in the map, so no further
-    join is needed.
+    Plan: one aggregate per series and position in the year, one per series
+    over those.  With b the slope, a position's mean residual is its mean of y less the
+    line at its mean of t, and the residuals' spread within it is
+    n (var y - 2 b cov + b^2 var t); sigma without a season adds the spread between positions.
     """
     values = [values] if isinstance(values, str) else list(values)
     grain = grain.upper()
@@ -72,25 +70,37 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
         return ((F.month(c) - 1) / step).cast("int")
 
     obs = _long(df, time, values, by).withColumns({"t": t_of(F.col("ds")), "pos": pos_of(F.col("ds"))})
-    fit = obs.groupBy(*keys).agg(
-        F.coalesce(F.regr_slope("y", "t"), F.lit(0.0)).alias("slope"),
-        # a one-point series has no fitted line: hold its mean flat
-        F.coalesce(F.regr_intercept("y", "t"), F.avg("y")).alias("intercept"),
-        F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("ds").alias("last_ds"))
-    carried = ["slope", "intercept", "t0", "t1", "last_ds"]
-
-    res = (join_on_keys(obs, fit, keys)
-           .withColumn("r", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t"))))
-    by_pos = res.groupBy(*keys, *carried, "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
-    ser = by_pos.groupBy(*keys, *carried).agg(
-        F.sum("n").alias("N"), F.sum("s1").alias("S1"), F.sum("s2").alias("S2"),
-        F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("SSW"),
-        F.map_from_entries(F.collect_list(F.struct("pos", (F.col("s1") / F.col("n")))))
-        .alias("season_map"))
+    by_pos = obs.groupBy(*keys, "pos").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg("t").alias("mt"), F.avg("y").alias("my"),
+        F.var_pop("t").alias("vt"), F.covar_pop("t", "y").alias("c"), F.var_pop("y").alias("vy"),
+        F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("ds").alias("last"))
+    # at most 12 moments a series
+    ser = by_pos.groupBy(*keys).agg(
+        F.collect_list(F.struct("pos", "n", "mt", "my", "vt", "c", "vy")).alias("m"), F.sum("n").alias("N"),
+        F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.max("last").alias("last_ds"))
+    ser = ser.withColumns({"T": _over("m", lambda x: x["n"] * x["mt"]) / F.col("N"),
+                           "Y": _over("m", lambda x: x["n"] * x["my"]) / F.col("N")})
+
+    def apart(x: Column) -> Column:
+        return x["mt"] - F.col("T")
+
+    ser = ser.withColumns({"sxx": _over("m", lambda x: x["n"] * (x["vt"] + apart(x) * apart(x))),
+                           "sxy": _over("m", lambda x: x["n"] * (x["c"] + apart(x) * (x["my"] - F.col("Y"))))})
+    # a one-point series has no fitted line: hold its mean flat
+    ser = ser.withColumn("slope", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).otherwise(F.lit(0.0)))
+    ser = ser.withColumn("intercept", F.col("Y") - F.col("slope") * F.col("T"))
+
+    def residual(x: Column) -> Column:
+        return x["my"] - F.col("intercept") - F.col("slope") * x["mt"]
+
+    b = F.col("slope")
+    ser = ser.withColumns({
+        "S1": _over("m", lambda x: x["n"] * residual(x)), "SSB": _over("m", lambda x: x["n"] * residual(x) * residual(x)),
+        "SSW": _over("m", lambda x: x["n"] * F.greatest(x["vy"] - 2 * b * x["c"] + b * b * x["vt"], F.lit(0.0))),
+        "season_map": F.map_from_entries(F.transform("m", lambda x: F.struct(x["pos"], residual(x))))})
     use_season = ((F.col("t1") - F.col("t0")) >= F.lit(2 * per_year - 1)) if season == "auto" else F.lit(bool(season))
     var = F.when(use_season, F.col("SSW")).otherwise(
-        F.col("S2") - F.col("S1") * F.col("S1") / F.col("N")) / (F.col("N") - 1)
+        F.col("SSW") + F.col("SSB") - F.col("S1") * F.col("S1") / F.col("N")) / (F.col("N") - 1)
     ser = ser.withColumn("sigma", F.when(F.col("N") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
                          .otherwise(F.lit(0.0)))
 
@@ -112,6 +122,11 @@ def forecast(df: DataFrame, time: str, values: str | Sequence[str], horizon: str
         for v in values for x, suffix in (("f", "forecast"), ("u", "upper"), ("l", "lower"))])
 
 
+def _over(moments: str, value) -> Column:
+    """The sum of ``value`` over a series' moments."""
+    return F.aggregate(F.transform(moments, value), F.lit(0.0), lambda acc, x: acc + x)
+
+
 def quarter_index(df: DataFrame, year: str, quarter: str, values: Sequence[str]) -> DataFrame:
     """FC2: (period 'YYYY-Qn', ds first day of quarter, values as double).
 
@@ -131,3 +146,39 @@ def chart_series(actual: DataFrame, fc: DataFrame, actual_col: str, forecast_col
     last = actual.filter(F.col(actual_col).isNotNull()).select(F.max(on)).scalar()
     merged = bridge(merge_series(actual, fc, on), actual_col, forecast_col, on, last=last)
     return since(merged, on, start) if start else merged
+
+
+def chart_series_multi(actual: DataFrame, fc: DataFrame, pairs: Mapping[str, tuple[str, str]], on: str = "ds",
+                       by: Sequence[str] = (), bounds: tuple[str, str] | None = ("_upper", "_lower"),
+                       start: str | None = None) -> DataFrame:
+    """FC3 + JN1 + WIN2 for many series at once: ``(by..., series, on, actual, forecast[, upper, lower])``.
+
+    ``pairs`` maps a series' name to its actual column and its forecast
+    column; ``bounds`` are the endings that replace ``_forecast`` in the names of the bound columns.
+    Both frames are stacked into long rows and merged by one grouped
+    conditional maximum, not by a full outer join.  On the last period with an actual value
+    of a series (and key), found in a window over that series' periods, the
+    forecast is the actual value, so that the lines meet.  Rows without any value, or without a period, are left out.
+    """
+    parts = ["actual", "forecast", *(("upper", "lower") if bounds else ())]
+
+    def column(frame: DataFrame, name: str | None) -> Column:
+        return F.col(name).cast("double") if name is not None and name in frame.columns else F.lit(None).cast("double")
+
+    def long(frame: DataFrame, is_actual: bool) -> DataFrame:
+        rows = []
+        for series, (a, f) in pairs.items():
+            names = [a, None, None, None] if is_actual else [
+                None, f, *(f.removesuffix("_forecast") + ending for ending in bounds or ())]
+            rows.append(F.struct(F.lit(series).alias("series"), *[column(frame, n).alias(p) for p, n in zip(parts, names)]))
+        # the same filter as in forecast(), so that a shared source is read once
+        return (frame.filter(F.col(on).isNotNull()).select(*by, F.col(on), F.explode(F.array(*rows)).alias("_s"))
+                .select(*by, on, "_s.*"))
+
+    stacked = long(actual, True).unionByName(long(fc, False))
+    merged = stacked.groupBy(*by, "series", on).agg(*[F.max(p).alias(p) for p in parts])
+    merged = merged.filter(F.coalesce(*[F.col(p) for p in parts]).isNotNull())
+    last = F.max(F.when(F.col("actual").isNotNull(), F.col(on))).over(Window.partitionBy(*by, "series"))
+    out = merged.withColumn("_last", last).withColumn(
+        "forecast", F.when(F.col(on) == F.col("_last"), F.col("actual")).otherwise(F.col("forecast"))).drop("_last")
+    return since(out, on, start) if start else out

@@ -8,6 +8,10 @@ are aggregates (count, bounds): ``tile_summary`` groups points by their
 deepest tile first and rolls those partial results up the zoom pyramid by
 bit shifts, so a low-zoom tile holding most points costs one row per deep
 tile, and no feature list is ever collected into a single group.
+
+The tile store holds each point once, sorted by the interleaved bits of its
+deepest tile's x and y.  A tile of any zoom, and a box up to a few pieces, is then a range
+of keys, which the scan skips to by the files' statistics.
 """
 
 from __future__ import annotations
@@ -130,7 +134,7 @@ def tile_summary(df: DataFrame, zmin: int = 0, zmax: int = 16, layer: str = "lay
     """
     n = F.pow(F.lit(2.0), F.lit(zmax))
     maxi = (n - 1).cast("bigint")
-    deep = df.select(
+    deep = df.filter(F.col(lat).between(-MERCATOR_MAX_LAT, MERCATOR_MAX_LAT)).select(
         F.col(layer),
         F.least(F.greatest(F.floor(_frac_x(F.col(lon)) * n), F.lit(0)), maxi).alias("xd"),
         F.least(F.greatest(F.floor(_frac_y(F.col(lat)) * n), F.lit(0)), maxi).alias("yd"),
@@ -236,3 +240,130 @@ def export_tiles(df: DataFrame, path: str, zmin: int = 0, zmax: int = 16, layer:
     order = [layer, "z", "x", "y"]
     t = t.repartitionByRange(*order).sortWithinPartitions(*order)
     t.write.mode("overwrite").partitionBy(layer, "z").parquet(path)
+
+
+# --------------------------------------------------------------------------
+# tile store by interleaved key
+# --------------------------------------------------------------------------
+
+KEY = "tile_key"
+#: (shift, mask) that spread 16 bits to the even places of 32, from the widest step on.
+_SPREAD = ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555))
+
+
+def _spread(c: Column) -> Column:
+    for shift, mask in _SPREAD:
+        c = (c.bitwiseOR(F.shiftleft(c, shift))).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def _gather(c: Column) -> Column:
+    c = c.bitwiseAND(F.lit(_SPREAD[-1][1]).cast("long"))
+    for (shift, _), mask in zip(reversed(_SPREAD), [m for _, m in reversed(_SPREAD[:-1])] + [0x0000FFFF], strict=True):
+        c = (c.bitwiseOR(F.shiftright(c, shift))).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def interleaved(x: int, y: int) -> int:
+    """The key of a tile from its numbers: bits of y above bits of x."""
+    return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(max(x.bit_length(), y.bit_length(), 1)))
+
+
+def tile_key(lon: str = "longitude", lat: str = "latitude", depth: int = DEFAULT_ZOOM[1]) -> Column:
+    """The key of a point's tile at zoom ``depth`` (16 at most); beyond the projection's limit that of the border tile."""
+    n = 1 << depth
+    inside = F.greatest(F.least(F.col(lat), F.lit(MERCATOR_MAX_LAT)), F.lit(-MERCATOR_MAX_LAT))
+
+    def cell(fraction: Column) -> Column:
+        return F.least(F.greatest(F.floor(fraction * float(n)), F.lit(0)), F.lit(n - 1)).cast("long")
+
+    x, y = cell(_frac_x(F.col(lon))), cell(_frac_y(inside))
+    return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1))
+
+
+def write_tile_store(df: DataFrame, path: str, layer: str = "layer", depth: int = DEFAULT_ZOOM[1],
+                     row_group: int = 8 << 20) -> None:
+    """GEO3/GEO4 sink: every point once, partitioned by layer and sorted by :func:`tile_key`.
+
+    Range partitions cut a hot layer at its keys; small row groups with key
+    statistics let a lookup read a few of them.  Points beyond the
+    projection's limit are stored (a box can hold them), though no tile has them.
+    """
+    keyed = df.withColumn(KEY, tile_key(depth=depth))
+    order = [layer, KEY, "longitude", "latitude"]
+    (keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", row_group)
+     .partitionBy(layer).parquet(path))
+
+
+def tile_range_lookup(store: DataFrame, z: int, x: int, y: int, depth: int = DEFAULT_ZOOM[1]) -> DataFrame:
+    """GEO3 lookup: the points of tile z/x/y as one range of keys, which is pushed to the scan."""
+    if not 0 <= z <= depth or not (0 <= x < 1 << z and 0 <= y < 1 << z):
+        return store.filter(F.lit(False))
+    first = interleaved(x, y) << 2 * (depth - z)
+    return store.filter(F.col(KEY).between(first, first + (1 << 2 * (depth - z)) - 1)
+                        & F.col("latitude").between(-MERCATOR_MAX_LAT, MERCATOR_MAX_LAT))
+
+
+def tiles_from_store(store: DataFrame, zmin: int = 0, zmax: int = DEFAULT_ZOOM[1], depth: int = DEFAULT_ZOOM[1],
+                     layer: str = "layer", zoom_limits: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
+    """GEO3 from stored keys: a row per point and zoom with its tile, by shifts alone."""
+    lo, hi = F.lit(zmin), F.lit(zmax)
+    for name, (a, b) in (zoom_limits or {}).items():
+        lo = F.when(F.col(layer) == name, F.lit(max(a, zmin))).otherwise(lo)
+        hi = F.when(F.col(layer) == name, F.lit(min(b, zmax))).otherwise(hi)
+    at = store.filter(F.col("latitude").between(-MERCATOR_MAX_LAT, MERCATOR_MAX_LAT))
+    at = at.withColumns({"_xd": _gather(F.col(KEY)), "_yd": _gather(F.shiftright(F.col(KEY), 1))})
+    out = at.withColumn("z", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    return out.withColumns({"x": F.expr(f"shiftright(_xd, {int(depth)} - z)"),
+                            "y": F.expr(f"shiftright(_yd, {int(depth)} - z)")}).drop("_xd", "_yd")
+
+
+def box_ranges(xmin: float, ymin: float, xmax: float, ymax: float, depth: int = DEFAULT_ZOOM[1],
+               most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of keys (first, last) that hold every point of the box, and little else.
+
+    Squares that straddle the border are quartered, the largest first, while
+    the ranges stay within ``most``; neighbouring ranges are joined.
+    """
+    if xmin > xmax or ymin > ymax:
+        return []
+    n = 1 << depth
+
+    def cell(fraction: float) -> int:
+        return min(max(math.floor(fraction * n), 0), n - 1)
+
+    def row(lat: float) -> float:
+        inside = min(max(lat, -MERCATOR_MAX_LAT), MERCATOR_MAX_LAT)
+        return (1 - math.log(math.tan((inside + 90) * math.pi / 360)) / math.pi) / 2
+
+    # one cell to spare on every side: the engine's logarithm may differ in the last digit
+    left, right = max(cell((xmin + 180) / 360) - 1, 0), min(cell((xmax + 180) / 360) + 1, n - 1)
+    top, bottom = max(cell(row(ymax)) - 1, 0), min(cell(row(ymin)) + 1, n - 1)
+    whole, border = [], [(0, 0, 0)]  # (zoom, x, y)
+    while border and len(whole) + len(border) + 3 <= most:
+        z, x, y = border.pop(0)  # zooms ascend
+        for cx, cy in ((2 * x, 2 * y), (2 * x + 1, 2 * y), (2 * x, 2 * y + 1), (2 * x + 1, 2 * y + 1)):
+            side = depth - z - 1
+            a, b, c, d = cx << side, ((cx + 1) << side) - 1, cy << side, ((cy + 1) << side) - 1
+            if b < left or a > right or d < top or c > bottom:
+                continue
+            inside = (a >= left and b <= right and c >= top and d <= bottom) or side == 0
+            (whole if inside else border).append((z + 1, cx, cy))
+    ranges = sorted((interleaved(x, y) << 2 * (depth - z), ((interleaved(x, y) + 1) << 2 * (depth - z)) - 1)
+                    for z, x, y in whole + border)
+    joined: list[tuple[int, int]] = []
+    for first, last in ranges:
+        if joined and joined[-1][1] + 1 == first:
+            joined[-1] = (joined[-1][0], last)
+        else:
+            joined.append((first, last))
+    return joined
+
+
+def bbox_ranges(store: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, depth: int = DEFAULT_ZOOM[1],
+                most: int = 64) -> DataFrame:
+    """GEO6 on the tile store: key ranges for the scan, then the exact inclusive box."""
+    hit = F.lit(False)
+    for first, last in box_ranges(xmin, ymin, xmax, ymax, depth, most):
+        hit = hit | F.col(KEY).between(first, last)
+    return in_bbox(store.filter(hit), xmin, ymin, xmax, ymax)

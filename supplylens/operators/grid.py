@@ -124,6 +124,66 @@ def rows_as_maps(long: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("record"))
 
 
+def column_names(long: DataFrame, index: Sequence[str] = ("sheet", "row_idx")) -> list[str]:
+    """The columns of the wide form of ``long``, by their first place in a sheet.
+
+    One row per distinct name comes to the driver, which is the schema of the
+    wide table; names that differ in case only are one column, as in a table.
+    """
+    first = (long.groupBy(F.lower("column").alias("k"))
+             .agg(F.min(F.struct("col_idx", "sheet", "column")).alias("at")))
+    taken = {c.lower() for c in index}
+    return [r["column"] for r in first.orderBy("at.col_idx", "at.sheet", "k").select("at.column").collect()
+            if r["column"].lower() not in taken]
+
+
+def to_wide(long: DataFrame, columns: Sequence[str] | None = None,
+            index: Sequence[str] = ("sheet", "row_idx")) -> DataFrame:
+    """GRD3, wide: one row per spreadsheet row and one column per header name.
+
+    ``long`` is the output of :func:`apply_header` with ``unique=True``, so a row
+    holds a name once.  Sheets with different headers are united by name: a
+    column that a sheet lacks is NULL there.  A row's cells become one map
+    (bounded by the sheet's width) in a single grouping, whatever the number of columns.
+    """
+    names = list(columns) if columns is not None else column_names(long, index)
+    cells = F.map_from_entries(F.collect_list(F.struct(F.lower("column"), "value")))
+    rows = long.groupBy(*index).agg(cells.alias("_cells"))
+    return rows.select(*index, *[F.try_element_at("_cells", F.lit(n.lower())).alias(n) for n in names])
+
+
+def sheet_table(cells: DataFrame, headers: DataFrame | None = None, k: int = 3, within: int = 20,
+                ignore_first: bool = True) -> DataFrame:
+    """GRD1 + GRD3 + GRD9: the labelled cells of all sheets that have a header row."""
+    heads = detect_header(cells, k, within) if headers is None else headers
+    return normalize_nulls(apply_header(cells, heads, ignore_first=ignore_first, unique=True), ["value"])
+
+
+def save_sheets(cells: DataFrame, path: str, rules: Mapping[str, Iterable[str]], default: str,
+                exclude: Iterable[str] = (), k: int = 3, within: int = 20) -> dict[str, str]:
+    """GRD1-3, GRD6-9 as one chain: parse every sheet, route it, save one wide table per category.
+
+    The labelled cells are written once, dealt out by category below
+    ``path/cells``; each category's table is then built from its own part, with
+    the columns of its own sheets, and saved as ``path/<category>``.
+    Returns category -> folder, for the categories that have rows.
+    """
+    long = route_sheets(sheet_table(cells, k=k, within=within), rules, default, exclude)
+    kept = ["sheet", "row_idx", "col_idx", "column", "value"]
+    (long.select("data_category", *kept).hint("rebalance", "data_category")
+     .write.mode("overwrite").partitionBy("data_category").parquet(f"{path}/cells"))
+    stored = long.sparkSession.read.parquet(f"{path}/cells")
+    out = {}
+    for category in [*rules, default]:
+        part = stored.filter(F.col("data_category") == category).select(*kept)
+        names = column_names(part)
+        if names:
+            out[category] = f"{path}/{category}"
+            wide = to_wide(part, names).withColumnRenamed("sheet", "source_sheet")
+            wide.withColumn("data_category", F.lit(category)).write.mode("overwrite").parquet(out[category])
+    return out
+
+
 def label_from_name(name: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """First rule whose text occurs in ``lower(name)`` gives the label."""
     out = F.lit(default)

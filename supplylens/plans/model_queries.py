@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplylens.functions.columns import month_start, truncate_to
 from supplylens.operators import relational as R
-from supplylens.operators.forecast import chart_series, forecast, quarter_index
+from supplylens.operators.forecast import chart_series, chart_series_multi, forecast, quarter_index
 from supplylens.operators.scenario import scenario
 from supplylens.plans.registry import register, table
 
@@ -268,3 +268,37 @@ def bridge_q(spark, d):
 def chart_series_q(spark, d):
     actual, fc = _merged(spark, d)
     return chart_series(actual, fc, "actual", "revenue_forecast", "ds", start="1999-01-01")
+
+
+_QUARTERLY_BY_PRIORITY_SQL = """
+SELECT o_orderpriority, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ds,
+       sum(o_totalprice) AS revenue, CAST(count(*) AS DOUBLE) AS n_orders
+FROM orders GROUP BY 1, 2
+"""
+
+
+def _multi_sql() -> str:
+    fc = _forecast_sql(_QUARTERLY_BY_PRIORITY_SQL, ["revenue", "n_orders"], "2003-01-01", step=3, by=["o_orderpriority"])
+    one = """
+SELECT coalesce(q.o_orderpriority, fc.o_orderpriority) AS o_orderpriority, '{name}' AS series, coalesce(q.ds, fc.ds) AS ds,
+       CAST({col} AS DOUBLE) AS actual,
+       CASE WHEN q.ds = (SELECT max(x.ds) FROM q x WHERE x.o_orderpriority = q.o_orderpriority) THEN {col}
+            ELSE {col}_forecast END AS forecast, {col}_upper AS upper, {col}_lower AS lower
+FROM q FULL OUTER JOIN fc ON q.ds = fc.ds AND q.o_orderpriority = fc.o_orderpriority"""
+    return f"""
+WITH q AS ({_QUARTERLY_BY_PRIORITY_SQL}), fc AS ({fc}),
+c AS ({one.format(name="Revenue", col="revenue")} UNION ALL {one.format(name="Orders", col="n_orders")})
+SELECT o_orderpriority, series, ds, round(actual, 2) AS actual, round(forecast, 2) AS forecast, upper, lower
+FROM c WHERE ds >= DATE '1996-01-01'
+"""
+
+
+@register("chart_series_multi", _multi_sql())
+def chart_series_multi_q(spark, d):
+    """Actuals, forecasts and bounds of two measures per priority from one scan of the orders."""
+    q = table(spark, d, "orders").groupBy("o_orderpriority", truncate_to("o_orderdate", "QUARTER").alias("ds")).agg(
+        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).cast("double").alias("n_orders"))
+    fc = forecast(q, "ds", ["revenue", "n_orders"], "2003-01-01", "QUARTER", by=["o_orderpriority"])
+    pairs = {"Revenue": ("revenue", "revenue_forecast"), "Orders": ("n_orders", "n_orders_forecast")}
+    out = chart_series_multi(q, fc, pairs, by=["o_orderpriority"], start="1996-01-01")
+    return out.withColumns({c: F.round(c, 2) for c in ("actual", "forecast")})

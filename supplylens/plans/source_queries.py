@@ -487,3 +487,45 @@ def table_count(spark, d):
         rk = region.filter(F.col("r_name") == label).select(F.col("r_regionkey").alias("n_regionkey"))
         Q.save(nation.join(rk, "n_regionkey", "left_semi"), f"{db}.nations_{tname.lower()}")
     return S.list_tables(spark, db).agg(F.count_distinct("tableName").alias("n_tables"))
+
+
+def order_pages(spark, d):
+    """A page per customer with orders: a table of them under a spanning header, with a table inside
+    a cell of each row and a last column of which a cell spans two rows."""
+    o = table(spark, d, "orders").select("o_custkey", F.struct(
+        "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus").alias("o"))
+    pages = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("os"))
+
+    def row(x, i):
+        nested = F.concat(F.lit("<table><tr><td>"), x["o_orderpriority"], F.lit("<td rowspan=0>P&amp;R</td></tr><tr><td colspan=1>"),
+                          x["o_orderstatus"], F.lit("</table>"))
+        spanning = F.when(i % 2 == 0, F.concat(F.lit("<td rowspan='2'><b>G</b>"), (i / 2).cast("int").cast("string"), F.lit("</td>")))
+        return F.concat(F.lit("<tr><td>"), x["o_orderkey"].cast("string"), F.lit("</td>\n <td> "),
+                        x["o_totalprice"].cast("decimal(20,2)").cast("string"), F.lit("&nbsp;<br>AUD</td><td>"), nested,
+                        F.lit("</td>"), F.coalesce(spanning, F.lit("")), F.lit("</tr>"))
+
+    head = ("<html><!-- <table><tr><td>no</td></tr></table> --><script>var t = '<table><tr><td>';</script>"
+            "<table class=x><tr><th rowspan=2>Order</th><th colspan=2>Amounts</th><th rowspan=2></th></tr><tr></tr><tr><th>Total<th>Kind</tr>")
+    return pages.select(F.col("o_custkey").alias("page_id"), F.concat(
+        F.lit(head), F.array_join(F.transform("os", row), ""), F.lit("</table></html>")).alias("html"))
+
+
+@register("page_tables", """
+WITH o AS (
+  SELECT o_custkey AS page_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, * FROM orders),
+slots AS (
+  SELECT DISTINCT page_id, 0 AS tab, v.r AS row, v.c AS col, v.t AS value FROM o, (VALUES
+    (0, 0, 'Order'), (0, 1, 'Amounts'), (0, 2, 'Amounts'), (0, 3, NULL), (1, 0, 'Order'), (1, 1, 'Total'), (1, 2, 'Kind'),
+    (1, 3, NULL)) v(r, c, t)
+  UNION ALL SELECT page_id, 0, i + 2, 0, CAST(o_orderkey AS VARCHAR) FROM o
+  UNION ALL SELECT page_id, 0, i + 2, 1, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS VARCHAR) || ' AUD' FROM o
+  UNION ALL SELECT page_id, 0, i + 2, 2, NULL FROM o
+  UNION ALL SELECT page_id, 0, i + 2, 3, 'G' || CAST(i // 2 AS VARCHAR) FROM o
+  UNION ALL SELECT page_id, i + 1, 0, 0, o_orderpriority FROM o
+  UNION ALL SELECT page_id, i + 1, 0, 1, 'P&R' FROM o
+  UNION ALL SELECT page_id, i + 1, 1, 0, o_orderstatus FROM o
+  UNION ALL SELECT page_id, i + 1, 1, 1, 'P&R' FROM o)
+SELECT page_id, tab AS "table", row, col, value FROM slots
+""")
+def page_tables_q(spark, d):
+    return S.page_tables(order_pages(spark, d), "html", ["page_id"])

@@ -351,6 +351,97 @@ def extract_elements(df: DataFrame, html: str, pattern: str = LINK_ITEM_PATTERN,
             .select(*keep, "pos", *[F.col(f"_m.{c}").alias(c) for c in cols]))
 
 
+# Comments, scripts and styles (to their end, or the page's), tags, and text between them.
+_SKIPPED = r"<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)|\z)"
+_MARKUP = rf"(?is)({_SKIPPED}|<[^>]*>?|[^<]+)"
+# Character references decoded in cells, and the markup standard's limit of a colspan.
+_REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_MOST_COLUMNS = 1000
+_SLOTS = "array<struct<col:int,left:int,value:string>>"
+
+
+def page_tables(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
+    """SRC9, tables: every slot of every table of a page, as ``(keep..., table, row, col, value)``.
+
+    A page's tags and texts are taken in order, once.  A table within a cell is
+    a table of its own, numbered by its opening tag, and its text is not part of the outer
+    cell.  ``rowspan`` and ``colspan`` repeat a cell's text in every slot that it
+    covers; where two cells claim a slot the one from above keeps it.  A rowspan of 0 reaches to
+    the last row; a span that is no number counts as 1.  Rows without cells don't count.
+    Rows and columns count from 0 within the table, so a table serves GRD1-3 as a sheet
+    of cells.  White space is folded, the basic character references are decoded, an empty cell is NULL.
+
+    ``keep`` must identify a page.  All windows and groups are within a page; a cell whose
+    end tag is missing ends with the next cell, row or table.
+    """
+    keep = list(keep)
+    tokens = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_MARKUP), 1)).alias("pos", "tok"))
+    is_text = ~F.col("tok").startswith("<")
+    tokens = (tokens.withColumn("tag", F.lower(F.regexp_extract("tok", r"^<(/?[a-zA-Z]+)", 1)))
+              .filter(F.col("tag").isin("table", "/table", "tr", "/tr", "td", "/td", "th", "/th", "br") | is_text))
+    page = Window.partitionBy(*keep).orderBy("pos")
+    opens = (F.col("tag") == "table").cast("int")
+    # a closing tag counts from the next token on, so that it still belongs to its table
+    closed = F.lag((F.col("tag") == "/table").cast("int"), 1, 0).over(page)
+    tokens = tokens.withColumns({"opens": opens, "closed": closed}).withColumns(
+        {"depth": F.sum(F.col("opens") - F.col("closed")).over(page), "opened": F.sum("opens").over(page)}).filter("depth > 0")
+    level = Window.partitionBy(*keep, "depth").orderBy("pos")
+    tokens = tokens.withColumn("table", F.last(F.when(F.col("tag") == "table", F.col("opened") - 1), True).over(level))
+    inner = Window.partitionBy(*keep, "table").orderBy("pos")
+    is_cell = F.col("tag").isin("td", "th")
+    tokens = tokens.withColumns({
+        "tr": F.sum((F.col("tag") == "tr").cast("int")).over(inner),
+        "cell": F.sum(is_cell.cast("int")).over(inner),
+        # 1 within a cell, 0 after its end and before the first
+        "inside": F.last(F.when(is_cell, 1).when(F.col("tag").isin("table", "/td", "/th", "tr", "/tr"), 0), True).over(inner)})
+
+    def span(name: str) -> Column:
+        found = F.regexp_extract("tok", rf"(?i)\s{name}\s*=\s*[\"']?\s*([0-9]{{1,5}})", 1)
+        return F.max(F.when(is_cell, F.coalesce(found.try_cast("int"), F.lit(1))))
+
+    text = F.when(F.col("tag") == "br", F.lit(" ")).when(is_text, F.col("tok"))
+    cells = (tokens.filter("inside = 1").groupBy(*keep, "table", "tr", "cell")
+             .agg(span("colspan").alias("wide"), span("rowspan").alias("tall"),
+                  F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("pos", text.alias("t"))))).alias("texts")))
+    value = F.array_join(F.transform("texts", lambda x: x["t"]), "")
+    for reference, char in _REFERENCES:
+        value = F.replace(value, F.lit(reference), F.lit(char))
+    value = F.trim(F.regexp_replace(value, r"[\s\u00A0]+", " "))
+    rows = (cells.withColumn("value", F.nullif(value, F.lit("")))
+            .groupBy(*keep, "table", "tr").agg(F.array_sort(F.collect_list(F.struct("cell", "wide", "tall", "value"))).alias("cells")))
+    tables = rows.groupBy(*keep, "table").agg(F.array_sort(F.collect_list(F.struct("tr", "cells"))).alias("rows"))
+    # a table's rows one after the other: the slots held from above, and the row's own
+    start = F.struct(F.array().cast(_SLOTS).alias("slots"), F.array().cast(f"array<{_SLOTS}>").alias("done"))
+
+    def next_row(acc: Column, row: Column) -> Column:
+        slots = _slots(row["cells"], F.filter(acc["slots"], lambda h: h["left"] > 0))
+        return F.struct(slots.alias("slots"), F.concat(acc["done"], F.array(slots)).alias("done"))
+
+    placed = F.aggregate("rows", start, next_row, lambda acc: acc["done"])
+    return (tables.select(*keep, "table", F.posexplode(placed).alias("row", "_slots"))
+            .select(*keep, "table", "row", F.explode("_slots").alias("_s"))
+            .select(*keep, "table", "row", F.col("_s.col").alias("col"), F.col("_s.value").alias("value")))
+
+
+def _slots(cells: Column, held: Column) -> Column:
+    """The slots of a row: those held from above, one row less to go, then each cell from the first free column on."""
+    above = F.transform(held, lambda h: F.struct(h["col"].alias("col"), (h["left"] - 1).alias("left"), h["value"].alias("value")))
+
+    def free(c: Column) -> Column:
+        return ~F.exists(held, lambda h: h["col"] == c)
+
+    def place(acc: Column, cell: Column) -> Column:
+        # of one column more than are held, one is free
+        at = F.get(F.filter(F.sequence(acc["next"], acc["next"] + F.size(held)), free), F.lit(0))
+        end = at + F.greatest(F.least(cell["wide"], F.lit(_MOST_COLUMNS)), F.lit(1))
+        left = F.when(cell["tall"] == 0, F.lit(1 << 30)).otherwise(cell["tall"] - 1)
+        new = F.transform(F.filter(F.sequence(at, end - 1), free), lambda c: F.struct(
+            c.alias("col"), left.alias("left"), cell["value"].alias("value")))
+        return F.struct(end.alias("next"), F.concat(acc["slots"], new).alias("slots"))
+
+    return F.aggregate(cells, F.struct(F.lit(0).alias("next"), above.cast(_SLOTS).alias("slots")), place, lambda acc: acc["slots"])
+
+
 # --------------------------------------------------------------------------
 # SRC10 inline reference rows
 # --------------------------------------------------------------------------

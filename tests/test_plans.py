@@ -46,9 +46,11 @@ def test_pct_of_total_has_no_unpartitioned_window(spark, sf_dir):
 
 # Window operators only where each window partition is bounded: the prompt
 # context (input capped first) and the preamble reader (partitioned by file,
-# first-split lines only) and header apply (partitioned by sheet row).
+# first-split lines only), header apply (partitioned by sheet row), the tokens of
+# one page, and the periods of one chart series.
 # Nested-loop joins only against one-row aggregates.
-WINDOW_OK = {"briefing_context", "read_preamble", "grid_apply", "grid_apply_ignore_first"}
+WINDOW_OK = {"briefing_context", "read_preamble", "grid_apply", "grid_apply_ignore_first", "page_tables",
+             "chart_series_multi"}
 NESTED_LOOP_OK = {"kpi_row", "pct_of_total", "catalogue_producers_percent"}
 
 
@@ -67,3 +69,21 @@ def test_latest_period_is_pushed_into_the_scan(spark, sf_dir):
         p = plan(registry.queries()[name](spark, sf_dir))
         assert f"GreaterThanOrEqual({col}," in p, (name, p)
         assert "Subquery" not in p, name
+
+
+def test_sources_are_read_once(spark, sf_dir):
+    for name in ("forecast_single", "forecast_multi", "forecast_by_key"):
+        assert plan(registry.queries()[name](spark, sf_dir)).count("FileScan") == 1, name
+    df = registry.queries()["chart_series_multi"](spark, sf_dir)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+    assert plan(registry.queries()["page_tables"](spark, sf_dir)).count("FileScan") == 1
+
+
+def test_tile_keys_are_pushed_into_the_scan(spark, sf_dir):
+    p = plan(registry.queries()["tile_range_lookup"](spark, sf_dir))
+    scans = re.findall(r"PushedFilters: \[([^\]]*)\]", p)
+    assert len(scans) == 17 and all("tile_key" in s for s in scans), p
+    for s in re.findall(r"PushedFilters: \[([^\]]*)", plan(registry.queries()["bbox_ranges"](spark, sf_dir))):
+        assert "tile_key" in s and "longitude" in s
