@@ -90,7 +90,7 @@ def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = Fals
         every = kept.select("sheet", "col_idx").distinct().unionByName(names.select("sheet", "col_idx")).distinct()
         heads = (every.join(names, ["sheet", "col_idx"], "left").groupBy("sheet")
                  .agg(F.array_sort(F.collect_list(F.struct("col_idx", "column"))).alias("heads")))
-        names = (heads.withColumn("_named", _unique(F.transform("heads", lambda x: x["column"])))
+        names = (heads.withColumn("_named", unique_labels(F.transform("heads", lambda x: x["column"])))
                  .select("sheet", F.explode(F.arrays_zip(F.transform("heads", lambda x: x["col_idx"]).alias("c"),
                                                          F.col("_named").alias("n"))).alias("z"))
                  .select("sheet", F.col("z.c").alias("col_idx"), F.col("z.n").alias("column")))
@@ -100,7 +100,7 @@ def apply_header(cells: DataFrame, headers: DataFrame, ignore_first: bool = Fals
             .select("sheet", "row_idx", "col_idx", "column", "value"))
 
 
-def _unique(labels: Column) -> Column:
+def unique_labels(labels: Column) -> Column:
     """:func:`sanitize_names` of an array of labels as one expression."""
     drop = "[" + re.escape(NAME_DROP_CHARS) + "]"
     clean = F.transform(labels, lambda x: F.trim(F.regexp_replace(

@@ -173,10 +173,12 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str],
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """JN3: attach the columns of a one-row aggregate to every row.
 
-    ``one_row`` must be a global aggregate (no grouping), which always has
-    exactly one row, so the broadcast is bounded.
+    A scalar subquery, not a join: a frame of more than one row is an error
+    when the query runs, so nothing larger is ever sent around.  Without a row
+    the columns are NULL.
     """
-    return df.crossJoin(F.broadcast(one_row))
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumns({c: row[c] for c in one_row.columns})
 
 
 def merge_series(actual: DataFrame, forecast: DataFrame, on: str = "ds") -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 from supplylens.operators import relational as R
-from supplylens.operators.metrics import MetricView, context, kpis
-from supplylens.operators.widgets import date_range, filter_values, widget
+from supplylens.operators.metrics import MetricStates, MetricView, context, kpis
+from supplylens.operators.widgets import date_range, filter_values, filter_values_all, widget
 from supplylens.plans.registry import register, table
+from supplylens.session import scratch_path
 
 
 def order_metrics(spark, d) -> MetricView:
@@ -158,22 +159,27 @@ def kpi_row(spark, d):
 
 
 @register("briefing_context", """
-SELECT 'Latest order' AS label,
+SELECT 'Latest order' AS label, 0::BIGINT AS chunk,
        (SELECT CAST(to_json(list({'o_orderkey': o_orderkey, 'o_totalprice': o_totalprice, 'o_orderpriority': o_orderpriority}
                             ORDER BY o_orderkey)) AS VARCHAR)
         FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)) AS context
 UNION ALL
-SELECT 'Regions', (SELECT to_json(list({'r_regionkey': r_regionkey, 'r_name': r_name} ORDER BY r_regionkey))::VARCHAR FROM region)
+SELECT 'Regions', 0, (SELECT to_json(list({'r_regionkey': r_regionkey, 'r_name': r_name} ORDER BY r_regionkey))::VARCHAR FROM region)
 UNION ALL
-SELECT 'Top customer',
+SELECT 'Top customer', 0,
        (SELECT to_json(list({'c_custkey': c_custkey, 'c_name': c_name, 'c_acctbal': c_acctbal} ORDER BY c_acctbal DESC))::VARCHAR
         FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey ASC LIMIT 1))
 UNION ALL
-SELECT 'Urgent orders by status',
+SELECT 'Urgent orders by status', 0,
        (SELECT to_json(list({'o_orderstatus': o_orderstatus, 'n': n} ORDER BY o_orderstatus))::VARCHAR
         FROM (SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1))
 UNION ALL
-SELECT 'Missing table', 'unavailable'
+SELECT 'Missing table', 0, 'unavailable'
+UNION ALL
+SELECT 'Bad number', 0, 'unavailable'
+UNION ALL
+SELECT 'All orders', chunk, to_json(list({'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority} ORDER BY o_orderkey))::VARCHAR
+FROM (SELECT *, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk FROM orders) q GROUP BY chunk
 """)
 def briefing_context(spark, d):
     o = table(spark, d, "orders")
@@ -187,5 +193,47 @@ def briefing_context(spark, d):
         "Urgent orders by status": lambda: R.group_count(R.at(o, "o_orderpriority", "1-URGENT"),
                                                          ["o_orderstatus"]),
         "Missing table": lambda: spark.table("no_such_table_anywhere"),
+        # plans, and fails when it runs
+        "Bad number": lambda: o.select(F.col("o_orderpriority").cast("int").alias("n")),
+        "All orders": lambda: o.select("o_orderkey", "o_orderpriority"),
     }
     return context(spark, sets, order={"Top customer": [("c_acctbal", "desc")]})
+
+
+@register("filter_values_all", """
+SELECT 'event_type' AS field, event_type AS value, count(*) FILTER (WHERE user_id < 100 AND hour(ts) >= 6) AS associativity
+FROM events GROUP BY 2
+UNION ALL
+SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FILTER (WHERE event_type IN ('click', 'view') AND hour(ts) >= 6)
+FROM events GROUP BY 2
+UNION ALL
+SELECT 'hour', CAST(hour(ts) AS VARCHAR), count(*) FILTER (WHERE event_type IN ('click', 'view') AND user_id < 100)
+FROM events GROUP BY 2
+UNION ALL
+SELECT 'day', CAST(CAST(ts AS DATE) AS VARCHAR),
+       count(*) FILTER (WHERE event_type IN ('click', 'view') AND user_id < 100 AND hour(ts) >= 6)
+FROM events GROUP BY 2
+""")
+def filter_values_all_q(spark, d):
+    """Three active filters and one without a condition, in one scan."""
+    e = table(spark, d, "events").withColumns({"hour": F.hour("ts"), "day": F.to_date("ts")})
+    return filter_values_all(e, {"event_type": F.col("event_type").isin("click", "view"), "user_id": F.col("user_id") < 100,
+                                 "hour": F.col("hour") >= 6, "day": None})
+
+
+@register("metric_rollup", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, o_orderpriority AS priority, o_orderstatus AS status,
+       CAST(grouping(year(o_orderdate)) * 4 + grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS BIGINT) AS level,
+       round(avg(o_totalprice), 4) AS avg_price, max(o_totalprice) AS max_price, min(o_totalprice) AS min_price,
+       round(stddev_samp(o_totalprice), 4) AS price_volatility, count(*) AS record_count
+FROM orders GROUP BY CUBE (year(o_orderdate), o_orderpriority, o_orderstatus)
+""")
+def metric_rollup(spark, d):
+    """MET1: every subset of the dimensions from stored partial states."""
+    view = order_metrics(spark, d)
+    path = scratch_path(spark, "metric-states")
+    MetricStates.build(view.source, view.dimensions, "o_totalprice").write.parquet(path)
+    m = MetricStates(spark.read.parquet(path), list(view.dimensions)).every_subset()
+    return m.select("order_year", "priority", "status", F.col("level").cast("long").alias("level"), F.round("avg", 4).alias("avg_price"),
+                    F.col("max").alias("max_price"), F.col("min").alias("min_price"), F.round("stddev", 4).alias("price_volatility"),
+                    F.col("rows").alias("record_count"))

@@ -274,7 +274,8 @@ def read_xml_q(spark, d):
                           F.lit("\n</channel></rss>")).alias("line")))
     # one XML document per file: a second root element in a file is invalid
     docs.write.mode("overwrite").partitionBy("page").text(path)
-    return S.read_xml_items(spark, path).drop("page")
+    fields = ["id", "title", "brand", "x:price", "latitude", "longitude"]
+    return S.read_xml_items(spark, path, schema=", ".join(f"`{c}` STRING" for c in fields)).drop("page")
 
 
 # --------------------------------------------------------------------------
@@ -293,7 +294,7 @@ FROM supplier
 def features_flatten(spark, d):
     path = scratch_path(spark, "geojson")
     _feature_pages(spark, d).select("line").write.mode("overwrite").text(path)
-    return S.flatten_features(spark, path, multiline=False)
+    return S.flatten_features(spark, path, multiline=False, properties="acctbal DOUBLE, name STRING, nationkey BIGINT")
 
 
 @register("features_flatten_text", """
@@ -529,3 +530,61 @@ SELECT page_id, tab AS "table", row, col, value FROM slots
 """)
 def page_tables_q(spark, d):
     return S.page_tables(order_pages(spark, d), "html", ["page_id"])
+
+
+# -- many layouts, many sources
+
+N_LAYOUTS = 50
+
+
+def _many_sql() -> str:
+    totals = ", ".join(f"CASE WHEN f % 5 = {i} THEN total END AS \"Total_{i}\"" for i in range(5))
+    own = ", ".join(f"CASE WHEN f = {i} THEN f::DOUBLE END AS f{i}" for i in range(N_LAYOUTS))
+    return f"""
+SELECT date, {totals}, n, {own}
+FROM (SELECT CAST(o_custkey % {N_LAYOUTS} AS INTEGER) AS f, CAST(o_orderdate AS DATE) AS date,
+             round(sum(o_totalprice), 2) AS total, count(*)::DOUBLE AS n
+      FROM orders GROUP BY 1, 2) t
+"""
+
+
+@register("read_preamble_many", _many_sql())
+def read_preamble_many(spark, d):
+    """SRC2 on fifty files with a header of their own each, quoted names and values included."""
+    path = scratch_path(spark, "preambles")
+    f = (F.col("o_custkey") % N_LAYOUTS).cast("int")
+    o = table(spark, d, "orders").groupBy(f.alias("f"), F.to_date("o_orderdate").alias("day")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
+    data = o.select("f", F.concat(F.lit("1-"), F.col("day").cast("string")).alias("k"), F.concat(
+        F.date_format("day", "dd-MMM-yyyy"), F.lit(',"'), F.col("total").cast("string"), F.lit('",'), F.col("n").cast("string"),
+        F.lit(","), F.col("f").cast("string")).alias("line"))
+    heads = o.select("f").distinct().select("f", F.explode(F.array(
+        F.struct(F.lit("0-0").alias("k"), F.lit("ORDER TOTALS TABLE").alias("line")),
+        F.struct(F.lit("0-1").alias("k"), F.lit("# one file of many").alias("line")),
+        F.struct(F.lit("0-2").alias("k"), F.concat(F.lit('Series ID,"Total, '), (F.col("f") % 5).cast("string"), F.lit('",n,f'),
+                                                   F.col("f").cast("string")).alias("line")))).alias("h")).select("f", "h.*")
+    lines = data.unionByName(heads)
+    (lines.repartition("f").sortWithinPartitions("f", "k").select("f", "line").write.mode("overwrite").partitionBy("f").text(path))
+    return S.read_preamble_csv(spark, path)
+
+
+@register("read_tagged_files", """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, round(o_totalprice, 2) AS o_totalprice,
+       CASE WHEN o_custkey % 3 = 0 THEN o_orderpriority END AS prio_0, CASE WHEN o_custkey % 3 = 1 THEN o_orderpriority END AS prio_1,
+       CASE WHEN o_custkey % 3 = 2 THEN o_orderpriority END AS prio_2,
+       CAST(o_custkey % 30 AS VARCHAR) AS code, 'Site ' || CAST(o_custkey % 30 AS VARCHAR) AS site
+FROM orders
+""")
+def read_tagged_files_q(spark, d):
+    """SRC6: thirty sources with three different headers, read in one scan."""
+    path = scratch_path(spark, "sites")
+    o = table(spark, d, "orders").withColumn("code", (F.col("o_custkey") % 30).cast("int"))
+    for i in range(3):
+        (o.filter(F.col("o_custkey") % 3 == i).select("code", F.round("o_totalprice", 2).alias("o_totalprice"),
+                                                      F.col("o_orderpriority").alias(f"prio {i}"), "o_orderkey")
+         .hint("rebalance", "code").write.mode("append").option("header", True).partitionBy("code").csv(path))
+    sources = {str(c): f"{path}/code={c}" for c in range(30)}
+    found = {r["code"] for r in o.select("code").distinct().collect()}  # thirty at most
+    sources = {k: p for k, p in sources.items() if int(k) in found}
+    return S.read_tagged_files(spark, sources, {k: f"Site {k}" for k in sources}, types={"o_orderkey": "bigint", "o_totalprice": "double"},
+                               code_col="code", name_col="site")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from supplylens.functions.columns import to_double, try_number
-from supplylens.operators.grid import sanitize_names
+from supplylens.operators.grid import sanitize_names, unique_labels
 from supplylens.session import scratch_path
 
 # Words marking metadata lines in statistical CSV preambles,
@@ -128,8 +128,9 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     """
     lines = _indexed_lines(spark, path)
     # The per-file header table (one small row per file) is landed once in
-    # the shared scratch folder: the layout listing and the body join both
+    # the shared scratch folder: the listing of names and the body join both
     # read it, so the lines are scanned twice in total, not three times.
+    # The body is one scan and one projection, however many layouts there are.
     meta_path = scratch_path(spark, "preamble-meta")
     (preamble_headers(lines, fallback).filter(F.col("header_line").isNotNull())
      .write.mode("overwrite").parquet(meta_path))
@@ -137,19 +138,11 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     heads = meta.select(F.col("file").alias("_file"), F.struct("block", "mid").alias("_head"), "header_line")
     body = (lines.join(heads, F.col("file") == F.col("_file"))
             .filter(F.struct("block", "mid") > F.col("_head")))
-    # Driver sees one header line per distinct layout (metadata, not data).
-    layouts = [r.header_line for r in meta.select("header_line").distinct().collect()]
-    out = None
-    for h in layouts:
-        names = sanitize_names([p.strip() for p in next(csv.reader([h]))])
-        names[0] = "date"
-        names = sanitize_names(names)
-        ddl = ", ".join(f"`{n}` STRING" for n in names)
-        part = (body.filter(F.col("header_line") == h)
-                .select(F.from_csv("line", ddl).alias("r")).select("r.*"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    names = _header_names(F.col("header_line"), first="date")
+    out, columns = _by_header(body.select("line", "header_line"), meta.select("header_line"), names)
+    if not columns:
         return spark.createDataFrame([], "date DATE")
+    out = out.select(*columns)
     any_value = F.lit(False)
     for c in out.columns:
         any_value = any_value | (F.col(c).isNotNull() & (F.trim(F.col(c)) != ""))
@@ -159,6 +152,47 @@ def read_preamble_csv(spark: SparkSession, path: str | Sequence[str],
     return out.select(*typed).filter(F.col("date").isNotNull())
 
 
+def _n_fields(line: Column) -> Column:
+    """How many delimited fields a line has; commas within quotes don't count."""
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _header_names(header: Column, first: str | None = None):
+    """A function of the widest header's width that gives a header's names: storage-safe and unique (GRD8)."""
+    def names(width: int) -> Column:
+        found = F.slice(_fields(header, width), 1, _n_fields(header))
+        safe = unique_labels(found)
+        return unique_labels(F.concat(F.array(F.lit(first)), F.slice(safe, 2, width))) if first else safe
+    return names
+
+
+def _fields(line: Column, width: int) -> Column:
+    """The fields of a line by position, quotes taken off; a missing or empty field is NULL."""
+    row = F.from_csv(line, ", ".join(f"c{i} STRING" for i in range(width)))
+    return F.array(*[row[f"c{i}"] for i in range(width)])
+
+
+def _by_header(body: DataFrame, headers: DataFrame, names, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Lines ``(keep..., line, header_line)`` as columns named by their own header, and those names.
+
+    A line's fields and its header's names are arrays by position, and a
+    column takes the field where its name stands: one projection for all headers.  To the
+    driver come the width of the widest header and the set of names, which is the schema.
+    """
+    heads = headers.distinct()
+    width = heads.select(F.max(_n_fields(F.col("header_line")))).first()[0]
+    if not width:
+        return body, []
+    named = heads.select("header_line", names(width).alias("_names"))
+    first = named.select(F.posexplode("_names").alias("at", "name")).groupBy(F.lower("name").alias("k")).agg(
+        F.min(F.struct("at", "name")).alias("f"))
+    columns = [r["name"] for r in first.orderBy("f.at", "f.name").select("f.name").collect()]
+    rows = body.join(named.withColumnRenamed("header_line", "_header"), F.col("header_line") == F.col("_header"))
+    rows = rows.select(*keep, F.transform("_names", lambda n: F.lower(n)).alias("_names"), _fields(F.col("line"), width).alias("_fields"))
+    return rows.select(*keep, *[F.get("_fields", F.array_position("_names", n.lower()).cast("int") - 1).alias(n) for n in columns]), columns
+
+
 # --------------------------------------------------------------------------
 # SRC3 JSON record envelopes, SRC5 coded per-entity records
 # --------------------------------------------------------------------------
@@ -208,11 +242,14 @@ def json_records_from_text(df: DataFrame, column: str, records: str = "result.re
 
 def read_coded_records(spark: SparkSession, path, code_map: Mapping[str, str] | DataFrame,
                        code: str = "code", records: str = "response.data",
-                       value: str = "value", name: str = "name", multiline: bool = False) -> DataFrame:
+                       value: str = "value", name: str = "name", multiline: bool = False,
+                       schema: T.StructType | str | None = None) -> DataFrame:
     """SRC5: per-entity JSON pages; each record gets its entity code (from
     the data or the folder name ``code=...``) and the mapped name, and
-    ``value`` is coerced to a number (bad text -> NULL)."""
-    env = spark.read.option("multiLine", multiline).json(path)
+    ``value`` is coerced to a number (bad text -> NULL).  With ``schema`` (of
+    the pages) the input is read once; without it Spark infers one from all pages first."""
+    reader = spark.read.option("multiLine", multiline)
+    env = (reader.schema(schema) if schema is not None else reader).json(path)
     head, rest = records.split(".")[0], ".".join(records.split(".")[1:])
     rows = env.select(F.col(code).cast("string").alias(code),
                       F.explode(_get_path(F.col(head), rest) if rest else F.col(head)).alias("r"))
@@ -265,12 +302,44 @@ def read_tagged(spark: SparkSession, sources: Mapping[str, str], names: Mapping[
     return out
 
 
+def read_tagged_files(spark: SparkSession, sources: Mapping[str, str], names: Mapping[str, str],
+                      types: Mapping[str, str] | None = None, code_col: str = "region_code",
+                      name_col: str = "city") -> DataFrame:
+    """SRC6 in one scan, for any number of delimited sources with a header line.
+
+    ``sources`` maps a code to a folder or file.  Every file is read as lines;
+    its folder, or itself, gives the code and name by a join with the given map (as large
+    as the map: broadcast), its first line the columns.  Columns that a source lacks are
+    NULL; those in ``types`` are cast, bad text to NULL.  Lines must not break within quotes.
+    """
+    def place(c: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(c, "^[a-zA-Z0-9]+:/*", "/"), "/+$", "")
+
+    lines = _indexed_lines(spark, list(sources.values())).filter(F.trim("line") != "")
+    tags = spark.createDataFrame([(p, str(k), names.get(k)) for k, p in sources.items()], "place string, code string, name string")
+    tags = F.broadcast(tags.select(place(F.col("place")).alias("_place"), F.col("code").alias(code_col), F.col("name").alias(name_col)))
+    heads = lines.groupBy(F.col("file").alias("_file")).agg(F.min(F.struct("block", "mid", "line")).alias("_head"))
+    path = scratch_path(spark, "tagged-heads")
+    heads.select("_file", F.struct("_head.block", "_head.mid").alias("_head"), F.col("_head.line").alias("header_line"),
+                 F.explode(F.array(F.regexp_replace(place(F.col("_file")), "/[^/]*$", ""), place(F.col("_file")))).alias("_at")) \
+        .join(tags, F.col("_at") == F.col("_place")).drop("_at", "_place").write.mode("overwrite").parquet(path)
+    meta = spark.read.parquet(path)
+    body = lines.join(meta, F.col("file") == F.col("_file")).filter(F.struct("block", "mid") > F.col("_head"))
+    out, columns = _by_header(body, meta.select("header_line"), _header_names(F.col("header_line")), [code_col, name_col])
+    typed = {c.lower(): t for c, t in (types or {}).items()}
+    return out.select(*[(F.col(c).try_cast(typed[c.lower()]) if c.lower() in typed else F.col(c)).alias(c) for c in columns],
+                      code_col, name_col)
+
+
 def read_xml_items(spark: SparkSession, path, row_tag: str = "item",
-                   numeric: Iterable[str] = ("price", "latitude", "longitude")) -> DataFrame:
+                   numeric: Iterable[str] = ("price", "latitude", "longitude"),
+                   schema: T.StructType | str | None = None) -> DataFrame:
     """SRC7: one row per ``row_tag`` element, child tags as text columns
-    without namespace prefix; the listed columns become numbers."""
-    df = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
-          .load(path))
+    without namespace prefix; the listed columns become numbers.  With
+    ``schema`` (text fields by tag, prefixes included) the input is read once; without it the
+    tags are first collected from all of it."""
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
     # a tag and its namespaced twin name the same field: merge them
     groups: dict[str, list[str]] = {}
     for c in df.columns:
@@ -281,14 +350,18 @@ def read_xml_items(spark: SparkSession, path, row_tag: str = "item",
     return df.withColumns({c: to_double(c) for c in numeric if c in df.columns})
 
 
-def flatten_features(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+def flatten_features(spark: SparkSession, path, multiline: bool = True,
+                     properties: T.StructType | str | None = None) -> DataFrame:
     """SRC8: GeoJSON FeatureCollections -> properties as columns plus
     ``longitude``/``latitude`` (first point of a MultiPoint; NULL without
     geometry).  The geometry is kept as raw JSON text and read as a variant,
-    so Point and MultiPoint coordinates need no common schema."""
-    inferred = spark.read.option("multiLine", multiline).json(path)
-    feat = inferred.schema["features"].dataType.elementType
-    props = feat["properties"].dataType if "properties" in feat.names else T.StructType([])
+    so Point and MultiPoint coordinates need no common schema.  With the
+    schema of the ``properties`` the input is read once; without it they are inferred from all of it first."""
+    if properties is None:
+        feat = spark.read.option("multiLine", multiline).json(path).schema["features"].dataType.elementType
+        props = feat["properties"].dataType if "properties" in feat.names else T.StructType([])
+    else:
+        props = T.StructType.fromDDL(properties) if isinstance(properties, str) else properties
     schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType([
         T.StructField("properties", props), T.StructField("geometry", T.StringType())])))])
     f = (spark.read.schema(schema).option("multiLine", multiline).json(path)

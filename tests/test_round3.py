@@ -189,3 +189,83 @@ def test_chart_of_many_series(spark):
         ("k", "A", "2024-03-01"): (None, 2.5, 3.0, 2.0), ("k", "A", "2024-04-01"): (None, 2.6, 3.1, 2.1),
         ("k", "B", "2024-02-01"): (7.0, None, None, None), ("k", "B", "2024-03-01"): (8.0, 8.0, None, None),
         ("k", "B", "2024-04-01"): (None, 8.6, None, None), (None, "A", "2024-04-01"): (None, 1.0, 1.0, 1.0)}
+
+
+# -- readers, briefing, filters, states
+
+def test_headers_of_many_layouts(spark, tmp_path):
+    from supplylens.sources import read_preamble_csv
+    files = {"a": 'TITLE\nSeries ID,"Rate, a",x,x\n02-Jan-2020,"1,5",2,3\n03-Jan-2020,"7",,\n,,,\nnot a date,1,2,3\n',
+             "b": '# c\nSeries ID,,X\n02-Feb-2020,4,5,\n04-Feb-2020,6\n', "c": "Series ID,RATE_A,z,q\n05-Mar-2020,8,9,1\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = read_preamble_csv(spark, f"file://{tmp_path}", numeric=False)
+    rows = {str(r["date"]): {k.lower(): v for k, v in r.asDict().items() if v is not None and k != "date"} for r in got.collect()}
+    assert rows["2020-01-02"] == {"rate_a": "1,5", "x": "2", "x_1": "3"} and rows["2020-01-03"] == {"rate_a": "7"}
+    assert rows["2020-03-05"] == {"rate_a": "8", "z": "9", "q": "1"}
+
+
+def test_plan_of_many_sources_stays_small(spark, tmp_path):
+    from supplylens.sources import read_tagged_files
+    sizes = []
+    for n in (3, 120):
+        for i in range(n):
+            (tmp_path / f"{n}" / f"s{i}").mkdir(parents=True)
+            (tmp_path / f"{n}" / f"s{i}" / "x.csv").write_text(f"id,v {i % 2}\n{i},1.5\n{i},bad\n")
+        df = read_tagged_files(spark, {f"c{i}": f"file://{tmp_path}/{n}/s{i}/" for i in range(n)}, {"c1": "one"}, types={"id": "int", "v_0": "double"})
+        assert df.columns == ["id", "v_0", "v_1", "region_code", "city"] and df.count() == 2 * n
+        row = df.filter("region_code = 'c1'").orderBy("v_1").collect()
+        assert [(r["id"], r["v_0"], r["v_1"], r["city"]) for r in row] == [(1, None, "1.5", "one"), (1, None, "bad", "one")]
+        assert {r["v_0"] for r in df.filter("region_code = 'c2'").collect()} == {1.5, None}
+        sizes.append(df._jdf.queryExecution().analyzed().toString().count("\n"))
+    assert sizes[0] == sizes[1]
+
+
+def test_briefing_in_chunks(spark):
+    from supplylens.operators.metrics import context
+    df = spark.range(2500).repartition(6).select((F.col("id") * 2).alias("k"), F.lit(None).cast("string").alias("v"))
+    sets = {"many": lambda: df, "none": lambda: df.filter("false"), "runs badly": lambda: df.select(F.raise_error(F.lit("no")).alias("x")),
+            "plans badly": lambda: df.select("nothing")}
+    got = {(r["label"], r["chunk"]): r["context"] for r in context(spark, sets, chunk_rows=1000).collect()}
+    assert sorted(got) == [("many", 0), ("many", 1), ("many", 2), ("none", 0), ("plans badly", 0), ("runs badly", 0)]
+    import json
+    assert [x["k"] for i in range(3) for x in json.loads(got["many", i])] == list(range(0, 5000, 2))
+    assert got["none", 0] == "[]" and got["runs badly", 0] == got["plans badly", 0] == "unavailable"
+    assert [len(json.loads(r["context"])) for r in context(spark, {"m": lambda: df}, max_rows=3).collect()] == [3]
+
+
+def test_filters_with_nulls(spark):
+    from supplylens.operators.widgets import filter_values, filter_values_all
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5), (None, 5), ("b", None)], "f string, g int")
+    conditions = {"f": F.col("f") == "a", "g": F.col("g") > 2}
+    got = {(r["field"], r["value"]): r["associativity"] for r in filter_values_all(df, {**conditions}).collect()}
+    for field in ("f", "g"):
+        others = [c for k, c in conditions.items() if k != field]
+        for r in filter_values(df, field, others).collect():
+            assert got.pop((field, None if r[0] is None else str(r[0]))) == r[1]
+    assert not got
+
+
+def test_states_merge_to_the_view(spark):
+    from supplylens.operators.metrics import MetricStates
+    rows = [(i % 3, i % 2 or None, 1e9 + i * 0.25 if i % 5 else None) for i in range(200)] + [(9, 9, 7.0), (8, 8, None)]
+    df = spark.createDataFrame(rows, "a int, b int, v double")
+    states = MetricStates(MetricStates.build(df, {"a": "a", "b": "b"}, "v"), ["a", "b"])
+    for dims in ([], ["a"], ["b"], ["a", "b"]):
+        want = df.groupBy(*dims).agg(F.avg("v").alias("avg"), F.stddev_samp("v").alias("stddev"), F.min("v").alias("min"),
+                                     F.max("v").alias("max"), F.count(F.lit(1)).alias("rows"))
+        key = lambda r: str([r[d] for d in dims])
+        for x, y in zip(sorted(states.query(dims).collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            assert x["rows"] == y["rows"] and x["min"] == y["min"] and x["max"] == y["max"]
+            assert x["avg"] == y["avg"] or abs(x["avg"] - y["avg"]) < 1e-9 * abs(y["avg"])
+            assert (x["stddev"] is None and y["stddev"] is None) or abs(x["stddev"] - y["stddev"]) < 1e-6 * (1 + y["stddev"])
+    with pytest.raises(KeyError):
+        states.query(["c"])
+
+
+def test_with_scalar_refuses_many_rows(spark):
+    from supplylens.operators.relational import with_scalar
+    df = spark.range(3)
+    assert [tuple(r) for r in with_scalar(df, df.agg(F.max("id").alias("m"), F.min("id").alias("n"))).collect()] == [(i, 2, 0) for i in range(3)]
+    with pytest.raises(Exception, match="more than one row|SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        with_scalar(df, spark.range(2).select(F.col("id").alias("m"))).collect()
