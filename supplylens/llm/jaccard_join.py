@@ -11,7 +11,9 @@ enumerated; linked small sets have one in common.
 A list per single shingle would hold every text that cites a common passage,
 so a list's key is a block of shingles: sets of similar size cut the range of
 hashes into the same m cells, where linked sets differ in fewer than m
-shingles and so agree on a whole cell.
+shingles and so agree on a whole cell.  A set that differs from each partner
+in d cells at most lists only the first d + 1 of its cells in one order for all: the first
+cell that both have is among them.
 
 The boundary between the two is the size up to which the subsets cost fewer
 keys than the cells.
@@ -43,10 +45,10 @@ from .components import connected_components
 
 WIDTH, PERCENT = 3, 90
 #: Ratio of the largest to the smallest size of a class of large sets.
-CLASS_RATIO = 1.5
+CLASS_RATIO = 2.0
 #: Lists of up to so many members are compared pair by pair (at the start, and later on): a constant factor.
 FIRST_SHORT, SHORT = 8, 64
-FEATURES = pa.schema([("k", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 class Scheme:
@@ -106,7 +108,8 @@ class Scheme:
                     out.append(shingles.mix(shingles.mix(np.array(sums, dtype=np.uint64)) + tag))
         if self.partner(n) > self.boundary:
             for c in range(self.class_of(max(n, self.boundary + 1)), self.class_of(self.partner(n)) + 1):
-                _, m, d = self.cells(c)
+                last, m, _ = self.cells(c)
+                d = self.apart(n, min(last, self.partner(n)))  # from any partner that is met in this class
                 cell = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
                 starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
                 full = cell[starts]
@@ -114,8 +117,10 @@ class Scheme:
                 if len(full) <= d:  # two such sets may agree on empty cells only
                     empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full)
                     full, sums = np.concatenate((full, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-                out.append(shingles.mix(sums + full * np.uint64(0xA24BAED4963EE407)
-                                        + np.uint64((c + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF)))
+                found = shingles.mix(sums + full * np.uint64(0xA24BAED4963EE407)
+                                     + np.uint64((c + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
+                # of all cells in one order the least that both have is among the first d + 1 of each
+                out.append(np.partition(found, d)[:d + 1] if len(found) > d + 1 and len(starts) > d else found)
         return np.unique(np.concatenate(out)) if out else s[:0]
 
 
@@ -139,7 +144,7 @@ def _features(width: int, percent: int):
             ends = np.cumsum([0] + [0 if k is None else len(k) for k in keys])
             flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], schema=FEATURES)
 
     return run
@@ -148,10 +153,12 @@ def _features(width: int, percent: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingles.shingle_sets(batch.column(1), width)]
+            sets = list(shingles.shingle_sets(batch.column(0), width))
+            nodes = [_node(s) if len(s) else None for s in sets]
             ends = np.cumsum([0] + [len(s) for s in sets])
+            sets = [s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))],
+                [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))],
                 ["node", "members"])
 
     return run
@@ -258,9 +265,10 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     null id take part; the component of null ids alone is null.  Equal rows
     give equal results, an empty table an empty one; extra columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"), F.xxhash64(text).alias("h"))
     found = common.land(spark, texts.mapInArrow(_features(width, percent),
-                                                "k long, n_shingles long, node long, keys array<long>"), "shingles")
+                                                "k long, h long, n_shingles long, node long, keys array<long>"), "shingles")
     # One exchange by key serves the lists' extremes and their members.
     rows = found.where("keys is not null").select("node", F.explode("keys").alias("key")).repartition("key")
     many = (rows.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -268,9 +276,11 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     lists = common.land(spark, rows.join(many.hint("shuffle_hash"), F.col("key") == F.col("_k"), "left_semi")
                         .select("key", "node").distinct(), "lists")
     needed = common.land(spark, lists.select("node").distinct(), "listed")
-    first = found.join(common.small_side(needed, 16), "node", "left_semi").groupBy("node").agg(F.min("k").alias("first"))
+    # A node's text is that of one row with it: the row's id may be null, or another's too, so its text's hash counts as well.
+    first = (found.join(common.small_side(needed, 16), "node", "left_semi").groupBy("node")
+             .agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("_k"), F.col("at.h").alias("_h")).distinct())
     first = common.small_side(common.land(spark, first, "first"), 24)
-    sets = common.land(spark, texts.join(first, F.col("k") == F.col("first")).select("node", "text")
+    sets = common.land(spark, texts.join(first, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("text")
                        .mapInArrow(_sets(width), "node long, members array<long>").dropDuplicates(["node"]), "sets")
     labels, links = None, None
     while True:

@@ -282,3 +282,34 @@ def test_merkle_proof_holds(spark, sf_dir):
                     now = other + now if at & 1 else now + other
                 now, at, n = hashlib.sha256(now.encode()).hexdigest(), at // 2, (n + 1) // 2
         assert rest == "" and now == r["root"].hex()
+
+
+# -- 9: ids that repeat or are null
+
+def test_join_with_repeated_and_null_ids(spark):
+    from supplylens.llm import jaccard_join
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = lambda w, i: " ".join(w[:i] + ["changed"] + w[i + 1:])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 79)), (3, near(b, 79)), (None, near(b, 0)), (7, "x " + " ".join(a)), (8, "else " * 3),
+            (None, "quite alone here and now")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h string")
+    for part in (docs, docs.repartition(5)):
+        got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.components(spark, part).collect()]
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(got, key=key) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (7, 1), (8, 8), (None, None)], key=key)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_key(percent):
+    """Pairs at the very limit of the similarity, of all sizes and classes."""
+    from supplylens.llm import jaccard_join
+    rng, scheme = np.random.default_rng(percent), jaccard_join.Scheme(percent)
+    for n in [*range(1, 60), 100, 150, 333, 500, 1000, 3000] * 3:
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        apart = n * (100 - percent) // percent  # |x or y| <= 100 n / percent
+        mine = int(rng.integers(0, apart + 1))
+        more = rng.integers(0, 1 << 63, apart, dtype=np.uint64) * np.uint64(2)
+        x, y = (np.unique(np.concatenate((both, m))) for m in (more[:mine], more[mine:]))
+        if 100 * n >= percent * (len(x) + len(y) - n):
+            assert len(np.intersect1d(scheme.keys(x), scheme.keys(y))), (n, mine, apart)
