@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.session import scratch_path
+from supplylens.session import drop_scratch, scratch_path
 
 # A word is a longest run of characters other than blank, \t, \n, \v, \f, \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -27,7 +27,15 @@ def land(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def drop_landed(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by :func:`land` that nothing will read again."""
+    for df in tables:
+        drop_scratch(spark, df.landed_at)
 
 
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

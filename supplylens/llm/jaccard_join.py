@@ -199,25 +199,33 @@ def _linked(a: str, b: str, percent: int):
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (node, leader) with linked, and for new lists the edits of node against leader.
+def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int, edits: bool) -> DataFrame:
+    """``pairs`` (node, leader) with linked, and with ``edits`` for new lists those of node against leader; landed.
 
     While the pairs and the leaders' sets are small they are broadcast, and
     no set is shuffled; beyond that bound both joins shuffle.
     """
-    pairs = common.small_side(common.land(spark, pairs, "pairs"), 16)
+    landed = common.land(spark, pairs, "pairs")
+    pairs = common.small_side(landed, 16)
     left = sets.select("node", F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("leader"), F.col("members").alias("y"))
-    right = common.land(spark, right.join(pairs.select("leader").distinct(), "leader", "left_semi"), "leaders")
+    right = right.join(common.small_side(landed.select("leader").distinct(), 8), "leader", "left_semi")  # not landed: sets are long
     held = right.agg(F.coalesce(F.sum(8 * F.size("y") + 64), F.lit(0))).first()[0]
     right = F.broadcast(right) if held <= common.BROADCAST_BYTES else right
     rows = left.join(pairs, "node").join(right, "leader").withColumn("linked", _linked("x", "y", percent))
+    if not edits:
+        told = common.land(spark, rows.select("node", "leader", "linked"), "across")
+        common.drop_landed(spark, landed)
+        return told
     # Linked sets differ in ``most`` shingles at most, so of each kind of edit one more than that is enough to share one.
     rows = (rows.withColumn("most", F.floor(F.size("x") * F.lit(100 - percent) / F.lit(percent)).cast("int"))
             .withColumn("gained", F.array_except("x", "y")).withColumn("lost", F.array_except("y", "x")))
     first = lambda c: F.slice(F.array_sort(c), 1, F.col("most") + 1)
-    return rows.select("node", "leader", "linked", "most", F.size("gained").alias("n_gained"), F.size("lost").alias("n_lost"),
-                       first("gained").alias("gained"), first("lost").alias("lost"))
+    told = common.land(spark, rows.select(
+        "node", "leader", "linked", "most", F.size("gained").alias("n_gained"), F.size("lost").alias("n_lost"),
+        first("gained").alias("gained"), first("lost").alias("lost")), "compared")
+    common.drop_landed(spark, landed)
+    return told
 
 
 def _edit_lists(told: DataFrame) -> DataFrame:
@@ -281,8 +289,11 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
              .agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("_k"), F.col("at.h").alias("_h")).distinct())
     first = common.small_side(common.land(spark, first, "first"), 24)
     sets = common.land(spark, texts.join(first, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("text")
-                       .mapInArrow(_sets(width), "node long, members array<long>").dropDuplicates(["node"]), "sets")
-    labels, links = None, None
+                       .mapInArrow(_sets(width), "node long, members array<long>"), "sets")
+    if sets.count() > needed.count():  # rows that repeat, id and text: only then are the long sets shuffled
+        sets = common.land(spark, sets.dropDuplicates(["node"]), "sets")
+    common.drop_landed(spark, needed)
+    labels, links, before = None, None, []
     while True:
         rows = common.land(spark, _open_lists(lists, labels), "open")
         if rows.isEmpty():
@@ -290,14 +301,18 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         short = FIRST_SHORT if labels is None else SHORT
         long = common.land(spark, _homes(rows.where(F.col("n") > short)), "homes")
         pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
-        told = common.land(spark, _compare(spark, pairs, sets, percent), "compared")
+        told = _compare(spark, pairs, sets, percent, True)
         apart = _across(long, "home").unionByName(_across(rows.where(F.col("n") <= short), "component")).distinct()
-        across = common.land(spark, _compare(spark, apart, sets, percent).select("node", "leader", "linked"), "across")
+        across = _compare(spark, apart, sets, percent, False)
         new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
-        new = new.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+        new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")
         links = new if links is None else links.unionByName(new)
+        # The next round reads this one's comparisons and labels; all else of it and of the round before is done with.
+        done = [rows, long, across, *before]
+        before = [told] if labels is None else [told, labels]
         labels = common.land(spark, connected_components(spark, links), "labels")
         lists = _edit_lists(told)
+        common.drop_landed(spark, *done)
     rooted = found.select("k", "n_shingles", "node")
     if labels is None:
         rooted = rooted.withColumn("root", F.col("node"))
