@@ -48,6 +48,8 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 2.0
 #: Lists of up to so many members are compared pair by pair (at the start, and later on): a constant factor.
 FIRST_SHORT, SHORT = 8, 64
+#: Bits of the sketch that tells most sets apart before they are compared.
+SKETCH_BITS = 2048
 FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
@@ -150,16 +152,24 @@ def _features(width: int, percent: int):
     return run
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of the set's shingles fall to i."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingles.shingle_sets(batch.column(0), width))
             nodes = [_node(s) if len(s) else None for s in sets]
             ends = np.cumsum([0] + [len(s) for s in sets])
+            sketches = pa.array(np.concatenate([_sketch(s) for s in sets]) if sets else np.zeros(0, np.int64))
             sets = [s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))],
-                ["node", "members"])
+                [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets))),
+                 pa.ListArray.from_arrays(pa.array((np.arange(len(nodes) + 1) * (SKETCH_BITS // 64)).astype(np.int32)), sketches)],
+                ["node", "members", "sketch"])
 
     return run
 
@@ -228,6 +238,24 @@ def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: in
     return told
 
 
+def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` whose sketches allow a link; no linked pair is left out.
+
+    Every shingle that one set has and the other hasn't changes one bit of the
+    difference of their sketches, so at least as many shingles differ as bits.  Only the
+    sketches and sizes travel, a small part of the sets.
+    """
+    short = sets.select("node", F.size("members").alias("size"), "sketch")
+    if short.count() * (SKETCH_BITS // 8 + 64) <= common.BROADCAST_BYTES:
+        short = F.broadcast(short)
+    rows = (pairs.join(short.withColumnsRenamed({"size": "a", "sketch": "x"}), "node")
+            .join(short.withColumnsRenamed({"node": "leader", "size": "b", "sketch": "y"}), "leader"))
+    bits = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    most = F.expr(f"({100 - percent} * (a + b)) div {100 + percent}")
+    smaller, larger = F.least("a", "b"), F.greatest("a", "b")
+    return rows.where((100 * smaller >= percent * larger) & (bits <= most)).select("node", "leader")
+
+
 def _edit_lists(told: DataFrame) -> DataFrame:
     """(key, node): the lists by leader and edit in which a stray may meet a set that it links to.
 
@@ -289,7 +317,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
              .agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("_k"), F.col("at.h").alias("_h")).distinct())
     first = common.small_side(common.land(spark, first, "first"), 24)
     sets = common.land(spark, texts.join(first, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("text")
-                       .mapInArrow(_sets(width), "node long, members array<long>"), "sets")
+                       .mapInArrow(_sets(width), "node long, members array<long>, sketch array<long>"), "sets")
     if sets.count() > needed.count():  # rows that repeat, id and text: only then are the long sets shuffled
         sets = common.land(spark, sets.dropDuplicates(["node"]), "sets")
     common.drop_landed(spark, needed)
@@ -303,7 +331,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
         told = _compare(spark, pairs, sets, percent, True)
         apart = _across(long, "home").unionByName(_across(rows.where(F.col("n") <= short), "component")).distinct()
-        across = _compare(spark, apart, sets, percent, False)
+        across = _compare(spark, _possible(spark, apart, sets, percent), sets, percent, False)
         new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
         new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")
         links = new if links is None else links.unionByName(new)

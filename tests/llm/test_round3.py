@@ -313,3 +313,24 @@ def test_linked_sets_share_a_key(percent):
         x, y = (np.unique(np.concatenate((both, m))) for m in (more[:mine], more[mine:]))
         if 100 * n >= percent * (len(x) + len(y) - n):
             assert len(np.intersect1d(scheme.keys(x), scheme.keys(y))), (n, mine, apart)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_never_part_linked_sets(spark, percent):
+    from supplylens.llm import jaccard_join
+    rng, rows, pairs, linked = np.random.default_rng(1), [], [], set()
+    for i in range(150):
+        n = int(rng.integers(1, 4000))
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        more = rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2)), dtype=np.uint64) * np.uint64(2)
+        cut = int(rng.integers(0, len(more) + 1))
+        x, y = np.unique(np.concatenate((both, more[:cut]))), np.unique(np.concatenate((both, more[cut:])))
+        for k, s in ((2 * i, x), (2 * i + 1, y)):
+            rows.append((k, s.view(np.int64).tolist(), jaccard_join._sketch(s).tolist()))
+        pairs += [(2 * i, 2 * i + 1), (2 * i, (2 * i + 2) % 300)]
+        if 100 * n >= percent * (len(x) + len(y) - n):
+            linked.add((2 * i, 2 * i + 1))
+    sets = spark.createDataFrame(rows, "node long, members array<long>, sketch array<long>")
+    got = {tuple(r) for r in jaccard_join._possible(spark, spark.createDataFrame(pairs, "node long, leader long"), sets, percent)
+           .select("node", "leader").collect()}
+    assert linked <= got and len(linked) > 20 and len(got) < len(pairs) - 100
