@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Spark's setting that removes the shuffle files of a query when the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside give their shuffle files back at their end, not when the driver's garbage collector comes by.
+
+    Executors lost before the end are recovered from as usual.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def land(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table cuts the lineage: a lost executor re-reads files
-    instead of repeating everything before them.
+    instead of repeating everything before them, and nothing reads the shuffle
+    files of the write again, so they go at its end.
     """
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.landed_at = path
     return out
