@@ -37,6 +37,10 @@ END = 0xFF  # no byte of UTF-8
 #: Runs, and words, kept in each Python worker for scoring (16 bytes each).
 HOT = 2_500_000
 HOT_WORDS = 1_000_000
+#: Distinct runs, or words, that a task adds up in memory before it hands them on (16 bytes each, up to twice as many).
+TASK_KEYS = 2_000_000
+#: Bytes of text that a counting task gets at least, where parts are smaller.
+PART_BYTES = 32 << 20
 #: The hash that stands for the end of a text among the words.
 END_WORD = 0x5851F42D4C957F2D
 FOLDS, HELD_OUT = 7, 2
@@ -89,28 +93,54 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def _count(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {WORD: [], RUN: []}
+        held = {WORD: 0, RUN: 0}
+
+        def merged(kind: int) -> None:
+            parts[kind] = [_added(parts[kind])]
+            held[kind] = len(parts[kind][0][0])
+
+        def given(kind: int) -> Iterator[pa.RecordBatch]:
+            merged(kind)
+            keys, counts = parts[kind].pop()
+            held[kind] = 0
+            for at in range(0, len(keys), 1 << 20):
+                k, c = keys[at:at + (1 << 20)], counts[at:at + (1 << 20)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)],
+                                                 ["kind", "key", "n"])
+
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False)
-            parts: dict[int, list] = {WORD: [], RUN: []}
             for a, n, tokens, owner, keys, limits in _pieces(batch.column(2), depth):
                 of = learn[a:a + n]
                 for kind, values, mine in ((WORD, tokens, of[owner]), (RUN, keys, np.repeat(of, np.diff(limits)))):
                     found, counts = np.unique(values[mine], return_counts=True)
                     parts[kind].append((found, counts))
+                    held[kind] += len(found)
                     if not of.all():  # what occurs in held-out texts only has the count 0
                         other = np.unique(values[~mine])
                         parts[kind].append((other, np.zeros(len(other), dtype=np.int64)))
-            for kind, found in parts.items():
-                if found:
-                    keys, counts = _added(found)
-                    for at in range(0, len(keys), 1 << 20):
-                        k, c = keys[at:at + (1 << 20)], counts[at:at + (1 << 20)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)],
-                                                         ["kind", "key", "n"])
+                        held[kind] += len(other)
+                    if held[kind] > 2 * TASK_KEYS:
+                        merged(kind)
+                        if held[kind] > TASK_KEYS:
+                            yield from given(kind)
+        for kind, found in parts.items():
+            if found:
+                yield from given(kind)
 
     return run
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """``texts`` in parts of ``PART_BYTES`` of text or more, at least one a core, so that a task adds up many texts' runs.
+
+    Parts are joined as they lie, without a shuffle; where they are larger already nothing changes.
+    """
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
 def log_gamma(x: Column) -> Column:
     """ln Gamma(x) for x > 0, by Stirling's series eight steps up."""
     z = x + 8
@@ -141,8 +171,8 @@ def _decisions(grams: DataFrame, depth: int) -> DataFrame:
 
 
 def train(spark: SparkSession, grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """Per depth 0 to ``depth`` the table (node, p1): the probability of a 1 where the
-    context is known to this depth and not further.  ``grams``: (gram, n), of which only n > 0 count."""
+    """Per depth 0 to ``depth`` the landed table (node, acc, rem): the probability of a 1 where the
+    context is known to this depth and not further is acc + rem / 2.  ``grams``: (gram, n), of which only n > 0 count."""
     counted = _decisions(grams.where("n > 0"), depth).groupBy("node").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("n0"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("n1"))
@@ -166,31 +196,36 @@ def train(spark: SparkSession, grams: DataFrame, depth: int = DEPTH) -> list[Dat
             above = tables[-1].select(F.col("node").alias("_up"), "acc", "rem")
             now = level.join(above, _up(F.col("node"), d) == F.col("_up"))
         now = (now.withColumn("acc", F.col("acc") + F.col("rem") * share * one)
-               .withColumn("rem", F.col("rem") * (1 - share))
-               .select("node", "acc", "rem", (F.col("acc") + F.col("rem") / 2).alias("p1")))
+               .select("node", "acc", (F.col("rem") * (1 - share)).alias("rem")))
         tables.append(common.land(spark, now, "tree"))
-    return [t.select("node", "p1") for t in tables]
+        common.drop_landed(spark, level)
+    return tables
 
 
 def lengths(spark: SparkSession, grams: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(gram, value): log10 of each run's probability, also of runs that training never saw.
+    """The landed table (gram, value): log10 of each run's probability, also of runs that training never saw.
 
     A decision is looked up at the full depth, where it isn't found at one
     less, and so on; one never met has probability 1/2.
     """
     depth = len(tables) - 1
     look = lambda rows, d, how: rows.join(
-        tables[d].select(F.col("node").alias("_node"), "p1"), F.col("node") == F.col("_node"), how)
+        tables[d].select(F.col("node").alias("_node"), (F.col("acc") + F.col("rem") / 2).alias("p1")),
+        F.col("node") == F.col("_node"), how)
     # Runs that training saw have all their decisions at the full depth; only the others go down.
     done = look(_decisions(grams.where("n > 0"), depth), depth, "inner").select("gram", "bit", "p1")
     open_ = _decisions(grams.where("n = 0"), depth).select("gram", "node", "bit")
+    steps = []
     for d in range(depth, -1, -1):
         told = common.land(spark, look(open_, d, "left"), "decisions")
+        steps.append(told)
         done = done.unionByName(told.where("p1 is not null").select("gram", "bit", "p1"))
         open_ = told.where("p1 is null").select("gram", _up(F.col("node"), d).alias("node") if d else F.col("node"), "bit")
     done = done.unionByName(open_.select("gram", "bit", F.lit(0.5).alias("p1")))
     p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
-    return done.groupBy("gram").agg(F.sum(F.log10(p)).alias("value"))
+    out = common.land(spark, done.groupBy("gram").agg(F.sum(F.log10(p)).alias("value")), "lengths")
+    common.drop_landed(spark, *steps)
+    return out
 
 
 class Table:
@@ -301,13 +336,16 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(FOLDS))
     texts = docs.select(F.col(id_col).cast("long").alias("k"), (fold != HELD_OUT).alias("learn"),
                         F.col(text_col).cast("string").alias("text"))
-    counts = common.land(spark, texts.mapInArrow(_count(depth), "kind int, key long, n long")
+    counts = common.land(spark, _packed(texts).mapInArrow(_count(depth), "kind int, key long, n long")
                          .groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("n") + 1.0).alias("value"))
     about = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
     grams = counts.where(F.col("kind") == RUN).select(F.col("key").alias("gram"), "n")
-    table = lengths(spark, grams, train(spark, grams, depth))
-    table = common.land(spark, grams.join(table, "gram").select(F.col("gram").alias("key"), "n", "value"), "code")
+    tree = train(spark, grams, depth)
+    told = lengths(spark, grams, tree)
+    common.drop_landed(spark, *tree)
+    table = common.land(spark, grams.join(told, "gram").select(F.col("gram").alias("key"), "n", "value"), "code")
+    common.drop_landed(spark, told)
     shared = spark.sparkContext.broadcast((_hot(words, hot_words), _hot(table, hot)))
     scored = common.land(spark, texts.mapInArrow(_score(shared, depth), SCORED), "scored")
     for name, keys, c, of in (("base", "words", "word_counts", words), ("gram", "grams", "gram_counts", table)):
