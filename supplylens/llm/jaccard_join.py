@@ -48,6 +48,8 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 2.0
 #: Lists of up to so many members are compared pair by pair (at the start, and later on): a constant factor.
 FIRST_SHORT, SHORT = 8, 64
+#: Leaders' sets, and sketches, are broadcast up to so many bytes (the driver holds several copies of a broadcast).
+SETS_BYTES = 12 << 20
 #: Bits of the sketch that tells most sets apart before they are compared.
 SKETCH_BITS = 2048
 FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -221,7 +223,7 @@ def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: in
     right = sets.select(F.col("node").alias("leader"), F.col("members").alias("y"))
     right = right.join(common.small_side(landed.select("leader").distinct(), 8), "leader", "left_semi")  # not landed: sets are long
     held = right.agg(F.coalesce(F.sum(8 * F.size("y") + 64), F.lit(0))).first()[0]
-    right = F.broadcast(right) if held <= common.BROADCAST_BYTES else right
+    right = F.broadcast(right) if held <= SETS_BYTES else right
     rows = left.join(pairs, "node").join(right, "leader").withColumn("linked", _linked("x", "y", percent))
     if not edits:
         told = common.land(spark, rows.select("node", "leader", "linked"), "across")
@@ -246,7 +248,7 @@ def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: i
     sketches and sizes travel, a small part of the sets.
     """
     short = sets.select("node", F.size("members").alias("size"), "sketch")
-    if short.count() * (SKETCH_BITS // 8 + 64) <= common.BROADCAST_BYTES:
+    if short.count() * (SKETCH_BITS // 8 + 64) <= SETS_BYTES:
         short = F.broadcast(short)
     rows = (pairs.join(short.withColumnsRenamed({"size": "a", "sketch": "x"}), "node")
             .join(short.withColumnsRenamed({"node": "leader", "size": "b", "sketch": "y"}), "leader"))
