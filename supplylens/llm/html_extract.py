@@ -20,6 +20,7 @@ Each page is a row of its own; tasks hold one Arrow batch (bounded by bytes).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -57,7 +58,8 @@ REST_CHARS, REST_SHARE = 200, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 KEPT = frozenset("html body main article".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_OPENING = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/<>]*)|<[!?/]")
+_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _BLANK = re.compile(r"\s+")
@@ -69,10 +71,12 @@ _SCOPE = frozenset("html body table td th button object article section div nav
 
 
 class Node:
-    __slots__ = ("tag", "drop", "above", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "full", "plain")
+    __slots__ = ("tag", "drop", "above", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "full", "plain",
+                 "inside")
 
     def __init__(self, tag: str, above: Node | None, drop: int = 0):
         self.tag, self.above, self.drop = tag, above, drop
+        self.inside = tag in ("article", "main") or above is not None and above.inside
         self.parts: list[Node | str] = []
 
 
@@ -99,19 +103,57 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> int:
     return found
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """The places of >, " and ', and for each where a tag that is outside quotes there ends (-1: nowhere).
+
+    Told backwards in one pass, as each outcome is that of the mark after the closing quote; so
+    a page costs the same however many of its tags have no end.
+    """
+    marks = [m.start() for m in _MARK.finditer(html)]
+    ends, after = [-1] * (len(marks) + 1), {}
+    for i in range(len(marks) - 1, -1, -1):
+        c = html[marks[i]]
+        if c == ">":
+            ends[i] = marks[i] + 1
+        else:
+            ends[i] = ends[after[c] + 1] if c in after else -1
+            after[c] = i
+    return marks, ends
+
+
 def parse(html: str) -> Node:
     """The tree of a page.  Open elements are closed as browsers do in the common cases: a block ends a
-    paragraph, an item ends the item before it, an end tag ends what is still open inside its element."""
+    paragraph, an item ends the item before it, an end tag ends what is still open inside its element.
+    What looks like a tag and has no end is text."""
     root = here = Node("html", None)
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else n
-        if stop > at:
-            here.parts.append(html[at:stop])
+    at = text_from = 0
+    n, last = len(html), html.rfind(">")
+    marks, ends = _tag_ends(html)
+
+    def next_end(start: int) -> int:
+        return html.find(">", start) + 1 if start <= last else -1
+
+    while True:
+        m = _OPENING.search(html, at)
         if not m:
+            if n > text_from:
+                here.parts.append(html[text_from:])
             break
         at, tag = m.end(), m[2]
+        if tag:
+            stop = ends[bisect_left(marks, at)]
+            if stop < 0 and m[1]:
+                tag, stop = None, next_end(at)
+        elif m[0] == "<!--":
+            stop = html.find("-->", at) + 3
+            stop = stop if stop > 2 else n
+        else:
+            stop = next_end(at)
+        if stop < 0:
+            continue
+        if m.start() > text_from:
+            here.parts.append(html[text_from:m.start()])
+        attributes, at, text_from = html[at:stop - 1], stop, stop
         if not tag:
             continue
         tag = tag.lower()
@@ -140,18 +182,15 @@ def parse(html: str) -> Node:
                     node = node.above
                 if last is not None:
                     here = last.above
-        inside, node = False, here
-        while node is not None and not inside:
-            inside, node = node.tag in ("article", "main"), node.above
-        new = Node(tag, here, _unwanted(tag, m[3], inside))
+        new = Node(tag, here, _unwanted(tag, attributes, here.inside))
         here.parts.append(new)
         if tag in VOID:
             continue
         if tag in RAW:  # its text holds no tags
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, last + 1) if at <= last else None
+            at = text_from = end.end() if end else n
             continue
-        if not m[0].endswith("/>"):
+        if not attributes.endswith("/"):
             here = new
     return root
 
