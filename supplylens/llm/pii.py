@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = "change-me"
+#: The setting that holds the key of the registered query; where it is unset the query takes a key that only suits tests.
+KEY_SETTING = "spark.supplylens.pii.key"
+TEST_KEY = "for tests only"
 # Fixed lists: given names by (script, gender), and syllables that surnames are made of.
 GIVEN = {
     ("latin", "f"): "Alice Anna Clara Elena Emma Julia Laura Maria Nina Olivia Sofia Sarah".split(),
@@ -44,7 +46,7 @@ _CAPITAL = rf"[A-ZÀ-ÖØ-ÞА-ЯЁ]{_LETTER}+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ]{_LETTER
 _GIVEN_OF = {n: k for k, names in GIVEN.items() for n in names}
 # (type, character without which it can't occur, pattern); the entity is the last group, or all
 PATTERNS = (
-    ("email", "@", re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")),
+    ("email", "@", re.compile(r"(?<=[A-Za-z0-9])@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")),
     ("secret", "=:", re.compile(
         r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.~-]{8,})")),
     ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?=[a-f]*\d)[0-9a-f]{32,})(?![0-9A-Za-z])")),
@@ -61,6 +63,7 @@ PATTERNS = (
         rf"(?<!\w)(?:(?P<title>{'|'.join(t for k in TITLES.values() for t in k)})\.? (?:(?P<a>{_CAPITAL}) )?(?P<b>{_CAPITAL})"
         rf"|(?P<given>{'|'.join(_GIVEN_OF)}) (?P<last>{_CAPITAL}))(?!\w)")),
 )
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _RANK = {k: i for i, k in enumerate(dict.fromkeys(p[0] for p in PATTERNS))}
 
 
@@ -87,6 +90,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for kind, need, pattern in PATTERNS:
         if need and not any(c in text for c in need):
             continue
+        last_end = 0
         for m in pattern.finditer(text):
             a, b, norm = m.start(), m.end(), m[0]
             if kind == "secret" and m.lastindex:
@@ -96,8 +100,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                     norm = IPv6Address(norm).exploded
                 except ValueError:  # a time, a ratio, ...
                     continue
-            elif kind == "email":
-                norm = norm.lower()
+            elif kind == "email":  # what is before the @ is read backwards, each character once
+                while a > last_end and text[a - 1] in _LOCAL:
+                    a -= 1
+                if a == m.start():
+                    continue
+                last_end, norm = b, text[a:b].lower()
             elif kind in ("card", "phone"):
                 norm = "".join(c for c in norm if c.isdigit())
             elif kind == "iban":
@@ -234,12 +242,15 @@ def _replaced(key: str):
     return run
 
 
-def pseudonymize(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymize(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str) -> DataFrame:
     """``id_col``, text with every entity replaced, and n_entities, for each row of ``docs``.
 
     Null text stays null, a text without entities stays as it is, equal rows
     give equal rows, an empty table an empty one; extra columns are ignored.
+    The key has no default, and an empty one is refused: whoever has it can test guesses.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("text_hash"),
                        F.col(text_col).cast("string").alias("text"))
     spans = common.land(spark, rows.mapInArrow(_spans, "k long, text_hash long, kind string, norm string"), "spans")
@@ -254,4 +265,4 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(spark, common.table(spark, sf_dir, "documents"))
+    return pseudonymize(spark, common.table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, TEST_KEY))
