@@ -18,7 +18,8 @@ cell that both have is among them.
 The boundary between the two is the size up to which the subsets cost fewer
 keys than the cells.
 
-A list of a few members is compared pair by pair.  A longer one never is: each
+A list of a few members is compared pair by pair, first by sketches; what counts as few grows while all these
+pairs stay a fixed multiple of the sets.  A longer one never is: each
 member gets a home, the most listed node among those it shares a list with,
 and is compared with that.  Two members that link to it are one component.  A
 member x that doesn't can link to a member y of the same home only if both
@@ -48,6 +49,9 @@ WIDTH, PERCENT = 3, 90
 CLASS_RATIO = 2.0
 #: Lists of up to so many members are compared pair by pair (at the start, and later on): a constant factor.
 FIRST_SHORT, SHORT = 8, 64
+#: So are longer ones up to MOST_SHORT members, the shortest first, while all pairs together are PAIRS a set at most:
+#: pairs of sketches in proportion to the input cost less than further rounds.
+MOST_SHORT, PAIRS = 1000, 32
 #: Leaders' sets, and sketches, are broadcast up to so many bytes (the driver holds several copies of a broadcast).
 SETS_BYTES = 12 << 20
 #: Bits of the sketch that tells most sets apart before they are compared.
@@ -192,6 +196,18 @@ def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(open_, F.col("key") == F.col("_k")).drop("_k")
 
 
+def _short(rows: DataFrame, least: int, pairs: int) -> int:
+    """Up to how many members lists are compared pair by pair: ``least``, or more while that makes ``pairs`` pairs at most."""
+    sizes = rows.where(F.col("n") <= MOST_SHORT).groupBy("n").agg((F.count("*") * (F.col("n") - 1) / 2).alias("pairs"))
+    told = sorted((r["n"], r["pairs"]) for r in sizes.collect())  # one row per size, MOST_SHORT at most
+    short, total = least, 0
+    for n, more in told:
+        total += more
+        if total <= pairs:
+            short = max(short, n)
+    return short
+
+
 def _homes(rows: DataFrame) -> DataFrame:
     """``rows`` of lists with home: the node with the most lists among those that a node shares a list with.
 
@@ -275,8 +291,8 @@ def _edit_lists(told: DataFrame) -> DataFrame:
     room = (F.col("x.n_gained") + F.col("y.n_gained") + F.abs(F.col("x.n_lost") - F.col("y.n_lost")) <= F.col("x.most"))
     other = (F.col("x.n_gained") != F.col("y.n_gained")) | (F.col("x.n_lost") != F.col("y.n_lost")) | (F.col("x.n") > 1)
     meet = x.where("strays > 0").join(y, (F.col("x.leader") == F.col("y.leader")) & room & other)
-    both = [meet.select(f"{s}.leader", f"{s}.n_gained", f"{s}.n_lost") for s in "xy"]
-    open_ = both[0].unionByName(both[1]).distinct()
+    both = F.array(*[F.struct(f"{s}.leader", f"{s}.n_gained", f"{s}.n_lost") for s in "xy"])
+    open_ = meet.select(F.inline(both)).distinct()
     gained = near.select("node", "leader", F.lit(1).alias("kind"), F.explode("gained").alias("edit"))
     lost = (near.join(open_, ["leader", "n_gained", "n_lost"], "left_semi")
             .select("node", "leader", F.lit(2).alias("kind"), F.explode("lost").alias("edit")))
@@ -324,11 +340,12 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         sets = common.land(spark, sets.dropDuplicates(["node"]), "sets")
     common.drop_landed(spark, needed)
     labels, links, before = None, None, []
+    pairs_at_most = PAIRS * sets.count()
     while True:
         rows = common.land(spark, _open_lists(lists, labels), "open")
         if rows.isEmpty():
             break
-        short = FIRST_SHORT if labels is None else SHORT
+        short = _short(rows, FIRST_SHORT if labels is None else SHORT, pairs_at_most)
         long = common.land(spark, _homes(rows.where(F.col("n") > short)), "homes")
         pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
         told = _compare(spark, pairs, sets, percent, True)
@@ -337,11 +354,11 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
         new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")
         links = new if links is None else links.unionByName(new)
-        # The next round reads this one's comparisons and labels; all else of it and of the round before is done with.
-        done = [rows, long, across, *before]
-        before = [told] if labels is None else [told, labels]
+        # The next round reads this one's new lists and labels; all else of it and of the round before is done with.
+        done = [rows, long, across, told, lists, *before]
+        before = [] if labels is None else [labels]
         labels = common.land(spark, connected_components(spark, links), "labels")
-        lists = _edit_lists(told)
+        lists = common.land(spark, _edit_lists(told), "lists")
         common.drop_landed(spark, *done)
     rooted = found.select("k", "n_shingles", "node")
     if labels is None:
