@@ -51,7 +51,7 @@ CLASS_RATIO = 2.0
 FIRST_SHORT, SHORT = 8, 64
 #: So are longer ones up to MOST_SHORT members, the shortest first, while all pairs together are PAIRS a set at most:
 #: pairs of sketches in proportion to the input cost less than further rounds.
-MOST_SHORT, PAIRS = 1000, 32
+MOST_SHORT, PAIRS = 1000, 4
 #: Leaders' sets, and sketches, are broadcast up to so many bytes (the driver holds several copies of a broadcast).
 SETS_BYTES = 12 << 20
 #: Bits of the sketch that tells most sets apart before they are compared.
