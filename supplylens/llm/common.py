@@ -73,6 +73,22 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Tables of at most so many bytes, told by a bound on their rows, are broadcast without a count of their own.
+BOUNDED_BYTES = 8 << 20
+#: A table is written by one task for so many rows, but by LEAST_TASKS at least.
+TASK_ROWS, LEAST_TASKS = 100_000, 16
+
+
+def bounded_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Mark a table of at most ``rows`` rows for broadcast if that bound is small; else the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= BOUNDED_BYTES else df
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than these need: small tables make no hundreds of files."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

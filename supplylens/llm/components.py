@@ -14,22 +14,23 @@ def _print(links: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def _star(links: DataFrame, small: bool) -> DataFrame:
+def _star(links: DataFrame, n: int, small: bool) -> DataFrame:
     """One step: each node's neighbours (large star: the larger ones; small star: the smaller ones) move to its least.
 
-    ``links`` has a > b.  The least neighbour is a partial aggregate and the
-    neighbours are joined back, so a node with very many links is never held
-    in one task; Spark splits its part of the join.
+    ``links`` has a > b and ``n`` rows at most; the result has 2 n at most.  The least
+    neighbour is a partial aggregate and the neighbours are joined back, so a node with very many
+    links is never held in one task; Spark splits its part of the join.
     """
     near = links if small else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = near.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = common.bounded_side(common.few(least, 2 * n), 2 * n, 32)
     joined = near.join(least, F.col("a") == F.col("u"))
     if small:
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.where("a > b").distinct()
+    return common.few(moved.where("a > b").distinct(), 2 * n)
 
 
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
                       .where("a > b").distinct(), "links")
     seen = _print(now)
     while seen[0]:
-        now = common.land(spark, _star(_star(now, small=False), small=True), "links")
+        last, now = now, common.land(spark, _star(_star(now, seen[0], small=False), 2 * seen[0], small=True), "links")
+        common.drop_landed(spark, last)
         if (found := _print(now)) == seen:
             break
         seen = found

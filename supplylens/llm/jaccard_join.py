@@ -185,15 +185,17 @@ def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
     All aggregates on lists are partial, so a list with a third of all nodes is never held in one task.
     """
+    bound = lists.count()
     if labels is None:
         rows = lists.withColumn("component", F.col("node"))
     else:
-        rows = (lists.join(labels, "node", "left")
+        rows = (lists.join(common.small_side(labels, 32, common.BOUNDED_BYTES), "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
     open_ = (rows.groupBy(F.col("key").alias("_k"))
              .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
              .where("lo < hi").select("_k", "n"))
-    return rows.join(open_, F.col("key") == F.col("_k")).drop("_k")
+    open_ = common.bounded_side(common.few(open_, bound), bound, 16)  # half as many keys as rows at most, 32 bytes each
+    return common.few(rows.join(open_, F.col("key") == F.col("_k")).drop("_k"), bound)
 
 
 def _short(rows: DataFrame, least: int, pairs: int) -> int:
@@ -208,18 +210,19 @@ def _short(rows: DataFrame, least: int, pairs: int) -> int:
     return short
 
 
-def _homes(rows: DataFrame) -> DataFrame:
-    """``rows`` of lists with home: the node with the most lists among those that a node shares a list with.
+def _homes(rows: DataFrame, bound: int) -> DataFrame:
+    """``rows`` of lists, ``bound`` at most, with home: the node with the most lists among those that a node shares a list with.
 
     Among copies with scattered edits that is the original, or one near it.
     """
-    fame = rows.groupBy(F.col("node").alias("_n")).agg(F.count("*").alias("fame"))
+    side = lambda df: common.bounded_side(common.few(df, bound), bound, 48)
+    fame = side(rows.groupBy(F.col("node").alias("_n")).agg(F.count("*").alias("fame")))
     rows = rows.join(fame, F.col("node") == F.col("_n")).drop("_n")
-    top = rows.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("fame", "node")).alias("top"))
+    top = side(rows.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("fame", "node")).alias("top")))
     rows = rows.join(top, F.col("key") == F.col("_k")).drop("_k", "fame")
-    home = rows.groupBy(F.col("node").alias("_n")).agg(F.max("top").alias("home"))
-    return (rows.drop("top").join(home, F.col("node") == F.col("_n"))
-            .select("key", "node", "component", F.col("home.node").alias("home")))
+    home = side(rows.groupBy(F.col("node").alias("_n")).agg(F.max("top").alias("home")))
+    rows = rows.drop("top").join(home, F.col("node") == F.col("_n"))
+    return common.few(rows.select("key", "node", "component", F.col("home.node").alias("home")), bound)
 
 
 def _linked(a: str, b: str, percent: int):
@@ -299,15 +302,19 @@ def _edit_lists(told: DataFrame) -> DataFrame:
     return gained.unionByName(lost).select(F.xxhash64("kind", "leader", "edit").alias("key"), "node")
 
 
-def _across(rows: DataFrame, by: str) -> DataFrame:
-    """(node, leader) pairs of nodes of different components, and of different ``by``, that share a list."""
+def _across(rows: DataFrame, by: str, bound: int) -> DataFrame:
+    """(node, leader) pairs of nodes of different components, and of different ``by``, that share a list; pairs may repeat.
+
+    ``rows`` has ``bound`` rows at most.
+    """
     many = (rows.groupBy(F.col("key").alias("_k")).agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
             .where("lo < hi").select("_k"))
-    rows = rows.join(many, F.col("key") == F.col("_k"), "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
+    many = common.bounded_side(common.few(many, bound), bound, 16)
+    rows = rows.join(many, F.col("key") == F.col("_k"), "left_semi").select(*dict.fromkeys(["key", "node", "component", by]))
+    a, b = rows.alias("a"), common.bounded_side(rows.alias("b"), bound, 48)
     return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{by}") < F.col(f"b.{by}"))
                    & (F.col("a.component") != F.col("b.component")))
-            .select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")).distinct())
+            .select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")))
 
 
 def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -339,23 +346,24 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     if sets.count() > needed.count():  # rows that repeat, id and text: only then are the long sets shuffled
         sets = common.land(spark, sets.dropDuplicates(["node"]), "sets")
     common.drop_landed(spark, needed)
-    labels, links, before = None, None, []
+    labels, before = None, []
     pairs_at_most = PAIRS * sets.count()
     while True:
         rows = common.land(spark, _open_lists(lists, labels), "open")
-        if rows.isEmpty():
+        if not (n := rows.count()):
             break
         short = _short(rows, FIRST_SHORT if labels is None else SHORT, pairs_at_most)
-        long = common.land(spark, _homes(rows.where(F.col("n") > short)), "homes")
+        long = common.land(spark, _homes(rows.where(F.col("n") > short), n), "homes")
         pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
         told = _compare(spark, pairs, sets, percent, True)
-        apart = _across(long, "home").unionByName(_across(rows.where(F.col("n") <= short), "component")).distinct()
+        apart = _across(long, "home", n).unionByName(_across(rows.where(F.col("n") <= short), "component", n)).distinct()
         across = _compare(spark, _possible(spark, apart, sets, percent), sets, percent, False)
         new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
         new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")
-        links = new if links is None else links.unionByName(new)
+        # Labels stand for the links of all rounds before.
+        links = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         # The next round reads this one's new lists and labels; all else of it and of the round before is done with.
-        done = [rows, long, across, told, lists, *before]
+        done = [rows, long, across, told, lists, new, *before]
         before = [] if labels is None else [labels]
         labels = common.land(spark, connected_components(spark, links), "labels")
         lists = common.land(spark, _edit_lists(told), "lists")
@@ -364,7 +372,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     if labels is None:
         rooted = rooted.withColumn("root", F.col("node"))
     else:
-        rooted = rooted.join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+        rooted = rooted.join(common.small_side(labels, 32, common.BOUNDED_BYTES), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     least = rooted.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("k").alias("least"))
     return (rooted.join(least, F.col("root") == F.col("_r"), "left")
             .select(F.col("k").alias(id_col), "n_shingles", "node",
