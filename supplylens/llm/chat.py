@@ -28,34 +28,43 @@ def _hash(position: Column, role: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(told, 24)
 
 
-def prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-             text_col: str = "text") -> DataFrame:
-    """conv, piece, at (1, 2, ...), role, text and p1, p2: the rolling hash up to this turn.
+def ordered(spark: SparkSession, turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+            role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv, role, text and id of all turns, in ranges by conversation and turn; ids ascend by both. Landed.
 
     Turns go by ``turn_col``, null last; ties by role and text.  Rows that
     repeat a turn are turns of their own.  A null conversation id is an id.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    # Pieces by turn number (not by rank, which would need the whole conversation in one task).
-    rows = rows.withColumn("piece", F.coalesce(F.floor(F.col("turn") / PIECE), F.lit(1 << 62)))
-    piece = Window.partitionBy("conv", "piece")
-    order = piece.orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
-    # Numbers within the piece first, then the turns of the pieces before are added.
-    sizes = rows.groupBy("conv", "piece").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("conv").alias("_conv"), F.col("piece").alias("_piece"),
-                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"))
-    same = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("piece") == F.col("_piece"))
-    rows = rows.withColumn("_at", F.row_number().over(order)).join(sizes, same).drop("_conv", "_piece")
-    rows = rows.withColumn("at", F.col("_n") + F.col("_at")).drop("_at", "_n")
+    # The input's row number parts rows that are equal in all else, so that they may go to several ranges.
+    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last(), F.col("_row")]
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return common.land(spark, rows.select("conv", "role", "text", F.monotonically_increasing_id().alias("id")), "ordered-turns")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """conv, piece, at (1, 2, ...), role, text and p1, p2: the rolling hash up to this turn, of ``rows`` by :func:`ordered`.
+
+    A piece is ``PIECE`` turns by position, so turn numbers that repeat or are null, however many, make no larger piece.
+    """
+    # A conversation's rows follow each other in a range, so its first id there and its turns in the ranges before number them.
+    rows = rows.withColumn("range", F.shiftright("id", 33))
+    sizes = rows.groupBy("conv", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("conv").alias("_conv"), F.col("range").alias("_range"), "first",
+                         F.coalesce(F.sum("n").over(before.orderBy("range")), F.lit(0)).alias("_n"))
+    same = F.col("conv").eqNullSafe(F.col("_conv"))
+    rows = rows.join(sizes, same & (F.col("range") == F.col("_range")))
+    at = F.col("_n") + F.col("id") - F.col("first") + 1
+    rows = rows.select("conv", F.floor((at - 1) / PIECE).alias("piece"), at.alias("at"), "role", "text")
     rows = (rows.withColumn("_h1", _hash(F.col("at"), F.col("role"), F.col("text"), 1))
             .withColumn("_h2", _hash(F.col("at"), F.col("role"), F.col("text"), 2)))
     sums = rows.groupBy("conv", "piece").agg(F.sum("_h1").alias("s1"), F.sum("_h2").alias("s2"))
     sums = sums.select(F.col("conv").alias("_conv"), F.col("piece").alias("_piece"),
-                       *[F.coalesce(F.sum(f"s{i}").over(before), F.lit(0)).alias(f"_p{i}") for i in (1, 2)])
+                       *[F.coalesce(F.sum(f"s{i}").over(before.orderBy("piece")), F.lit(0)).alias(f"_p{i}") for i in (1, 2)])
     running = Window.partitionBy("conv", "piece").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(sums, same)
+    rows = rows.join(sums, same & (F.col("piece") == F.col("_piece")))
     return rows.select("conv", "piece", "at", "role", "text",
                        *[(F.col(f"_p{i}") + F.sum(f"_h{i}").over(running)).alias(f"p{i}") for i in (1, 2)])
 
@@ -66,7 +75,9 @@ def maximal(spark: SparkSession, turns: DataFrame, **columns) -> tuple[DataFrame
     The first table has conv, n_turns and copies (equal conversations that it
     stands for); the second the rows of :func:`prefixes` of those conversations.
     """
-    rolled = common.land(spark, prefixes(turns, **columns), "turns")
+    rows = ordered(spark, turns, **columns)
+    rolled = common.land(spark, prefixes(rows), "turns")
+    common.drop_landed(spark, rows)
     last = rolled.groupBy("conv").agg(F.max(F.struct("at", "p1", "p2")).alias("last"))
     last = last.select("conv", "last.*")
     # equal conversations: one aggregate by hash and length, so a very common one costs a row per task
@@ -92,8 +103,7 @@ def render(turns: DataFrame) -> DataFrame:
                     F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
     pieces = (turns.select("conv", "piece", "at", line.alias("line")).groupBy("conv", "piece")
               .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines")))
-    part = F.row_number().over(Window.partitionBy("conv").orderBy("piece"))
-    return pieces.select("conv", part.cast("long").alias("part"), F.size("lines").cast("long").alias("n_turns"),
+    return pieces.select("conv", (F.col("piece") + 1).cast("long").alias("part"), F.size("lines").cast("long").alias("n_turns"),
                          F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("chat"))
 
 
@@ -115,8 +125,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Written the plain way: prefixes as whole texts, not hashes.
 OP7_SQL = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(turn // 512, 4611686018427387904) AS piece, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos
   FROM conversations),
 c AS (
   SELECT conv_id, max(pos) AS n, list({'r': role, 't': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
@@ -124,9 +133,9 @@ f AS (SELECT turns, n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP
 i AS (SELECT DISTINCT list_slice(turns, 1, k) AS head FROM (SELECT turns, unnest(range(1, n)) AS k FROM f)),
 k AS (SELECT conv_id, copies FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.head = f.turns)),
 p AS (
-  SELECT t.conv_id, piece, count(*) AS n_turns,
+  SELECT t.conv_id, (pos - 1) // 512 + 1 AS part, count(*) AS n_turns,
          string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
-  FROM t WHERE EXISTS (SELECT 1 FROM k WHERE k.conv_id IS NOT DISTINCT FROM t.conv_id) GROUP BY t.conv_id, piece)
-SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY piece)::BIGINT AS part, n_turns, copies, chat
+  FROM t WHERE EXISTS (SELECT 1 FROM k WHERE k.conv_id IS NOT DISTINCT FROM t.conv_id) GROUP BY t.conv_id, part)
+SELECT p.conv_id, part::BIGINT AS part, n_turns, copies, chat
 FROM p JOIN k ON k.conv_id IS NOT DISTINCT FROM p.conv_id
 """

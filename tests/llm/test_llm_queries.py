@@ -114,6 +114,18 @@ def test_chat_of_odd_rows(spark):
     assert chat.collapse(spark, turns.where("false")).count() == 0
 
 
+def test_chat_of_reused_and_null_ids(spark):
+    """An id whose turn numbers start again and again, and null ids and turns, are cut by position."""
+    rows = [(None, i % 8, "user", f"t{i}") for i in range(3000)] + [(1, None, "user", "same") for _ in range(1300)]
+    rows += [(2, i % 8, None, f"u{i % 11}") for i in range(1100)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.collapse(spark, turns).withColumnRenamed("conv", "conv_id")
+    against_sql(got, chat.OP7_SQL, conversations=turns)
+    sizes = {(r["conv_id"], r["part"]): r["n_turns"] for r in got.collect()}
+    want = {None: 3000, 1: 1300, 2: 1100}
+    assert sizes == {(c, i + 1): min(512, n - 512 * i) for c, n in want.items() for i in range(-(-n // 512))}
+
+
 def _pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
 
