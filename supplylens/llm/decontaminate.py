@@ -17,7 +17,9 @@ the same bound, and only the rest is scored in full.  Nothing at or above the
 threshold is lost.
 
 The index is cut into shards of a bounded number of words; each is broadcast
-in turn and meets all documents, so a benchmark of any size is searched.
+in turn and meets all documents, so a benchmark of any size is searched.  An
+item's passages follow its own length: a shard has an index for each class of
+lengths, and one pass over a text searches all of them.
 """
 
 from __future__ import annotations
@@ -241,32 +243,42 @@ def passages_of(limits: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return np.stack((first, np.minimum(first + window, limits[own + 1])), axis=1), own
 
 
+def half_window(words: int) -> int:
+    """Half the passage window of an item of so many words: the power of two from a quarter above its length on."""
+    return 1 << max(0, -(-5 * words // 4) - 1).bit_length()
+
+
+def _found(shard: Shard, hashes: np.ndarray, limits: np.ndarray) -> list:
+    """(row, item_id, start, score, question share, answer share) of each text and item with its best passage."""
+    windows, text = passages_of(limits, shard.window)
+    best = {}
+    for p, i, score in zip(*(x.tolist() for x in retrieve(shard, hashes, windows)), strict=True):
+        words, item, cut = hashes[windows[p, 0]:windows[p, 1]], shard.texts[i], shard.splits[i]
+        row = int(text[p])
+        if 0 < cut < len(item):
+            q, r = run_share(item[:cut], words), run_share(item[cut:], words)
+        else:  # a single word has no parts; in a longer text it tells nothing
+            q = r = run_share(item, words) if limits[row + 1] - limits[row] == len(item) else 0.0
+        if q >= QUESTION_SHARE and r >= ANSWER_SHARE:
+            told = (score, q, r, -int(windows[p, 0] - limits[row]))
+            if told > best.get((row, i), (0,)):
+                best[row, i] = told
+    return [(row, shard.ids[i], -start, score, q, r) for (row, i), (score, q, r, start) in sorted(best.items())]
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = shared.value
         for batch in batches:
             out = []
             for a, b, data, ends in shingles.chunks(batch.column(2)):
                 hashes, owner, _, _ = shingles.words(data, ends)
                 limits = np.searchsorted(owner, np.arange(b - a + 1))
-                windows, text = passages_of(limits, shard.window)
-                best = {}
-                for p, i, score in zip(*(x.tolist() for x in retrieve(shard, hashes, windows)), strict=True):
-                    words, item, cut = hashes[windows[p, 0]:windows[p, 1]], shard.texts[i], shard.splits[i]
-                    row = int(text[p])
-                    if 0 < cut < len(item):
-                        q, r = run_share(item[:cut], words), run_share(item[cut:], words)
-                    else:  # a single word has no parts; in a longer text it tells nothing
-                        q = r = run_share(item, words) if limits[row + 1] - limits[row] == len(item) else 0.0
-                    if q >= QUESTION_SHARE and r >= ANSWER_SHARE:
-                        told = (score, q, r, -int(windows[p, 0] - limits[row]))
-                        if told > best.get((row, i), (0,)):
-                            best[row, i] = told
-                out += [(a + row, i, *told) for (row, i), told in sorted(best.items())]
+                for shard in shared.value:  # one for each class of lengths
+                    out += [(a + row, *told) for row, *told in _found(shard, hashes, limits)]
             rows = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([shard.ids[o[1]] for o in out], pa.int64()),
-                 pa.array([-o[5] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.float64()) for c in (2, 3, 4)]],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([o[1] for o in out], pa.int64()),
+                 pa.array([o[2] for o in out], pa.int32()), *[pa.array([o[c] for o in out], pa.float64()) for c in (3, 4, 5)]],
                 ["k", "text_hash", "item_id", "start", "score", "question_share", "answer_share"])
 
     return run
@@ -277,7 +289,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     """k (the document's id), text_hash, item_id, start, score, question_share, answer_share.
 
     One row per document and test item found in it, with the best passage
-    (its first word's number).  An item of a single word is found in documents
+    (its first word's number).  An item is looked for in windows of 2.5 to 5 times its length, whatever other items there are.  An item of a single word is found in documents
     that hold nothing else.  Null and empty texts and items match nothing;
     equal rows give equal rows; an empty side gives an empty table; extra columns
     are ignored.
@@ -289,7 +301,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
                         .mapInArrow(_items, "item_id long, words array<long>, split int").distinct(), "items")
     items = items.where("size(words) > 0")
     about = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"),
-                      F.max(F.size("words")).alias("longest"), F.sum(F.size("words")).alias("words")).collect()[0]
+                      F.sum(F.size("words")).alias("words")).collect()[0]
     parts = -(-(about["words"] or 0) // shard_words)
     shard_of = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, parts)))
     df = common.land(spark, items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term")
@@ -298,10 +310,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_
     for part in range(parts):
         mine = items.where(shard_of == part)
         terms = mine.select(F.explode("words").alias("term")).distinct().join(df, "term").collect()
-        shard = make_shard(mine.orderBy(F.size("words"), "item_id").collect(), {r["term"]: r["n"] for r in terms},
-                           about["n"], about["average"], 2 * about["longest"], threshold)
-        if shard:
-            one = texts.mapInArrow(_search(spark.sparkContext.broadcast(shard)), FOUND_DDL)
+        counts, classes = {r["term"]: r["n"] for r in terms}, {}
+        for row in mine.orderBy(F.size("words"), "item_id").collect():
+            classes.setdefault(half_window(len(row["words"])), []).append(row)
+        shards = [make_shard(rows, counts, about["n"], about["average"], 2 * half, threshold) for half, rows in classes.items()]
+        if shards:
+            one = texts.mapInArrow(_search(spark.sparkContext.broadcast(shards)), FOUND_DDL)
             found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], FOUND_DDL) if found is None else found
 

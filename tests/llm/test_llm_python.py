@@ -205,6 +205,21 @@ def test_connected_components(spark):
 
 # -- benchmark decontamination
 
+def test_item_windows_follow_the_item(spark):
+    """An item is found, or isn't, whatever the length of other items; runs of its length and a quarter are in one passage."""
+    item = " ".join(f"q{i}" for i in range(12)) + "\n" + " ".join(f"a{i}" for i in range(8))
+    other = " ".join(f"o{i}" for i in range(3000))
+    far = item.replace("\n", " " + " ".join(f"x{i}" for i in range(1500)) + " ")
+    near = " ".join(f"y{i}" for i in range(77)) + " " + item.replace("\n", " so then ") + " end" * 90
+    docs = spark.createDataFrame([(1, far), (2, near), (3, item), (4, "z " + other), (5, other[:9000])], "doc_id long, text string")
+    alone = spark.createDataFrame([(7, item)], "item_id long, text string")
+    both = spark.createDataFrame([(7, item), (8, other)], "item_id long, text string")
+    told = lambda b: {(r["k"], r["item_id"]) for r in decontaminate.contaminated(spark, docs, b).collect()}
+    assert told(alone) == {(2, 7), (3, 7)}
+    assert told(both) - {(5, 8)} == {(2, 7), (3, 7), (4, 8)}
+    assert [decontaminate.half_window(n) for n in (1, 2, 3, 20, 25, 26, 51, 52)] == [2, 4, 4, 32, 32, 64, 64, 128]
+
+
 def shard_of(items, window=None, threshold=0.6):
     rows = []
     for i, text in items:
