@@ -169,14 +169,20 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, np.bincount(inverse, weights=values, minlength=len(found))
 
 
-def retrieve(shard: Shard, hashes: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def terms_of(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in the ascending ``vocabulary``; -1 for others."""
+    at = np.searchsorted(vocabulary, hashes)
+    return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes, at, -1)
+
+
+def retrieve(shard: Shard, hashes: np.ndarray, passages: np.ndarray, term: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (passage, item, score) at or above the threshold.
 
-    ``passages``: of each passage its first word and the word after its last.
+    ``passages``: of each passage its first word and the word after its last;
+    ``term``: the :func:`terms_of` the words, where they are known.
     """
     slack = 1e-9
-    at = np.searchsorted(shard.vocabulary, hashes)
-    term = np.where(shard.vocabulary[np.minimum(at, len(shard.vocabulary) - 1)] == hashes, at, -1)
+    term = terms_of(shard.vocabulary, hashes) if term is None else term
     known = np.flatnonzero(term >= 0)
     listed = known[shard.e_first[term[known] + 1] > shard.e_first[term[known]]]
     n_terms, n_items = len(shard.vocabulary), len(shard.ids)
@@ -248,11 +254,11 @@ def half_window(words: int) -> int:
     return 1 << max(0, -(-5 * words // 4) - 1).bit_length()
 
 
-def _found(shard: Shard, hashes: np.ndarray, limits: np.ndarray) -> list:
+def _found(shard: Shard, hashes: np.ndarray, limits: np.ndarray, term: np.ndarray) -> list:
     """(row, item_id, start, score, question share, answer share) of each text and item with its best passage."""
     windows, text = passages_of(limits, shard.window)
     best = {}
-    for p, i, score in zip(*(x.tolist() for x in retrieve(shard, hashes, windows)), strict=True):
+    for p, i, score in zip(*(x.tolist() for x in retrieve(shard, hashes, windows, term)), strict=True):
         words, item, cut = hashes[windows[p, 0]:windows[p, 1]], shard.texts[i], shard.splits[i]
         row = int(text[p])
         if 0 < cut < len(item):
@@ -268,13 +274,20 @@ def _found(shard: Shard, hashes: np.ndarray, limits: np.ndarray) -> list:
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Words are looked up once for all classes; each has its numbers of the terms, -1 (also the last entry) for others.
+        shards = shared.value
+        vocabulary = np.unique(np.concatenate([x.vocabulary for x in shards]))
+        numbers = [np.full(len(vocabulary) + 1, -1) for _ in shards]
+        for x, mine in zip(shards, numbers, strict=True):
+            mine[np.searchsorted(vocabulary, x.vocabulary)] = np.arange(len(x.vocabulary))
         for batch in batches:
             out = []
             for a, b, data, ends in shingles.chunks(batch.column(2)):
                 hashes, owner, _, _ = shingles.words(data, ends)
                 limits = np.searchsorted(owner, np.arange(b - a + 1))
-                for shard in shared.value:  # one for each class of lengths
-                    out += [(a + row, *told) for row, *told in _found(shard, hashes, limits)]
+                term = terms_of(vocabulary, hashes)
+                for shard, mine in zip(shards, numbers, strict=True):  # one for each class of lengths
+                    out += [(a + row, *told) for row, *told in _found(shard, hashes, limits, mine[term])]
             rows = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([o[1] for o in out], pa.int64()),
