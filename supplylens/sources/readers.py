@@ -424,13 +424,17 @@ def extract_elements(df: DataFrame, html: str, pattern: str = LINK_ITEM_PATTERN,
             .select(*keep, "pos", *[F.col(f"_m.{c}").alias(c) for c in cols]))
 
 
-# Comments, scripts and styles (to their end, or the page's), tags, and text between them.
+# Comments, scripts and styles (to their end, or the page's), and tags that neither make a table nor break a line.
 _SKIPPED = r"<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)|\z)"
-_MARKUP = rf"(?is)({_SKIPPED}|<[^>]*>?|[^<]+)"
+_OTHER_MARKUP = rf"(?is)(?:{_SKIPPED}|<(?!(?:/?(?:table|tr|td|th)|br)(?![a-z]))[^>]*>?)|(<[^>]*>?)"
 # Character references decoded in cells, and the markup standard's limit of a colspan.
 _REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 _MOST_COLUMNS = 1000
+#: Elements folded in one part; arrays grow element by element within a part only, so a long page costs no square of its length.
+_PART = 256
+_CELL = "struct<table:int,tr:int,cell:int,wide:int,tall:int,text:string>"
 _SLOTS = "array<struct<col:int,left:int,value:string>>"
+_OUT = "struct<table:int,row:int,col:int,value:string>"
 
 
 def page_tables(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
@@ -444,75 +448,152 @@ def page_tables(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     Rows and columns count from 0 within the table, so a table serves GRD1-3 as a sheet
     of cells.  White space is folded, the basic character references are decoded, an empty cell is NULL.
 
-    ``keep`` must identify a page.  All windows and groups are within a page; a cell whose
-    end tag is missing ends with the next cell, row or table.
+    A page is read within its own row of ``df``: nothing is shuffled, and only slots leave
+    it.  A cell whose end tag is missing ends with the next cell, row or table.
     """
-    keep = list(keep)
-    tokens = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_MARKUP), 1)).alias("pos", "tok"))
-    is_text = ~F.col("tok").startswith("<")
-    tokens = (tokens.withColumn("tag", F.lower(F.regexp_extract("tok", r"^<(/?[a-zA-Z]+)", 1)))
-              .filter(F.col("tag").isin("table", "/table", "tr", "/tr", "td", "/td", "th", "/th", "br") | is_text))
-    page = Window.partitionBy(*keep).orderBy("pos")
-    opens = (F.col("tag") == "table").cast("int")
-    # a closing tag counts from the next token on, so that it still belongs to its table
-    closed = F.lag((F.col("tag") == "/table").cast("int"), 1, 0).over(page)
-    tokens = tokens.withColumns({"opens": opens, "closed": closed}).withColumns(
-        {"depth": F.sum(F.col("opens") - F.col("closed")).over(page), "opened": F.sum("opens").over(page)}).filter("depth > 0")
-    level = Window.partitionBy(*keep, "depth").orderBy("pos")
-    tokens = tokens.withColumn("table", F.last(F.when(F.col("tag") == "table", F.col("opened") - 1), True).over(level))
-    inner = Window.partitionBy(*keep, "table").orderBy("pos")
-    is_cell = F.col("tag").isin("td", "th")
-    tokens = tokens.withColumns({
-        "tr": F.sum((F.col("tag") == "tr").cast("int")).over(inner),
-        "cell": F.sum(is_cell.cast("int")).over(inner),
-        # 1 within a cell, 0 after its end and before the first
-        "inside": F.last(F.when(is_cell, 1).when(F.col("tag").isin("table", "/td", "/th", "tr", "/tr"), 0), True).over(inner)})
-
-    def span(name: str) -> Column:
-        found = F.regexp_extract("tok", rf"(?i)\s{name}\s*=\s*[\"']?\s*([0-9]{{1,5}})", 1)
-        return F.max(F.when(is_cell, F.coalesce(found.try_cast("int"), F.lit(1))))
-
-    text = F.when(F.col("tag") == "br", F.lit(" ")).when(is_text, F.col("tok"))
-    cells = (tokens.filter("inside = 1").groupBy(*keep, "table", "tr", "cell")
-             .agg(span("colspan").alias("wide"), span("rowspan").alias("tall"),
-                  F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("pos", text.alias("t"))))).alias("texts")))
-    value = F.array_join(F.transform("texts", lambda x: x["t"]), "")
-    for reference, char in _REFERENCES:
-        value = F.replace(value, F.lit(reference), F.lit(char))
-    value = F.trim(F.regexp_replace(value, r"[\s\u00A0]+", " "))
-    rows = (cells.withColumn("value", F.nullif(value, F.lit("")))
-            .groupBy(*keep, "table", "tr").agg(F.array_sort(F.collect_list(F.struct("cell", "wide", "tall", "value"))).alias("cells")))
-    tables = rows.groupBy(*keep, "table").agg(F.array_sort(F.collect_list(F.struct("tr", "cells"))).alias("rows"))
-    # a table's rows one after the other: the slots held from above, and the row's own
-    start = F.struct(F.array().cast(_SLOTS).alias("slots"), F.array().cast(f"array<{_SLOTS}>").alias("done"))
-
-    def next_row(acc: Column, row: Column) -> Column:
-        slots = _slots(row["cells"], F.filter(acc["slots"], lambda h: h["left"] > 0))
-        return F.struct(slots.alias("slots"), F.concat(acc["done"], F.array(slots)).alias("done"))
-
-    placed = F.aggregate("rows", start, next_row, lambda acc: acc["done"])
-    return (tables.select(*keep, "table", F.posexplode(placed).alias("row", "_slots"))
-            .select(*keep, "table", "row", F.explode("_slots").alias("_s"))
-            .select(*keep, "table", "row", F.col("_s.col").alias("col"), F.col("_s.value").alias("value")))
-
-
-def _slots(cells: Column, held: Column) -> Column:
-    """The slots of a row: those held from above, one row less to go, then each cell from the first free column on."""
-    above = F.transform(held, lambda h: F.struct(h["col"].alias("col"), (h["left"] - 1).alias("left"), h["value"].alias("value")))
-
-    def free(c: Column) -> Column:
-        return ~F.exists(held, lambda h: h["col"] == c)
-
-    def place(acc: Column, cell: Column) -> Column:
-        # of one column more than are held, one is free
-        at = F.get(F.filter(F.sequence(acc["next"], acc["next"] + F.size(held)), free), F.lit(0))
-        end = at + F.greatest(F.least(cell["wide"], F.lit(_MOST_COLUMNS)), F.lit(1))
+    return (df.select(*keep, F.explode(_place_cells(_table_cells(F.col(html)))).alias("_slot"))
+            .select(*keep, F.col("_slot.table").cast("bigint").alias("table"), *[F.col(f"_slot.{c}").alias(c) for c in ("row", "col", "value")]))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: the lambda of a one-element array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _record(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _fold(items: Column, start: dict[str, Column], step: Callable[[Column, Column], Column], element: str,
+          tidy: Callable[[Column], dict[str, Column]] = lambda acc: {}) -> Column:
+    """The last state of ``step`` over ``items``: the fields of ``start``, and ``done``, all that it appended to ``out``.
+
+    ``step`` sees ``out`` of one part of the items only and hands ``done`` on; after each part ``tidy`` may replace fields.
+    """
+    none = F.array().cast(f"array<{element}>")
+
+    def part(acc: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, acc, step, lambda a: _record(
+            **({c: a[c] for c in start} | tidy(a)), out=none, done=F.concat(a["done"], F.array(a["out"]))))
+
+    def run(x: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(_PART))
+        return F.aggregate(F.transform(first, lambda at: F.slice(x, at, _PART)),
+                           _record(**start, out=none, done=F.array().cast(f"array<array<{element}>>")), part,
+                           lambda a: _record(**{c: a[c] for c in start}, done=F.flatten(a["done"])))
+
+    return _let(items, run)
+
+
+def _table_cells(html: Column) -> Column:
+    """The cells of a page's tables with their spans and raw text, in the order of their ends.
+
+    The state is the innermost open table (table -1: none), those around it, and the end tags of tables that were
+    never opened: each makes one later table tag count for nothing.
+    """
+
+    def token(t: Column) -> Column:  # the codes: 1 and 2 begin and end a table, 3 begins a row, 5 a cell, 6 breaks a line, 4 is any other end
+        tag, end = F.lower(F.regexp_extract(t, r"^<(/?[a-zA-Z]+)", 1)), F.instr(t, ">")
+        code = lambda x: F.when(x.isin("td", "th"), 5).when(x == "tr", 3).when(x == "table", 1).when(x == "/table", 2).when(
+            x == "br", 6).otherwise(4)
+        return _record(code=_let(tag, code), tok=t, text=F.when(end > 0, t.substr(end + 1, F.length(t))).otherwise(F.lit("")))
+
+    # a tag with the text up to the next one; what comes before the first is in no table
+    tags = F.regexp_extract_all(F.regexp_replace(html, _OTHER_MARKUP, "$1"), F.lit(r"(<[^>]*>?[^<]*)"), 1)
+    fields = ("table", "tr", "cell", "inside", "wide", "tall", "text", "pieces")
+    no_pieces = F.array().cast("array<string>")
+    nothing = _record(table=F.lit(-1), tr=F.lit(0), cell=F.lit(0), inside=F.lit(False), wide=F.lit(1), tall=F.lit(1),
+                      text=F.lit(""), pieces=no_pieces)
+
+    def changed(f: Column, **new: Column) -> Column:
+        return _record(**({c: f[c] for c in fields} | new))
+
+    def joined(f: Column) -> Column:
+        return F.concat(f["text"], F.array_join(f["pieces"], ""))
+
+    def cell_of(f: Column) -> Column:
+        return _record(**{c: f[c] for c in ("table", "tr", "cell", "wide", "tall")}, text=joined(f))
+
+    def step(acc: Column, t: Column) -> Column:
+        code, top, around = t["code"], acc["top"], acc["around"]
+        opens, closes = (code == 1) & (acc["unopened"] == 0), (code == 2) & (top["table"] >= 0)
+
+        def span(name: str) -> Column:
+            found = F.regexp_extract(t["tok"], rf"(?i)^[^>]*?\s{name}\s*=\s*[\"']?\s*([0-9]{{1,5}})", 1)
+            return F.when(found == "", F.lit(1)).otherwise(found.cast("int"))
+
+        def more(f: Column, text: Column) -> Column:
+            return F.when(f["inside"], changed(f, pieces=F.concat(f["pieces"], F.array(text)))).otherwise(f)
+
+        return _record(
+            opened=F.when(code == 1, acc["opened"] + 1).otherwise(acc["opened"]),
+            unopened=(F.when(code > 2, acc["unopened"]).when(code == 1, F.greatest(acc["unopened"] - 1, F.lit(0)))
+                         .when(closes, acc["unopened"]).otherwise(acc["unopened"] + 1)),
+            top=(F.when(code == 6, more(top, F.concat(F.lit(" "), t["text"])))
+                    .when(opens, changed(nothing, table=acc["opened"]))
+                    .when(closes, more(F.element_at(around, -1), t["text"]))
+                    .when((code < 3) | (top["table"] < 0), top)
+                    .when(code == 5, changed(top, cell=top["cell"] + 1, inside=F.lit(True), wide=span("colspan"), tall=span("rowspan"),
+                                             text=F.lit(""), pieces=F.array(t["text"])))
+                    .otherwise(changed(top, tr=F.when(code == 3, top["tr"] + 1).otherwise(top["tr"]), inside=F.lit(False)))),
+            around=(F.when(code > 2, around).when(opens, F.concat(around, F.array(top)))
+                       .when(closes, F.slice(around, 1, F.size(around) - 1)).otherwise(around)),
+            out=F.when(top["inside"] & (code > 1) & (code < 6), F.concat(acc["out"], F.array(cell_of(top)))).otherwise(acc["out"]),
+            done=acc["done"])
+
+    one_text = lambda f: changed(f, text=joined(f), pieces=no_pieces)
+    start = {"opened": F.lit(0), "unopened": F.lit(0), "top": nothing, "around": F.filter(F.array(nothing), lambda f: f["inside"])}
+    last = _fold(F.transform(tags, token), start, step, _CELL,
+                 lambda a: {"top": one_text(a["top"]), "around": F.transform(a["around"], one_text)})
+    return _let(last, lambda a: F.concat(a["done"], F.transform(
+        F.filter(F.concat(a["around"], F.array(a["top"])), lambda f: f["inside"]), cell_of)))
+
+
+def _place_cells(cells: Column) -> Column:
+    """The slots of all tables: in each row those held from above, then each cell's from the first free column on."""
+
+    def with_value(c: Column) -> Column:
+        value = c["text"]
+        for reference, char in _REFERENCES:
+            value = F.replace(value, F.lit(reference), F.lit(char))
+        value = F.trim(F.regexp_replace(value, r"[\s\u00A0]+", " "))
+        return _record(**{k: c[k] for k in ("table", "tr", "cell", "wide", "tall")}, value=F.nullif(value, F.lit("")))
+
+    def told(slots: Column, table: Column, row: Column) -> Column:
+        return F.transform(slots, lambda s: _record(table=table, row=row, col=s["col"], value=s["value"]))
+
+    def next_row(acc: Column, cell: Column) -> Column:
+        on = acc["table"] == cell["table"]
+        row = F.when(on, acc["row"] + 1).otherwise(F.lit(0))
+        held = F.filter(acc["slots"], lambda h: on & (h["left"] > 0))
+        above = F.transform(held, lambda h: _record(col=h["col"], left=h["left"] - 1, value=h["value"]))
+        return _let(above, lambda x: _record(
+            table=cell["table"], tr=cell["tr"], row=row, next=F.lit(0), above=x, slots=x,
+            out=F.concat(acc["out"], told(x, cell["table"], row)), done=acc["done"]))
+
+    def step(acc: Column, cell: Column) -> Column:
+        names = ("table", "tr", "row", "next", "above", "slots", "out", "done")
+        stays = (acc["table"] == cell["table"]) & (acc["tr"] == cell["tr"])
+        wide = F.greatest(F.least(cell["wide"], F.lit(_MOST_COLUMNS)), F.lit(1))
         left = F.when(cell["tall"] == 0, F.lit(1 << 30)).otherwise(cell["tall"] - 1)
-        new = F.transform(F.filter(F.sequence(at, end - 1), free), lambda c: F.struct(
-            c.alias("col"), left.alias("left"), cell["value"].alias("value")))
-        return F.struct(end.alias("next"), F.concat(acc["slots"], new).alias("slots"))
 
-    return F.aggregate(cells, F.struct(F.lit(0).alias("next"), above.cast(_SLOTS).alias("slots")), place, lambda acc: acc["slots"])
+        def place(r: Column) -> Column:
+            free = lambda c: ~F.exists(r["above"], lambda h: h["col"] == c)
+            # of one column more than are held, one is free
+            at = F.when(F.size(r["above"]) == 0, r["next"]).otherwise(
+                F.get(F.filter(F.sequence(r["next"], r["next"] + F.size(r["above"])), free), F.lit(0)))
+            slot = lambda c: _record(col=c, left=left, value=cell["value"])
+            return _let(at, lambda x: _let(
+                F.when(wide == 1, F.array(slot(x))).otherwise(F.transform(F.filter(F.sequence(x, x + wide - 1), free), slot)),
+                lambda new: _record(**{c: r[c] for c in ("table", "tr", "row")}, next=x + wide, above=r["above"],
+                                    slots=F.concat(r["slots"], new), out=F.concat(r["out"], told(new, r["table"], r["row"])),
+                                    done=r["done"])))
+
+        return _let(F.when(stays, _record(**{c: acc[c] for c in names})).otherwise(next_row(acc, cell)), place)
+
+    none = F.array().cast(_SLOTS)
+    start = {"table": F.lit(-1), "tr": F.lit(0), "row": F.lit(0), "next": F.lit(0), "above": none, "slots": none}
+    return _fold(F.transform(F.sort_array(cells), with_value), start, step, _OUT)["done"]
 
 
 # --------------------------------------------------------------------------
