@@ -15,6 +15,7 @@ a second small table ``parts``.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,6 +46,12 @@ WRITTEN = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start"
                      ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 WRITTEN_DDL = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
+#: How ``word_bpe_49k`` cuts words: runs of letters, single digits, runs of other signs.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces of one such run of letters, and maybe one of signs after it.  Letters that every version of Unicode has, without
+#: the dotted capital I (its small form is two characters); an apostrophe may be cut otherwise, "<" may begin a special token.
+WORD_AND_SIGNS = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+)?")
+
 _encoders: dict[int, PieceEncoder] = {}
 
 
@@ -58,7 +65,9 @@ class PieceEncoder:
     those with combining marks: some marks compose with a small letter alone, and
     the definition composes before it lower-cases.
 
-    New pieces are encoded many in one call, between a special token of the
+    New pieces are encoded many in one call.  Where the definition cuts words as ``word_bpe_49k`` does, the
+    last id of each run tells its end, so pieces of letters, with or without signs after
+    them, need only a blank between them.  The others stand between a special token of the
     tokenizer: it is cut out before anything else, so pieces stay apart.
     """
 
@@ -71,6 +80,12 @@ class PieceEncoder:
         special = [t for t in told.get("added_tokens") or [] if t["special"] and not t["lstrip"] and not t["rstrip"]]
         self.special = [t["content"].encode().lower() for t in told.get("added_tokens") or []]
         self._marked = all(s.startswith(b"<") for s in self.special)  # then pieces without "<" need no look
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix and self._marked and (cuts[0].get("pattern") or {}).get("Regex") == LETTER_RUNS:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.last[[i for t, i in told["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.between = (special[0]["content"], special[0]["id"]) if special else None
         self.kept = kept
         self.ids: dict[bytes, bytes] = {}
@@ -100,6 +115,36 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
         return out
 
+    def _encode_runs(self, pieces: list[str], runs: list[int]) -> list[bytes] | None:
+        """The ids of ``pieces`` that make so many ``runs`` each; None if the ends found are not as many."""
+        out: list[bytes] = []
+        joined = [" ".join(pieces[at:at + 500]) for at in range(0, len(pieces), 500)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(runs[500 * i:500 * i + 500]) - 1
+            if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
+                return None
+            raw, cuts = ids.tobytes(), (4 * ends[last]).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
+    def _encode_new(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(piece, its ids) of all ``pieces``."""
+        if self.last is not None:
+            plain, texts, runs, others = [], [], [], []
+            for p in pieces:
+                if m := WORD_AND_SIGNS.fullmatch(text := p.decode()):
+                    plain.append(p)
+                    texts.append(text)
+                    runs.append(1 if m[1] is None else 2)
+                else:
+                    others.append(p)
+            found = self._encode_runs(texts, runs)
+            if found is not None:
+                yield from zip(plain, found, strict=True)
+                pieces = others
+        yield from zip(pieces, self._encode_apart(pieces), strict=True)
+
     def _learn(self, pieces: set[bytes]) -> None:
         """Puts the ids of all ``pieces`` into ``self.ids``."""
         if len(self.ids) > self.kept:
@@ -111,8 +156,7 @@ class PieceEncoder:
             else:
                 self.ids[p] = ids
         for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            self.ids.update(zip(part, self._encode_apart(part), strict=True))
+            self.ids.update(self._encode_new(missing[at:at + 20_000]))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
