@@ -13,13 +13,17 @@ so a list's key is a block of shingles: sets of similar size cut the range of
 hashes into the same m cells, where linked sets differ in fewer than m
 shingles and so agree on a whole cell.  A set that differs from each partner
 in d cells at most lists only the first d + 1 of its cells in one order for all: the first
-cell that both have is among them.
+cell that both have is among them.  Any order does; cells that many of a part of the texts have come last, so
+a passage that many texts cite makes no long list.
 
 The boundary between the two is the size up to which the subsets cost fewer
 keys than the cells.
 
-A list of a few members is compared pair by pair, first by sketches; what counts as few grows while all these
-pairs stay a fixed multiple of the sets.  A longer one never is: each
+Members of a list whose sizes and sketches allow a link are compared.  While all pairs that share a list stay a
+fixed multiple of the sets, sketches are compared in blocks: first each member of a longer list goes on with
+its nearest one, then, once these links have joined most members, all pairs of different components do.
+
+Beyond that only short lists are compared pair by pair.  In a longer one each
 member gets a home, the most listed node among those it shares a list with,
 and is compared with that.  Two members that link to it are one component.  A
 member x that doesn't can link to a member y of the same home only if both
@@ -52,18 +56,28 @@ FIRST_SHORT, SHORT = 8, 64
 #: So are longer ones up to MOST_SHORT members, the shortest first, while all pairs together are PAIRS a set at most:
 #: pairs of sketches in proportion to the input cost less than further rounds.
 MOST_SHORT, PAIRS = 1000, 4
+#: Sketches are compared in blocks of BLOCK rows while all lists together have BLOCK_PAIRS pairs a set at most.
+BLOCK, BLOCK_PAIRS = 2000, 20_000
+#: One in so many texts at most tells which cells are common: COMMON of these texts or more have them.  Of COMMON_KEYS at most.
+PART, PART_ROWS, COMMON, COMMON_KEYS = 32, 4096, 3, 100_000
 #: Leaders' sets, and sketches, are broadcast up to so many bytes (the driver holds several copies of a broadcast).
 SETS_BYTES = 12 << 20
 #: Bits of the sketch that tells most sets apart before they are compared.
 SKETCH_BITS = 2048
-FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())),
+                      ("sketch", pa.list_(pa.int64()))])
+FEATURES_DDL = "k long, h long, n_shingles long, node long, keys array<long>, sketch array<long>"
 
 
 class Scheme:
-    """Keys of a set so that linked sets share one; ``percent`` is the least similarity."""
+    """Keys of a set so that linked sets share one; ``percent`` is the least similarity.
+
+    Cells whose keys are ``common`` (ascending) are the last in the order; with ``every`` all cells are listed.
+    """
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None, every: bool = False):
         self.p, self.q = percent, 100
+        self.common, self.every = np.zeros(0, dtype=np.uint64) if common is None else common, every
         x = 0
         while self._subsets(x + 1) <= self.apart(x + 1, self.partner(x + 1)) + 1:
             x += 1
@@ -104,6 +118,14 @@ class Scheme:
             c += 1
         return c
 
+    def _first(self, found: np.ndarray, n: int) -> np.ndarray:
+        if not len(self.common):
+            return np.partition(found, n - 1)[:n]
+        found = np.sort(found)
+        at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
+        late = self.common[at] == found
+        return np.concatenate((found[~late], found[late]))[:n]
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         """The keys of the ascending set ``s``."""
         n, out = len(s), []
@@ -128,7 +150,7 @@ class Scheme:
                 found = shingles.mix(sums + full * np.uint64(0xA24BAED4963EE407)
                                      + np.uint64((c + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
                 # of all cells in one order the least that both have is among the first d + 1 of each
-                out.append(np.partition(found, d)[:d + 1] if len(found) > d + 1 and len(starts) > d else found)
+                out.append(self._first(found, d + 1) if len(found) > d + 1 and len(starts) > d and not self.every else found)
         return np.unique(np.concatenate(out)) if out else s[:0]
 
 
@@ -138,30 +160,36 @@ def _node(s: np.ndarray) -> int:
     return int(shingles.mix(total + np.uint64(len(s))).view(np.int64)[0])
 
 
-def _features(width: int, percent: int):
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of the set's shingles fall to i."""
+    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _features(width: int, percent: int, common_keys=None, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = Scheme(percent)
+        scheme = Scheme(percent, None if common_keys is None else np.frombuffer(common_keys.value, dtype=np.uint64), every)
         for batch in batches:
-            sizes, nodes, keys, done = [], [], [], set()
+            sizes, nodes, keys, sketches, done = [], [], [], [], set()
             for s in shingles.shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 nodes.append(node := _node(s) if len(s) else None)
                 # copies of a text in one batch give its keys once
-                keys.append(scheme.keys(s).view(np.int64) if len(s) and node not in done else None)
+                first = len(s) and node not in done
+                keys.append(scheme.keys(s).view(np.int64) if first else None)
+                sketches.append(_sketch(s) if first and not every else None)
                 done.add(node)
-            ends = np.cumsum([0] + [0 if k is None else len(k) for k in keys])
-            flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], schema=FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                                              _lists(keys), _lists(sketches)], schema=FEATURES)
 
     return run
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """Bit i tells whether an odd number of the set's shingles fall to i."""
-    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    """An Arrow array of the ``arrays``; None is an empty one."""
+    ends = np.cumsum([0] + [0 if x is None else len(x) for x in arrays])
+    flat = np.concatenate([x for x in arrays if x is not None] or [np.zeros(0, dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
 def _sets(width: int):
@@ -266,7 +294,8 @@ def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: i
     difference of their sketches, so at least as many shingles differ as bits.  Only the
     sketches and sizes travel, a small part of the sets.
     """
-    short = sets.select("node", F.size("members").alias("size"), "sketch")
+    size = F.col("size") if "size" in sets.columns else F.size("members")
+    short = sets.select("node", size.alias("size"), "sketch")
     if short.count() * (SKETCH_BITS // 8 + 64) <= SETS_BYTES:
         short = F.broadcast(short)
     rows = (pairs.join(short.withColumnsRenamed({"size": "a", "sketch": "x"}), "node")
@@ -317,6 +346,107 @@ def _across(rows: DataFrame, by: str, bound: int) -> DataFrame:
             .select(F.col("a.node").alias("node"), F.col("b.node").alias("leader")))
 
 
+def _common_keys(spark: SparkSession, texts: DataFrame, width: int, percent: int):
+    """The keys of cells that many of a part of the ``texts`` have, ascending, broadcast to the workers.
+
+    They only settle the order of cells; every order gives all links.
+    """
+    step = min(PART, max(1, texts.count() // PART_ROWS))
+    part = texts.where(F.pmod("h", F.lit(step)) == 0).mapInArrow(_features(width, percent, every=True), FEATURES_DDL)
+    told = (part.select("node", F.explode("keys").alias("key")).groupBy("key")
+            .agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+            .where((F.col("n") >= COMMON) & F.expr("lo < hi")).orderBy(F.desc("n"), "key").limit(COMMON_KEYS).select("key").collect())
+    return spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in told], dtype=np.int64).view(np.uint64)).tobytes())
+
+
+def _sets_for(spark: SparkSession, texts: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """node, members and sketch of every node in ``pairs``; landed."""
+    needed = common.land(spark, pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct(), "needed")
+    # A node's text is that of one row with it: the row's id may be null, or another's too, so its text's hash counts as well.
+    first = (found.join(common.small_side(needed, 16), "node", "left_semi").groupBy("node")
+             .agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("_k"), F.col("at.h").alias("_h")).distinct())
+    first = common.land(spark, first, "first")
+    sets = common.land(spark, texts.join(common.small_side(first, 24), (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")))
+                       .select("text").mapInArrow(_sets(width), "node long, members array<long>, sketch array<long>"), "sets")
+    if sets.count() > needed.count():  # rows that repeat, id and text: only then are the long sets shuffled
+        repeated, sets = sets, common.land(spark, sets.dropDuplicates(["node"]), "sets")
+        common.drop_landed(spark, repeated)
+    common.drop_landed(spark, needed, first)
+    return sets
+
+
+def _in_blocks(percent: int, whole: bool):
+    """Of rows that lie list by list, the pairs of different components that sizes and sketches allow: of each row all, or the nearest."""
+
+    def compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(size := rows["size"].to_numpy(), kind="stable")
+        node, component, block = (rows[c].to_numpy()[order] for c in ("node", "component", "block"))
+        size, n = size[order], len(order)
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)[order]
+        last = np.searchsorted(size, size * 100 // percent, "right")
+        across = rows["lo"][0].as_py() < rows["hi"][0].as_py()  # two blocks of one list: pairs inside either are compared elsewhere
+        at, out = np.arange(n), []
+        for a in range(0, n, step := max(1, 8192 // n)):
+            i = at[a:a + step, None]
+            open_ = (at > i) & (at < last[i]) & (component != component[i])
+            if across:
+                open_ &= block != block[i]
+            x, y = np.nonzero(open_)
+            x += a
+            bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+            near = bits <= (100 - percent) * (size[x] + size[y]) // (100 + percent)
+            x, y, bits = x[near], y[near], bits[near]
+            if not whole:
+                by = np.lexsort((bits, x))
+                x, y = x[by], y[by]
+                first = np.flatnonzero(np.diff(x, prepend=-1))
+                x, y = x[first], y[first]
+            out.append((node[x], node[y]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(rows):
+                continue
+            ids = np.stack([rows[c].to_numpy() for c in ("key", "lo", "hi")])
+            starts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
+            held = rows.slice(starts[-1])  # its end may be in the next batch
+            yield from found([rows.slice(a, b - a) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        if held is not None:
+            yield from found([held])
+
+    def found(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if groups:
+            told = [compared(g) for g in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in told]), pa.int64()) for i in (0, 1)], ["node", "leader"])
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(node, leader) of different components that share a list of ``rows`` and may link; unless ``whole`` each row's nearest in a block.
+
+    A list of more than BLOCK members is cut into blocks, and each two of them meet in one group: no
+    group has many more than 2 BLOCK rows.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    held = nodes.select("node", "size", "sketch")
+    rows = (rows.join(common.small_side(held, SKETCH_BITS // 8 + 64, SETS_BYTES), "node")
+            .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+                    "block", "node", "component", "size", "sketch"))
+    return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+            .mapInArrow(_in_blocks(percent, whole), "node long, leader long"))
+
+
+def _total_pairs(rows: DataFrame) -> float:
+    """How many pairs of rows share a list."""
+    return rows.agg(F.coalesce(F.sum((F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+
+
 def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, node (one number per distinct set) and component_id.
@@ -328,46 +458,62 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"), F.xxhash64(text).alias("h"))
-    found = common.land(spark, texts.mapInArrow(_features(width, percent),
-                                                "k long, h long, n_shingles long, node long, keys array<long>"), "shingles")
+    shared = _common_keys(spark, texts, width, percent)
+    keyed = common.land(spark, texts.mapInArrow(_features(width, percent, shared), FEATURES_DDL), "shingles")
     # One exchange by key serves the lists' extremes and their members.
-    rows = found.where("keys is not null").select("node", F.explode("keys").alias("key")).repartition("key")
+    rows = keyed.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key")).repartition("key")
     many = (rows.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
             .where("lo < hi").select("_k"))
     lists = common.land(spark, rows.join(many.hint("shuffle_hash"), F.col("key") == F.col("_k"), "left_semi")
                         .select("key", "node").distinct(), "lists")
-    needed = common.land(spark, lists.select("node").distinct(), "listed")
-    # A node's text is that of one row with it: the row's id may be null, or another's too, so its text's hash counts as well.
-    first = (found.join(common.small_side(needed, 16), "node", "left_semi").groupBy("node")
-             .agg(F.min(F.struct("k", "h")).alias("at")).select(F.col("at.k").alias("_k"), F.col("at.h").alias("_h")).distinct())
-    first = common.small_side(common.land(spark, first, "first"), 24)
-    sets = common.land(spark, texts.join(first, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k"))).select("text")
-                       .mapInArrow(_sets(width), "node long, members array<long>, sketch array<long>"), "sets")
-    if sets.count() > needed.count():  # rows that repeat, id and text: only then are the long sets shuffled
-        sets = common.land(spark, sets.dropDuplicates(["node"]), "sets")
-    common.drop_landed(spark, needed)
-    labels, before = None, []
-    pairs_at_most = PAIRS * sets.count()
+    # Sketches of the listed nodes, and rows without keys: the keys themselves are done with.
+    listed = common.land(spark, lists.select("node").distinct(), "listed")
+    nodes = common.land(spark, keyed.where(F.size("sketch") > 0).select("node", F.col("n_shingles").alias("size"), "sketch")
+                        .join(common.small_side(listed, 16), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    found = common.land(spark, keyed.select("k", "h", "n_shingles", "node"), "found")
+    common.drop_landed(spark, keyed, listed)
+    labels, before, nearest = None, [], False
+    n_nodes = nodes.count()
     while True:
         rows = common.land(spark, _open_lists(lists, labels), "open")
         if not (n := rows.count()):
             break
-        short = _short(rows, FIRST_SHORT if labels is None else SHORT, pairs_at_most)
-        long = common.land(spark, _homes(rows.where(F.col("n") > short), n), "homes")
-        pairs = long.where("node <> home").select("node", F.col("home").alias("leader")).distinct()
-        told = _compare(spark, pairs, sets, percent, True)
-        apart = _across(long, "home", n).unionByName(_across(rows.where(F.col("n") <= short), "component", n)).distinct()
-        across = _compare(spark, _possible(spark, apart, sets, percent), sets, percent, False)
-        new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
+        direct, last = nearest or _total_pairs(rows) <= BLOCK_PAIRS * n_nodes, nearest
+        if direct:
+            # First short lists and each row's nearest in longer ones, then what is still open in those.
+            apart = _block_pairs(rows.where(F.col("n") > FIRST_SHORT), nodes, percent, nearest)
+            if not nearest:
+                small = rows.where(F.col("n") <= FIRST_SHORT)
+                apart = apart.unionByName(_possible(spark, _across(small, "component", n).distinct(), nodes, percent))
+            pairs = common.land(spark, apart.select(F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader"))
+                                .distinct(), "apart")
+            sets = _sets_for(spark, texts, found, pairs, width)
+            told = _compare(spark, pairs, sets, percent, False)
+            new, done, nearest = told.where("linked").select("node", "leader"), [rows, pairs, sets, told], True
+        else:
+            short = _short(rows, FIRST_SHORT if labels is None else SHORT, PAIRS * n_nodes)
+            long = common.land(spark, _homes(rows.where(F.col("n") > short), n), "homes")
+            pairs = common.land(spark, long.where("node <> home").select("node", F.col("home").alias("leader")).distinct(), "to-homes")
+            apart = _across(long, "home", n).unionByName(_across(rows.where(F.col("n") <= short), "component", n)).distinct()
+            apart = common.land(spark, _possible(spark, apart, nodes, percent), "apart")
+            sets = _sets_for(spark, texts, found, pairs.unionByName(apart), width)
+            told = _compare(spark, pairs, sets, percent, True)
+            across = _compare(spark, apart, sets, percent, False)
+            new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
+            done = [rows, long, pairs, apart, sets, across, told, lists]
         new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")
         # Labels stand for the links of all rounds before.
         links = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         # The next round reads this one's new lists and labels; all else of it and of the round before is done with.
-        done = [rows, long, across, told, lists, new, *before]
+        done += [new, *before]
         before = [] if labels is None else [labels]
         labels = common.land(spark, connected_components(spark, links), "labels")
-        lists = common.land(spark, _edit_lists(told), "lists")
+        if not direct:
+            lists = common.land(spark, _edit_lists(told), "lists")
         common.drop_landed(spark, *done)
+        if last:
+            break
+    common.drop_landed(spark, nodes, lists)
     rooted = found.select("k", "n_shingles", "node")
     if labels is None:
         rooted = rooted.withColumn("root", F.col("node"))
