@@ -64,6 +64,8 @@ PART, PART_ROWS, COMMON, COMMON_KEYS = 32, 4096, 3, 100_000
 SETS_BYTES = 12 << 20
 #: Bits of the sketch that tells most sets apart before they are compared.
 SKETCH_BITS = 2048
+#: Bits of the one that pairs must pass then, before whole sets travel: a short one is full for sets of thousands of shingles.
+WIDE_BITS = 16384
 FEATURES = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())),
                       ("sketch", pa.list_(pa.int64()))])
 FEATURES_DDL = "k long, h long, n_shingles long, node long, keys array<long>, sketch array<long>"
@@ -160,9 +162,9 @@ def _node(s: np.ndarray) -> int:
     return int(shingles.mix(total + np.uint64(len(s))).view(np.int64)[0])
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
+def _sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Bit i tells whether an odd number of the set's shingles fall to i."""
-    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -198,11 +200,11 @@ def _sets(width: int):
             sets = list(shingles.shingle_sets(batch.column(0), width))
             nodes = [_node(s) if len(s) else None for s in sets]
             ends = np.cumsum([0] + [len(s) for s in sets])
-            sketches = pa.array(np.concatenate([_sketch(s) for s in sets]) if sets else np.zeros(0, np.int64))
+            sketches = pa.array(np.concatenate([_sketch(s, WIDE_BITS) for s in sets]) if sets else np.zeros(0, np.int64))
             sets = [s.view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets))),
-                 pa.ListArray.from_arrays(pa.array((np.arange(len(nodes) + 1) * (SKETCH_BITS // 64)).astype(np.int32)), sketches)],
+                 pa.ListArray.from_arrays(pa.array((np.arange(len(nodes) + 1) * (WIDE_BITS // 64)).astype(np.int32)), sketches)],
                 ["node", "members", "sketch"])
 
     return run
@@ -287,7 +289,7 @@ def _compare(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: in
     return told
 
 
-def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """The ``pairs`` whose sketches allow a link; no linked pair is left out.
 
     Every shingle that one set has and the other hasn't changes one bit of the
@@ -296,7 +298,7 @@ def _possible(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: i
     """
     size = F.col("size") if "size" in sets.columns else F.size("members")
     short = sets.select("node", size.alias("size"), "sketch")
-    if short.count() * (SKETCH_BITS // 8 + 64) <= SETS_BYTES:
+    if short.count() * (sketch_bits // 8 + 64) <= SETS_BYTES:
         short = F.broadcast(short)
     rows = (pairs.join(short.withColumnsRenamed({"size": "a", "sketch": "x"}), "node")
             .join(short.withColumnsRenamed({"node": "leader", "size": "b", "sketch": "y"}), "leader"))
@@ -360,7 +362,7 @@ def _common_keys(spark: SparkSession, texts: DataFrame, width: int, percent: int
 
 
 def _sets_for(spark: SparkSession, texts: DataFrame, found: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """node, members and sketch of every node in ``pairs``; landed."""
+    """node, members and wide sketch of every node in ``pairs``; landed."""
     needed = common.land(spark, pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct(), "needed")
     # A node's text is that of one row with it: the row's id may be null, or another's too, so its text's hash counts as well.
     first = (found.join(common.small_side(needed, 16), "node", "left_semi").groupBy("node")
@@ -488,7 +490,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
             pairs = common.land(spark, apart.select(F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader"))
                                 .distinct(), "apart")
             sets = _sets_for(spark, texts, found, pairs, width)
-            told = _compare(spark, pairs, sets, percent, False)
+            told = _compare(spark, _possible(spark, pairs, sets, percent, WIDE_BITS), sets, percent, False)
             new, done, nearest = told.where("linked").select("node", "leader"), [rows, pairs, sets, told], True
         else:
             short = _short(rows, FIRST_SHORT if labels is None else SHORT, PAIRS * n_nodes)
@@ -498,7 +500,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
             apart = common.land(spark, _possible(spark, apart, nodes, percent), "apart")
             sets = _sets_for(spark, texts, found, pairs.unionByName(apart), width)
             told = _compare(spark, pairs, sets, percent, True)
-            across = _compare(spark, apart, sets, percent, False)
+            across = _compare(spark, _possible(spark, apart, sets, percent, WIDE_BITS), sets, percent, False)
             new = told.where("linked").select("node", "leader").unionByName(across.where("linked").select("node", "leader"))
             done = [rows, long, pairs, apart, sets, across, told, lists]
         new = common.land(spark, new.select(F.col("node").alias("a"), F.col("leader").alias("b")), "new-links")

@@ -57,3 +57,17 @@ def test_edited_copies_in_blocks_and_in_rounds(spark, monkeypatch, block_pairs,
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert dict(jaccard_join.components(spark, docs).select("doc_id", "component_id").collect()) == dict(enumerate(least))
     assert 5 < len(set(least)) < 115
+
+
+def test_wide_sketches_tell_long_sets_apart(spark):
+    """Of two long texts without a common shingle no whole set need travel; a link between long ones stays."""
+    rng = random.Random(2)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(9000)] for _ in range(2)]
+    words.append([*words[0][:8000], *words[1][:300]])
+    texts = pa.record_batch([pa.array([" ".join(w) for w in words])], ["text"])
+    (batch,) = jaccard_join._sets(5)(iter([texts]))
+    sets = spark.createDataFrame(batch.to_pylist(), "node long, members array<long>, sketch array<long>")
+    a, b, c = batch.column(0).to_pylist()
+    pairs = spark.createDataFrame([(a, b), (a, c), (b, c)], "node long, leader long")
+    got = jaccard_join._possible(spark, pairs, sets, 80, jaccard_join.WIDE_BITS).select("node", "leader").collect()
+    assert [tuple(r) for r in got] == [(a, c)]
